@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,16 @@ def word_array(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, not once per use in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def slices(batch, column: str, limit: int = 4 << 20):
+    """An Arrow batch in pieces of about ``limit`` bytes of ``column`` (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > limit:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if len(sizes) > at:
+        yield batch.slice(at)
