@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretell.llm import decontaminate, line_runs, simhash
+from foretell.llm import decontaminate, line_runs, secret_scan, simhash
 from foretell.llm.common import table
 
 
@@ -20,6 +20,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)]
+    together = F.sort_array(F.concat("base", "linked"))
+    return found.select("doc_id", *counts, F.sha2(secret_scan.span_list("base"), 256).alias("base_sha256"), secret_scan.span_list(together).alias("spans"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_runs.dedup_lines(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", F.col("n_lines").cast("long"), F.col("n_deleted").cast("long"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
@@ -28,6 +35,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op9_line_dedup": op9_line_dedup,
 }
 
