@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretell.llm import decontaminate, line_runs, secret_scan, simhash
+from foretell.llm import decontaminate, line_runs, robust_rules, secret_scan, simhash
 from foretell.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.span_list("base"), 256).alias("base_sha256"), secret_scan.span_list(together).alias("spans"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = robust_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_runs.dedup_lines(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", F.col("n_lines").cast("long"), F.col("n_deleted").cast("long"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
 
