@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretell.llm import decontaminate, line_runs, robust_rules, secret_scan, simhash
+from foretell.llm import decontaminate, line_runs, mixing, robust_rules, secret_scan, simhash
 from foretell.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken_tokens")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -39,6 +44,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_source_mixing": op2_source_mixing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op8_quality_rules": op8_quality_rules,
@@ -68,4 +74,52 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_de
 FROM documents d LEFT JOIN left_lines USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op9_line_dedup": _OP9}
+
+
+def _cases(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items()) + f" ELSE {mixing.OTHER_WEIGHT} END"
+
+
+def _level(name: str, parents: list[str], above: str) -> str:
+    """SQL of one level of the budget tree."""
+    keys = ", ".join([*parents, name])
+    part = "PARTITION BY " + ", ".join(parents) if parents else ""
+    join = f"JOIN {above} USING ({', '.join(parents)})" if parents else f"CROSS JOIN {above}"
+    return f"""
+{name}_nodes AS (SELECT {keys}, sum(cap) AS cap, max(w_{name}) AS weight, sum(tokens) AS tokens FROM leaves GROUP BY {keys}),
+{name}_levels AS (
+  SELECT n.*, (above - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER ({part}) - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM {name}_nodes n {join}
+  WINDOW b AS ({part} ORDER BY cap / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_budgets AS (
+  SELECT {keys}, tokens, least(cap, CAST(floor(max(level) OVER ({part}) * weight) AS BIGINT)) AS above FROM {name}_levels),"""
+
+
+_OP2 = f"""
+WITH docs AS (
+  SELECT doc_id, lang, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+    'd' || (CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4) AS domain FROM documents),
+leaves AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {mixing.MAX_EPOCHS} AS BIGINT) AS cap,
+    {_cases("domain", mixing.DOMAIN_WEIGHTS)} AS w_domain, {_cases("lang", mixing.LANGUAGE_WEIGHTS)} AS w_lang,
+    {_cases("source", mixing.SOURCE_WEIGHTS)} AS w_source FROM docs WHERE n_tokens > 0 GROUP BY domain, lang, source),
+total AS (SELECT CAST(floor(sum(tokens) * {mixing.BUDGET_SHARE}) AS BIGINT) AS above FROM leaves),
+{_level("domain", [], "total")}
+{_level("lang", ["domain"], "domain_budgets")}
+{_level("source", ["domain", "lang"], "lang_budgets")}
+plan AS (SELECT domain, lang, source, above // tokens AS epochs, above % tokens AS rest FROM source_budgets WHERE above > 0),
+taken AS (
+  SELECT d.*, p.epochs, p.rest - coalesce(sum(n_tokens) OVER (
+    PARTITION BY domain, lang, source ORDER BY md5('{mixing.SEED}:' || p.epochs || ':' || doc_id)
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over
+  FROM docs d JOIN plan p USING (domain, lang, source) WHERE n_tokens > 0)
+SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens,
+  CAST(CASE WHEN epoch < epochs THEN n_tokens ELSE least(n_tokens, left_over) END AS BIGINT) AS taken_tokens
+FROM taken, unnest(range(0, CAST(epochs + 1 AS BIGINT))) AS t(epoch)
+WHERE epoch < epochs OR left_over > 0
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_source_mixing": _OP2,
+    "op9_line_dedup": _OP9,
+}
