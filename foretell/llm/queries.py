@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretell.llm import decontaminate, line_runs, mixing, robust_rules, secret_scan, simhash
+from foretell.llm import chat, decontaminate, line_runs, mixing, robust_rules, secret_scan, simhash
 from foretell.llm.common import table
 
 
@@ -32,6 +32,23 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.span_list("base"), 256).alias("base_sha256"), secret_scan.span_list(together).alias("spans"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    logged = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    read = chat.format_conversations(logged).select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    masked = F.array_join(F.transform(chat.loss_spans(F.col("formatted")), lambda s: chat.unescape(F.substr("formatted", s["start"] + 1, s["end"] - s["start"]))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length(masked).cast("long").alias("loss_chars"),
+        F.sha2(masked, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = robust_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -47,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_chat_formatting": op5_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
@@ -76,6 +94,20 @@ FROM documents d LEFT JOIN left_lines USING (doc_id)
 
 
 
+_OP5 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+told AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS masked,
+    sum(length('<turn role="' || role || '">' || replace(replace(text, '\', '\0'), '<', '\1') || '</turn>') + 1) AS chars
+  FROM rows GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(masked) AS BIGINT) AS loss_chars,
+  sha256(masked) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM told
+"""
+
+
 def _cases(column: str, weights: dict[str, int]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in weights.items()) + f" ELSE {mixing.OTHER_WEIGHT} END"
 
@@ -121,5 +153,6 @@ WHERE epoch < epochs OR left_over > 0
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": _OP2,
+    "op5_chat_formatting": _OP5,
     "op9_line_dedup": _OP9,
 }
