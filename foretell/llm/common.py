@@ -37,11 +37,6 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row, not once per use in a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def slices(batch, column: str, limit: int = 4 << 20):
     """An Arrow batch in pieces of about ``limit`` bytes of ``column`` (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

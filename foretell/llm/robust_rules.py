@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretell.llm.common import SPACE, WORD, checkpointed, let, word_array
+from foretell.llm.common import SPACE, WORD, checkpointed, word_array
 
 #: Fixed limits: too few words, or too large a share (%) of words in repeated triples.
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 50
@@ -33,39 +33,39 @@ _BINS_PER_UNIT = 32
 _D = list(COORDINATES)
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words in windows of three that are found twice or more in the text, first included.
+def statistics(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long) and ``n_lines``; null texts count as empty.
 
-    Windows are compared by XXH64: within one text of a million words two
-    different ones collide with probability below 1e-7.
+    n_repeat_words: words in windows of three that are found twice or more in
+    the text, first included. Windows are compared by XXH64: within one text of
+    a million words two different ones collide with probability below 1e-7.
     """
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-
-    def covered(h: Column) -> Column:
-        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        twice = let(placed, lambda s: F.filter(F.transform(s, lambda e, k: F.when((e["x"] == F.get(s, k - 1)["x"]) | (e["x"] == F.get(s, k + 1)["x"]), e["i"])), lambda p: p.isNotNull()))
-        steps = let(F.sort_array(twice), lambda p: F.transform(p, lambda x, k: F.when(k == 0, 3).otherwise(F.least(F.lit(3), x - F.get(p, k - 1)))))
-        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-
-    some = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))
-    return F.when(F.size(words) < 3, 0).otherwise(some)
-
-
-def statistics(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long) and ``n_lines``; null texts count as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    parts = F.struct(
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+    own = [c for c in docs.columns if c not in names]
+    # One projection for each array that lambdas look into: as a column it is made once a row, not once an element.
+    words = docs.select(*own, word_array(F.col("text")).alias("__w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("__l"))
+    window = lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
+    counted = words.select(
+        *own,
         F.size("__w").cast("long").alias("n_words"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(F.col("__w"), _repeat_words).cast("long").alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
+        F.size("__l").cast("long").alias("n_lines"),
+        F.when(F.size("__w") >= 3, F.transform(F.sequence(F.lit(0), F.size("__w") - 3), window)).alias("__h"),
     )
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-    own = [c for c in docs.columns if c not in names]
-    return docs.select(*own, word_array(F.col("text")).alias("__w")).select(*own, parts.alias("__s")).select(*own, "__s.*")
+    # Most texts repeat no window; only those that do are sorted, to find equal windows side by side.
+    places = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rest = [c for c in counted.columns if c != "__h"]
+    placed = counted.select(*rest, F.when(F.size(F.array_distinct("__h")) < F.size("__h"), places).alias("__p"))
+    twice = F.filter("__p", lambda p, k: (p["h"] == F.get("__p", k - 1)["h"]) | (p["h"] == F.get("__p", k + 1)["h"]))
+    found = placed.select(*rest, F.sort_array(F.transform(twice, lambda p: p["i"])).alias("__t"))
+    covers = F.aggregate(F.transform("__t", lambda t, k: F.least(F.lit(3), t - F.coalesce(F.get("__t", k - 1), F.lit(-3)))), F.lit(0), lambda n, c: n + c)
+    # Always true, but never the same expression twice: a filter on these columns is then not pushed below the
+    # projections above, where each array would be made anew for every element that a lambda looks at.
+    here = F.monotonically_increasing_id() >= 0
+    return found.select(*own, *names[:4], F.when(here, F.coalesce(covers, F.lit(0)).cast("long")).alias("n_repeat_words"), "n_lines")
 
 
 def _vector() -> list[Column]:
@@ -153,23 +153,43 @@ def judge(docs: DataFrame) -> DataFrame:
     made = ["base_failed", "kept", "distance"]
     docs = docs.drop(*[c for c in made if c in docs.columns])
     measured = statistics(docs)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
-    columns = measured.columns
-    # lang and source are read as values of their own where null.
-    key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(k) for c, k in (("lang", "__lang"), ("source", "__source"))]
-    rows = measured.select("*", failed.alias("base_failed"), *key, *[x.alias(f"__{c}") for x, c in zip(_vector(), _D)])
-
-    passing = measured.where(~failed).select(*key, *_vector())
-    passing = checkpointed(passing)  # five numbers and a cell for each text
+    return _verdicts(measured, _estimates(checkpointed(_passing(measured))))
+
+
+def judge_without_text(docs: DataFrame) -> DataFrame:
+    """As ``judge``, but without the text column, and with one pass over the texts: their numbers are kept for the second look."""
+    made = ["base_failed", "kept", "distance", "text"]
+    measured = checkpointed(statistics(docs.drop(*made[:3])).drop("text"))
+    return _verdicts(measured, _estimates(_passing(measured)))
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
+
+
+def _cell_key() -> list[Column]:
+    """lang and source, as values of their own where null."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"__{c}") for c in ("lang", "source")]
+
+
+def _passing(measured: DataFrame) -> DataFrame:
+    return measured.where(~_failed()).select(*_cell_key(), *_vector())
+
+
+def _estimates(passing: DataFrame) -> DataFrame:
+    """Centre and factored scatter by ``__lang, __source``."""
     sizes = passing.groupBy("__lang", "__source").agg(F.count("*").alias("n"))
     cell = F.when(F.col("n") >= MIN_CELL, F.struct("__lang", "__source")).otherwise(F.struct("__lang", F.lit("*").alias("__source")))
-    named = sizes.select("__lang", "__source", cell.alias("cell"))
+    named = checkpointed(sizes.select("__lang", "__source", cell.alias("cell")))
     vectors = passing.join(named, ["__lang", "__source"]).select("cell", *_D)
     cells = _start(vectors)
     for _ in range(STEPS):
         cells = checkpointed(_concentrate(vectors, cells))
-    factors = named.join(_factored(cells), "cell").drop("cell")
+    return checkpointed(named.join(_factored(cells), "cell").drop("cell"))
+
 
+def _verdicts(measured: DataFrame, factors: DataFrame) -> DataFrame:
+    rows = measured.select("*", _failed().alias("base_failed"), *_cell_key(), *[x.alias(f"__{c}") for x, c in zip(_vector(), _D)])
     placed = rows.join(factors, ["__lang", "__source"], "left")
     for i, c in enumerate(_D):
         rest = F.col(f"__{c}") - F.col(f"m{i}")
@@ -177,5 +197,6 @@ def judge(docs: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"__y{k}")
         placed = placed.withColumn(f"__y{i}", rest / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"__y{i}") * F.col(f"__y{i}") for i in range(1, len(_D))), F.col("__y0") * F.col("__y0"))
-    distance = F.when(~F.col("base_failed"), F.sqrt(d2))
-    return placed.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & F.coalesce(d2 <= CUTOFF, F.lit(True))).select(*columns, *made)
+    distance = F.when(~F.col("base_failed"), F.sqrt(d2)).alias("distance")
+    kept = (~F.col("base_failed") & F.coalesce(d2 <= CUTOFF, F.lit(True))).alias("kept")
+    return placed.select(*measured.columns, "base_failed", kept, distance)
