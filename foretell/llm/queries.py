@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretell.llm import chat, decontaminate, line_crf, line_runs, mixing, robust_rules, secret_scan, simhash, wrappers
+from foretell.llm import chat, decontaminate, line_crf, line_runs, mixing, robust_rules, secret_scan, simhash, token_counts, wrappers
 from foretell.llm.common import table
 
 
@@ -49,6 +49,17 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document edited three times: a replacement somewhere inside, an insertion in front, a deletion at the end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.length(F.coalesce("text", F.lit("")))
+    at = F.pmod(F.xxhash64("doc_id"), size + 1)
+    edit = lambda seq, at, n, new: F.struct(F.lit(seq).alias("seq"), at.cast("long").alias("at"), F.lit(n).alias("n_deleted"), F.lit(new).alias("inserted"))
+    edits = F.array(edit(0, at, 5, " [edited]"), edit(1, F.lit(0), 0, "Note: "), edit(2, size + 6, 12, ""))
+    counted = token_counts.recount(token_counts.index(docs).withColumn("edits", edits), results=False)
+    return counted.select("doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = line_crf.score(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
@@ -75,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_token_counts": op6_token_counts,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
