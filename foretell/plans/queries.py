@@ -52,7 +52,8 @@ def _priced(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _engineered(spark: SparkSession, sf: str) -> DataFrame:
-    return engineer_features(matches(spark, sf), check=False)
+    """Made once and kept, in memory or on disk, as fits read it again and again; so is the match table behind it."""
+    return engineer_features(matches(spark, sf).persist(), check=False).persist()
 
 
 def s8_matches(spark, sf):
@@ -115,11 +116,11 @@ def c1_count_ratings(spark, sf):
 
 
 def features(spark, sf):
-    return _engineered(spark, sf)
+    return engineer_features(matches(spark, sf).persist(), check=False)
 
 
 def j1_team_frame(spark, sf):
-    rows = matches(spark, sf)
+    rows = matches(spark, sf).persist()
     return team_frame(rows, engineer_features(rows, check=False))
 
 
@@ -216,12 +217,12 @@ def m4_forest(spark, sf):
 
 
 def m8_team_model(spark, sf):
-    train, test = models.split_by_season(j1_team_frame(spark, sf), FIRST_SEASON)
+    train, test = models.split_by_season(j1_team_frame(spark, sf).persist(), FIRST_SEASON)
     return models.with_team_predictions(models.fit_team_logistic(train), test).select("MatchId", "Team", "Target", "Predicted", "ProbabilityLoss", "ProbabilityDraw", "ProbabilityWin", "Correct")
 
 
 def m10_explanation(spark, sf):
-    train, test = models.split_by_season(j1_team_frame(spark, sf), FIRST_SEASON)
+    train, test = models.split_by_season(j1_team_frame(spark, sf).persist(), FIRST_SEASON)
     return models.explain(models.fit_team_logistic(train), test, keys=["MatchId", "Team"])
 
 
@@ -246,7 +247,7 @@ def e7_report_metrics(spark, sf):
 
 
 def e8_season_walk_forward(spark, sf):
-    return experiments.season_walk_forward(j1_team_frame(spark, sf), "1997")
+    return experiments.season_walk_forward(j1_team_frame(spark, sf).persist(), "1997")
 
 
 def e13_catalog(spark, sf):
