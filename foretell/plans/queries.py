@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,9 @@ def _priced(spark: SparkSession, sf: str) -> DataFrame:
     return betting.join_market(model, betting.build_market(rows))
 
 
+@lru_cache(maxsize=4)
 def _engineered(spark: SparkSession, sf: str) -> DataFrame:
-    """Made once and kept, in memory or on disk, as fits read it again and again; so is the match table behind it."""
+    """Made once a session and kept, in memory or on disk, as fits read it again and again; so is the match table behind it."""
     return engineer_features(matches(spark, sf).persist(), check=False).persist()
 
 
@@ -120,8 +122,7 @@ def features(spark, sf):
 
 
 def j1_team_frame(spark, sf):
-    rows = matches(spark, sf).persist()
-    return team_frame(rows, engineer_features(rows, check=False))
+    return team_frame(matches(spark, sf), _engineered(spark, sf))
 
 
 def a4_priors(spark, sf):
