@@ -125,13 +125,20 @@ def _with_distance(vectors: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _concentrate(vectors: DataFrame, cells: DataFrame) -> DataFrame:
-    """One concentration step: mean and scatter of the SHARE of each cell's vectors that lie closest."""
+    """One concentration step: mean and scatter of the SHARE of each cell's vectors that lie closest.
+
+    Sums are taken by cell and bin of distance first, on the map side, so that
+    only bins meet in a cell's task, never its rows.
+    """
     near = F.floor(F.log2(F.col("d2") + 1e-9) * _BINS_PER_UNIT).alias("bin")
     placed = _with_distance(vectors, cells).select("cell", *_D, near)
-    limit = _quantile_bins(placed.groupBy("cell", "bin").agg(F.count("*").alias("n")), ["cell"], SHARE).withColumnRenamed("bin", "limit")
-    closest = placed.join(limit, "cell").where("bin <= limit")
     pairs = [(i, j) for i in range(len(_D)) for j in range(i + 1)]
-    sums = closest.groupBy("cell").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(_D)], *[F.sum(F.col(_D[i]) * F.col(_D[j])).alias(f"s{i}{j}") for i, j in pairs])
+    names = ["n", *[f"s{i}" for i in range(len(_D))], *[f"s{i}{j}" for i, j in pairs]]
+    binned = placed.groupBy("cell", "bin").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(_D)], *[F.sum(F.col(_D[i]) * F.col(_D[j])).alias(f"s{i}{j}") for i, j in pairs])
+    order = Window.partitionBy("cell").orderBy("bin")
+    before = F.sum("n").over(order) - F.col("n")
+    closest = binned.withColumns({"__before": before, "__total": F.sum("n").over(Window.partitionBy("cell"))}).where(F.col("__before") < SHARE * F.col("__total"))
+    sums = closest.groupBy("cell").agg(*[F.sum(c).alias(c) for c in names])
     mean = {i: F.col(f"s{i}") / F.col("n") for i in range(len(_D))}
     scatter = [(CONSISTENCY * (F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]) + (COORDINATES[_D[i]] ** 2 if i == j else 0.0)).alias(f"v{i}{j}") for i, j in pairs]
     return sums.select("cell", *[mean[i].alias(f"m{i}") for i in mean], *scatter)
