@@ -12,12 +12,14 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foretell.llm.common import checkpointed, slices
 
@@ -32,6 +34,10 @@ BROADCAST_BYTES = 8 << 20
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math select object canvas".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that say how a page is built; the path of a text is followed through these only where there is no main element.
+CONTAINERS = set("html body div section center table tbody tr td form".split())
+#: and so many of them.
+TEMPLATE_DEPTH = 4
 #: Elements that an opening tag closes if they are the innermost of their kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}} | {b: {"p"} for b in BLOCKS - {"li", "dt", "dd", "tr", "td", "th", "body", "html", "head", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption"}}
 BOILERPLATE_TAGS = set("head nav header footer aside form button dialog menu label fieldset address".split())
@@ -202,41 +208,67 @@ def _unify(x: str, y: str) -> str:
 
 
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(host, salt, shape, n)`` sorted by group, the commonest shape first: one wrapper for each group, held alone in memory."""
-    key, wrapper, rows = None, [], []
+    """Rows ``(host, template, salt, shape, n)`` sorted by group, the commonest shape first: one wrapper for each group, held alone in memory."""
+    key, wrapper, pages, rows = None, [], 0, []
     for batch in batches:
-        for host, salt, text in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "shape"))):
+        for *group, text, n in zip(*(batch.column(c).to_pylist() for c in ("host", "template", "salt", "shape", "n"))):
             items = _body(f"( {text} )")
-            if (host, salt) != key:
+            if group != key:
                 if key is not None:
-                    rows.append((*key, " ".join(wrapper)))
-                key, wrapper = (host, salt), items
+                    rows.append((*key, " ".join(wrapper), pages))
+                key, wrapper, pages = group, items, n
             else:
-                wrapper = align(wrapper, items)
+                wrapper, pages = align(wrapper, items), pages + n
     if key is not None:
-        rows.append((*key, " ".join(wrapper)))
-    host, salt, text = zip(*rows) if rows else ((), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(salt, pa.int32()), pa.array(text, pa.string())], ["host", "salt", "shape"])
+        rows.append((*key, " ".join(wrapper), pages))
+    host, template, salt, text, n = zip(*rows) if rows else ((),) * 5
+    columns = [pa.array(host, pa.string()), pa.array(template, pa.string()), pa.array(salt, pa.int32()), pa.array(text, pa.string()), pa.array(n, pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, ["host", "template", "salt", "shape", "n"])
+
+
+def _is_main(label: str) -> bool:
+    name, _, word = label.partition(".")
+    return name in MAIN_TAGS or (name in ("div", "section", "td") and word in MAIN_WORDS)
+
+
+def _is_main_tag(label: str) -> bool:
+    return label.partition(".")[0] in MAIN_TAGS
+
+
+def _path(slot: str) -> list[str]:
+    return slot.split(">") if slot else []
+
+
+def template_of(mass: dict[str, int]) -> str:
+    """A name for the pages of a host that are built alike: where the main elements stand or, without one, which containers there are."""
+    paths = [_path(s) for s in mass if "!" not in s]
+    for test in (_is_main_tag, _is_main):
+        found = {">".join(p[: k + 1]) for p in paths for k in [next((i for i, x in enumerate(p) if test(x)), -1)] if k >= 0}
+        if found:
+            return " ".join(sorted(found))
+    return " ".join(sorted({">".join(takewhile(lambda x: x.partition(".")[0] in CONTAINERS, p[:TEMPLATE_DEPTH])) for p in paths}))
 
 
 def _shape_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of shapes and sums of slots by host, added up before they leave the task."""
+    """Counts of shapes and sums of slots by host and template, added up before they leave the task."""
     shapes: Counter = Counter()
     slots: Counter = Counter()
 
     def rows():
-        keys = [(h, "shape", s) for h, s in shapes] + [(h, "slot", s) for h, s in slots]
-        host, kind, value = zip(*keys) if keys else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array([*shapes.values(), *slots.values()], pa.int64())], ["host", "kind", "value", "n"])
+        keys = [(*key, "shape", s) for *key, s in shapes] + [(*key, "slot", s) for *key, s in slots]
+        host, template, kind, value = zip(*keys) if keys else ((), (), (), ())
+        columns = [pa.array(c, pa.string()) for c in (host, template, kind, value)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([*shapes.values(), *slots.values()], pa.int64())], ["host", "template", "kind", "value", "n"])
 
     for batch in batches:
         for part in slices(batch, "html"):
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 items, mass = shape(page)
+                template = template_of(mass)
                 if items:
-                    shapes[host, " ".join(items)] += 1
+                    shapes[host, template, " ".join(items)] += 1
                 for slot, n in mass.items():
-                    slots[host, slot] += n
+                    slots[host, template, slot] += n
             if len(shapes) + len(slots) > 20000:
                 yield rows()
                 shapes.clear()
@@ -245,43 +277,42 @@ def _shape_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def article_slots(slots: dict[str, int]) -> list[str]:
-    """The slots that hold the article: those in the wrapper's main element, without what is boilerplate inside it.
+    """The slots of a template that hold the article: those in its main element, without what is boilerplate inside it.
 
     The main element is an article or main element, or one named like it; of
     several, those inside no other count. Without one it is found by going down
     from the root as long as one child holds most of the text.
     """
     open_ = {s: n for s, n in slots.items() if "!" not in s}
-
-    def is_main(label: str) -> bool:
-        name, _, word = label.partition(".")
-        return name in MAIN_TAGS or (name in ("div", "section", "td") and word in MAIN_WORDS)
-
-    for test in (lambda x: x.partition(".")[0] in MAIN_TAGS, is_main):
-        inside = [s for s in open_ if any(test(x) for x in s.split(">"))]
+    for test in (_is_main_tag, _is_main):
+        inside = [s for s in open_ if any(test(x) for x in _path(s))]
         if inside:
             return sorted(inside)
     root: list[str] = []
     while open_:
         below: Counter = Counter()
         for s, n in open_.items():
-            path = s.split(">") if s else []
+            path = _path(s)
             if len(path) > len(root) and path[: len(root)] == root:
                 below[path[len(root)]] += n
-        total = sum(n for s, n in open_.items() if (s.split(">") if s else [])[: len(root)] == root)
+        total = sum(n for s, n in open_.items() if _path(s)[: len(root)] == root)
         if not below or below.most_common(1)[0][1] < 0.6 * total or below.most_common(1)[0][0].partition(".")[0] in ("p", "h1", "h2", "h3", "li"):
             break
         root.append(below.most_common(1)[0][0])
-    return sorted(s for s in open_ if (s.split(">") if s else [])[: len(root)] == root)
+    return sorted(s for s in open_ if _path(s)[: len(root)] == root)
 
 
 def _keep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each template of a host; a host's templates come together as sums by slot."""
     for batch in batches:
-        keep = []
-        for wrapper, slots in zip(batch.column("wrapper").to_pylist(), batch.column("slots").to_pylist()):
-            named = set(re.findall(r"#(\S*)", wrapper))
-            keep.append(article_slots({s["value"]: s["n"] for s in slots if s["value"] in named}))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("wrapper"), pa.array(keep, pa.list_(pa.string()))], ["host", "wrapper", "keep"])
+        rows = []
+        for host, slots in zip(batch.column("host").to_pylist(), batch.column("slots").to_pylist()):
+            templates: dict[str, dict[str, int]] = {}
+            for s in slots:
+                templates.setdefault(s["template"], {})[s["value"]] = s["n"]
+            rows += [(host, name, article_slots(mine)) for name, mine in templates.items()]
+        host, template, keep = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(template, pa.string()), pa.array(keep, pa.list_(pa.string()))], ["host", "template", "keep"])
 
 
 def host_of(url):
@@ -290,28 +321,37 @@ def host_of(url):
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper, keep)`` for every host of ``pages (url, html)``, from all its pages; ``keep`` names the article's slots.
+    """``(host, template, pages, wrapper, keep)`` for every template of every host of ``pages (url, html)``, from all its pages; ``keep`` names the article's slots.
 
-    Equal shapes are counted first, so a host's pages come together only as
+    Equal shapes are counted first, so a template's pages come together only as
     its distinct shapes, in SALTS tasks that hold one wrapper at a time.
     """
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
-    counts = rows.mapInArrow(_shape_batches, "host string, kind string, value string, n long").groupBy("host", "kind", "value").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_shape_batches, "host string, template string, kind string, value string, n long").groupBy("host", "template", "kind", "value").agg(F.sum("n").alias("n"))
     counts = checkpointed(counts)
-    shapes = counts.where("kind = 'shape'").select("host", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int").alias("salt"), F.col("value").alias("shape"), "n")
-    kind = "host string, salt int, shape string"
-    first = shapes.repartition("host", "salt").sortWithinPartitions("host", "salt", F.desc("n"), "shape").select("host", "salt", "shape").mapInArrow(_fold_batches, kind)
-    whole = first.repartition("host").sortWithinPartitions("host", "salt").select("host", F.lit(0).alias("salt"), "shape").mapInArrow(_fold_batches, kind)
-    slots = counts.where("kind = 'slot'").groupBy("host").agg(F.collect_list(F.struct("value", "n")).alias("slots"))
-    joined = whole.select("host", F.col("shape").alias("wrapper")).join(slots, "host")
-    return joined.mapInArrow(_keep_batches, "host string, wrapper string, keep array<string>")
+    key = ["host", "template"]
+    shapes = counts.where("kind = 'shape'").select(*key, F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int").alias("salt"), F.col("value").alias("shape"), "n")
+    kind = "host string, template string, salt int, shape string, n long"
+    first = shapes.repartition(*key, "salt").sortWithinPartitions(*key, "salt", F.desc("n"), "shape").mapInArrow(_fold_batches, kind)
+    whole = first.repartition(*key).sortWithinPartitions(*key, "salt").select(*key, F.lit(0).alias("salt"), "shape", "n").mapInArrow(_fold_batches, kind)
+    slots = counts.where("kind = 'slot'").groupBy("host").agg(F.collect_list(F.struct("template", "value", "n")).alias("slots"))
+    kept = slots.mapInArrow(_keep_batches, "host string, template string, keep array<string>")
+    return whole.select(*key, F.col("n").alias("pages"), F.col("shape").alias("wrapper")).join(kept, key)
+
+
+def masses(items: list[tuple[str, str, str]]) -> Counter:
+    """The code points in each slot of a stream."""
+    mass: Counter = Counter()
+    for kind, name, value in items:
+        if kind == "text" and not value.isspace():
+            mass[name] += len(value) if len(value) > 1 else 1
+    return mass
 
 
-def main_text(page: str | None, keep: set[str]) -> str:
-    """The texts of the kept slots by block, white space as single spaces, blocks joined by line ends."""
-    blocks: list[str] = []
+def blocks(items: Iterable[tuple[str, str, str]], keep: set[str]) -> Iterator[str]:
+    """The texts of the kept slots by block, white space as single spaces."""
     run: list[str] = []
-    for kind, name, value in stream(page):
+    for kind, name, value in [*items, ("close", "", "")]:
         if kind == "text":
             if name in keep:
                 run.append(html.unescape(value))
@@ -319,32 +359,69 @@ def main_text(page: str | None, keep: set[str]) -> str:
             if name.partition(".")[0] == "br":
                 run.append(" ")
         elif run:
-            blocks.append("".join(run))
+            text = _space.sub(" ", "".join(run)).strip()
             run = []
-    blocks.append("".join(run))
-    clean = (_space.sub(" ", b).strip() for b in blocks)
-    return "\n".join(b for b in clean if b)
+            if text:
+                yield text
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def main_text(page: str | None, keep: set[str]) -> str:
+    """The page's blocks, joined by line ends."""
+    return "\n".join(blocks(stream(page), keep))
+
+
+class Templates:
+    """What is known of templates, by host and name: sent to every task if it is small, else joined to the pages by their template."""
+
+    def __init__(self, known: DataFrame):
+        self.columns = [c for c in known.columns if c not in ("host", "template")]
+        texts = [c for c, kind in known.dtypes if kind in ("string", "array<string>")]
+        size = known.agg(F.sum(sum((F.length(F.array_join(c, ">") if dict(known.dtypes)[c] == "array<string>" else F.col(c)) for c in texts), F.lit(0)))).first()[0] or 0
+        self.known, self.sent = known, None
+        if size <= BROADCAST_BYTES:
+            table = {(r.host, r.template): tuple(r[c] for c in self.columns) for r in known.collect()}
+            self.sent = known.sparkSession.sparkContext.broadcast(table)
+
+    def map(self, rows: DataFrame, function, schema: str) -> DataFrame:
+        """``function(batch, found)`` over ``rows (host, html, ...)``; found has for each row its stream and its template's columns, or None."""
+        if self.sent is None:
+            named = rows.mapInArrow(_template_batches, StructType([*rows.schema, StructField("template", StringType())]))
+            rows = named.join(self.known, ["host", "template"], "left")
+        sent, columns = self.sent, self.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "html"):
+                    streams = (list(stream(page)) for page in part.column("html").to_pylist())
+                    if sent is not None:
+                        found = ((items, sent.value.get((host, template_of(masses(items))))) for items, host in zip(streams, part.column("host").to_pylist()))
+                    else:
+                        found = ((items, values if values[0] is not None else None) for items, *values in zip(streams, *(part.column(c).to_pylist() for c in columns)))
+                    yield from function(part, found)
+
+        return rows.mapInArrow(run, schema)
+
+
+def _template_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
-            texts = [main_text(page, set(keep or ())) for page, keep in zip(part.column("html").to_pylist(), part.column("keep").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            names = [template_of(masses(list(stream(page)))) for page in part.column("html").to_pylist()]
+            yield part.append_column("template", pa.array(names, pa.string()))
+
+
+def _texts(part: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
+    texts = ["\n".join(blocks(items, set(values[-1]))) if values else "" for items, values in found]
+    yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` for every row of ``pages (page_id, url, html)``.
 
-    text is the article by the wrapper of the page's host, empty where there is
-    none and for null and empty pages. Pages without a host share a wrapper.
-    Pages are read whole, cut-off and badly nested ones included. Repeated rows
-    each get a row; other columns are not read.
+    text is the article by the wrapper of the page's host and template, empty
+    where there is none and for null and empty pages. Pages without a host
+    share wrappers by template. Pages are read whole, cut-off and badly nested
+    ones included. Repeated rows each get a row; other columns are not read.
     """
-    wrappers = checkpointed(infer_wrappers(pages))
-    size = wrappers.agg(F.sum(F.length("host") + F.length(F.array_join("keep", ">")))).first()[0] or 0
-    known = wrappers.select("host", "keep")
-    if size <= BROADCAST_BYTES:
-        known = F.broadcast(known)
+    templates = Templates(checkpointed(infer_wrappers(pages)))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "keep").mapInArrow(_text_batches, "page_id long, url string, text string")
+    return templates.map(rows, _texts, "page_id long, url string, text string")

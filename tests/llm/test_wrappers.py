@@ -95,3 +95,19 @@ def test_a_wrapper_describes_every_page_it_was_made_from():
 def test_hostile_pages_end(text):
     items, mass = w.shape(text)
     assert w.main_text(text, set(mass)) is not None
+
+
+def test_two_templates_on_one_host(spark):
+    news = "<body><nav><p>n</p></nav><article><p>News %d</p></article></body>"
+    blog = '<body><div class="side"><p>s</p></div><div class="post"><p>Blog %d is a longer text</p></div></body>'
+    bare = '<body><div class="left"><p>l</p></div><div class="text"><p>Bare page %d has only this much longer paragraph</p></div></body>'
+    rows = [(0, "http://h.example/0", news % 0)] + [(i, f"http://h.example/{i}", (blog if i < 8 else bare) % i) for i in range(1, 12)]
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {0: "News 0"} | {i: f"Blog {i} is a longer text" if i < 8 else f"Bare page {i} has only this much longer paragraph" for i in range(1, 12)}
+    assert got == want
+
+
+def test_templates_sent_and_joined_agree(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://h.example/1", FRAME % "<article><p>a</p></article>"), (2, None, FRAME % '<div class="post"><p>b</p></div>'), (3, None, None)], "page_id long, url string, html string")
+    monkeypatch.setattr(w, "BROADCAST_BYTES", -1)
+    assert {r.page_id: r.text for r in w.extract(pages).collect()} == {1: "a", 2: "b", 3: ""}
