@@ -3,17 +3,21 @@
 A page is a stream of tags and text slots. Streams of one host are aligned one
 after the other with the host's wrapper so far; a mismatch becomes an optional
 group, a run of equal parts becomes a repeated group, and differing texts
-become slots named by the elements around them. The finished wrapper and the
-amount of text in each slot tell which slots are the article.
+become slots named by the elements around them. The amount of text in each slot
+tells which slots are the article. Every page is then matched against its
+wrapper, and a slot's texts that nearly all pages share at that place of the
+wrapper are the template's and left out of the article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from itertools import takewhile
 
 import pyarrow as pa
@@ -25,6 +29,8 @@ from foretell.llm.common import checkpointed, slices
 
 #: Alignments of one host are dealt to so many tasks, whose wrappers are then aligned with each other.
 SALTS = 16
+#: A text at one place of a wrapper in this share of at least so many pages that have the place is the template's, not the article's.
+FIXED_SHARE, MIN_PAGES = 0.9, 5
 #: The longest part that is looked for as a repeated group, in items of the stream.
 MAX_GROUP = 8
 #: Wrappers of this many bytes in all are sent to every task; beyond it pages and wrappers are joined by host.
@@ -348,26 +354,102 @@ def masses(items: list[tuple[str, str, str]]) -> Counter:
     return mass
 
 
-def blocks(items: Iterable[tuple[str, str, str]], keep: set[str]) -> Iterator[str]:
-    """The texts of the kept slots by block, white space as single spaces."""
+class Wrapper:
+    """A wrapper read as places: its tags and slots in order, with the repeated groups around each."""
+
+    def __init__(self, wrapper: str):
+        self.names: list[str] = []
+        open_: list[int] = []
+        groups: list[tuple[int, int]] = []
+        for word in wrapper.split(" "):
+            if word == "(":
+                open_.append(len(self.names))
+            elif word in (")+", ")?"):
+                start = open_.pop()
+                if word == ")+":
+                    groups.append((start, len(self.names)))
+            elif word:
+                self.names.append(word)
+        #: By place the innermost repeated group and by group the next one around it; groups are listed from the inside.
+        self.group, self.outer = [-1] * len(self.names), [-1] * len(groups)
+        self.groups, self.at = groups, {}
+        inside: list[int] = []
+        begins: dict[int, list[int]] = {}
+        for g, (start, end) in enumerate(groups):
+            if end > start:
+                begins.setdefault(start, []).append(g)
+        for i, name in enumerate(self.names):
+            while inside and groups[inside[-1]][1] <= i:
+                inside.pop()
+            for g in reversed(begins.get(i, ())):  # the outer ones are listed later
+                self.outer[g] = inside[-1] if inside else -1
+                inside.append(g)
+            self.group[i] = inside[-1] if inside else -1
+            self.at.setdefault(name, []).append(i)
+
+    def next(self, place: int, name: str) -> int:
+        """The place of the next item of a page after ``place``: onwards or from the start again in the groups around it, from the inside; -1 if there is none."""
+        places = self.at.get(name)
+        if places is None:
+            return -1
+        after = bisect_right(places, place)
+        g = self.group[place] if place >= 0 else -1
+        while g >= 0:
+            start, end = self.groups[g]
+            if after < len(places) and places[after] < end:
+                return places[after]
+            first = bisect_left(places, start)
+            if first < len(places) and places[first] < end:
+                return places[first]
+            g = self.outer[g]
+        return places[after] if after < len(places) else -1
+
+
+def blocks(items: Iterable[tuple[str, str, str]], keep: set[str], wrapper: Wrapper | None = None) -> Iterator[tuple[int, str]]:
+    """The texts of the kept slots by block, white space as single spaces, each with the wrapper's place that it matches.
+
+    A text that the wrapper doesn't have after the last place has the nearest
+    place of its slot before it, and -1 without one.
+    """
     run: list[str] = []
+    place = at = -1  # of the page's last item, of the block's first kept text
+    before = ""
     for kind, name, value in [*items, ("close", "", "")]:
+        if wrapper is not None and kind != "void":
+            item = f"#{name}" if kind == "text" else f"<{name}>" if kind == "open" else f"</{name}>"
+            if not (kind == "text" and (value.isspace() or item == before)):
+                found = wrapper.next(place, item)
+                if found < 0 and kind == "text" and item in wrapper.at:
+                    found = wrapper.at[item][bisect_right(wrapper.at[item], place) - 1]
+                place, before = found if found >= 0 else place, item
         if kind == "text":
             if name in keep:
+                if at < 0 and wrapper is not None and not value.isspace() and wrapper.names[place] == f"#{name}":
+                    at = place
                 run.append(html.unescape(value))
         elif kind == "void":
             if name.partition(".")[0] == "br":
                 run.append(" ")
         elif run:
             text = _space.sub(" ", "".join(run)).strip()
-            run = []
             if text:
-                yield text
+                yield at, text
+            run, at = [], -1
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def main_text(page: str | None, keep: set[str], wrapper: Wrapper | None = None, fixed: dict[int, set[int]] | None = None) -> str:
+    """The page's blocks, joined by line ends, without the texts that are ``fixed`` at their place of the wrapper."""
+    return _article(stream(page), keep, wrapper, fixed)
 
 
-def main_text(page: str | None, keep: set[str]) -> str:
-    """The page's blocks, joined by line ends."""
-    return "\n".join(blocks(stream(page), keep))
+def _article(items: Iterable[tuple[str, str, str]], keep: set[str], wrapper: Wrapper | None, fixed: dict[int, set[int]] | None) -> str:
+    if not fixed:
+        return "\n".join(text for _, text in blocks(items, keep))
+    return "\n".join(text for at, text in blocks(items, keep, wrapper) if at not in fixed or digest(text) not in fixed[at])
 
 
 class Templates:
@@ -409,8 +491,61 @@ def _template_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield part.append_column("template", pa.array(names, pa.string()))
 
 
+def _digest_batches(part: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
+    """``(host, template, place, digest, n, chars)``: in how many pages a text stands at a place; without digest, how many have the place and their text."""
+    counts: dict[tuple, list[int]] = {}
+    read: dict[tuple, tuple[Wrapper, set[str]]] = {}
+    for host, (items, values) in zip(part.column("host").to_pylist(), found):
+        if values is None or values[1] < MIN_PAGES:
+            continue
+        key, _, wrapper, keep = values
+        if key not in read:
+            read[key] = Wrapper(wrapper), set(keep)
+        seen: dict[tuple, int] = {}
+        for at, text in blocks(items, read[key][1], read[key][0]):
+            seen[key, at, None] = seen.get((key, at, None), 0) + len(text)
+            if at >= 0:
+                seen[key, at, digest(text)] = len(text)
+        for what, chars in seen.items():
+            count = counts.setdefault(what, [0, 0])
+            count[0] += 1
+            count[1] += chars
+    key, place, text = zip(*counts) if counts else ((), (), ())
+    n, chars = zip(*counts.values()) if counts else ((), ())
+    columns = [pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(text, pa.int64()), pa.array(n, pa.int64()), pa.array(chars, pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, ["key", "place", "digest", "n", "chars"])
+
+
+def fixed_texts(templates: Templates, rows: DataFrame) -> DataFrame:
+    """``(key, fixed)``: the texts that belong to a template and not to an article, as digests by place of the wrapper.
+
+    A text is fixed at a place that at least MIN_PAGES pages have if it stands
+    there in FIXED_SHARE of them. Where fixed texts would be half of the
+    template's text or more, its pages are copies of each other, and none is.
+    """
+    counts = templates.map(rows, _digest_batches, "key long, place int, digest long, n long, chars long")
+    counts = checkpointed(counts.groupBy("key", "place", "digest").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).where(f"digest IS NULL OR n >= {MIN_PAGES * FIXED_SHARE}"))
+    places = counts.where("digest IS NULL").select("key", "place", F.col("n").alias("having"))
+    whole = counts.where("digest IS NULL").groupBy("key").agg(F.sum("chars").alias("whole"))
+    texts = counts.where("digest IS NOT NULL").join(places, ["key", "place"]).where(f"having >= {MIN_PAGES} AND n >= {FIXED_SHARE} * having")
+    lists = texts.groupBy("key").agg(F.sum("chars").alias("chars"), F.collect_list(F.struct("place", "digest")).alias("fixed"))
+    return lists.join(whole, "key").where("2 * chars < whole").select("key", "fixed")
+
+
 def _texts(part: pa.RecordBatch, found) -> Iterator[pa.RecordBatch]:
-    texts = ["\n".join(blocks(items, set(values[-1]))) if values else "" for items, values in found]
+    read: dict[int, tuple] = {}
+    texts = []
+    for items, values in found:
+        if values is None:
+            texts.append("")
+            continue
+        key, _, wrapper, keep, fixed = values
+        if key not in read:
+            by_place: dict[int, set[int]] = {}
+            for f in fixed or ():
+                by_place.setdefault(f["place"], set()).add(f["digest"])
+            read[key] = set(keep), Wrapper(wrapper) if by_place else None, by_place
+        texts.append(_article(items, *read[key]))
     yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -419,9 +554,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     text is the article by the wrapper of the page's host and template, empty
     where there is none and for null and empty pages. Pages without a host
-    share wrappers by template. Pages are read whole, cut-off and badly nested
+    share wrappers by template. What stands at the same place of the wrapper in
+    nearly all pages is the template's text and left out. Pages are read whole, cut-off and badly nested
     ones included. Repeated rows each get a row; other columns are not read.
     """
-    templates = Templates(checkpointed(infer_wrappers(pages)))
+    known = checkpointed(infer_wrappers(pages).select("host", "template", F.xxhash64("host", "template").alias("key"), "pages", "wrapper", "keep"))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
+    fixed = fixed_texts(Templates(known), rows)
+    templates = Templates(checkpointed(known.join(fixed, "key", "left").select("host", "template", "key", "pages", "wrapper", "keep", "fixed")))
     return templates.map(rows, _texts, "page_id long, url string, text string")

@@ -111,3 +111,29 @@ def test_templates_sent_and_joined_agree(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "http://h.example/1", FRAME % "<article><p>a</p></article>"), (2, None, FRAME % '<div class="post"><p>b</p></div>'), (3, None, None)], "page_id long, url string, html string")
     monkeypatch.setattr(w, "BROADCAST_BYTES", -1)
     assert {r.page_id: r.text for r in w.extract(pages).collect()} == {1: "a", 2: "b", 3: ""}
+
+
+def test_the_wrapper_tells_template_text_from_the_article(spark):
+    page = '<body><article><p class="by">Read in %s minutes</p><h1>Head %d</h1>%s<p>Share</p><hr><p>Written for you</p></article></body>'
+    rows = [(i, f"http://h.example/{i}", page % ("two", i, "<p>Share</p>" * (i == 3) + "".join(f"<p>Text {i} {k} of some length</p>" for k in range(i % 3 + 1)))) for i in range(12)]
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        lines = got[i].split("\n")
+        assert lines[0] == f"Head {i}" and "Written for you" not in lines and "Read in two minutes" not in lines
+        assert [x for x in lines if x.startswith("Text")] == [f"Text {i} {k} of some length" for k in range(i % 3 + 1)]
+
+
+def test_another_wrapper_gives_another_text():
+    page = "<body><article><p>Share</p><hr><p>Own</p><p>Share</p></article></body>"
+    keep, slot = {"body>article>p"}, "#body>article>p"
+    one = w.Wrapper(f"<body> <article> <p> {slot} </p> <hr> ( <p> {slot} </p> )+ </article> </body>")
+    two = w.Wrapper(f"<body> <article> ( <p> {slot} </p> ( <hr> )? )+ </article> </body>")
+    assert [at for at, _ in w.blocks(w.stream(page), keep, one)] == [3, 7, 7]
+    assert w.main_text(page, keep, one, {3: {w.digest("Share")}}) == "Own\nShare"
+    assert w.main_text(page, keep, two, {3: {w.digest("Share")}}) == "Own"
+    assert w.main_text(page, keep) == "Share\nOwn\nShare"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, f"http://h.example/{i}", FRAME % "<article><p>The same</p></article>") for i in range(9)]
+    assert {r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"The same"}
