@@ -50,6 +50,12 @@ BOILERPLATE_TAGS = set("head nav header footer aside form button dialog menu lab
 BOILERPLATE_WORDS = set(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer gdpr header login masthead menu message modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promotion recommended related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe taboola toolbar warning widget widgets".split()
 )
+#: Words that say nothing of their own in a class name: a name of these and boilerplate words only ("site-header", "comment-list") is boilerplate.
+NEUTRAL_WORDS = set("area bar block body bottom box btn button buttons col column container content form global group icon icons inner item items left link links list main middle outer page panel primary region right row secondary section site slot text title top unit wrap wrapper".split())
+#: Elements whose ids are often made from their text, so that an id says nothing of them.
+TEXT_TAGS = set("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption legend summary".split())
+#: Share of a host's text, or of a template's, from which a marked element encloses the article rather than boilerplate.
+MOST = 0.6
 MAIN_TAGS, MAIN_WORDS = {"article", "main"}, {"article", "content", "entry", "main", "post", "story"}
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>"[^"]*+"|'[^']*+'|[^'">])*+)>|[^<]++|<""", re.DOTALL)
@@ -58,21 +64,32 @@ _words = re.compile(r"[a-z]+")
 _space = re.compile(r"\s+")
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool]:
-    """An element's name with its first class word, and whether it is boilerplate by itself."""
+def _is_boilerplate(name: str) -> bool:
+    """Whether a whole class name, id or role names boilerplate: a listed word, with others only if they are listed or neutral."""
+    words = _words.findall(name)
+    return any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in NEUTRAL_WORDS for w in words)
+
+
+def _label(name: str, attributes: str) -> tuple[str, str]:
+    """An element's name with its first class word, and its mark as boilerplate by itself.
+
+    "!" is for elements that are boilerplate wherever they stand, "~" for forms
+    and names, which count unless the element encloses the article.
+    """
+    firm = name in BOILERPLATE_TAGS and name != "form"
     if not attributes or attributes.isspace():
-        return name, name in BOILERPLATE_TAGS
-    values = [(m[2] or m[3] or m[4] or "").lower() for m in _attribute.finditer(attributes)]
+        return name, "!" if firm else "~" if name == "form" else ""
+    values = [(m[2] or m[3] or m[4] or "").lower() for m in _attribute.finditer(attributes) if name not in TEXT_TAGS or m[1].lower() != "id"]
     words = [w for v in values for w in _words.findall(v)]
     hidden = re.search(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", attributes, re.IGNORECASE) is not None
-    off = name in BOILERPLATE_TAGS or hidden or (name not in ("html", "body") and any(w in BOILERPLATE_WORDS for w in words))
-    return (f"{name}.{words[0]}" if words else name), off
+    named = name not in ("html", "body") and any(_is_boilerplate(c) for v in values for c in v.split())
+    return (f"{name}.{words[0]}" if words else name), "!" if firm or hidden else "~" if named or name == "form" else ""
 
 
 def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
     """``(kind, name, value)`` of a page: "open" and "close" of block elements, and "text" with its slot's name.
 
-    A slot's name is the path of elements around the text; "!" marks the
+    A slot's name is the path of elements around the text; "!" and "~" mark the
     elements that are boilerplate by themselves. Comments, declarations and the
     contents of raw elements are left out; references are not yet decoded.
     """
@@ -113,7 +130,7 @@ def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
             if stack[k][0] in BLOCKS and stack[k][0] != "p":
                 break
         if name in BLOCKS or off:
-            stack.append((name, label + "!" * off))
+            stack.append((name, label + off))
         if name in BLOCKS:
             yield "open", label, ""
 
@@ -233,12 +250,12 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _is_main(label: str) -> bool:
-    name, _, word = label.partition(".")
+    name, _, word = label.rstrip("!~").partition(".")
     return name in MAIN_TAGS or (name in ("div", "section", "td") and word in MAIN_WORDS)
 
 
 def _is_main_tag(label: str) -> bool:
-    return label.partition(".")[0] in MAIN_TAGS
+    return label.rstrip("!~").partition(".")[0] in MAIN_TAGS
 
 
 def _path(slot: str) -> list[str]:
@@ -247,12 +264,13 @@ def _path(slot: str) -> list[str]:
 
 def template_of(mass: dict[str, int]) -> str:
     """A name for the pages of a host that are built alike: where the main elements stand or, without one, which containers there are."""
-    paths = [_path(s) for s in mass if "!" not in s]
+    kinds = [[_path(s) for s in mass if "!" not in s and "~" not in s], [_path(s) for s in mass if "!" not in s]]
     for test in (_is_main_tag, _is_main):
-        found = {">".join(p[: k + 1]) for p in paths for k in [next((i for i, x in enumerate(p) if test(x)), -1)] if k >= 0}
-        if found:
-            return " ".join(sorted(found))
-    return " ".join(sorted({">".join(takewhile(lambda x: x.partition(".")[0] in CONTAINERS, p[:TEMPLATE_DEPTH])) for p in paths}))
+        for paths in kinds:
+            found = {">".join(p[: k + 1]) for p in paths for k in [next((i for i, x in enumerate(p) if test(x)), -1)] if k >= 0}
+            if found:
+                return " ".join(sorted(found))
+    return " ".join(sorted({">".join(takewhile(lambda x: x.rstrip("!~").partition(".")[0] in CONTAINERS, p[:TEMPLATE_DEPTH])) for p in kinds[1]}))
 
 
 def _shape_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,14 +300,38 @@ def _shape_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield rows()
 
 
-def article_slots(slots: dict[str, int]) -> list[str]:
+def _enclosing(slots: dict[str, int], host: dict[str, int]) -> set[str]:
+    """The paths of elements marked "~" that enclose the article: most of the host's text, or a main element with most of the template's."""
+    lifted = set()
+    for masses, inside in ((host, lambda rest: True), (slots, lambda rest: any(_is_main_tag(x) and "~" not in x for x in rest))):
+        total, under = 0, Counter()
+        for s, n in masses.items():
+            if "!" in s:
+                continue
+            total += n
+            path = _path(s)
+            for k, x in enumerate(path):
+                if x.endswith("~") and inside(path[k + 1 :]):
+                    under[">".join(path[: k + 1])] += n
+        lifted |= {p for p, n in under.items() if n >= MOST * total}
+    return lifted
+
+
+def article_slots(slots: dict[str, int], host: dict[str, int] | None = None) -> list[str]:
     """The slots of a template that hold the article: those in its main element, without what is boilerplate inside it.
 
     The main element is an article or main element, or one named like it; of
     several, those inside no other count. Without one it is found by going down
-    from the root as long as one child holds most of the text.
+    from the root as long as one child holds most of the text. ``host`` has the
+    slots of all templates of the host.
     """
-    open_ = {s: n for s, n in slots.items() if "!" not in s}
+    lifted = _enclosing(slots, slots if host is None else host)
+
+    def is_open(s: str) -> bool:
+        path = _path(s)
+        return "!" not in s and all(">".join(path[: k + 1]) in lifted for k, x in enumerate(path) if x.endswith("~"))
+
+    open_ = {s: n for s, n in slots.items() if is_open(s)}
     for test in (_is_main_tag, _is_main):
         inside = [s for s in open_ if any(test(x) for x in _path(s))]
         if inside:
@@ -314,9 +356,11 @@ def _keep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for host, slots in zip(batch.column("host").to_pylist(), batch.column("slots").to_pylist()):
             templates: dict[str, dict[str, int]] = {}
+            whole: Counter = Counter()
             for s in slots:
                 templates.setdefault(s["template"], {})[s["value"]] = s["n"]
-            rows += [(host, name, article_slots(mine)) for name, mine in templates.items()]
+                whole[s["value"]] += s["n"]
+            rows += [(host, name, article_slots(mine, whole)) for name, mine in templates.items()]
         host, template, keep = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(template, pa.string()), pa.array(keep, pa.list_(pa.string()))], ["host", "template", "keep"])
 

@@ -137,3 +137,19 @@ def test_another_wrapper_gives_another_text():
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, f"http://h.example/{i}", FRAME % "<article><p>The same</p></article>") for i in range(9)]
     assert {r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"The same"}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body><div class="layout has-sidebar"><article><p>a</p></article></div></body>', "a"),
+        ('<body><article class="post comments-open"><p>a</p></article></body>', "a"),
+        ('<body><form id="aspnetForm"><div class="menu"><p>m</p></div><div class="content"><p>a</p></div></form></body>', "a"),
+        ('<body><div class="sidebar layout"><nav>n</nav><main><p>a longer text</p></main></div><div class="post"><p>b</p></div></body>', "a longer text"),
+        ('<body><article><h2 id="related-work">R</h2><h3 id="search">S</h3><p id="warning-1">W</p><p class="copyright-law">C</p><div class="cookie-recipe">K</div><div class="cookie-notice">x</div><div class="site-footer">y</div><form><p>z</p></form></article></body>', "R\nS\nW\nC\nK"),
+        ('<body><section class="comments"><article><p>c</p></article></section><div class="text"><p>no comment but a text</p></div></body>', "no comment but a text"),
+    ],
+)
+def test_marks_that_are_no_boilerplate(spark, page, text):
+    pages = spark.createDataFrame([(1, "http://h.example/1", page), (2, "http://h.example/2", page)], "page_id long, url string, html string")
+    assert [r.text for r in w.extract(pages).collect()] == [text, text]
