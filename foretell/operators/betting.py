@@ -52,41 +52,56 @@ def simulate(joined: DataFrame, edge_threshold: float) -> DataFrame:
     return candidate_bets(joined).where(F.col("expected_value") > edge_threshold)
 
 
-def roi_summary(joined: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """Bets, win rate, return and profit at each threshold that any bet clears; one pass for all thresholds."""
+def threshold_bets(joined: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
+    """The bets with each threshold that they clear, in one pass for all thresholds."""
     cleared = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("expected_value") > t)
-    bets = candidate_bets(joined).withColumn("edge_threshold", F.explode(cleared))
-    return bets.groupBy("edge_threshold").agg(F.count("*").alias("bets"), F.avg(F.col("won").cast("double")).alias("win_rate"), F.avg("profit").alias("roi"), F.sum("profit").alias("profit_units"))
+    return candidate_bets(joined).withColumn("edge_threshold", F.explode(cleared))
+
+
+def roi_summary(joined: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
+    """Bets, win rate, return and profit at each threshold that any bet clears."""
+    return threshold_bets(joined, thresholds).groupBy("edge_threshold").agg(F.count("*").alias("bets"), F.avg(F.col("won").cast("double")).alias("win_rate"), F.avg("profit").alias("roi"), F.sum("profit").alias("profit_units"))
+
+
+def summarize(joined: DataFrame, thresholds=THRESHOLDS, draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """``roi_summary`` with the bootstrap interval of the return at each threshold, roi_ci_low and roi_ci_high."""
+    intervals = bootstrap_roi(threshold_bets(joined, thresholds), draws, seed, ["edge_threshold"])
+    rows = roi_summary(joined, thresholds).join(F.broadcast(intervals), "edge_threshold")  # a row for each threshold
+    return rows.select("edge_threshold", "bets", "win_rate", "roi", "roi_ci_low", "roi_ci_high", "profit_units")
 
 
 def by_season(bets: DataFrame) -> DataFrame:
     return bets.groupBy("Season").agg(F.count("*").alias("bets"), F.avg("profit").alias("roi"), F.sum("profit").alias("profit_units"))
 
 
-def bootstrap_roi(bets: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """``(roi_ci_low, roi_ci_high)``: the 2.5 and 97.5 percentiles of the mean profit of resampled bets; nulls without bets.
+def bootstrap_roi(bets: DataFrame, draws: int = 10_000, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """``(by, roi_ci_low, roi_ci_high)``: the 2.5 and 97.5 percentiles of the mean profit of resampled bets; nulls without bets.
 
     A resample of n bets is a multinomial count of the distinct profits, so
     only those (prices, in hundredths mostly) and their numbers go to the
     tasks, never the bets: each draw costs the number of distinct profits.
     """
-    support = bets.groupBy("profit").agg(F.count("*").alias("n"))
-    packed = support.agg(F.sort_array(F.collect_list(F.struct("profit", "n"))).alias("support"))
-    spread = bets.sparkSession.range(0, draws, 1, 8).crossJoin(F.broadcast(packed))  # one row
+    by = by or []
+    support = bets.groupBy(*by, "profit").agg(F.count("*").alias("n"))
+    packed = support.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("profit", "n"))).alias("support"))
+    spread = bets.sparkSession.range(0, draws, 1, 8).crossJoin(F.broadcast(packed))  # one row, or one for each group
 
     def resample(frames):
         for frame in frames:
-            if not len(frame) or not len(frame["support"].iloc[0]):
-                yield pd.DataFrame({"mean": pd.Series([], dtype="float64")})
-                continue
-            held = frame["support"].iloc[0]
-            profit = np.array([x["profit"] for x in held])
-            n = np.array([x["n"] for x in held], dtype=np.int64)
-            means = [np.random.default_rng([seed, int(k)]).multinomial(n.sum(), n / n.sum()) @ profit / n.sum() for k in frame["id"]]
-            yield pd.DataFrame({"mean": means})
-
-    means = spread.mapInPandas(resample, "mean double")
-    return means.agg(F.percentile("mean", F.lit(0.025)).alias("roi_ci_low"), F.percentile("mean", F.lit(0.975)).alias("roi_ci_high"))
+            groups = frame.groupby(by, sort=False, dropna=False) if by else [((), frame)]
+            for key, rows in groups:
+                if not len(rows) or not len(rows["support"].iloc[0]):
+                    yield pd.DataFrame({"mean": pd.Series([], dtype="float64")} | {c: frame[c].iloc[:0] for c in by})
+                    continue
+                held = rows["support"].iloc[0]
+                profit = np.array([x["profit"] for x in held])
+                n = np.array([x["n"] for x in held], dtype=np.int64)
+                means = [np.random.default_rng([seed, int(k)]).multinomial(n.sum(), n / n.sum()) @ profit / n.sum() for k in rows["id"]]
+                yield pd.DataFrame({"mean": means} | dict(zip(by, key)))
+
+    kinds = dict(bets.dtypes)
+    means = spread.mapInPandas(resample, ", ".join(["mean double", *[f"`{c}` {kinds[c]}" for c in by]]))
+    return means.groupBy(*by).agg(F.percentile("mean", F.lit(0.025)).alias("roi_ci_low"), F.percentile("mean", F.lit(0.975)).alias("roi_ci_high"))
 
 
 def random_bet_control(joined: DataFrame, seed: int = 0) -> DataFrame:

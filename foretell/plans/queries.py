@@ -16,12 +16,12 @@ from foretell.operators.ratings import count_ratings, elo
 from foretell.operators.standings import positions
 from foretell.operators.team import team_frame, team_history
 from foretell.operators.windows import league_level, match_windows
-from foretell.schema import CONTEXT, EWM, MOMENTA, RATES, RESULTS, SCOPES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
+from foretell.schema import CONTEXT, EWM, FEATURE_GROUPS, MOMENTA, RATES, RESULTS, SCOPES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
 from foretell.sources.derived import matches
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Features of the model queries: few, so that a run takes seconds; the operators take any.
-MODEL_FEATURES = ["League", "home_recent_form_5", "away_recent_form_5", "elo_diff", "position_diff", "expected_goal_diff"]
+#: Features of the model queries.
+MODEL_FEATURES = FEATURE_GROUPS["all_features"]
 FIRST_SEASON = "1996"
 _TEAM_KEYS = ["League", "MatchDate", "Team"]
 
@@ -183,6 +183,11 @@ def a10_roi(spark, sf):
     return rounded(betting.roi_summary(_priced(spark, sf)))
 
 
+def a10_roi_intervals(spark, sf):
+    """a10_roi with the bootstrap interval by threshold, which has no SQL twin."""
+    return betting.summarize(_priced(spark, sf))
+
+
 def a2_by_season(spark, sf):
     return rounded(betting.by_season(betting.simulate(_priced(spark, sf), 0.05)))
 
@@ -214,7 +219,7 @@ def m3_logistic(spark, sf):
 
 def m4_forest(spark, sf):
     train, _, test = models.time_split(_model_frame(spark, sf), 1996, 1997)
-    return models.fit_forest(train, MODEL_FEATURES, trees=30).predict(test).select("MatchKey", "p0", "p1", "p2")
+    return models.fit_forest(train, MODEL_FEATURES).predict(test).select("MatchKey", "p0", "p1", "p2")
 
 
 def m8_team_model(spark, sf):
@@ -228,7 +233,11 @@ def m10_explanation(spark, sf):
 
 
 def e1_walk_forward(spark, sf):
-    return experiments.walk_forward(_engineered(spark, sf), {"form": MODEL_FEATURES[:4], "strength": MODEL_FEATURES}, 2)[0]
+    return experiments.walk_forward(_engineered(spark, sf))[0]
+
+
+def a3_weighted_summary(spark, sf):
+    return metrics.weighted_summary(e1_walk_forward(spark, sf), "feature_group", ["log_loss", "brier_score", "accuracy"])
 
 
 def e2_individual_features(spark, sf):
@@ -240,7 +249,7 @@ def e3_screening(spark, sf):
 
 
 def e6_subset_search(spark, sf):
-    return experiments.rank_subsets(experiments.subset_search(_engineered(spark, sf), MODEL_FEATURES, n=2, least=2, most=3))
+    return experiments.rank_subsets(experiments.subset_search(_engineered(spark, sf), MODEL_FEATURES))
 
 
 def e7_report_metrics(spark, sf):
@@ -263,8 +272,8 @@ _here = dict(globals())
 QUERIES: dict[str, Query] = {
     name: _here[name]
     for name in """s8_matches p1_prepared p5_modeling_rows p6_time_split p17_match_ids u1_long_form u3_repeated_appearances a12_league_level w8_strengths
-    w13_opponent_elo w17_standings w18_elo c1_count_ratings features j1_team_frame a1_pooled a2_by_season a4_priors a5_calibration a6_metrics a7_gini
-    a7_binary_metrics a8_roc a9_outcomes a10_roi a11_bootstrap a13_missing_rates p9_confidence e1_walk_forward e2_individual_features e3_screening e6_subset_search
+    w13_opponent_elo w17_standings w18_elo c1_count_ratings features j1_team_frame a1_pooled a2_by_season a3_weighted_summary a4_priors a5_calibration a6_metrics a7_gini
+    a7_binary_metrics a8_roc a9_outcomes a10_roi a10_roi_intervals a11_bootstrap a13_missing_rates p9_confidence e1_walk_forward e2_individual_features e3_screening e6_subset_search
     e7_report_metrics e8_season_walk_forward e9_market e10_bets e11_random_control e12_edges e13_catalog m3_logistic m4_forest m8_team_model m10_explanation
     o4_best_edges p12_catalog_search""".split()
 }

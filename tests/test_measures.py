@@ -81,3 +81,38 @@ def test_untrusted_redirects_are_refused():
 def test_catalog_covers_every_feature(spark):
     table = catalog.feature_catalog(spark)
     assert table.count() == 182 and catalog.search(table, "ELO").count() >= 6
+
+
+def test_roi_intervals_by_threshold(spark):
+    rows = [(f"m{i}", "2020", "L", "HDA"[i % 3], 0.5, 0.3, 0.2, 2.2, 3.0, 4.0 + i % 2 * 2, 0.45, 0.3, 0.25) for i in range(40)]
+    joined = spark.createDataFrame(rows, "MatchId string, Season string, League string, result string, H double, D double, A double, price_H double, price_D double, price_A double, market_H double, market_D double, market_A double")
+    got = betting.summarize(joined, (0.05, 0.15, 0.5), draws=300).orderBy("edge_threshold").collect()
+    assert [(r.edge_threshold, r.bets) for r in got] == [(0.05, 60), (0.15, 20)]
+    for r in got:
+        alone = betting.bootstrap_roi(betting.simulate(joined, r.edge_threshold), draws=300).first()
+        assert (r.roi_ci_low, r.roi_ci_high) == pytest.approx(tuple(alone)) and r.roi_ci_low < r.roi < r.roi_ci_high
+
+
+def test_queries_do_the_operators_whole_job(monkeypatch):
+    from foretell.plans import queries
+
+    seen = {}
+
+    def record(name):
+        def call(*args, **kwargs):
+            seen[name] = args[1:], kwargs
+            raise InterruptedError
+
+        return call
+
+    monkeypatch.setattr(queries, "_engineered", lambda spark, sf: None)
+    monkeypatch.setattr(queries.models, "modeling_data", lambda frame, columns: (None, columns))
+    monkeypatch.setattr(queries.models, "time_split", lambda data, *years: (None, None, None))
+    for module, name in ((experiments, "walk_forward"), (experiments, "subset_search"), (experiments, "logistic_report"), (experiments, "screen"), (models, "fit_forest"), (models, "fit_logistic")):
+        monkeypatch.setattr(module, name, record(name))
+    for query in ("e1_walk_forward", "a3_weighted_summary", "e6_subset_search", "e7_report_metrics", "e3_screening", "m4_forest", "m3_logistic"):
+        with pytest.raises(InterruptedError):
+            queries.QUERIES[query](None, "")
+    assert seen.pop("walk_forward") == ((), {})
+    assert set(seen) == {"subset_search", "logistic_report", "screen", "fit_forest", "fit_logistic"}
+    assert all(call == ((FEATURE_GROUPS["all_features"],), {}) for call in seen.values())
