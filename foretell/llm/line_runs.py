@@ -19,7 +19,7 @@ from foretell.llm.common import WORD, checkpointed
 
 #: A repeated run of at least this many lines (a power of two) is deleted, whatever its words,
 MIN_LINES = 2
-#: and so is a single repeated line of at least this many words.
+#: and so is a single repeated line of at least this many words; shorter ones ("Yes.", "Chapter 1", "}") recur in clean texts.
 MIN_WORDS = 8
 
 _AT = ["doc_id", "h", "pos"]
@@ -30,7 +30,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("x"))), lambda r: r["x"].rlike(WORD))
     rows = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(worded).alias("pos", "r"))
-    return rows.select("doc_id", "h", "pos", F.col("r.line").alias("line"), F.unhex(F.md5("r.x")).alias("name"), F.least(F.regexp_count("r.x", F.lit(WORD)), F.lit(MIN_WORDS * 64)).alias("words"))
+    return rows.select("doc_id", "h", "pos", F.col("r.line").alias("line"), F.unhex(F.md5("r.x")).alias("name"), F.regexp_count("r.x", F.lit(WORD)).alias("words"))
 
 
 def _repeated(suffixes: DataFrame) -> DataFrame:

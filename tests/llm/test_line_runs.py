@@ -44,3 +44,10 @@ def test_long_runs_are_reported_whole(spark):
     runs = line_runs.repeated_runs(docs)
     assert sorted(r.line for r in runs.collect()) == list(range(1, 38))
     assert {r.run_lines for r in runs.collect()} == {32}
+
+
+def test_a_word_limit_above_512_still_deletes_single_lines(spark):
+    line = " ".join(f"w{i}" for i in range(700))
+    docs = spark.createDataFrame([(1, f"a\n{line}"), (2, f"b\n{line}\nc")], "doc_id long, text string")
+    cut = {n: {r.doc_id: r.n_deleted for r in line_runs.dedup_lines(docs, min_words=n).collect()} for n in (600, 700, 701)}
+    assert cut == {600: {1: 0, 2: 1}, 700: {1: 0, 2: 1}, 701: {1: 0, 2: 0}}
