@@ -101,12 +101,14 @@ worded AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos,
     len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS words
   FROM lines WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
-pairs AS (SELECT *, lead(x) OVER (PARTITION BY doc_id ORDER BY pos) AS y FROM worded),
+triples AS (SELECT *, lead(x) OVER w AS y, lead(x, 2) OVER w AS z FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 marks AS (
   SELECT *, words >= {line_runs.MIN_WORDS} AND row_number() OVER (PARTITION BY x ORDER BY doc_id, pos) > 1 AS one,
-    y IS NOT NULL AND row_number() OVER (PARTITION BY x, y ORDER BY doc_id, pos) > 1 AS two
-  FROM pairs),
-cut AS (SELECT *, one OR two OR coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM marks),
+    z IS NOT NULL AND row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, pos) > 1 AS three
+  FROM triples),
+cut AS (
+  SELECT *, one OR three OR coalesce(lag(three) OVER w, false) OR coalesce(lag(three, 2) OVER w, false) AS gone
+  FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 left_lines AS (
   SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted,
     coalesce(string_agg(l.x, chr(10) ORDER BY l.line) FILTER (WHERE gone IS NOT TRUE), '') AS kept
