@@ -40,6 +40,25 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoints-")
 
 
+#: Keys that hold one part in this many of all rows are joined by broadcast, so at most so many keys are.
+HOT_PARTS = 1000
+
+
+def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each of ``keys`` and ``n``, how many of ``rows`` have it.
+
+    ``total`` is a bound on the number of rows. Heavy keys are few, HOT_PARTS
+    at most if they hold that part of all rows each; they are broadcast, so
+    their rows stay where they are. All others are joined by shuffle.
+    """
+    heavy = F.col("n") * HOT_PARTS >= total
+    values = [c for c in table.columns if c not in (*keys, "n")]
+    hot = table.where(heavy).select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    cold = marked.where("__hot IS NULL").select(*rows.columns).join(table.where(~heavy).drop("n"), keys)
+    return marked.where("__hot").select(*rows.columns, *[F.col(f"__hot_{c}").alias(c) for c in values]).unionByName(cold)
+
+
 def word_array(text: Column) -> Column:
     """The words of a text, repeats included; null gives no words."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import checkpointed
+from foretell.llm.common import checkpointed, join_unique
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Hang every larger neighbour of a node on the least node that the node sees."""
     around = _both_ways(edges)
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return around.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_unique(around, least, ["u"], 2 * n).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Hang a node and its smaller neighbours on the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hung = join_unique(down, least, ["u"], 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges (u, v)``; root is the component's least node.
 
     Alternating large-star and small-star rounds: each round is two grouped
-    minima joined back, so a hub's neighbours never meet in one task. Rounds
+    minima, added up before they are shuffled, and joined back; the minima of
+    hubs are broadcast, so that a hub's neighbours stay where they are. Rounds
     end when the edge set is a star forest; the driver sees two numbers a round.
     Self loops, repeated and reversed edges are allowed; nulls are not nodes.
     """
@@ -39,7 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = checkpointed(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(current)
     while state[0]:
-        current = checkpointed(_small_star(_large_star(current)))
+        starred = checkpointed(_large_star(current, state[0]))
+        current = checkpointed(_small_star(starred, 2 * state[0]))
         before, state = state, _state(current)
         if state == before:
             break

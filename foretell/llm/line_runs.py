@@ -22,15 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretell.llm.common import WORD, checkpointed
+from foretell.llm.common import WORD, checkpointed, join_unique
 from foretell.llm.order import numbered
 
 #: A repeated run of at least this many lines is deleted, whatever its words,
 MIN_LINES = 3
 #: and so is a single repeated line of at least this many words; shorter ones ("Yes.", "Chapter 1", "}") recur in clean texts.
 MIN_WORDS = 8
-#: Line IDs that make up one part in this many of all lines are looked up in a broadcast, of so many IDs at most.
-HOT_PARTS = 1000
 _ENDLESS = 1 << 40
 
 
@@ -48,17 +46,12 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
     """Suffixes whose first line occurs at two places or more.
 
     Repeated rows of one document are one document, so places are told apart
-    by their hash. Very common lines are looked up in a broadcast of at most
-    HOT_PARTS of them, so that no task gets all rows of one.
+    by their hash. No task gets all rows of a very common line.
     """
     place = F.xxhash64("named", "doc_id", "h", "pos")
     groups = suffixes.groupBy("id_a", "id_b").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("b")).where("a != b")
     groups = checkpointed(groups.select("id_a", "id_b", "n"))
-    total = suffixes.count()
-    hot = groups.where(F.col("n") * HOT_PARTS >= total).select("id_a", "id_b", F.lit(True).alias("hot"))
-    marked = suffixes.join(F.broadcast(hot), ["id_a", "id_b"], "left")
-    cold = marked.where("hot IS NULL").join(groups.where(F.col("n") * HOT_PARTS < total), ["id_a", "id_b"], "left_semi")
-    return marked.where("hot").unionByName(cold).drop("hot")
+    return join_unique(suffixes, groups, ["id_a", "id_b"], suffixes.count())
 
 
 def _scan(places: list[int], steps: list[int], stairs: list[tuple[int, int]]) -> list[int]:

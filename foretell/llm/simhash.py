@@ -1,10 +1,13 @@
 """Near-duplicate documents by SimHash fingerprints and tiled exact comparison.
 
 Fingerprints within a small Hamming radius are linked. Distinct fingerprints
-are grouped by equal bit blocks (two fingerprints that differ in at most r bits
-agree in at least two of r + 2 blocks, so no link is lost); inside a group,
-tiles of fingerprints of one population count are compared exactly, and tile
-pairs whose counts differ by more than the radius are never formed.
+are grouped by equal keys. Every group is sorted by population count and cut
+into tiles; pairs of tiles are compared exactly by exclusive-or and bit counts,
+and pairs whose population counts differ by more than the radius are never
+formed. Keys are two of r + 2 blocks of bits (two fingerprints that differ in
+at most r bits agree in at least two, so no link is lost). Near copies lie many
+bits apart, where blocks of bits say nothing: there keys are bands of least
+shingle hashes, and links are verified by the overlap of word shingles.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import checkpointed
+from foretell.llm.common import checkpointed, slices
 from foretell.llm.components import connected_components
 
 BITS = 64
@@ -28,39 +31,92 @@ RADIUS = 2
 #: Fingerprints in a tile; a tile pair is one task's unit of work.
 TILE = 2048
 _CHUNK = 1 << 16
+#: Near copies: shingles of so many words, at least this share of them in common, fingerprints at most so many bits apart.
+WIDE_WORDS, SIMILARITY, WIDE_RADIUS = 5, 0.8, 12
+#: Bands and least hashes in a band: at a similarity of 0.8 a pair meets in one with probability 0.997.
+BANDS, BAND_ROWS = 8, 3
+#: Shingle hashes that are kept of a text to verify a link.
+SKETCH = 256
 
 
-def fingerprint(text: str | None) -> int:
-    """Signed 64-bit SimHash of a text's word shingles, repeats counted.
-
-    A-Z are lower-cased; shingles of three words, or all words if fewer; a bit
-    is set when over half of the shingles' XXH64 hashes (seed 42) have it.
-    No words (null, empty, white space only): zero.
-    """
+def _shingle_hashes(text: str | None) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only ASCII case and ASCII white space count
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= SHINGLE_WORDS:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        k = SHINGLE_WORDS - 1
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:-k].tolist(), ends[k:].tolist())]
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = SHINGLE_WORDS - 1
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:-k].tolist(), ends[k:].tolist())), np.uint64, len(words) - k)
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _CHUNK):
-        part = np.array(hashes[i : i + _CHUNK], np.uint64)
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """Signed 64-bit SimHash of a text's word shingles, repeats counted.
+
+    A-Z are lower-cased; shingles of three words, or all words if fewer; a bit
+    is set when over half of the shingles' XXH64 hashes (seed 42) have it.
+    No words (null, empty, white space only): zero.
+    """
+    return _fingerprint(_shingle_hashes(text))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def wide_shingles(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct shingles of WIDE_WORDS words: two of three words each, two places apart, make one of five."""
+    if len(hashes) <= WIDE_WORDS - SHINGLE_WORDS:
+        hashes = hashes[:1] if len(hashes) < 2 else _mixed(np.add.reduce(hashes, keepdims=True))  # fewer words: all of them
+        return _mixed(hashes)
+    return np.unique(_mixed(_mixed(hashes[: SHINGLE_WORDS - WIDE_WORDS]) + hashes[WIDE_WORDS - SHINGLE_WORDS :]))
+
+
+def _band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band: what BAND_ROWS seeded orders of the shingles have for their least."""
+    if not len(shingles):
+        return np.array([], np.int64)
+    turns = _mixed(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(len(turns), np.iinfo(np.uint64).max)
+    for i in range(0, len(shingles), 1 << 13):
+        part = shingles[None, i : i + (1 << 13)] * turns[:, None]
+        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=1))
+    keys = least.reshape(BANDS, BAND_ROWS)
+    key = keys[:, 0]
+    for k in range(1, BAND_ROWS):
+        key = _mixed(key) + keys[:, k]
+    return _mixed(key).view(np.int64)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The SKETCH least of the shingles' hashes: all of them for most texts, an even sample over the whole text for long ones."""
+    return np.sort(shingles)[:SKETCH]
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common shingles among all of two sketches; exact where both hold all shingles, else read from the least SKETCH of the union."""
+    union = np.union1d(a, b)
+    if max(len(a), len(b)) >= SKETCH:
+        union = union[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / max(len(union), 1)
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = pa.array([fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), prints], ["doc_id", "fp"])
+        for part in slices(batch, "text"):
+            prints = pa.array([fingerprint(t) for t in part.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), prints], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -125,34 +181,74 @@ def _block_keys(radius: int) -> list[int]:
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links ``(u, v)`` that connect every two fingerprints within ``radius`` bits.
+    """Links ``(u, v)`` that connect every two fingerprints within ``radius`` bits; ``distinct`` has one row for each ``fp``."""
+    masks = _block_keys(radius)
+    keyed = distinct.select("fp", F.posexplode(F.array([F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "key"))
+    return tiled_links(keyed, radius, tile)
 
-    ``distinct`` has one row for each distinct ``fp``. A group of equal blocks
-    with at most ``tile`` members is one tile. A larger one is dealt into tiles
-    by population count and hash, and only tile pairs whose counts differ by at
-    most the radius are compared. Each comparison returns a star for each local
+
+def tiled_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Links ``(u, v)`` that connect every two fingerprints within ``radius`` bits that share a ``(band, key)``.
+
+    ``keyed`` has a row for each ``(fp, band, key)``. A group's population
+    counts, 65 at most, are laid out in order; tiles take ``tile`` members or
+    more in that order, and a count with more members than that is dealt into
+    tiles by hash. Pairs of tiles are joined by the population counts that one
+    reaches and the other has. Each pair returns a star for each local
     component, fewer rows than it has members, never all pairs.
     """
-    masks = _block_keys(radius)
-    keyed = distinct.select("fp", F.posexplode(F.array([F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").count()
-    hot = checkpointed(sizes.where(F.col("count") > tile).select("band", "key"))
-    links = _link_batches(radius)
-    small = keyed.join(hot, ["band", "key"], "left_anti").groupBy("band", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    found = small.select("fps").mapInArrow(links, "u long, v long")
-    if hot.isEmpty():
-        return found.distinct()
-
-    members = keyed.join(hot, ["band", "key"]).withColumn("pop", F.bit_count("fp"))
-    counts = members.groupBy("band", "key", "pop").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    members = members.join(counts, ["band", "key", "pop"]).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
-    tiles = counts.select("band", "key", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    one, two = tiles.select("band", "key", F.struct("pop", "part").alias("a")), tiles.select("band", "key", F.struct("pop", "part").alias("b"))
-    pairs = one.join(two, ["band", "key"]).where(f"a <= b AND b.pop - a.pop <= {radius}")
-    sides = pairs.select("band", "key", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("t"))
-    sides = sides.select("band", "key", "a", "b", F.col("t.pop").alias("pop"), F.col("t.part").alias("part"))
-    dense = sides.join(members.select("band", "key", "pop", "part", "fp"), ["band", "key", "pop", "part"]).groupBy("band", "key", "a", "b").agg(F.collect_list("fp").alias("fps"))
-    return found.union(dense.select("fps").mapInArrow(links, "u long, v long")).distinct()
+    group, size = ["band", "key"], F.lit(tile)
+    keyed = keyed.withColumn("pop", F.bit_count("fp").cast("int"))
+    counts = keyed.groupBy(*group, "pop").agg(F.count("*").alias("n"))
+    groups = counts.groupBy(*group).agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("pop", "n"))).alias("pops")).where("size > 1")
+    before = F.transform("pops", lambda p, i: F.struct(p["pop"].alias("pop"), p["n"].alias("n"), F.aggregate(F.slice("pops", 1, i), F.lit(0).cast("long"), lambda acc, q: acc + q["n"]).alias("before")))
+    number = F.floor(F.col("p.before") / size) * 128 + F.when(F.col("p.n") > size, F.col("p.pop") + 1).otherwise(0)
+    placed = groups.select(*group, F.explode(before).alias("p")).select(*group, F.col("p.pop").alias("pop"), number.alias("tile"), F.ceil(F.col("p.n") / size).alias("parts"))
+    placed = checkpointed(placed)
+    tiles = placed.groupBy(*group, "tile").agg(F.min("pop").alias("low"), F.max("pop").alias("high"), F.max("parts").alias("parts"))
+    tiles = tiles.select(*group, "low", "high", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    tiles = tiles.select(*group, "low", "high", F.struct("tile", "part").alias("t"))
+    one = tiles.select(*group, F.col("t").alias("a"), F.explode(F.sequence("low", F.col("high") + radius)).alias("pop"))
+    two = tiles.select(*group, F.col("t").alias("b"), F.explode(F.sequence("low", "high")).alias("pop"))
+    pairs = one.join(two, [*group, "pop"]).where("a <= b").select(*group, "a", "b").distinct()
+    sides = pairs.select(*group, "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("t")).select(*group, "a", "b", "t.tile", "t.part")
+    members = keyed.join(placed, [*group, "pop"]).select(*group, "tile", F.pmod(F.xxhash64("fp"), "parts").alias("part"), "fp")
+    dense = sides.join(members, [*group, "tile", "part"]).groupBy(*group, "a", "b").agg(F.collect_list("fp").alias("fps"))
+    return dense.select("fps").mapInArrow(_link_batches(radius), "u long, v long").distinct()
+
+
+def _near_copy_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            prints, bands, sketches = [], [], []
+            for text in part.column("text").to_pylist():
+                hashes = _shingle_hashes(text)
+                wide = wide_shingles(hashes)
+                prints.append(_fingerprint(hashes))
+                bands.append(_band_keys(wide))
+                sketches.append(sketch(wide).view(np.int64))
+            longs = pa.list_(pa.int64())
+            columns = [part.column("named"), part.column("doc_id"), part.column("h"), pa.array(prints, pa.int64()), pa.array(bands, longs), pa.array(sketches, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["named", "doc_id", "h", "fp", "bands", "sketch"])
+
+
+def _verified_batches(similarity: float):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(c) for c in ("a", "b")]
+            keep = [overlap(a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64)) >= similarity for a, b in zip(*sides)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return verify
+
+
+def near_copy_links(prints: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """Links ``(u, v)`` of fingerprints at most ``radius`` bits apart whose texts share ``similarity`` of their shingles; ``prints (fp, bands, sketch)`` has one row for each fp."""
+    keyed = prints.select("fp", F.posexplode("bands").alias("band", "key"))
+    found = checkpointed(tiled_links(keyed, radius, tile))
+    ends = [prints.select(F.col("fp").alias(end), F.col("sketch").alias(name)) for end, name in (("u", "a"), ("v", "b"))]
+    both = found.join(ends[0], "u").join(ends[1], "v").select("u", "v", "a", "b")
+    return both.mapInArrow(_verified_batches(similarity), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -175,17 +271,32 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     return prints.join(components, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: one document of each group stays.
+def keep_representatives(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs (doc_id, text, ...)`` that stand for their group: one row of each group of near copies stays.
 
-    The row whose doc_id is the component's least stays, with all columns of
-    ``docs``. Of repeated rows of that doc_id the one with the least text stays.
-    Rows with a null doc_id can't be named and all stay.
+    Groups are what is connected by fingerprints at most ``radius`` bits apart
+    or by near copies that share ``similarity`` of their five-word shingles. Of
+    a group the row of the least doc_id stays (null ids last, of one id the
+    least hash of the text), with all its columns. Rows are told apart by id
+    and text: a row with another text under a repeated id is judged by its own
+    text, and of rows repeated in both any one may stay. Null and wordless
+    texts are one group.
     """
-    chosen = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
-    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    key = [F.col("doc_id").isNull().cast("int").alias("named"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
+    longs = "array<long>"
+    prints = checkpointed(docs.select(*key, F.col("text").cast("string").alias("text")).mapInArrow(_near_copy_batches, f"named int, doc_id long, h long, fp long, bands {longs}, sketch {longs}"))
+    # One text's bands and sketch for each fingerprint; copies have the same.
+    place = F.struct("named", "doc_id", "h")
+    firsts = checkpointed(prints.groupBy("fp").agg(F.min(place).alias("first")))
+    chosen = firsts.select("fp", F.col("first.named").alias("named"), F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
+    distinct = checkpointed(prints.join(chosen, ["named", "doc_id", "h", "fp"]).dropDuplicates(["fp"]).select("fp", "bands", "sketch"))
+    links = near_links(distinct.select("fp"), radius).union(near_copy_links(distinct, similarity))
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    groups = firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay = groups.select(F.col("first.named").alias("__named"), F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
+    mine = [docs["doc_id"].isNull().cast("int"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), F.xxhash64(F.coalesce(docs["text"], F.lit("")))]
+    kept = docs.join(stay, (mine[0] == stay["__named"]) & (mine[1] == stay["__id"]) & (mine[2] == stay["__h"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def fingerprint_hex(fp: str) -> Column:

@@ -63,7 +63,7 @@ def test_dense_groups_are_tiled_without_losing_links(spark):
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     distinct = spark.createDataFrame([(p,) for p in signed], "fp long")
-    for tile in (8, 2048):
+    for tile in (3, 8, 2048):
         roots = {unsigned(r.node): r.root for r in connected_components(simhash.near_links(distinct, 2, tile)).collect()}
         names = brute_components(list(range(len(prints))), prints)
         for i in range(len(prints)):
@@ -80,7 +80,7 @@ def test_odd_rows(spark):
     assert got == sorted([(1, 1), (2, 1), (None, 7), (7, 7), (7, 7), (9, 9), (None, None)], key=str)
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 7, 9, None, None], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 7, 9, None], key=str)
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
@@ -88,3 +88,49 @@ def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(5, 5), (None, 1)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in [100, *range(200, 250)]}
+
+
+def test_rows_are_chosen_and_not_ids(spark):
+    docs = spark.createDataFrame([(3, "one text of some words", "a"), (7, "one text of some words", "b"), (7, "quite another thing to say here", "c"), (7, "quite another thing to say here", "d"), (None, "one text of some words", "e")], "doc_id long, text string, fp string")
+    kept = simhash.keep_representatives(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, "one text of some words"), (7, "quite another thing to say here")]
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_are_found_and_others_stay(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    docs, n = [], 0
+    for base in range(60):
+        body = [rng.choice(words) for _ in range(rng.choice([30, 200, 900]))]
+        docs.append((n, " ".join(body)))
+        for copy in range(rng.randrange(4)):
+            changed = list(body)
+            for _ in range(rng.randrange(1, max(2, len(body) // 12))):
+                changed[rng.randrange(len(body))] = rng.choice(words)
+            n += 1
+            docs.append((n, " ".join(changed)))
+        n += 1
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_representatives(table).collect()}
+    sets = {d: shingles(t) for d, t in docs}
+    near = lambda a, b, least: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
+    planted = {d for d in sets if any(e < d and near(d, e, 0.8) for e in sets)}
+    lone = {d for d in sets if not any(e != d and near(d, e, 0.75) for e in sets)}
+    assert len(planted) > 20 and len(planted & kept) <= 0.1 * len(planted)
+    assert lone <= kept
+
+
+def test_overlap_is_exact_for_short_texts_and_close_for_long_ones():
+    rng = random.Random(2)
+    for n, slack in ((120, 1e-12), (4000, 0.1)):
+        a = [f"w{rng.randrange(500)}" for _ in range(n)]
+        b = [x if rng.random() > 0.02 else "new" for x in a]
+        x, y = (" ".join(w) for w in (a, b))
+        true = len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+        sketches = [simhash.sketch(simhash.wide_shingles(simhash._shingle_hashes(t))) for t in (x, y)]
+        assert abs(simhash.overlap(*sketches) - true) <= slack
