@@ -67,7 +67,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = robust_rules.judge_without_text(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    judged = robust_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), with_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

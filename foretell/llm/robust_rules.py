@@ -1,12 +1,14 @@
 """Quality rules: fixed limits, then robust multivariate outliers by language and source.
 
 Each text gets a vector of transformed statistics. For every language and
-source, minimum-covariance-determinant estimates (concentration steps on the
-three quarters of texts that lie closest) give a centre and a scatter that
-junk can't pull towards itself; texts at a large Mahalanobis distance from
-their cell are rejected. All of it is DataFrame and SQL expressions: steps are
-grouped sums, and quantiles are read from histograms of bounded size, so a cell
-that holds a third of all rows is pre-aggregated like any other.
+source, minimum-covariance-determinant estimates give a centre and a scatter
+that junk can't pull towards itself: from three fixed starts, concentration
+steps on the three quarters of texts that lie closest; the start of the least
+determinant goes on until it settles. Small cells lean on their language. Texts
+at a large Mahalanobis distance from their cell are rejected. All of it is
+DataFrame and SQL expressions: steps are grouped sums, and quantiles are read
+from histograms of bounded size, so a cell that holds a third of all rows is
+pre-aggregated like any other.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretell.llm.common import SPACE, WORD, checkpointed, word_array
+from foretell.llm.common import SPACE, WORD, checkpointed, join_unique, word_array
 
 #: Fixed limits: too few words, or too large a share (%) of words in repeated triples.
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 50
@@ -26,9 +28,11 @@ COORDINATES = {"size": 0.5, "word_length": 0.4, "symbols": 0.3, "repeats": 0.1,
 SHARE, CONSISTENCY = 0.75, 1.41
 #: chi2(5) is beyond this once in a million.
 CUTOFF = 35.9
-STEPS = 4
-#: Sources with fewer texts in a language are estimated together.
-MIN_CELL = 50
+#: Concentration steps before the start of the least determinant is chosen, and after that at most; steps end when no
+#: log determinant moves by more than the tolerance.
+FIRST_STEPS, STEPS, TOLERANCE = 2, 12, 1e-3
+#: A cell's estimates are averaged with its language's, and a language's with all texts', which count like so many texts.
+PRIOR = 20
 _BINS_PER_UNIT = 32
 _D = list(COORDINATES)
 
@@ -88,86 +92,104 @@ def _quantile_bins(histogram: DataFrame, keys: list[str], share: float) -> DataF
     return upto.where(F.col("upto") >= share * F.col("total")).groupBy(*keys).agg(F.min("bin").alias("bin"))
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Centre and a diagonal scatter for each cell from the coordinates' quartiles, read from histograms."""
+_PAIRS = [(i, j) for i in range(len(_D)) for j in range(i + 1)]
+_MOMENTS = [f"m{i}" for i in range(len(_D))] + [f"v{i}{j}" for i, j in _PAIRS]
+_STARTS = 3
+
+
+def _moments(factor: float) -> list[Column]:
+    """Centre and scatter from ``n``, sums ``s{i}`` and sums of products ``s{i}{j}``, with the squared floors on the diagonal."""
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(len(_D))]
+    return [m.alias(f"m{i}") for i, m in enumerate(mean)] + [(factor * (F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]) + (COORDINATES[_D[i]] ** 2 if i == j else 0.0)).alias(f"v{i}{j}") for i, j in _PAIRS]
+
+
+def _sums() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(_D)], *[F.sum(F.col(_D[i]) * F.col(_D[j])).alias(f"s{i}{j}") for i, j in _PAIRS]]
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """``(cell, start, n, centre, scatter)``: quartiles by coordinate, medians with the floors alone, and all vectors' moments."""
     bins = F.array(*[F.floor(F.least(F.col(c), F.lit(64.0)) * _BINS_PER_UNIT) for c in _D])
-    histogram = vectors.select("cell", F.posexplode(bins).alias("j", "bin")).groupBy("cell", "j", "bin").agg(F.count("*").alias("n"))
+    # Written before the windows, so that rows are summed by cell and bin before those of one cell meet.
+    histogram = checkpointed(vectors.select("cell", F.posexplode(bins).alias("j", "bin")).groupBy("cell", "j", "bin").agg(F.count("*").alias("n")))
     low, mid, high = (_quantile_bins(histogram, ["cell", "j"], q).withColumnRenamed("bin", name) for q, name in ((0.25, "low"), (0.5, "mid"), (0.75, "high")))
     spread = low.join(mid, ["cell", "j"]).join(high, ["cell", "j"])
     pick = lambda j, x: F.max(F.when(F.col("j") == j, x))
     centre = [pick(j, (F.col("mid") + 0.5) / _BINS_PER_UNIT).alias(f"m{j}") for j in range(len(_D))]
     scale = [pick(j, F.pow((F.col("high") - F.col("low")) / _BINS_PER_UNIT / 1.349, 2) + COORDINATES[c] ** 2).alias(f"v{j}{j}") for j, c in enumerate(_D)]
-    flat = [F.lit(0.0).alias(f"v{i}{j}") for i in range(len(_D)) for j in range(i)]
-    return spread.groupBy("cell").agg(*centre, *scale).select("*", *flat)
+    flat = {f"v{i}{j}": F.lit(0.0) for i, j in _PAIRS if i != j}
+    sums = vectors.groupBy("cell").agg(*_sums())
+    quartiles = spread.groupBy("cell").agg(*centre, *scale).withColumns(flat).join(sums.select("cell", "n"), "cell").select("cell", F.lit(0).alias("start"), "n", *_MOMENTS)
+    floors = quartiles.withColumns({f"v{j}{j}": F.lit(COORDINATES[c] ** 2) for j, c in enumerate(_D)}).withColumn("start", F.lit(1))
+    whole = sums.select("cell", F.lit(2).alias("start"), "n", *_moments(1.0))
+    return checkpointed(quartiles.unionByName(floors).unionByName(whole))
 
 
 def _factored(cells: DataFrame) -> DataFrame:
-    """The scatter's Cholesky factor ``l{i}{j}``, from the sums of squares of the floors up never singular."""
-    for i in range(len(_D)):
-        for j in range(i + 1):
-            rest = F.col(f"v{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            cells = cells.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return cells.select("cell", *[f"m{i}" for i in range(len(_D))], *[f"l{i}{j}" for i in range(len(_D)) for j in range(i + 1)])
-
-
-def _with_distance(vectors: DataFrame, cells: DataFrame) -> DataFrame:
-    """``d2``, the squared Mahalanobis distance of each vector from its cell, by forward substitution."""
-    joined = vectors.join(_factored(cells), "cell")
-    for i, c in enumerate(_D):
-        rest = F.col(c) - F.col(f"m{i}")
+    """``cells`` with the factor ``l{i}{j}`` and ``logdet``, the log determinant."""
+    for i, j in _PAIRS:
+        rest = F.col(f"v{i}{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        cells = cells.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+    return cells.withColumn("logdet", sum((2 * F.log(f"l{i}{i}") for i in range(1, len(_D))), 2 * F.log("l00")))
+
+
+def _with_distance(rows: DataFrame, vector: list[Column]) -> DataFrame:
+    """``rows``, which have a cell's ``m{i}`` and ``l{i}{j}``, with ``d2``: the squared Mahalanobis distance of ``vector``, by forward substitution."""
+    columns = rows.columns
+    for i, c in enumerate(vector):
+        rest = c - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        joined = joined.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(_D))), F.col("y0") * F.col("y0"))
-    return joined.select(*vectors.columns, d2.alias("d2"))
+        rows = rows.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
+    return rows.select(*columns, sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(_D))), F.col("y0") * F.col("y0")).alias("d2"))
 
 
-def _concentrate(vectors: DataFrame, cells: DataFrame) -> DataFrame:
-    """One concentration step: mean and scatter of the SHARE of each cell's vectors that lie closest.
+def _concentrate(vectors: DataFrame, cells: DataFrame, total: int) -> DataFrame:
+    """One concentration step for ``cells (cell, start, n, ...)``: mean and scatter of the SHARE of each cell's vectors that lie closest.
 
-    Sums are taken by cell and bin of distance first, on the map side, so that
-    only bins meet in a cell's task, never its rows.
+    Sums by cell and bin of distance are written out first, so that only bins
+    meet in a cell's task, never its rows, however many tasks there are.
     """
+    begun = vectors.withColumn("start", F.explode(F.array(*[F.lit(s) for s in range(_STARTS)]))) if "start" not in vectors.columns else vectors
+    joined = join_unique(begun, _factored(cells).drop("logdet", *_MOMENTS[len(_D) :]), ["cell", "start"], total)
     near = F.floor(F.log2(F.col("d2") + 1e-9) * _BINS_PER_UNIT).alias("bin")
-    placed = _with_distance(vectors, cells).select("cell", *_D, near)
-    pairs = [(i, j) for i in range(len(_D)) for j in range(i + 1)]
-    names = ["n", *[f"s{i}" for i in range(len(_D))], *[f"s{i}{j}" for i, j in pairs]]
-    binned = placed.groupBy("cell", "bin").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(_D)], *[F.sum(F.col(_D[i]) * F.col(_D[j])).alias(f"s{i}{j}") for i, j in pairs])
-    order = Window.partitionBy("cell").orderBy("bin")
-    before = F.sum("n").over(order) - F.col("n")
-    closest = binned.withColumns({"__before": before, "__total": F.sum("n").over(Window.partitionBy("cell"))}).where(F.col("__before") < SHARE * F.col("__total"))
-    sums = closest.groupBy("cell").agg(*[F.sum(c).alias(c) for c in names])
-    mean = {i: F.col(f"s{i}") / F.col("n") for i in range(len(_D))}
-    scatter = [(CONSISTENCY * (F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]) + (COORDINATES[_D[i]] ** 2 if i == j else 0.0)).alias(f"v{i}{j}") for i, j in pairs]
-    return sums.select("cell", *[mean[i].alias(f"m{i}") for i in mean], *scatter)
-
-
-def judge(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and the statistics, ``base_failed``, ``distance`` and ``kept``.
+    placed = _with_distance(joined, [F.col(c) for c in _D]).select("cell", "start", *_D, near)
+    binned = checkpointed(placed.groupBy("cell", "start", "bin").agg(*_sums()))
+    key = ["cell", "start"]
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("bin")) - F.col("n")
+    whole = F.sum("n").over(Window.partitionBy(*key))
+    closest = binned.withColumns({"before": before, "whole": whole}).where(F.col("before") < SHARE * F.col("whole"))
+    names = ["n", *[f"s{i}" for i in range(len(_D))], *[f"s{i}{j}" for i, j in _PAIRS]]
+    sums = closest.groupBy(*key).agg(F.max("whole").alias("all"), *[F.sum(c).alias(c) for c in names])
+    return checkpointed(sums.select(*key, F.col("all").alias("n"), *_moments(CONSISTENCY)))
+
+
+def judge(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (without ``with_text``, all but text) and the statistics, ``base_failed``, ``kept`` and ``distance``.
 
     base_failed: under MIN_WORDS words, or over MAX_REPEAT_SHARE % of them in
     repeated triples. kept is false where base_failed, else true where the
     vector's Mahalanobis distance from its cell is within the square root of
-    CUTOFF. Cells are language and source (nulls are values of their own);
-    sources with under MIN_CELL texts in a language share a cell. Estimates
-    rest on the texts that pass the fixed limits; distance is null for the rest.
-    Null, empty and wordless texts fail the fixed limits. Repeated rows are
-    rows like any other. A column of ``docs`` that has the name of a new one
-    gives way to it.
+    CUTOFF. Cells are language and source (nulls are values of their own), and
+    every one has estimates: with n texts they are averaged, n to PRIOR, with
+    its language's, which are averaged in the same way with those of all texts.
+    Estimates rest on the texts that pass the fixed limits; distance is null
+    for the rest. Null, empty and wordless texts fail the fixed limits. Repeated
+    rows are rows like any other. A column of ``docs`` that has the name of a
+    new one gives way to it. The statistics are taken once and written out.
     """
-    made = ["base_failed", "kept", "distance"]
-    docs = docs.drop(*[c for c in made if c in docs.columns])
+    docs = docs.drop("base_failed", "kept", "distance")
     measured = statistics(docs)
-    return _verdicts(measured, _estimates(checkpointed(_passing(measured))))
-
-
-def judge_without_text(docs: DataFrame) -> DataFrame:
-    """As ``judge``, but without the text column, and with one pass over the texts: their numbers are kept for the second look."""
-    made = ["base_failed", "kept", "distance", "text"]
-    measured = checkpointed(statistics(docs.drop(*made[:3])).drop("text"))
-    return _verdicts(measured, _estimates(_passing(measured)))
+    measured = checkpointed(measured if with_text else measured.drop("text"))
+    named = measured.select(F.struct(*[F.col(f"`{c}`") for c in measured.columns]).alias("own"), _failed().alias("base_failed"), *_cell_key(), *_vector())
+    passing, failed = named.where("NOT base_failed"), named.where("base_failed")
+    factors = _estimates(passing.select("lang", "source", *_D))
+    total = factors.agg(F.sum("n")).first()[0] or 0
+    placed = _with_distance(join_unique(passing, factors, ["lang", "source"], total), [F.col(c) for c in _D])
+    verdict = placed.select("own.*", "base_failed", (F.col("d2") <= CUTOFF).alias("kept"), F.sqrt("d2").alias("distance"))
+    return verdict.unionByName(failed.select("own.*", "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
 
 
 def _failed() -> Column:
@@ -175,35 +197,35 @@ def _failed() -> Column:
 
 
 def _cell_key() -> list[Column]:
-    """lang and source, as values of their own where null."""
-    return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"__{c}") for c in ("lang", "source")]
-
-
-def _passing(measured: DataFrame) -> DataFrame:
-    return measured.where(~_failed()).select(*_cell_key(), *_vector())
+    """lang and source, as values of their own where null; none is "*"."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c) for c in ("lang", "source")]
 
 
 def _estimates(passing: DataFrame) -> DataFrame:
-    """Centre and factored scatter by ``__lang, __source``."""
-    sizes = passing.groupBy("__lang", "__source").agg(F.count("*").alias("n"))
-    cell = F.when(F.col("n") >= MIN_CELL, F.struct("__lang", "__source")).otherwise(F.struct("__lang", F.lit("*").alias("__source")))
-    named = checkpointed(sizes.select("__lang", "__source", cell.alias("cell")))
-    vectors = passing.join(named, ["__lang", "__source"]).select("cell", *_D)
-    cells = _start(vectors)
+    """``(lang, source, n, m{i}, l{i}{j})``: centre and factored scatter for every cell of ``passing (lang, source, coordinates)``."""
+    star = F.lit("*")
+    levels = F.array(*[F.struct(a.alias("lang"), b.alias("source")) for a, b in ((star, star), (F.col("lang"), star), (F.col("lang"), F.col("source")))])
+    vectors = passing.select(F.explode(levels).alias("cell"), *_D)
+    cells = _starts(vectors)
+    total = (cells.where("start = 0").agg(F.sum("n")).first()[0] or 0) * _STARTS
+    for _ in range(FIRST_STEPS):
+        cells = _concentrate(vectors, cells, total)
+    best = _factored(cells).groupBy("cell").agg(F.min(F.struct("logdet", "start", "n", *_MOMENTS)).alias("b"))
+    cells = checkpointed(best.select("cell", F.lit(0).alias("start"), *[F.col(f"b.{c}").alias(c) for c in ("n", *_MOMENTS)]))
+    one = vectors.withColumn("start", F.lit(0))
     for _ in range(STEPS):
-        cells = checkpointed(_concentrate(vectors, cells))
-    return checkpointed(named.join(_factored(cells), "cell").drop("cell"))
-
-
-def _verdicts(measured: DataFrame, factors: DataFrame) -> DataFrame:
-    rows = measured.select("*", _failed().alias("base_failed"), *_cell_key(), *[x.alias(f"__{c}") for x, c in zip(_vector(), _D)])
-    placed = rows.join(factors, ["__lang", "__source"], "left")
-    for i, c in enumerate(_D):
-        rest = F.col(f"__{c}") - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"__y{k}")
-        placed = placed.withColumn(f"__y{i}", rest / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"__y{i}") * F.col(f"__y{i}") for i in range(1, len(_D))), F.col("__y0") * F.col("__y0"))
-    distance = F.when(~F.col("base_failed"), F.sqrt(d2)).alias("distance")
-    kept = (~F.col("base_failed") & F.coalesce(d2 <= CUTOFF, F.lit(True))).alias("kept")
-    return placed.select(*measured.columns, "base_failed", kept, distance)
+        before, cells = cells, _concentrate(one, cells, total)
+        moved = _factored(cells).select("cell", "logdet").join(_factored(before).select("cell", F.col("logdet").alias("was")), "cell")
+        if not moved.where(F.abs(F.col("logdet") - F.col("was")) > TOLERANCE).limit(1).count():
+            break
+
+    def leaning(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+        weight = F.col("n") / (F.col("n") + PRIOR)
+        wide = above.select(*keys, *[F.col(c).alias(f"above_{c}") for c in _MOMENTS])
+        both = own.join(wide, keys) if keys else own.crossJoin(F.broadcast(wide))  # without keys: one row
+        return both.select("lang", "source", "n", *[(weight * F.col(c) + (1 - weight) * F.col(f"above_{c}")).alias(c) for c in _MOMENTS])
+
+    flat = cells.select("cell.lang", "cell.source", "n", *_MOMENTS)
+    by_lang = leaning(flat.where("lang != '*' AND source = '*'"), flat.where("lang = '*'"), [])
+    by_cell = leaning(flat.where("source != '*'"), by_lang, ["lang"])
+    return checkpointed(_factored(by_cell).drop("logdet", *_MOMENTS[len(_D) :]))
