@@ -7,7 +7,8 @@ siblings; only what a whole subtree can't use reaches the subtree's siblings.
 Each source then gives the token prefix that its budget covers of a stream of
 epochs, each a differently seeded order of its documents. DataFrame functions
 only; no source's documents are ever sorted as a whole: digests deal them into
-ordered buckets, and only the bucket in which the prefix ends is sorted.
+ordered buckets, the bucket in which the prefix ends is dealt again, and only
+what is left after some rounds of this is sorted.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foretell.llm.common import WORD, checkpointed
+from foretell.llm.common import WORD, checkpointed, join_unique
 
 #: Production parameters of the query and the pipeline.
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
@@ -26,6 +27,9 @@ OTHER_WEIGHT = 1
 #: Budget as a share of the corpus's tokens, and how often a source may be repeated.
 BUDGET_SHARE, MAX_EPOCHS = 0.75, 3
 SEED = 7
+#: Parts (first character, characters) of a document's place in an epoch by which its source is dealt, round by round: the
+#: digest of its id, then, for ids that repeat, the hash of its text. A source has 4,096 buckets in a round, whatever its size.
+ROUNDS = [(1, 3), (4, 3), (33, 3), (36, 3)]
 _LEVELS = ["domain", "lang", "source"]
 
 
@@ -84,34 +88,50 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, budge
     which a source's budget ends, which gives its first tokens only. Rows of
     null or wordless texts have no tokens and are never taken; null languages
     and sources are leaves named ``none``. Rows with one doc_id (or none) are
-    ordered by length and text. Columns of ``docs`` with the new names give way.
+    ordered by the hash of their text; rows equal in both count one after the
+    other. Columns of ``docs`` with the new names give way; all others are
+    returned as they are, whatever their names.
     """
     weights = weights or {"domain": DOMAIN_WEIGHTS, "lang": LANGUAGE_WEIGHTS, "source": SOURCE_WEIGHTS}
-    made = ["domain", "epoch", "n_tokens", "taken_tokens"]
-    docs = docs.drop(*[c for c in made if c in docs.columns])
-    names = [F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(f"__{c}") for c in ("lang", "source")]
-    placed = docs.select("*", *names, domain_of(F.coalesce(F.col("source"), F.lit(""))).alias("domain"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
-    placed = placed.where("n_tokens > 0")
-    leaf = ["domain", "__lang", "__source"]
-    counted = checkpointed(placed.select("doc_id", *leaf, "n_tokens"))  # numbers only: texts are read once more at the end
-    supply = counted.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")).toDF(*_LEVELS, "tokens")
-    plan = budgets(supply, weights, budget, max_epochs).toDF(*leaf, "tokens", "budget").where("budget > 0")
-    plan = checkpointed(plan.select(*leaf, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest")))
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).cast("binary"))
-        return rows.join(plan, leaf).withColumn("key", digest).withColumn("bucket", F.substring("key", 1, 3))
-
-    # The bucket of the last epoch in which the budget ends, and what lies before it.
-    buckets = keyed(counted).groupBy(*leaf, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("bucket"))
-    ends = buckets.withColumn("upto", upto).where("upto > rest").groupBy(*leaf).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("end"))
-    ends = ends.select(*leaf, F.col("end.bucket").alias("last"), F.col("end.before").alias("before"))
-
-    rows = keyed(placed).join(ends, leaf)
-    whole = rows.where("bucket != last").withColumn("taken", F.when(F.col("bucket") < F.col("last"), F.col("n_tokens")).otherwise(0))
-    inside = Window.partitionBy(*leaf).orderBy("key", "n_tokens", "text").rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.where("bucket = last").withColumn("taken", F.least("n_tokens", F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))))
-    taken = whole.unionByName(cut)
+    docs = docs.drop("domain", "epoch", "n_tokens", "taken_tokens")
+    leaf = _LEVELS
+    place = [
+        domain_of(F.coalesce(F.col("source"), F.lit(""))).alias("domain"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in ("lang", "source")],
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("id"),
+        F.xxhash64("text").alias("h"),
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"),
+    ]
+    counted = checkpointed(docs.select(*place).where("n_tokens > 0"))  # numbers only: texts are read once more at the end
+    supply = checkpointed(counted.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")))
+    total = supply.agg(F.sum("n")).first()[0] or 0
+    plan = budgets(supply.select(*leaf, "tokens"), weights, budget, max_epochs).where("budget > 0").join(supply.select(*leaf, "n"), leaf)
+    plan = checkpointed(plan.select(*leaf, "n", F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest")))
+
+    def keyed(rows: DataFrame, ends: DataFrame) -> DataFrame:
+        """Rows with their leaf's plan and their place in the epoch that its budget cuts."""
+        text = F.lpad(F.lower(F.hex("h")), 16, "0")
+        digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs"), F.col("id")).cast("binary"))
+        return join_unique(rows, ends, leaf, total).withColumn("key", F.concat(digest, text))
+
+    # Round by round: the bucket of the cut epoch in which the budget ends, and the tokens before it.
+    ends = plan.select("*", F.lit("").alias("upto"), F.lit(0).cast("long").alias("before"))
+    path = F.lit("")
+    for start, size in ROUNDS:
+        inside = keyed(counted, ends).where(path == F.col("upto")).select(*leaf, F.substring("key", start, size).alias("bucket"), "n_tokens")
+        # Written before the window, so that rows are summed by bucket before those of one leaf meet.
+        buckets = checkpointed(inside.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("tokens")))
+        running = buckets.withColumn("to", F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("bucket")))
+        cut = running.join(ends, leaf).where("before + to > rest").groupBy(*leaf).agg(F.min(F.struct("bucket", (F.col("to") - F.col("tokens")).alias("earlier"))).alias("c"))
+        ends = checkpointed(ends.join(cut, leaf).select(*leaf, "n", "epochs", "rest", F.concat("upto", "c.bucket").alias("upto"), (F.col("before") + F.col("c.earlier")).alias("before")))
+        path = F.concat(path, F.substring("key", start, size))
+
+    rows = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *place).where("n_tokens > 0"), ends).withColumn("path", path)
+    taken = F.when(F.col("path") < F.col("upto"), F.col("n_tokens")).otherwise(0)
+    whole = rows.where("path != upto").withColumn("taken", taken)
+    ahead = Window.partitionBy(*leaf).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.where("path = upto").withColumn("taken", F.least("n_tokens", F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0))))
+    taken_rows = whole.unionByName(cut)
     copies = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("epochs")), lambda e: F.struct(e.alias("epoch"), F.when(e < F.col("epochs"), F.col("n_tokens")).otherwise(F.col("taken")).alias("taken_tokens"))), lambda c: c["taken_tokens"] > 0)
-    return taken.select(*docs.columns, "domain", "n_tokens", F.explode(copies).alias("c")).select(*docs.columns, "domain", F.col("c.epoch").alias("epoch"), "n_tokens", F.col("c.taken_tokens").alias("taken_tokens"))
+    chosen = taken_rows.select("own", "domain", "n_tokens", F.explode(copies).alias("c"))
+    return chosen.select("own.*", "domain", F.col("c.epoch").alias("epoch"), "n_tokens", F.col("c.taken_tokens").alias("taken_tokens"))

@@ -83,3 +83,17 @@ def test_odd_rows(spark):
     assert sum(r.taken_tokens for r in m.mix(docs, budget=5).collect()) <= 5
     assert m.mix(docs.limit(0)).collect() == [] and m.mix(docs, budget=0).collect() == []
     assert m.mix(docs).columns == ["doc_id", "text", "lang", "source", "domain", "epoch", "n_tokens", "taken_tokens"]
+
+
+def test_columns_of_any_name_are_returned_as_they_are(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = {c: docs["doc_id"] * 2 for c in ("rest", "epochs", "key", "bucket", "taken", "own", "h", "id", "path", "n", "__hot")}
+    rows = m.mix(docs.withColumns(extra)).collect()
+    assert all(r[c] == 2 * r.doc_id for r in rows for c in extra)
+    assert sorted((r.doc_id, r.epoch, r.taken_tokens) for r in rows) == sorted((r.doc_id, r.epoch, r.taken_tokens) for r in m.mix(docs).collect())
+
+
+def test_repeated_ids_are_ordered_by_text(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 1, " ".join(["w"] * (1 + i)), "en", "s1") for i in range(40)], "doc_id long, text string, lang string, source string")
+    rows = m.mix(docs, budget=300).collect()
+    assert sum(r.taken_tokens for r in rows) == 300 and sum(r.taken_tokens < r.n_tokens for r in rows) <= 1
