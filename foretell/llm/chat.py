@@ -9,6 +9,8 @@ what is read back is exactly what went in. DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,47 @@ def events_of(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", message, "role", F.explode(events).alias("e")).select("conv_id", "message", "role", F.col("e.seq").cast("long").alias("seq"), "e.kind", "e.text")
 
 
+def live_log(conversations: DataFrame) -> DataFrame:
+    """A log of the same messages as they come about in a live chat: the fold of it is ``conversations``.
+
+    Four kinds of messages take turns by a hash of their place: streamed in
+    three deltas; a wrong draft that an edit replaces once the conversation has
+    gone on; an answer that is streamed, discarded and regenerated; one that
+    stands next to a message that is written and deleted. ``seq`` runs over the
+    whole conversation, by turn, and later edits come after all turns.
+    """
+    told = events_of(conversations).where("seq = 1").select("conv_id", "message", "role", "text")
+    text, third = F.col("text"), F.greatest(F.floor(F.length("text") / 3), F.lit(1)).cast("int")
+    parts = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))]
+    place = F.coalesce(F.col("message.turn"), F.lit(-1)) * 65536 + F.col("message.nth") * 16
+    late = F.lit(1 << 60)
+
+    def event(step: int, kind: str, what: Column, after: Column = place, other: bool = False) -> Column:
+        message = F.struct(F.col("message.turn").alias("turn"), (F.col("message.nth") + (1 << 20) * other).alias("nth"))
+        role = F.when(F.lit(kind in SETS), F.col("role"))
+        return F.struct(message.alias("message"), role.alias("role"), (after + step).cast("long").alias("seq"), F.lit(kind).alias("kind"), what.alias("text"))
+
+    deltas = lambda at: [event(at + k, DELTA, p) for k, p in enumerate(parts)]
+    wrong = F.concat(F.lit("draft: "), F.upper(text))
+    kinds = [
+        [event(0, "open", F.lit("")), *deltas(1)],
+        [event(0, "open", wrong), event(1, "edit", parts[0], late + place), event(2, DELTA, parts[1], late + place), event(3, DELTA, parts[2], late + place)],
+        [event(0, "open", F.lit("Well")), event(1, DELTA, F.lit(", no: ")), event(2, DELTA, wrong), event(3, "regenerate", F.lit("")), *deltas(4)],
+        [event(0, "open", parts[0]), event(1, DELTA, parts[1]), event(2, DELTA, parts[2]), event(3, "open", wrong, other=True), event(4, "delete", F.lit(""), other=True)],
+    ]
+    kind = F.pmod(F.xxhash64("conv_id", "message"), F.lit(4))
+    events = F.when(kind == 0, F.array(*kinds[0]))
+    for k in (1, 2, 3):
+        events = events.when(kind == k, F.array(*kinds[k]))
+    return told.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """``(conv_id, message, role, text)``: the final messages of a log ``(conv_id, message, seq, kind, role, text)``.
 
-    ``message`` names a message and orders it in its conversation. A message's
+    ``message`` names a message and orders it in its conversation. No event
+    touches another message than its own, so folding each message's events by
+    sequence gives what a walk through the whole conversation's log gives. A message's
     text is that of its last opening, edit or regeneration and of the deltas
     after it; without one, of all deltas. A message whose last event is a
     deletion is gone until it is set again. Its role is the last one given.
@@ -74,7 +113,11 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """``(conv_id, formatted)``: each conversation's turns in order of ``message``; one row, so one task, for a conversation."""
+    """``(conv_id, formatted)``: each conversation's turns in order of ``message``.
+
+    A rendered conversation is one value, so its texts must fit into one row
+    (2 GB) and, twice, into a task's memory; there is no other bound.
+    """
     turn = F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPES), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE))
     turns = messages.select("conv_id", F.struct("message", turn.alias("turn")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     return turns.select("conv_id", F.array_join(F.col("t.turn"), "").alias("formatted"))
@@ -107,11 +150,12 @@ def loss_spans(formatted: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["spans"])
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
+def format_conversations(conversations: DataFrame, log: Callable[[DataFrame], DataFrame] = events_of) -> DataFrame:
     """``(conv_id, formatted)`` for each conversation of ``conversations (conv_id, turn, role, text)``, rows by turn.
 
-    Null texts and roles are empty; rows of one turn are ordered by role and
-    text, repeated rows are repeated turns, a null turn comes first, a null
-    conv_id is a conversation. Other columns are not read.
+    ``log`` makes the events that are folded. Null texts and roles are empty;
+    rows of one turn are ordered by role and text, repeated rows are repeated
+    turns, a null turn comes first, a null conv_id is a conversation. Other
+    columns are not read.
     """
-    return render(fold(events_of(conversations)))
+    return render(fold(log(conversations)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow.compute as pc
 
@@ -40,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoints-")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: later work begins there. The caller's cluster clears the folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 #: Keys that hold one part in this many of all rows are joined by broadcast, so at most so many keys are.
 HOT_PARTS = 1000
 
@@ -64,9 +72,11 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
-def slices(batch, column: str, limit: int = 4 << 20):
-    """An Arrow batch in pieces of about ``limit`` bytes of ``column`` (one row at least)."""
+def slices(batch, column: str, limit: int = 4 << 20, line_bytes: int = 0):
+    """An Arrow batch in pieces of about ``limit`` bytes of ``column``, a line end counting ``line_bytes`` more (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    if line_bytes:
+        sizes = sizes + line_bytes * pc.fill_null(pc.count_substring(batch.column(column), "\n"), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > limit:

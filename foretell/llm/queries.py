@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretell.llm import chat, decontaminate, line_crf, line_runs, mixing, robust_rules, secret_scan, simhash, token_counts, wrappers
-from foretell.llm.common import table
+from foretell.llm.common import stored, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     logged = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    read = chat.format_conversations(logged).select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
+    read = chat.format_conversations(logged, chat.live_log).select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = F.array_join(F.transform(chat.loss_spans(F.col("formatted")), lambda s: chat.unescape(F.substr("formatted", s["start"] + 1, s["end"] - s["start"]))), "")
     return read.select(
@@ -56,7 +56,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.pmod(F.xxhash64("doc_id"), size + 1)
     edit = lambda seq, at, n, new: F.struct(F.lit(seq).alias("seq"), at.cast("long").alias("at"), F.lit(n).alias("n_deleted"), F.lit(new).alias("inserted"))
     edits = F.array(edit(0, at, 5, " [edited]"), edit(1, F.lit(0), 0, "Note: "), edit(2, size + 6, 12, ""))
-    counted = token_counts.recount(token_counts.index(docs).withColumn("edits", edits), results=False)
+    indexed = stored(token_counts.index(docs), "token-index")
+    counted = token_counts.recount(indexed.withColumn("edits", edits), results=False)
     return counted.select("doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded")
 
 

@@ -49,7 +49,10 @@ def test_round_trip_of_hostile_texts(spark):
         assert turns == want
         masked = [formatted[a:z].replace("\\1", "<").replace("\\0", "\\") for a, z in spans]
         assert masked == [t for r, t in want if r == "assistant"]
-    assert c.format_conversations(table.limit(0)).collect() == []
+    live = c.live_log(table)
+    assert {r.kind for r in live.collect()} == {"open", "delta", "edit", "regenerate", "delete"}
+    assert {r.conv_id: r.formatted for r in c.format_conversations(table, c.live_log).collect()} == {k: v[1] for k, v in got.items()}
+    assert c.format_conversations(table.limit(0)).collect() == [] and c.format_conversations(table.limit(0), c.live_log).collect() == []
 
 
 def test_query_has_the_extra_conversation(spark, sf_dir):
