@@ -23,21 +23,25 @@ from foretell.llm.common import checkpointed, slices
 K1, B = 1.2, 0.75
 #: Words of a piece at most, and of a passage; passages overlap by half, so every piece lies whole in one.
 PIECE_WORDS, PASSAGE_WORDS = 64, 128
-#: Items of fewer words can't be told from chance and are left out.
-MIN_ITEM_WORDS = 5
+#: Shares of overlap say little of items of fewer words: these must be found as they are, all their words in a row.
+SHORT_WORDS = 5
 #: Share of a piece's own BM25 score that a passage must reach.
 THRESHOLD = 0.5
 #: Share of the word triples of the question, and of the answer, that the passage must hold.
 OVERLAP = 0.5
 #: Postings in a block that has one upper bound.
 BLOCK = 8
-#: Postings of one index at most; more items make more indexes, each sent out by itself.
+#: Postings of one index at most, some 100 MB in a worker. More items make more indexes: each is built, sent out, used
+#: and dropped before the next one, so ten million items of forty words take 400 passes and no more memory than one.
 SHARD_POSTINGS = 1_000_000
+#: Scripts that put no blanks between words: their characters are the words.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 
 
 def _normal(texts: pa.Array) -> pa.Array:
-    """Lists of lower-case words: letters, digits and marks; all else separates."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), r"[^\pL\pN\pM]+", " ")
+    """Lists of lower-case words: letters, digits and marks; all else separates. In unspaced scripts every character is a word."""
+    apart = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), _UNSPACED, r" \1 ")
+    plain = pc.replace_substring_regex(apart, r"[^\pL\pN\pM]+", " ")
     return pc.split_pattern(pc.utf8_trim(plain, " "), " ")
 
 
@@ -47,7 +51,7 @@ def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for item, text, answer in zip(*(batch.column(c).to_pylist() for c in ("item_id", "text", "answer"))):
             body, tail = (_normal(pa.array([x], pa.string()))[0].as_py() for x in (text, answer))
             words = [w for w in [*body, *tail] if w]
-            if len(words) < MIN_ITEM_WORDS:
+            if not words:
                 continue
             split = len(body) if any(tail) and any(body) else None
             parts = -(-len(words) // PIECE_WORDS)
@@ -73,7 +77,8 @@ def pieces(items: DataFrame) -> DataFrame:
 def postings(cut: DataFrame) -> DataFrame:
     """``(item_id, piece, words, cut, terms, impacts)`` with impacts that sum to 1 in every piece."""
     cut = cut.distinct().withColumn("id", F.xxhash64("item_id", "piece", "words"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
+    # An item of one word is a term by itself; it is looked for in texts of one word.
+    pairs = F.when(F.size("words") < 2, F.array(F.concat_ws(" ", F.get("words", F.lit(0)), F.get("words", F.lit(0))))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))))
     terms = cut.select("id", F.size("words").alias("n"), F.explode(pairs).alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
     size = cut.agg(F.count("*").alias("pieces"), F.avg(F.size("words")).alias("mean"))
     rarity = terms.groupBy("term").agg(F.count("*").alias("df"))
@@ -111,6 +116,12 @@ class Index:
         triples = lambda ids: {tuple(ids[i : i + 3]) for i in range(len(ids) - 2)} or {tuple(ids)}
         ids = [[number[w] for w in r.words] for r in rows]
         self.parts = [(triples(x[: r.cut]), triples(x[r.cut :])) for x, r in zip(ids, rows)]
+        #: Of short items all words, which must stand in a row; of one-word items only the number is needed.
+        self.short = {n: tuple(x) for n, (x, r) in enumerate(zip(ids, rows)) if len(x) < SHORT_WORDS and r.piece == 0}
+        self.single = {}
+        for n, x in self.short.items():
+            if len(x) == 1:
+                self.single.setdefault(x[0], []).append(n)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All pieces whose impacts over the distinct ``terms`` sum to ``threshold`` or more, by block-max WAND."""
@@ -167,6 +178,11 @@ class Index:
         ends = lists.offsets.to_numpy()
         ends = ends - ends[0]
         ids = pc.fill_null(pc.index_in(lists.flatten(), value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if self.single:
+            for row in np.flatnonzero(np.diff(ends) == 1).tolist():
+                found = {self.items[n][0]: (1.0, 1.0, 1.0, 0) for n in self.single.get(int(ids[ends[row]]), ())}
+                if found:
+                    yield row, found
         if len(ids) < 2 or not len(self.keys):
             return
         pair = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * len(self.words) + ids[1:], -1)
@@ -190,8 +206,13 @@ class Index:
                 for n, score in self.search(np.unique(term[i[k] : j[k]]).tolist(), threshold):
                     if held is None:
                         listed = passage.tolist()
-                        held = {x for w in (1, 2, 3) for x in zip(*(listed[o:] for o in range(w)))}
-                    shares = [len(part & held) / len(part) for part in self.parts[n]]
+                        held = {x for w in range(1, SHORT_WORDS) for x in zip(*(listed[o:] for o in range(w)))}
+                    if n in self.short:
+                        if len(self.short[n]) < 2 or self.short[n] not in held:
+                            continue
+                        shares = [1.0, 1.0]
+                    else:
+                        shares = [len(part & held) / len(part) for part in self.parts[n]]
                     item = self.items[n][0]
                     if min(shares) >= overlap and (item not in best or score > best[item][0]):
                         best[item] = (score, *shares, int(starts[k]) - a)
@@ -199,16 +220,21 @@ class Index:
                 yield row, best
 
 
-def indexes(items: DataFrame) -> list:
-    """Broadcast indexes over all items, each of at most about SHARD_POSTINGS postings, whatever the number of items."""
+def indexes(items: DataFrame) -> Iterator:
+    """Broadcast indexes over all items, each of at most about SHARD_POSTINGS postings; one is dropped when the next one is asked for.
+
+    What uses an index must therefore be written out before the next one.
+    """
     lists = checkpointed(postings(checkpointed(pieces(items))))
     total = lists.agg(F.sum(F.size("terms"))).first()[0] or 0
     shards = -(-total // SHARD_POSTINGS)
-    context, out = items.sparkSession.sparkContext, []
+    context = items.sparkSession.sparkContext
     for n in range(shards):
         shard = lists.where(F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)) == n) if shards > 1 else lists
-        out.append(context.broadcast(Index(sorted(shard.collect(), key=lambda r: (len(r.words), r.item_id is not None, r.item_id or 0, r.piece)))))
-    return out
+        index = context.broadcast(Index(sorted(shard.collect(), key=lambda r: (len(r.words), r.item_id is not None, r.item_id or 0, r.piece))))
+        yield index, n + 1 == shards == 1
+        if shards > 1:
+            index.destroy()
 
 
 def _finder(index, threshold: float, overlap: float):
@@ -231,13 +257,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
     One row for each document and item, from the best-scoring passage.
     Texts are read whole; null, empty and wordless ones hold nothing, and so do
-    items under MIN_ITEM_WORDS words. Case and punctuation don't matter.
+    wordless items. Case and punctuation don't matter. Items under SHORT_WORDS
+    words are found where all their words stand in a row, and items of one word
+    only in texts that are this word.
     Repeated document rows may repeat their findings; repeated items share theirs.
     An empty items table finds nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, score double, question_share double, answer_share double, at_word int"
-    parts = [rows.mapInArrow(_finder(index, threshold, overlap), schema) for index in indexes(items)]
+    parts = []
+    for index, alone in indexes(items):
+        found = rows.mapInArrow(_finder(index, threshold, overlap), schema)
+        parts.append(found if alone else checkpointed(found))
     if len(parts) < 2:
         return parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
     # Pieces of one item may lie in several indexes.
@@ -261,6 +292,7 @@ def _cleaner(index, threshold: float, overlap: float):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns; one pass and no shuffle for each index."""
-    for index in indexes(items):
+    for index, alone in indexes(items):
         docs = docs.mapInArrow(_cleaner(index, threshold, overlap), docs.schema)
+        docs = docs if alone else checkpointed(docs)
     return docs

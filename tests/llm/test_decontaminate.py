@@ -69,11 +69,20 @@ def test_odd_rows(spark, monkeypatch):
         [(1, hit, 1), (2, None, 2), (3, "", 3), (None, hit, 4), (5, "what is the tall tower of paris called today", 5), (6, "x y " * 30000 + hit, 6), (7, "pre " * 99 + long_item, 7), (8, "too short", 8), (9, "a nameless item has words as well as any", 9)],
         "doc_id long, text string, score long",
     )
-    want = {(1, 1), (None, 1), (6, 1), (7, 4), (9, None)}  # 5 has the question but not the answer
+    want = {(1, 1), (None, 1), (6, 1), (7, 4), (9, None), (8, 3)}  # 5 has the question but not the answer
     for shard in (d.SHARD_POSTINGS, 60):
         monkeypatch.setattr(d, "SHARD_POSTINGS", shard)
         assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()} == want
         kept = d.drop_contaminated(docs, items)
-        assert kept.columns == docs.columns and sorted(r.score for r in kept.collect()) == [2, 3, 5, 8]
+        assert kept.columns == docs.columns and sorted(r.score for r in kept.collect()) == [2, 3, 5]
     assert d.contaminated(docs, items.limit(0)).collect() == []
     assert d.contaminated(docs.limit(0), items).collect() == []
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    chinese, thai = "中国的首都是哪里?北京是中国的首都,人口超过两千万人。", "เมืองหลวงของประเทศไทยคือกรุงเทพมหานคร"
+    items = spark.createDataFrame([(1, chinese), (2, thai), (3, "one two three four"), (4, "Yes!"), (5, "日本")], "item_id long, text string")
+    docs = [(1, f"前言。{chinese}后记。"), (2, f"ก {thai} ข"), (3, "so one, two: three FOUR and on"), (4, "one two four three"), (5, "yes"), (6, "yes and no"), (7, "中国的河流很长"), (8, "日本の首都"), (9, "two three four")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(table, items).collect()} == {(1, 1), (2, 2), (3, 3), (5, 4), (8, 5)}
+    assert sorted(r.doc_id for r in d.drop_contaminated(table, items).collect()) == [4, 6, 7, 9]
