@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -69,17 +70,31 @@ def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Weak parts that overlap no certain span and no weak part found before."""
-    taken, spans = [(a, z) for a, _, z in base], []
+    taken, spans = _merged((a, z) for a, _, z in base), []
     for kind, pattern in ((4, _user), (5, _endpoint), (3, _random)):
+        new = []
         for m in pattern.finditer(text):
             a, z = m.span()
-            if any(x < z and a < y for x, y in taken) or kind == 3 and not _looks_random(m[0]):
+            at = bisect_left(taken, (z,)) - 1  # the last taken stretch that begins before the match ends
+            if at >= 0 and taken[at][1] > a or kind == 3 and not _looks_random(m[0]):
                 continue
-            taken.append((a, z))
+            new.append((a, z))  # matches of one kind don't overlap
             spans.append((a, kind, z))
+        taken = _merged([*taken, *new])
     return sorted(spans)
 
 
+def _merged(spans) -> list[tuple[int, int]]:
+    """The stretches of text that the spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import re
 
 import pytest
@@ -75,3 +76,12 @@ def test_query_against_brute_force(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in spans) for k in range(3)]
         assert set(listed.split(",")) <= set(r.spans.split(",")) or not listed
+
+
+def test_a_long_log_of_addresses_takes_linear_time():
+    text = "".join(f"GET http://host{i}.example/path user=u{i}x ok\n" for i in range(120000))
+    began = time.time()
+    base = s.base_spans(text)
+    weak = s.weak_spans(text, base)
+    assert len(weak) == 240000 and time.time() - began < 30
+    assert all(a[2] <= b[0] for a, b in zip(weak, weak[1:]))
