@@ -15,6 +15,7 @@ alone stays a boundary: nothing beyond it has to be looked at again.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from foretell.llm.common import slices
 
-#: Vocabulary file of the production query: byte-level BPE as ranks.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Vocabulary file of the production query: byte-level BPE as ranks. Every executor must have it, or it must lie in a shared folder;
+#: operators take another path as a parameter, the environment variable names it for the query.
+VOCABULARY = os.environ.get("TOKEN_VOCABULARY") or "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points of a leaf at least, but for the last one, and children of an inner node at most.
@@ -49,90 +51,115 @@ def split_leaves(text: str) -> list[str]:
 
 
 class Tree:
-    """Levels of ``[children, chars, tokens]`` nodes; level 0 has the leaves, the last level the root."""
+    """Nodes ``[children, chars, tokens]``, leaves without children; kept as levels, from the leaves up to the root, of ``[number of children, chars, tokens]``."""
 
     def __init__(self, levels: list[list[list[int]]]):
-        self.levels = levels
-
-    @classmethod
-    def over(cls, leaves: list[list[int]]) -> Tree:
-        levels = [leaves]
-        while len(levels[-1]) > 1 or len(levels) == 1:
-            levels.append(_grouped(levels[-1]))
-        return cls(levels)
+        nodes = [[None, chars, tokens] for _, chars, tokens in levels[0]]
+        for level in levels[1:]:
+            below, at, nodes = nodes, 0, []
+            for children, chars, tokens in level:
+                nodes.append([below[at : at + children], chars, tokens])
+                at += children
+        self.root, self.height = (nodes[0] if nodes else [[], 0, 0]), max(len(levels) - 1, 1)
 
     @classmethod
     def build(cls, text: str, encoding: tiktoken.Encoding) -> Tree:
-        return cls.over(_encoded(text, encoding))
+        tree = cls([[]])
+        tree._rise(_encoded(text, encoding))
+        return tree
+
+    def _rise(self, nodes: list) -> None:
+        """Put nodes one level above the leaves, or higher, under one root."""
+        self.height = 1
+        nodes = [[nodes, sum(n[1] for n in nodes), sum(n[2] for n in nodes)]] if len(nodes) <= FAN else _grouped(nodes)
+        while len(nodes) > 1:
+            nodes = _grouped(nodes)
+            self.height += 1
+        self.root = nodes[0]
 
     @property
     def tokens(self) -> int:
-        return self.levels[-1][0][2] if self.levels[-1] else 0
-
-    def _find(self, offset: int) -> tuple[int, int]:
-        """The leaf that holds code point ``offset``, or the last one before it: its number and its place."""
-        node, at = 0, 0
-        for level in range(len(self.levels) - 1, 0, -1):
-            nodes, below = self.levels[level], self.levels[level - 1]
-            child = sum(n[0] for n in nodes[:node])
-            last = child + nodes[node][0] - 1
-            while child < last and at + below[child][1] <= offset:
-                at += below[child][1]
-                child += 1
-            node = child
-        return node, at
-
-    def replace(self, first: int, last: int, leaves: list[list[int]]) -> None:
-        """Put ``leaves`` in place of leaves ``first`` to ``last`` (exclusive); sums change on the touched paths only."""
-        self.levels[0][first:last] = leaves
-        low, high, gained = first, first + len(leaves), len(leaves) - (last - first)
-        for level in range(1, len(self.levels)):
-            nodes = self.levels[level]
-            left = begin = 0
-            while left < len(nodes) and begin + nodes[left][0] <= low and left + 1 < len(nodes):
-                begin += nodes[left][0]
-                left += 1
-            right, end = left, begin
-            while right < len(nodes) and (end < high - gained or right == left):
-                end += nodes[right][0]
-                right += 1
-            children = self.levels[level - 1][begin : end + gained]
-            new = _grouped(children)
-            nodes[left:right] = new
-            low, high, gained = left, left + len(new), len(new) - (right - left)
-        while len(self.levels[-1]) > 1:
-            self.levels.append(_grouped(self.levels[-1]))
-        while len(self.levels) > 2 and len(self.levels[-2]) <= 1:
-            self.levels.pop()
+        return self.root[2]
+
+    @property
+    def levels(self) -> list[list[list[int]]]:
+        """The tree as it is kept; an empty text's has no leaves and no root."""
+        if not self.root[0]:
+            return [[], []]
+        out, nodes = [], [self.root]
+        for _ in range(self.height):
+            out.append([[len(n[0]), n[1], n[2]] for n in nodes])
+            nodes = [child for n in nodes for child in n[0]]
+        return [[[0, n[1], n[2]] for n in nodes], *reversed(out)]
+
+    @staticmethod
+    def _child(node: list, start: int, offset: int) -> tuple[int, int]:
+        """The child that holds code point ``offset``, or the last one: its number and its place."""
+        for k, child in enumerate(node[0]):
+            if offset < start + child[1] or k + 1 == len(node[0]):
+                return k, start
+            start += child[1]
+        raise ValueError("no children")
+
+    def _leaf(self, offset: int) -> tuple[int, int]:
+        """Where the leaf that holds code point ``offset``, or the last one, begins and ends."""
+        node, at = self.root, 0
+        while node[0] is not None:
+            k, at = self._child(node, at, offset)
+            node = node[0][k]
+        return at, at + node[1]
+
+    def _spliced(self, node: list, height: int, start: int, first: int | None, last: int | None, leaves: list) -> list:
+        """Nodes in place of ``node`` with ``leaves`` for those from the one that holds ``first`` to the one that holds ``last`` (None: to its ends)."""
+        children = node[0]
+        a, low = (0, start) if first is None else self._child(node, start, first)
+        z, high = (len(children) - 1, start + node[1] - children[-1][1]) if last is None else self._child(node, start, last)
+        if height == 1:
+            new = leaves
+        elif a == z:
+            new = self._spliced(children[a], height - 1, low, first, last, leaves)
+        else:
+            new = self._spliced(children[a], height - 1, low, first, None, leaves) + self._spliced(children[z], height - 1, high, None, last, [])
+        return _grouped([*children[:a], *new, *children[z + 1 :]])
 
     def edit(self, text: str, at: int, deleted: int, inserted: str, encoding: tiktoken.Encoding) -> tuple[str, int]:
         """The text with ``deleted`` code points at ``at`` replaced by ``inserted``, and how many code points were encoded for it.
 
-        Places beyond the text's ends are moved to them.
+        Places beyond the text's ends are moved to them. Only nodes on the
+        paths to the touched leaves are looked at and made anew.
         """
         at = min(max(at, 0), len(text))
         end = min(at + max(deleted, 0), len(text))
         if at == end and not inserted:
             return text, 0
-        first = last = low = high = 0
-        if text:
-            first, low = self._find(max(at - 1, 0))  # begins before the edit, so both characters at its left end stay
-            last, high = self._find(end)  # ends behind the character after the edit, so both at its right end stay
-            high += self.levels[0][last][1]
-            last += 1
+        if not text:
+            self._rise(_encoded(inserted, encoding))
+            return inserted, len(inserted)
+        low, _ = self._leaf(max(at - 1, 0))  # begins before the edit, so both characters at its left end stay
+        _, high = self._leaf(end)  # ends behind the character after the edit, so both at its right end stay
         touched = text[low:at] + inserted + text[end:high]
-        self.replace(first, last, _encoded(touched, encoding))
+        nodes = self._spliced(self.root, self.height, 0, max(at - 1, 0), end, _encoded(touched, encoding))
+        while len(nodes) > 1:
+            nodes = _grouped(nodes)
+            self.height += 1
+        while nodes and self.height > 1 and len(nodes[0][0]) == 1:
+            nodes = nodes[0][0]
+            self.height -= 1
+        if nodes:
+            self.root = nodes[0]
+        else:
+            self._rise([])
         return text[:at] + inserted + text[end:], len(touched)
 
 
 def _grouped(nodes: list[list[int]]) -> list[list[int]]:
     parts = -(-len(nodes) // FAN)
     cuts = [len(nodes) * k // parts for k in range(parts + 1)] if parts else [0]
-    return [[z - a, sum(n[1] for n in nodes[a:z]), sum(n[2] for n in nodes[a:z])] for a, z in zip(cuts, cuts[1:])]
+    return [[nodes[a:z], sum(n[1] for n in nodes[a:z]), sum(n[2] for n in nodes[a:z])] for a, z in zip(cuts, cuts[1:])]
 
 
 def _encoded(text: str, encoding: tiktoken.Encoding) -> list[list[int]]:
-    return [[0, len(x), len(encoding.encode_ordinary(x))] for x in split_leaves(text)]
+    return [[None, len(x), len(encoding.encode_ordinary(x))] for x in split_leaves(text)]
 
 
 _TREE = "array<array<array<int>>>"

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,17 @@ def test_a_small_edit_encodes_little_of_a_long_text(encoding):
     assert encoded < 3 * token_counts.LEAF
 
 
+def test_edits_of_a_very_long_text_take_little_time(encoding):
+    text = "some words of a long text. " * 800_000
+    tree = Tree.build(text, encoding)
+    began = time.time()
+    for k in range(3000):
+        _, encoded = tree.edit(text, 7001 * k, 4, "word", encoding)
+        assert encoded < 3 * token_counts.LEAF
+    assert time.time() - began < 60
+    assert tree.height <= 6 and sum(n[1] for n in tree.levels[0]) == len(text)
+
+
 def test_tables(spark, encoding):
     rows = [(1, "one two three", "a"), (2, None, "b"), (3, "", "c"), (None, "lost", "d"), (1, "one two three", "a"), (4, "long " * 5000, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tree string")
