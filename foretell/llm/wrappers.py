@@ -38,7 +38,7 @@ BROADCAST_BYTES = 8 << 20
 
 # Fixed values.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math select object canvas".split())
+RAW = set("script style noscript template textarea title iframe svg select object canvas".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that say how a page is built; the path of a text is followed through these only where there is no main element.
 CONTAINERS = set("html body div section center table tbody tr td form".split())
@@ -46,7 +46,7 @@ CONTAINERS = set("html body div section center table tbody tr td form".split())
 TEMPLATE_DEPTH = 4
 #: Elements that an opening tag closes if they are the innermost of their kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}} | {b: {"p"} for b in BLOCKS - {"li", "dt", "dd", "tr", "td", "th", "body", "html", "head", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption"}}
-BOILERPLATE_TAGS = set("head nav header footer aside form button dialog menu label fieldset address".split())
+BOILERPLATE_TAGS = set("head nav header footer aside form button dialog menu label fieldset".split())
 BOILERPLATE_WORDS = set(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer gdpr header login masthead menu message modal nav navbar navigation newsletter notice notices notification outbrain pager pagination popup promo promotion recommended related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe taboola toolbar warning widget widgets".split()
 )
@@ -54,12 +54,15 @@ BOILERPLATE_WORDS = set(
 NEUTRAL_WORDS = set("area bar block body bottom box btn button buttons col column container content form global group icon icons inner item items left link links list main middle outer page panel primary region right row secondary section site slot text title top unit wrap wrapper".split())
 #: Elements whose ids are often made from their text, so that an id says nothing of them.
 TEXT_TAGS = set("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption legend summary".split())
+#: Elements deeper than this are not named in paths, so that a path is of bounded length; their texts belong to the element above.
+MAX_DEPTH = 200
 #: Share of a host's text, or of a template's, from which a marked element encloses the article rather than boilerplate.
 MOST = 0.6
 MAIN_TAGS, MAIN_WORDS = {"article", "main"}, {"article", "content", "entry", "main", "post", "story"}
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>"[^"]*+"|'[^']*+'|[^'">])*+)>|[^<]++|<""", re.DOTALL)
-_attribute = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_attribute = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_quoted = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
 _words = re.compile(r"[a-z]+")
 _space = re.compile(r"\s+")
 
@@ -81,7 +84,7 @@ def _label(name: str, attributes: str) -> tuple[str, str]:
         return name, "!" if firm else "~" if name == "form" else ""
     values = [(m[2] or m[3] or m[4] or "").lower() for m in _attribute.finditer(attributes) if name not in TEXT_TAGS or m[1].lower() != "id"]
     words = [w for v in values for w in _words.findall(v)]
-    hidden = re.search(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", attributes, re.IGNORECASE) is not None
+    hidden = re.search(r"\shidden(?=[\s=/]|$)", " " + _quoted.sub("", attributes), re.IGNORECASE) is not None or re.search(r"display\s*:\s*none", attributes, re.IGNORECASE) is not None
     named = name not in ("html", "body") and any(_is_boilerplate(c) for v in values for c in v.split())
     return (f"{name}.{words[0]}" if words else name), "!" if firm or hidden else "~" if named or name == "form" else ""
 
@@ -94,7 +97,7 @@ def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
     contents of raw elements are left out; references are not yet decoded.
     """
     page = page or ""
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str]] = []  # names, and paths from the root
     at, end = 0, len(page)
     while at < end:
         m = _token.match(page, at)
@@ -102,7 +105,7 @@ def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
         name = m[2]
         if name is None:
             if m[0][0] != "<" or m[0] == "<":
-                yield "text", ">".join(x for _, x in stack), m[0]
+                yield "text", stack[-1][1] if stack else "", m[0]
             continue
         name = name.lower()
         if m[1]:
@@ -130,7 +133,8 @@ def stream(page: str | None) -> Iterator[tuple[str, str, str]]:
             if stack[k][0] in BLOCKS and stack[k][0] != "p":
                 break
         if name in BLOCKS or off:
-            stack.append((name, label + off))
+            above = stack[-1][1] if stack else ""
+            stack.append((name, above if len(stack) >= MAX_DEPTH else f"{above}>{label}{off}" if stack else label + off))
         if name in BLOCKS:
             yield "open", label, ""
 

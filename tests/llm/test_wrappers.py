@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -153,3 +154,29 @@ def test_copies_of_a_page_are_no_template(spark):
 def test_marks_that_are_no_boilerplate(spark, page, text):
     pages = spark.createDataFrame([(1, "http://h.example/1", page), (2, "http://h.example/2", page)], "page_id long, url string, html string")
     assert [r.text for r in w.extract(pages).collect()] == [text, text]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><article style="overflow:hidden"><p>Kept text.</p></article></body>',
+        '<body><article style="overflow: hidden"><p>Kept text.</p></article></body>',
+        '<body><article class="post no-comments"><p>Kept text.</p></article></body>',
+        '<body><main class="content has-sidebar"><p>Kept text.</p></main></body>',
+        '<body><article><p data-id="ad-17">Kept text.</p></article></body>',
+        '<body><article id="search-for-meaning"><p>Kept text.</p></article></body>',
+        "<body><article><address>Kept text.</address></article></body>",
+        "<body><article><p><math><mi>Kept text.</mi></math></p></article></body>",
+        "<body><article><p>Kept text.</p><p hidden>Lost.</p><p style='display: none'>Lost.</p></article></body>",
+    ],
+)
+def test_articles_are_not_lost_to_a_word(spark, page):
+    rows = w.extract(spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")).collect()
+    assert [r.text for r in rows] == ["Kept text."]
+
+
+def test_very_deep_pages(spark):
+    began = time.time()
+    page = "<body><article>" + "<div>" * 20000 + "Deep text." + "</div>" * 20000 + "</article></body>"
+    assert w.main_text(page, {s for k, s, _ in w.stream(page) if k == "text"}) == "Deep text."
+    assert time.time() - began < 60
