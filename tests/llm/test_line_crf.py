@@ -66,3 +66,45 @@ def test_only_usable_labels_count(spark, sf_dir):
     one = c.train(docs, labels)
     spoiled = labels.selectExpr("doc_id", "IF(crc32(CAST(CAST(doc_id AS string) AS binary)) % 3 = 1, 1 - quality, quality) AS quality")
     assert np.allclose(one.weights, c.train(docs, spoiled).weights)
+
+
+def test_a_bad_block_in_a_good_text_is_labelled_line_by_line(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    field = c.train(docs, labels)
+    rows = [r for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    junk = next(r.text for r in rows if r.quality == 0 and "###" in r.text and r.text.count("\n") >= 4).split("\n")[:5]
+    seen = 0
+    for r in rows:
+        lines = r.text.split("\n")
+        if r.quality == 1 and len(lines) >= 6:
+            good, _, _ = field.lines(["\n".join([*lines[:3], *junk, *lines[3:]])])
+            seen += 1
+            assert [bool(g >= 0.5) for g in good[:3]] + [bool(g >= 0.5) for g in good[8:]] == [True] * len(lines)
+            assert not (good[3:8] >= 0.5).any()
+    assert seen >= 3
+
+
+def test_constraints_hold_and_cost_nothing_where_they_hold_already():
+    rng = np.random.default_rng(4)
+    lengths, width = [4, 1, 7, 3], len(c.line_features("a")[0][0])
+    features = np.abs(rng.normal(size=(15, width)))
+    chains, labels = c.Chains(lengths), np.array([1, 1, 0, 0])
+    field = c.Field(rng.normal(size=width) / 4, np.zeros((2, 2)))
+    placed = chains.by_place(features)
+    plain, bound = placed @ field.weights, c.constrained(field, placed, chains, labels)
+    length = np.expm1(10 * placed[:, c._SIZE]) + 1
+    good = 1 / (1 + np.exp(-bound))
+    for k, y in enumerate(labels[chains.order]):
+        mine = chains.rank == k
+        share = (good[mine] * length[mine]).sum() / length[mine].sum()
+        assert share >= c.GOOD_SHARE - 1e-9 if y else share <= c.BAD_SHARE + 1e-9
+        was = ((1 / (1 + np.exp(-plain[mine]))) * length[mine]).sum() / length[mine].sum()
+        assert not (was >= c.GOOD_SHARE if y else was <= c.BAD_SHARE) or np.allclose(bound[mine], plain[mine])
+
+
+def test_parts_of_a_long_text_have_the_features_of_the_whole():
+    text = "\n".join(f"line {i % 7} of ### {'x' * (i % 5)}!" for i in range(53))
+    whole, sizes = c.line_features(text)
+    parts = list(c.line_parts(text, 10))
+    assert np.array_equal(np.vstack([x for x, _ in parts]), whole) and np.array_equal(np.concatenate([n for _, n in parts]), sizes)
+    assert c.Field(np.ones(whole.shape[1]) / 9, np.eye(2)).scores(["\n" * 400000])[0] <= 1
