@@ -34,6 +34,8 @@ FIRST_STEPS, STEPS, TOLERANCE = 2, 12, 1e-3
 #: A cell's estimates are averaged with its language's, and a language's with all texts', which count like so many texts.
 PRIOR = 20
 _BINS_PER_UNIT = 32
+#: Up to so many rows of estimates (200 bytes each) are sent to every task; more are joined by shuffle but for the heaviest cells.
+BROADCAST_CELLS = 20_000
 _D = list(COORDINATES)
 
 
@@ -99,12 +101,13 @@ _STARTS = 3
 
 def _moments(factor: float) -> list[Column]:
     """Centre and scatter from ``n``, sums ``s{i}`` and sums of products ``s{i}{j}``, with the squared floors on the diagonal."""
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(len(_D))]
-    return [m.alias(f"m{i}") for i, m in enumerate(mean)] + [(factor * (F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]) + (COORDINATES[_D[i]] ** 2 if i == j else 0.0)).alias(f"v{i}{j}") for i, j in _PAIRS]
+    mean = [f"s{i} / n AS m{i}" for i in range(len(_D))]
+    floor = lambda i, j: f" + {COORDINATES[_D[i]] ** 2}D" if i == j else ""
+    return [F.expr(x) for x in mean + [f"{factor}D * (s{i}{j} / n - (s{i} / n) * (s{j} / n)){floor(i, j)} AS v{i}{j}" for i, j in _PAIRS]]
 
 
 def _sums() -> list[Column]:
-    return [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(_D)], *[F.sum(F.col(_D[i]) * F.col(_D[j])).alias(f"s{i}{j}") for i, j in _PAIRS]]
+    return [F.expr(x) for x in ["count(*) AS n", *[f"sum({c}) AS s{i}" for i, c in enumerate(_D)], *[f"sum({_D[i]} * {_D[j]}) AS s{i}{j}" for i, j in _PAIRS]]]
 
 
 def _starts(vectors: DataFrame) -> DataFrame:
@@ -122,48 +125,48 @@ def _starts(vectors: DataFrame) -> DataFrame:
     quartiles = spread.groupBy("cell").agg(*centre, *scale).withColumns(flat).join(sums.select("cell", "n"), "cell").select("cell", F.lit(0).alias("start"), "n", *_MOMENTS)
     floors = quartiles.withColumns({f"v{j}{j}": F.lit(COORDINATES[c] ** 2) for j, c in enumerate(_D)}).withColumn("start", F.lit(1))
     whole = sums.select("cell", F.lit(2).alias("start"), "n", *_moments(1.0))
-    return checkpointed(quartiles.unionByName(floors).unionByName(whole))
+    return quartiles.unionByName(floors).unionByName(whole)
 
 
 def _factored(cells: DataFrame) -> DataFrame:
-    """``cells`` with the factor ``l{i}{j}`` and ``logdet``, the log determinant."""
+    """``cells`` with the scatter's Cholesky factor ``l{i}{j}`` (with the squared floors on its diagonal it is never singular) and ``logdet``."""
+    made = []
     for i, j in _PAIRS:
-        rest = F.col(f"v{i}{j}")
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        cells = cells.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return cells.withColumn("logdet", sum((2 * F.log(f"l{i}{i}") for i in range(1, len(_D))), 2 * F.log("l00")))
+        rest = f"v{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        made.append(f"sqrt({rest}) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return cells.selectExpr("*", *made, " + ".join(f"2 * ln(l{i}{i})" for i in range(len(_D))) + " AS logdet")
 
 
-def _with_distance(rows: DataFrame, vector: list[Column]) -> DataFrame:
+def _with_distance(rows: DataFrame, vector: list[str]) -> DataFrame:
     """``rows``, which have a cell's ``m{i}`` and ``l{i}{j}``, with ``d2``: the squared Mahalanobis distance of ``vector``, by forward substitution."""
-    columns = rows.columns
-    for i, c in enumerate(vector):
-        rest = c - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        rows = rows.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    return rows.select(*columns, sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(_D))), F.col("y0") * F.col("y0")).alias("d2"))
+    made = [f"({c} - m{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i} AS y{i}" for i, c in enumerate(vector)]
+    return rows.selectExpr("*", *made, " + ".join(f"y{i} * y{i}" for i in range(len(_D))) + " AS d2").drop(*[f"y{i}" for i in range(len(_D))])
 
 
-def _concentrate(vectors: DataFrame, cells: DataFrame, total: int) -> DataFrame:
-    """One concentration step for ``cells (cell, start, n, ...)``: mean and scatter of the SHARE of each cell's vectors that lie closest.
+def _joined(rows: DataFrame, cells: DataFrame, keys: list[str], total: int, few: bool) -> DataFrame:
+    """``rows`` with their cell's estimates: ``few`` cells are broadcast, else only the heaviest of them."""
+    return rows.join(F.broadcast(cells.drop("n")), keys) if few else join_unique(rows, cells, keys, total)
+
+
+def _concentrate(vectors: DataFrame, cells: DataFrame, total: int, few: bool) -> DataFrame:
+    """One concentration step for ``cells (cell, start, n, ...)``: mean and scatter of the SHARE of each cell's vectors that lie closest, factored, and the log determinant that ``was`` before.
 
     Sums by cell and bin of distance are written out first, so that only bins
     meet in a cell's task, never its rows, however many tasks there are.
     """
-    begun = vectors.withColumn("start", F.explode(F.array(*[F.lit(s) for s in range(_STARTS)]))) if "start" not in vectors.columns else vectors
-    joined = join_unique(begun, _factored(cells).drop("logdet", *_MOMENTS[len(_D) :]), ["cell", "start"], total)
+    estimates = cells.select("cell", "start", "n", *[c for c in cells.columns if c[0] in "ml" and c[1:].isdigit()])
+    joined = _joined(vectors, estimates, ["cell", "start"], total, few)
     near = F.floor(F.log2(F.col("d2") + 1e-9) * _BINS_PER_UNIT).alias("bin")
-    placed = _with_distance(joined, [F.col(c) for c in _D]).select("cell", "start", *_D, near)
+    placed = _with_distance(joined, _D).select("cell", "start", *_D, near)
     binned = checkpointed(placed.groupBy("cell", "start", "bin").agg(*_sums()))
     key = ["cell", "start"]
     before = F.sum("n").over(Window.partitionBy(*key).orderBy("bin")) - F.col("n")
     whole = F.sum("n").over(Window.partitionBy(*key))
-    closest = binned.withColumns({"before": before, "whole": whole}).where(F.col("before") < SHARE * F.col("whole"))
+    closest = binned.select("*", before.alias("before"), whole.alias("whole")).where(F.col("before") < SHARE * F.col("whole"))
     names = ["n", *[f"s{i}" for i in range(len(_D))], *[f"s{i}{j}" for i, j in _PAIRS]]
     sums = closest.groupBy(*key).agg(F.max("whole").alias("all"), *[F.sum(c).alias(c) for c in names])
-    return checkpointed(sums.select(*key, F.col("all").alias("n"), *_moments(CONSISTENCY)))
+    made = _factored(sums.select(*key, F.col("all").alias("n"), *_moments(CONSISTENCY)))
+    return checkpointed(made.join(cells.select(*key, F.col("logdet").alias("was")), key))
 
 
 def judge(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -186,8 +189,8 @@ def judge(docs: DataFrame, with_text: bool = True) -> DataFrame:
     named = measured.select(F.struct(*[F.col(f"`{c}`") for c in measured.columns]).alias("own"), _failed().alias("base_failed"), *_cell_key(), *_vector())
     passing, failed = named.where("NOT base_failed"), named.where("base_failed")
     factors = _estimates(passing.select("lang", "source", *_D))
-    total = factors.agg(F.sum("n")).first()[0] or 0
-    placed = _with_distance(join_unique(passing, factors, ["lang", "source"], total), [F.col(c) for c in _D])
+    count, total = factors.agg(F.count("*"), F.sum("n")).first()
+    placed = _with_distance(_joined(passing, factors, ["lang", "source"], total or 0, count <= BROADCAST_CELLS), _D)
     verdict = placed.select("own.*", "base_failed", (F.col("d2") <= CUTOFF).alias("kept"), F.sqrt("d2").alias("distance"))
     return verdict.unionByName(failed.select("own.*", "base_failed", F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
 
@@ -205,18 +208,24 @@ def _estimates(passing: DataFrame) -> DataFrame:
     """``(lang, source, n, m{i}, l{i}{j})``: centre and factored scatter for every cell of ``passing (lang, source, coordinates)``."""
     star = F.lit("*")
     levels = F.array(*[F.struct(a.alias("lang"), b.alias("source")) for a, b in ((star, star), (F.col("lang"), star), (F.col("lang"), F.col("source")))])
-    vectors = passing.select(F.explode(levels).alias("cell"), *_D)
-    cells = _starts(vectors)
-    total = (cells.where("start = 0").agg(F.sum("n")).first()[0] or 0) * _STARTS
+    named = passing.select(F.explode(levels).alias("name"), *_D)
+    # Cells go by a hash of their name from here on; vectors are numbers, written out once for all steps.
+    number = F.xxhash64("name").alias("cell")
+    names = named.select(number, "name.lang", "name.source").distinct()
+    vectors = checkpointed(named.select(number, *_D))
+    cells = checkpointed(_factored(_starts(vectors)))
+    count, total = cells.agg(F.count("*"), F.sum("n")).first()
+    few = count <= BROADCAST_CELLS
+    begun = vectors.select("*", F.explode(F.array(*[F.lit(k) for k in range(_STARTS)])).alias("start"))
     for _ in range(FIRST_STEPS):
-        cells = _concentrate(vectors, cells, total)
-    best = _factored(cells).groupBy("cell").agg(F.min(F.struct("logdet", "start", "n", *_MOMENTS)).alias("b"))
-    cells = checkpointed(best.select("cell", F.lit(0).alias("start"), *[F.col(f"b.{c}").alias(c) for c in ("n", *_MOMENTS)]))
+        cells = _concentrate(begun, cells, total or 0, few)
+    kept = ["n", *_MOMENTS, *[f"l{i}{j}" for i, j in _PAIRS]]
+    best = cells.groupBy("cell").agg(F.min(F.struct("logdet", "start", *kept)).alias("b"))
+    cells = checkpointed(best.select("cell", F.lit(0).alias("start"), "b.logdet", *[F.col(f"b.{c}").alias(c) for c in kept]))
     one = vectors.withColumn("start", F.lit(0))
     for _ in range(STEPS):
-        before, cells = cells, _concentrate(one, cells, total)
-        moved = _factored(cells).select("cell", "logdet").join(_factored(before).select("cell", F.col("logdet").alias("was")), "cell")
-        if not moved.where(F.abs(F.col("logdet") - F.col("was")) > TOLERANCE).limit(1).count():
+        cells = _concentrate(one, cells, total or 0, few)
+        if not (cells.agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0] or 0) > TOLERANCE:
             break
 
     def leaning(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
@@ -225,7 +234,7 @@ def _estimates(passing: DataFrame) -> DataFrame:
         both = own.join(wide, keys) if keys else own.crossJoin(F.broadcast(wide))  # without keys: one row
         return both.select("lang", "source", "n", *[(weight * F.col(c) + (1 - weight) * F.col(f"above_{c}")).alias(c) for c in _MOMENTS])
 
-    flat = cells.select("cell.lang", "cell.source", "n", *_MOMENTS)
+    flat = cells.join(names, "cell").select("lang", "source", "n", *_MOMENTS)
     by_lang = leaning(flat.where("lang != '*' AND source = '*'"), flat.where("lang = '*'"), [])
     by_cell = leaning(flat.where("source != '*'"), by_lang, ["lang"])
     return checkpointed(_factored(by_cell).drop("logdet", *_MOMENTS[len(_D) :]))
