@@ -8,34 +8,33 @@ from pyspark.sql import functions as F
 _SEASON = ["League", "Season"]
 
 
-def standings(long: DataFrame) -> DataFrame:
-    """``(League, Season, day, Team, points, gd, gf, rank)`` of every club with a completed match before a match day."""
-    played = long.where("played = 1").select(*_SEASON, "day", "Team", F.col("points").alias("p"), F.col("goal_diff").alias("d"), F.col("goals_for").alias("g"))
-    clubs = played.groupBy(*_SEASON, "Team").agg(F.min("day").alias("first_day"))
-    days = long.select(*_SEASON, "day").distinct()
-    none = [F.lit(0.0).alias(c) for c in "pdg"]
-    grid = days.join(clubs, _SEASON).where("first_day < day").select(*_SEASON, "day", "Team", *none, F.lit(True).alias("asked"))
-    earlier = Window.partitionBy(*_SEASON, "Team").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    totals = grid.unionByName(played.withColumn("asked", F.lit(False))).withColumns({c: F.sum(c).over(earlier) for c in "pdg"}).where("asked")
-    rank = F.row_number().over(Window.partitionBy(*_SEASON, "day").orderBy(F.desc("p"), F.desc("d"), F.desc("g"), "Team"))
-    return totals.select(*_SEASON, "day", "Team", "p", "d", "g", rank.alias("rank"))
-
-
 def positions(long: DataFrame) -> DataFrame:
     """``(League, MatchDate, Team, position)`` for every row of ``long``, among the clubs known by then and both opponents.
 
-    Clubs rank by points, goal difference, goals, then name. A club without a
-    completed match this season stands with nothing won.
+    A club is known on a day if it completed a match of the season before it.
+    Clubs rank by points, goal difference, goals, then name. A club that isn't
+    known stands with nothing won. One grid of days and clubs is summed and
+    ranked, with the unknown clubs that play that day in it, who count for
+    nobody's rank but their own.
     """
-    table = standings(long)
-    rows = long.select(*_SEASON, "MatchDate", "day", "Team", "Opponent")
-    own = table.select(*_SEASON, "day", "Team", "p", "d", "g", "rank")
-    theirs = table.select(*_SEASON, "day", F.col("Team").alias("Opponent"), F.lit(True).alias("known"))
-    met = rows.join(own, [*_SEASON, "day", "Team"], "left").join(theirs, [*_SEASON, "day", "Opponent"], "left")
-    ahead = lambda t: F.expr(f"(0 < {t}.p) OR ({t}.p = 0 AND (0 < {t}.d OR ({t}.d = 0 AND (0 < {t}.g OR ({t}.g = 0 AND {t}.Team < r.Team)))))")
-    new = met.where("rank IS NULL").select(*_SEASON, "day", "Team").alias("r")
-    above = new.join(table.alias("t"), _SEASON + ["day"]).where(ahead("t")).groupBy("League", "Season", "day", "r.Team").agg(F.count("*").alias("above"))
-    met = met.join(above, [*_SEASON, "day", "Team"], "left")
-    base = F.coalesce("rank", 1 + F.coalesce("above", F.lit(0)))
-    nothing = F.expr("coalesce(p, 0) < 0 OR (coalesce(p, 0) = 0 AND (coalesce(d, 0) < 0 OR (coalesce(d, 0) = 0 AND (coalesce(g, 0) < 0 OR (coalesce(g, 0) = 0 AND Opponent < Team)))))")
-    return met.select("League", "MatchDate", "Team", (base + F.when(F.col("known").isNull() & nothing, 1).otherwise(0)).cast("int").alias("position"))
+    played = long.where("played = 1").select(*_SEASON, "day", "Team", F.col("points").alias("p"), F.col("goal_diff").alias("d"), F.col("goals_for").alias("g"))
+    clubs = played.groupBy(*_SEASON, "Team").agg(F.min("day").alias("first_day"))
+    rows = long.select(*_SEASON, "MatchDate", "day", "Team", "Opponent").join(clubs, [*_SEASON, "Team"], "left")
+    rows = rows.join(clubs.select(*_SEASON, F.col("Team").alias("Opponent"), F.col("first_day").alias("other_day")), [*_SEASON, "Opponent"], "left")
+    known, other = F.coalesce(F.col("first_day") < F.col("day"), F.lit(False)), F.coalesce(F.col("other_day") < F.col("day"), F.lit(False))
+    rows = rows.select(*_SEASON, "MatchDate", "day", "Team", "Opponent", known.alias("known"), other.alias("other_known"))
+
+    none = [F.lit(0.0).alias(c) for c in "pdg"]
+    days = rows.select(*_SEASON, "day").distinct()
+    grid = days.join(clubs, _SEASON).where("first_day < day").select(*_SEASON, "day", "Team", *none, F.lit(True).alias("asked"), F.lit(1).alias("counts"))
+    new = rows.where("NOT known").select(*_SEASON, "day", "Team", *none, F.lit(True).alias("asked"), F.lit(0).alias("counts")).distinct()
+    earlier = Window.partitionBy(*_SEASON, "Team").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    places = grid.unionByName(new).unionByName(played.withColumns({"asked": F.lit(False), "counts": F.lit(0)}))
+    totals = places.withColumns({c: F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) for c in "pdg"}).where("asked")
+    ahead = Window.partitionBy(*_SEASON, "day").orderBy(F.desc("p"), F.desc("d"), F.desc("g"), "Team").rowsBetween(Window.unboundedPreceding, -1)
+    table = totals.select(*_SEASON, "day", "Team", "p", "d", "g", (1 + F.coalesce(F.sum("counts").over(ahead), F.lit(0))).alias("rank"))
+
+    # An unknown opponent is in the table of this match too, with nothing won.
+    nothing = F.expr("p < 0 OR (p = 0 AND (d < 0 OR (d = 0 AND (g < 0 OR (g = 0 AND Opponent < Team)))))")
+    met = rows.join(table, [*_SEASON, "day", "Team"])
+    return met.select("League", "MatchDate", "Team", (F.col("rank") + F.when(~F.col("other_known") & nothing, 1).otherwise(0)).cast("int").alias("position"))

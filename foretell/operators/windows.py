@@ -42,8 +42,12 @@ def match_windows(long: DataFrame) -> DataFrame:
         "__sot_pair": F.when(F.col("sot_against").isNotNull(), F.col("sot")), "__sot_both": F.col("sot") + F.col("sot_against"),
         "__sot_lead": F.col("sot") - F.col("sot_against"),
     })
-    recent = before(team, -HISTORY_DAYS)
-    rows = rows.withColumns({f"{name}_ewm": F.sum(F.col(m) * F.col("__weight")).over(recent) / F.sum(F.when(F.col(m).isNotNull(), F.col("__weight"))).over(recent) for name, m in EWM.items()})
+    # Running sums as of yesterday less those as of HISTORY_DAYS ago: both frames only grow, so a team's rows are added up once.
+    # What is taken away weighs less than 2^-18 of what stays of the same size, so no digits are lost.
+    older = before(team, Window.unboundedPreceding).rangeBetween(Window.unboundedPreceding, -HISTORY_DAYS - 1)
+    recent = lambda x: F.coalesce(F.sum(x).over(ever), F.lit(0.0)) - F.coalesce(F.sum(x).over(older), F.lit(0.0))
+    seen = lambda m: F.count(m).over(ever) > F.count(m).over(older)
+    rows = rows.withColumns({f"{name}_ewm": F.when(seen(m), recent(F.col(m) * F.col("__weight")) / recent(F.when(F.col(m).isNotNull(), F.col("__weight")))) for name, m in EWM.items()})
     f = {k: _last(team, k) for k in (3, 5, 8, 10)}
     mean = lambda m, k: F.avg(m).over(f[k])
     rows = rows.withColumns(

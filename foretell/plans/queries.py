@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from foretell.operators.ratings import count_ratings, elo
 from foretell.operators.standings import positions
 from foretell.operators.team import team_frame, team_history
 from foretell.operators.windows import league_level, match_windows
+from foretell.plans.keep import kept
 from foretell.schema import CONTEXT, EWM, FEATURE_GROUPS, MOMENTA, RATES, RESULTS, SCOPES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
 from foretell.sources.derived import matches
 
@@ -52,10 +52,17 @@ def _priced(spark: SparkSession, sf: str) -> DataFrame:
     return betting.join_market(model, betting.build_market(rows))
 
 
-@lru_cache(maxsize=4)
+def _matches(spark: SparkSession, sf: str) -> DataFrame:
+    return kept(spark, sf, "matches", lambda: matches(spark, sf))
+
+
 def _engineered(spark: SparkSession, sf: str) -> DataFrame:
-    """Made once a session and kept, in memory or on disk, as fits read it again and again; so is the match table behind it."""
-    return engineer_features(matches(spark, sf).persist(), check=False).persist()
+    """Made once a session, as fits read it again and again; so is the match table behind it."""
+    return kept(spark, sf, "features", lambda: engineer_features(_matches(spark, sf), check=False))
+
+
+def _team_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return kept(spark, sf, "team", lambda: team_frame(_matches(spark, sf), _engineered(spark, sf)))
 
 
 def s8_matches(spark, sf):
@@ -118,11 +125,11 @@ def c1_count_ratings(spark, sf):
 
 
 def features(spark, sf):
-    return engineer_features(matches(spark, sf).persist(), check=False)
+    return engineer_features(_matches(spark, sf), check=False)
 
 
 def j1_team_frame(spark, sf):
-    return team_frame(matches(spark, sf), _engineered(spark, sf))
+    return team_frame(_matches(spark, sf), _engineered(spark, sf))
 
 
 def a4_priors(spark, sf):
@@ -223,12 +230,12 @@ def m4_forest(spark, sf):
 
 
 def m8_team_model(spark, sf):
-    train, test = models.split_by_season(j1_team_frame(spark, sf).persist(), FIRST_SEASON)
+    train, test = models.split_by_season(_team_frame(spark, sf), FIRST_SEASON)
     return models.with_team_predictions(models.fit_team_logistic(train), test).select("MatchId", "Team", "Target", "Predicted", "ProbabilityLoss", "ProbabilityDraw", "ProbabilityWin", "Correct")
 
 
 def m10_explanation(spark, sf):
-    train, test = models.split_by_season(j1_team_frame(spark, sf).persist(), FIRST_SEASON)
+    train, test = models.split_by_season(_team_frame(spark, sf), FIRST_SEASON)
     return models.explain(models.fit_team_logistic(train), test, keys=["MatchId", "Team"])
 
 
@@ -257,7 +264,7 @@ def e7_report_metrics(spark, sf):
 
 
 def e8_season_walk_forward(spark, sf):
-    return experiments.season_walk_forward(j1_team_frame(spark, sf).persist(), "1997")
+    return experiments.season_walk_forward(_team_frame(spark, sf), "1997")
 
 
 def e13_catalog(spark, sf):
