@@ -30,11 +30,11 @@ def _rows(spark: SparkSession, records: list[dict], schema: str) -> DataFrame:
 def walk_forward_blocks(dates: list, n_splits: int = 3) -> tuple[list[tuple], object]:
     """``(first, last)`` date of each evaluation block, and the first date of the untouched last 15 %."""
     if n_splits < 1:
-        raise ValueError("n_splits must be positive")
+        raise ValueError("at least one fold is needed")
     holdout = min(int(len(dates) * 0.85), len(dates) - 1)
     development = dates[:holdout]
     if len(development) < 2 * (n_splits + 1):
-        raise ValueError("Too few distinct dates for the requested walk-forward comparison")
+        raise ValueError("there are fewer days than the folds need")
     rest = development[len(development) // 2 :]
     size, longer = divmod(len(rest), n_splits)
     cuts = np.cumsum([0] + [size + (k < longer) for k in range(n_splits)])
@@ -135,7 +135,7 @@ def univariate_predictions(rows: DataFrame, fits: dict[str, dict], priors: list[
 def _priors(train: DataFrame) -> list[float]:
     priors = list(class_priors(train, "target_label").first())
     if sum(p > 0 for p in priors) < 2:
-        raise ValueError("Training data needs at least two result classes")
+        raise ValueError("all training rows have one outcome")
     return priors
 
 
@@ -214,7 +214,7 @@ def subset_search(engineered: DataFrame, features: list[str], n: int = 50, least
     for number, subset in enumerate(subsets, 1):
         model = fit_logistic(parts["train"], list(subset))
         for name, part in parts.items():
-            row = all_metrics(_as_predictions(model.predict(part))).withColumns({"simulation": F.lit(number), "partition": F.lit(name), "features": F.array(*map(F.lit, subset)), "n_features": F.lit(len(subset)), "status": F.lit("OK"), "log_loss_gain": dummies[name] - F.col("log_loss")})
+            row = all_metrics(_as_predictions(model.predict(part))).withColumns({"simulation": F.lit(number), "partition": F.lit(name), "features": F.array(*map(F.lit, subset)), "n_features": F.lit(len(subset)), "status": F.lit("OK" if model.converged else "not converged"), "log_loss_gain": dummies[name] - F.col("log_loss")})
             out = row if out is None else out.unionByName(row)
         if progress:
             progress(number, len(subsets))
@@ -258,5 +258,5 @@ def season_walk_forward(team: DataFrame, first_test_season: str) -> DataFrame:
         part = pooled(with_team_predictions(fit_team_logistic(train), rows.where(F.col("Season") == season)))
         out = part if out is None else out.union(part)
     if out is None:
-        raise ValueError("No season could be both trained and tested")
+        raise ValueError("no season has both earlier results and its own")
     return out

@@ -22,7 +22,7 @@ def modeling_data(engineered: DataFrame, columns: list[str] | None = None) -> tu
     """Rows with a result and a date, and the canonical feature columns; missing statistics stay missing."""
     columns = canonical(FEATURE_GROUPS["all_features"] if columns is None else columns)
     if missing := sorted(set(columns) - set(engineered.columns)):
-        raise ValueError(f"Missing engineered features: {missing}")
+        raise ValueError(f"the frame lacks the features {missing}")
     rows = engineered.where(F.col("target_label").isin(0, 1, 2) & F.col("MatchDate").isNotNull())
     return rows.withColumn("target_label", F.col("target_label").cast("int")), columns
 
@@ -35,16 +35,16 @@ def distinct_dates(data: DataFrame) -> list:
 def time_split(data: DataFrame, train_end_year: int = 2022, validation_end_year: int = 2024) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train, validation and test by year; by 65 % and 85 % of the dates if one of them would be empty."""
     if train_end_year >= validation_end_year:
-        raise ValueError("train_end_year must precede val_end_year")
+        raise ValueError("validation has to end after training")
     year = F.year("MatchDate")
     found = data.agg(F.count_if(F.col("MatchDate").isNull()), F.count_if(year <= train_end_year), F.count_if((year > train_end_year) & (year <= validation_end_year)), F.count_if(year > validation_end_year)).first()
     if found[0]:
-        raise ValueError("Time splits require valid match dates")
+        raise ValueError("rows without a date can't be split by time")
     if all(found[1:]):
         return data.where(year <= train_end_year), data.where((year > train_end_year) & (year <= validation_end_year)), data.where(year > validation_end_year)
     dates = distinct_dates(data)
     if len(dates) < 3:
-        raise ValueError("At least three distinct match dates are needed for disjoint train/validation/test sets")
+        raise ValueError(f"{len(dates)} days are too few for three parts")
     first = min(max(1, int(len(dates) * 0.65)), len(dates) - 2)
     second = min(max(first + 1, int(len(dates) * 0.85)), len(dates) - 1)
     day = F.col("MatchDate")
@@ -115,6 +115,8 @@ class Model:
     classes: list[int]
     fitted: LogisticRegressionModel | RandomForestClassificationModel
     columns: list[str]
+    #: Whether the optimiser came to rest before its last iteration; forests always do.
+    converged: bool = True
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` and p0, p1, p2; 0 for classes that training lacked."""
@@ -135,7 +137,7 @@ def _labelled(train: DataFrame, label: str) -> tuple[DataFrame, list[int], int,
     counts = {r[0]: r[1] for r in train.groupBy(F.col(label).cast("int")).count().collect() if r[0] is not None}
     classes = sorted(counts)
     if len(classes) < 2:
-        raise ValueError("Training data needs at least two result classes")
+        raise ValueError("all training rows have one outcome")
     place = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("int")) - 1
     return train.withColumn("__label", place.cast("double")), classes, sum(counts.values()), counts
 
@@ -154,7 +156,7 @@ def fit_logistic(train: DataFrame, columns: list[str], c: float = 1.0, label: st
         fitted = LogisticRegression(labelCol="__label", weightCol="__weight", family="multinomial" if len(classes) > 2 else "binomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(rows)
     finally:
         rows.unpersist()
-    return Model(encoder, classes, fitted, list(columns))
+    return Model(encoder, classes, fitted, list(columns), fitted.summary.totalIterations < max_iter)
 
 
 def fit_forest(train: DataFrame, columns: list[str], label: str = "target_label", trees: int = 300, depth: int = 8, leaf: int = 5, seed: int = 42) -> Model:
@@ -203,7 +205,7 @@ def split_by_season(team: DataFrame, test_season: str) -> tuple[DataFrame, DataF
 def fit_team_logistic(train: DataFrame, feature_set: str | None = None, c: float | None = None, balanced: bool = False) -> Model:
     columns = team_columns(feature_set)
     if missing := [x for x in columns if x not in train.columns]:
-        raise ValueError(f"Missing model features: {missing}")
+        raise ValueError(f"the team frame lacks {missing}")
     rows = train if "target_label" in train.columns else with_team_label(train)
     return fit_logistic(rows, columns, c or BEST_LOGISTIC["C"], prune_at=PRUNE_AT, drop_if_binary=True, balanced=balanced)
 

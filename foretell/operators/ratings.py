@@ -65,7 +65,7 @@ def _stream(rows: DataFrame, keys: list[str], start: Callable, fields: list[str]
 def elo(prepared: DataFrame, home_advantage: float = HOME_ADVANTAGE) -> DataFrame:
     """``(League, MatchDate, HomeTeam, AwayTeam, home_elo, away_elo, home_elo_expected)`` before each match."""
     if not math.isfinite(home_advantage):
-        raise ValueError("elo_home_advantage must be finite")
+        raise ValueError("the home advantage is not a finite number")
 
     def start(_league):
         ratings: dict[str, float] = {}

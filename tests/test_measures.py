@@ -1,12 +1,17 @@
 """Metrics, bets, sources and models on closed-form cases."""
 
+import datetime as dt
+import http.server
+import os
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foretell.operators import betting, catalog, experiments, metrics, models
 from foretell.schema import FEATURE_GROUPS, FEATURES
-from foretell.sources.season_files import ODDS_COLUMNS, cached_season, get_trusted, parse_season_files, season_code, season_label
+from foretell.sources.season_files import ODDS_COLUMNS, UntrustedHost, cached_season, get_trusted, load_matches, parse_season_files, season_code, season_label
 
 
 def test_registries():
@@ -42,6 +47,7 @@ def test_logistic_is_stationary_and_univariate_fit_agrees(spark):
     one = models.fit_logistic(train, ["x"]).predict(train).select("p0", "p1", "p2").collect()
     two = experiments.univariate_predictions(train, {"x": fit}, [1 / 3] * 3).select("p0", "p1", "p2").collect()
     assert np.abs(np.array(one) - np.array(two)).max() < 1e-4
+    assert models.fit_logistic(train, ["x"]).converged and not models.fit_logistic(train, ["x"], max_iter=1).converged
     with pytest.raises(ValueError):
         models.fit_logistic(train.where("target_label = 1"), ["x"])
 
@@ -64,18 +70,58 @@ def test_season_file(spark, tmp_path):
     assert cached_season(2002, "E0", tmp_path, None) == path
 
 
-def test_untrusted_redirects_are_refused():
-    import email.message
-    import urllib.error
-
-    headers = email.message.Message()
-    headers["location"] = "http://127.0.0.1/x"
-
-    def answer(url, timeout):
-        raise urllib.error.HTTPError(url, 302, "", headers, None)
-
-    with pytest.raises(RuntimeError, match="untrusted"):
-        get_trusted("https://example.org/a.csv", ["example.org"], answer)
+def test_redirects_are_followed_to_known_hosts_only():
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            onward = {"/known": f"http://127.0.0.1:{port}/body", "/strange": f"http://localhost:{port}/body", "/file": "file:///etc/hostname", "/round": "/round?"}.get(self.path.partition("?")[0])
+            onward = onward + self.path if onward == "/round?" else onward
+            self.send_response(302 if onward else 200)
+            if onward:
+                self.send_header("Location", onward)
+            self.end_headers()
+            self.wfile.write(b"" if onward else b"text")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    port = server.server_address[1]
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert get_trusted(f"http://127.0.0.1:{port}/known", ["127.0.0.1"]) == b"text"
+        with pytest.raises(UntrustedHost):
+            get_trusted(f"http://127.0.0.1:{port}/strange", ["127.0.0.1"])
+        for path in ("file", "round"):
+            with pytest.raises(OSError):
+                get_trusted(f"http://127.0.0.1:{port}/{path}", ["127.0.0.1"])
+    finally:
+        server.shutdown()
+
+
+def test_a_stale_copy_is_used_with_a_warning(tmp_path):
+    def broken(year, division):
+        raise OSError("no network")
+
+    today = dt.date(2025, 10, 1)
+    path = cached_season(2025, "E0", tmp_path, lambda y, d: b"Date\n", today)
+    os.utime(path, (1, 1))
+    with pytest.warns(UserWarning, match="cache"):
+        assert cached_season(2025, "E0", tmp_path, broken, today) == path
+    assert cached_season(2025, "E0", tmp_path, lambda y, d: b"new", today).read_bytes() == b"new"
+    with pytest.raises(OSError):
+        cached_season(2024, "E0", tmp_path, broken, today)
+
+
+def test_load_matches_over_files_on_disk(spark, tmp_path):
+    def fetch(year, division):
+        return f"Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR,B365H\n1/09/{year},A{division},B,2,1,H,1.5\n08/09/{year % 100:02d},B,A{division},0,0,D,\n".encode()
+
+    table = load_matches(spark, tmp_path, fetch, 2020, 2021, ["E0", "I1"], dt.date(2023, 1, 1))
+    rows = table.collect()
+    assert [(str(r.MatchDate), r.League, r.Season) for r in rows] == [("2020-09-01", "Premier League", "2020/21"), ("2020-09-01", "Serie A", "2020/21"), ("2020-09-08", "Premier League", "2020/21"), ("2020-09-08", "Serie A", "2020/21"), ("2021-09-01", "Premier League", "2021/22"), ("2021-09-01", "Serie A", "2021/22"), ("2021-09-08", "Premier League", "2021/22"), ("2021-09-08", "Serie A", "2021/22")]
+    assert rows[0].FullTimeHomeGoals == 2 and rows[0].B365H == 1.5 and rows[2].B365H is None
+    with pytest.raises(ValueError):
+        load_matches(spark, tmp_path, fetch, 2021, 2020)
 
 
 def test_catalog_covers_every_feature(spark):
