@@ -32,7 +32,7 @@ RADIUS = 2
 TILE = 2048
 _CHUNK = 1 << 16
 #: Near copies: shingles of so many words, at least this share of them in common, fingerprints at most so many bits apart.
-WIDE_WORDS, SIMILARITY, WIDE_RADIUS = 5, 0.8, 12
+WIDE_WORDS, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
 #: Bands and least hashes in a band: at a similarity of 0.8 a pair meets in one with probability 0.997.
 BANDS, BAND_ROWS = 8, 3
 #: Shingle hashes that are kept of a text to verify a link.
@@ -124,29 +124,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def _local_roots(prints: np.ndarray, radius: int) -> np.ndarray:
-    """Index of each fingerprint's root in the local link graph; at most one row of the matrix is wide at a time."""
+def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the links of a minimum spanning forest of fingerprints at most ``radius`` bits apart: fewer links than fingerprints, and of each one the shortest.
+
+    Grown node by node; one row of distances is held, never the matrix.
+    """
     n = len(prints)
-    root = np.full(n, -1)
-    for start in range(n):
-        if root[start] >= 0:
-            continue
-        root[start] = start
-        frontier = np.array([start])
-        while len(frontier):
-            open_ = np.flatnonzero(root < 0)
-            if not len(open_):
-                break
-            near = np.zeros(len(open_), bool)
-            for i in range(0, len(frontier), 256):
-                near |= (np.bitwise_count(prints[frontier[i : i + 256], None] ^ prints[None, open_]) <= radius).any(axis=0)
-            frontier = open_[near]
-            root[frontier] = start
-    return root
+    near, nearest, open_ = np.full(n, BITS + 1, np.uint8), np.zeros(n, np.int64), np.ones(n, bool)
+    ends, at = [], 0
+    for _ in range(n - 1):
+        open_[at] = False
+        bits = np.bitwise_count(prints ^ prints[at])
+        closer = open_ & (bits < near)
+        near[closer], nearest[closer] = bits[closer], at
+        at = int(np.where(open_, near, BITS + 2).argmin())
+        if near[at] <= radius:
+            ends.append((at, nearest[at]))
+    return tuple(np.array(ends, np.int64).reshape(-1, 2).T)
 
 
 def _link_batches(radius: int):
-    """Links of each row's tile (or pair of tiles), as a star from the least member of each local component."""
+    """Links of each row's tile (or pair of tiles): the shortest that connect what is connected there."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,10 +162,9 @@ def _link_batches(radius: int):
                         u.append(group[1:])
                         v.append(group[:1])
                     continue
-                root = _local_roots(bits, radius)
-                hung = np.flatnonzero(root != np.arange(len(group)))
-                u.append(group[hung])
-                v.append(group[root[hung]])
+                one, other = _forest(bits, radius)
+                u.append(group[np.maximum(one, other)])
+                v.append(group[np.minimum(one, other)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u) if u else np.array([], np.int64), pa.int64()), pa.array(np.concatenate(v) if v else np.array([], np.int64), pa.int64())], ["u", "v"])
 
     return links
@@ -194,8 +191,9 @@ def tiled_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     counts, 65 at most, are laid out in order; tiles take ``tile`` members or
     more in that order, and a count with more members than that is dealt into
     tiles by hash. Pairs of tiles are joined by the population counts that one
-    reaches and the other has. Each pair returns a star for each local
-    component, fewer rows than it has members, never all pairs.
+    reaches and the other has. Each pair returns a minimum spanning forest,
+    fewer rows than it has members, never all pairs; it holds the shortest link
+    of every member, so near copies come up with their nearest ones.
     """
     group, size = ["band", "key"], F.lit(tile)
     keyed = keyed.withColumn("pop", F.bit_count("fp").cast("int"))
