@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foretell.operators.betting import pooled
 from foretell.operators.metrics import OUTCOMES, all_metrics, calibration, class_priors, confidence_coverage, outcome_summary, probability_metrics, roc_points
-from foretell.operators.models import PROBABILITIES, distinct_dates, fit_logistic, fit_team_logistic, modeling_data, time_split, with_team_label, with_team_predictions
+from foretell.operators.models import PROBABILITIES, distinct_dates, fit_logistic, fit_logistics, fit_team_logistic, modeling_data, predict_many, time_split, with_team_label, with_team_predictions
 from foretell.schema import FEATURE_GROUPS, canonical
 
 PARTITIONS = ["train", "validation", "test"]
@@ -47,17 +47,14 @@ def walk_forward(engineered: DataFrame, groups: dict[str, list[str]] | None = No
     data, _ = modeling_data(engineered, [c for columns in groups.values() for c in columns])
     data = data.persist()
     blocks, _ = walk_forward_blocks(distinct_dates(data), n_splits)
-    folds = tables = None
-    for group, columns in groups.items():
-        evaluated = None
-        for number, (first, last) in enumerate(blocks, 1):
-            model = fit_logistic(data.where(F.col("MatchDate") < first), canonical(columns))
-            part = _as_predictions(model.predict(data.where(F.col("MatchDate").between(first, last)))).select(F.lit(group).alias("feature_group"), F.lit(number).alias("fold"), "y", *PROBABILITIES)
-            evaluated = part if evaluated is None else evaluated.union(part)
-        metrics, bins = probability_metrics(evaluated, ["feature_group", "fold"]), calibration(evaluated, ["feature_group"])
-        folds = metrics if folds is None else folds.union(metrics)
-        tables = bins if tables is None else tables.union(bins)
-    return folds, tables
+    evaluated = None
+    for number, (first, last) in enumerate(blocks, 1):
+        fitted = fit_logistics(data.where(F.col("MatchDate") < first), {group: canonical(columns) for group, columns in groups.items()})
+        block = _as_predictions(data.where(F.col("MatchDate").between(first, last))).withColumn("fold", F.lit(number))
+        part = predict_many(block, fitted, "feature_group", ["fold", "y"])
+        evaluated = part if evaluated is None else evaluated.union(part)
+    evaluated = evaluated.select("feature_group", "fold", "y", *PROBABILITIES)
+    return probability_metrics(evaluated, ["feature_group", "fold"]), calibration(evaluated, ["feature_group"])
 
 
 def univariate_fits(train: DataFrame, columns: list[str], c: float = 1.0) -> dict[str, dict]:
@@ -210,15 +207,18 @@ def subset_search(engineered: DataFrame, features: list[str], n: int = 50, least
     parts = dict(zip(PARTITIONS, (p.persist() for p in time_split(data))))
     priors = _priors(parts["train"])
     dummies = {name: probability_metrics(_dummy(part, priors)).first().log_loss for name, part in parts.items()}
-    out = None
-    for number, subset in enumerate(subsets, 1):
-        model = fit_logistic(parts["train"], list(subset))
-        for name, part in parts.items():
-            row = all_metrics(_as_predictions(model.predict(part))).withColumns({"simulation": F.lit(number), "partition": F.lit(name), "features": F.array(*map(F.lit, subset)), "n_features": F.lit(len(subset)), "status": F.lit("OK" if model.converged else "not converged"), "log_loss_gain": dummies[name] - F.col("log_loss")})
-            out = row if out is None else out.unionByName(row)
-        if progress:
-            progress(number, len(subsets))
-    return out
+    fitted = fit_logistics(parts["train"], {number: list(subset) for number, subset in enumerate(subsets, 1)}, progress=progress)
+    scored = None
+    for name, part in parts.items():
+        one = predict_many(_as_predictions(part).withColumn("partition", F.lit(name)), fitted, "simulation", ["partition", "y"])
+        scored = one if scored is None else scored.union(one)
+    details = [{"simulation": k, "features": m.columns, "n_features": len(m.columns), "status": "OK" if m.converged else "not converged"} for k, m in fitted.items()]
+    spark = engineered.sparkSession
+    details = _rows(spark, details, "simulation int, features array<string>, n_features int, status string")
+    priors_loss = _rows(spark, [{"partition": name, "prior_log_loss": loss} for name, loss in dummies.items()], "partition string, prior_log_loss double")
+    # A row for each subset, and for each partition.
+    out = all_metrics(scored, ["simulation", "partition"]).join(F.broadcast(details), "simulation").join(F.broadcast(priors_loss), "partition")
+    return out.withColumn("log_loss_gain", F.col("prior_log_loss") - F.col("log_loss")).drop("prior_log_loss")
 
 
 def rank_subsets(results: DataFrame, partition: str = "test", metric: str = "gini_macro") -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from foretell.schema import BEST_LOGISTIC, CLASS_ORDER, FEATURE_GROUPS, FEATURE_
 
 PRUNE_AT = 0.90
 PROBABILITIES = ["p0", "p1", "p2"]
+#: Training rows a task gets; an optimiser's step is a job, so that small tables shouldn't pay for many tasks in each.
+ROWS_A_TASK = 20_000
 
 
 def modeling_data(engineered: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -70,6 +75,18 @@ class Encoder:
         out = [(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(m)) - a) / s for c, m, a, s in zip(self.numeric, self.medians, self.means, self.scales)]
         return out + [(F.coalesce(F.col(c), F.lit(self.modes.get(c))) == v).cast("double") for c, values in self.categories.items() for v in values]
 
+    def places(self, columns: list[str]) -> list[int]:
+        """Where the values of ``columns`` lie among all values."""
+        owners = [*self.numeric, *[c for c, values in self.categories.items() for _ in values]]
+        return [i for i, c in enumerate(owners) if c in set(columns)]
+
+    def only(self, columns: list[str]) -> Encoder:
+        """The encoder of some of the columns; what it learned of one doesn't depend on the others."""
+        at = [i for i, c in enumerate(self.numeric) if c in set(columns)]
+        pick = lambda x: [x[i] for i in at]
+        inside = lambda d: {c: v for c, v in d.items() if c in set(columns)}
+        return Encoder(pick(self.numeric), pick(self.medians), pick(self.means), pick(self.scales), inside(self.categories), inside(self.modes))
+
     def vector(self) -> Column:
         return array_to_vector(F.array(*[F.coalesce(x, F.lit(0.0)) for x in self.values()]))
 
@@ -151,14 +168,78 @@ def fit_logistic(train: DataFrame, columns: list[str], c: float = 1.0, label: st
     if balanced:
         for k, x in enumerate(classes):
             weight = F.when(F.col("__label") == k, n / (len(classes) * counts[x])).otherwise(weight)
-    rows = rows.select("__label", "features", weight.alias("__weight")).persist()
+    rows = _sized(rows.select("__label", "features", weight.alias("__weight")), n).persist()
     try:
-        fitted = LogisticRegression(labelCol="__label", weightCol="__weight", family="multinomial" if len(classes) > 2 else "binomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9).fit(rows)
+        fitted = _optimiser(classes, c, n, max_iter).setWeightCol("__weight").fit(rows)
     finally:
         rows.unpersist()
     return Model(encoder, classes, fitted, list(columns), fitted.summary.totalIterations < max_iter)
 
 
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, which are ``n``, in no more tasks than their number asks for."""
+    return rows.coalesce(-(-n // ROWS_A_TASK))
+
+
+def _optimiser(classes: list[int], c: float, n: int, max_iter: int) -> LogisticRegression:
+    return LogisticRegression(labelCol="__label", family="multinomial" if len(classes) > 2 else "binomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9)
+
+
+def fit_logistics(train: DataFrame, groups: dict, c: float = 1.0, label: str = "target_label", max_iter: int = 500, parallelism: int = 8, progress=None) -> dict:
+    """``fit_logistic`` for each of several lists of columns over the same rows, by the keys of ``groups``.
+
+    The rows are encoded and kept once for all lists, and ``parallelism`` fits run side by side.
+    """
+    rows, classes, n, _ = _labelled(train, label)
+    encoder = fit_encoder(train, list(dict.fromkeys(x for columns in groups.values() for x in columns)))
+    rows = _sized(rows.select("__label", encoder.vector().alias("__all")), n).persist()
+
+    def fit(item: tuple) -> tuple:
+        key, columns = item
+        picked = VectorSlicer(inputCol="__all", outputCol="features", indices=encoder.places(columns)).transform(rows)
+        fitted = _optimiser(classes, c, n, max_iter).fit(picked.select("__label", "features"))
+        return key, Model(encoder.only(columns), classes, fitted, list(columns), fitted.summary.totalIterations < max_iter)
+
+    found = {}
+    pool = ThreadPool(parallelism)
+    try:
+        for key, model in pool.imap_unordered(inheritable_thread_target(rows.sparkSession)(fit), groups.items()):
+            found[key] = model
+            if progress:
+                progress(len(found), len(groups))
+    finally:
+        pool.terminate()
+        rows.unpersist()
+    return {key: found[key] for key in groups}
+
+
+def predict_many(rows: DataFrame, models: dict, name: str, carry: list[str]) -> DataFrame:
+    """``(carry, name, p0, p1, p2)``: a row for each row and model, in one pass.
+
+    The models, of ``fit_logistics``, share what their encoders learned, so each row
+    is encoded once; a model is a short list of places and weights, carried
+    as one literal.
+    """
+    whole: dict[str, Column] = {}
+    table = []
+    for key, model in models.items():
+        for value, column in zip(model.encoder.names, model.encoder.values()):
+            whole.setdefault(value, F.coalesce(column, F.lit(0.0)))
+        places = {value: i for i, value in enumerate(whole)}
+        weights, starts = zip(*[model.coefficients(k) if k in model.classes else (np.zeros(len(model.encoder.names)), 0.0) for k in range(3)])
+        if len(model.classes) == 2:  # one class's log odds against the other's
+            weights, starts = zip(*[(w, b) if k == model.classes[1] else (w * 0, 0.0) for k, (w, b) in enumerate(zip(weights, starts))])
+        table.append({name: key, "at": [places[v] for v in model.encoder.names], "w": [w.tolist() for w in weights], "b": list(map(float, starts)), "known": [k in model.classes for k in range(3)]})
+    kind = "int" if all(isinstance(key, int) for key in models) else "string"
+    given = F.from_json(F.lit(json.dumps(table)), f"array<struct<`{name}`: {kind}, at: array<int>, w: array<array<double>>, b: array<double>, known: array<boolean>>>")
+    each = rows.select(*carry, F.array(*whole.values()).alias("__x")).select(*carry, "__x", F.inline(given))
+    logit = lambda k: F.get("b", F.lit(k)) + F.aggregate(F.zip_with("at", F.get("w", F.lit(k)), lambda i, w: F.get("__x", i) * w), F.lit(0.0), lambda a, x: a + x)
+    each = each.select(*carry, name, *[F.when(F.get("known", F.lit(k)), logit(k)).alias(f"__e{k}") for k in range(3)])
+    top = F.greatest("__e0", "__e1", "__e2")
+    each = each.select(*carry, name, *[F.coalesce(F.exp(F.col(f"__e{k}") - top), F.lit(0.0)).alias(f"__g{k}") for k in range(3)])
+    return each.select(*carry, name, *[(F.col(f"__g{k}") / (F.col("__g0") + F.col("__g1") + F.col("__g2"))).alias(p) for k, p in enumerate(PROBABILITIES)])
+
+
 def fit_forest(train: DataFrame, columns: list[str], label: str = "target_label", trees: int = 300, depth: int = 8, leaf: int = 5, seed: int = 42) -> Model:
     """A forest over balanced classes."""
     rows, classes, n, counts = _labelled(train, label)
@@ -166,7 +247,7 @@ def fit_forest(train: DataFrame, columns: list[str], label: str = "target_label"
     weight = F.lit(1.0)
     for k, x in enumerate(classes):
         weight = F.when(F.col("__label") == k, n / (len(classes) * counts[x])).otherwise(weight)
-    rows = rows.select("__label", encoder.vector().alias("features"), weight.alias("__weight"))
+    rows = _sized(rows.select("__label", encoder.vector().alias("features"), weight.alias("__weight")), n)
     fitted = RandomForestClassifier(labelCol="__label", weightCol="__weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(rows)
     return Model(encoder, classes, fitted, list(columns))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foretell.schema import EWM, MOMENTA, RATES, SCOPES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
+from foretell.schema import ALIASES, DELTAS, EWM, FEATURES, GOAL_FEATURES, MOMENTA, RATES, SCOPES, SHOT_FEATURES, SIDES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
 from foretell.sources.derived import FORMULAS, MATCHES_CTE
 
 _METRICS = ["points", "form_score", "goal_diff", "goals_for", "goals_against", "shots", "sot", "corners", "fouls", "yellow_cards", "red_cards", "shots_against", "sot_against", "corners_against"]
@@ -53,6 +53,20 @@ def _windows(columns: dict[str, str]) -> str:
     return f"WITH {MATCHES_CTE}, {_LONG} SELECT {_KEYS}, {', '.join(_r(sql, n) if not n.startswith('=') else f'{sql} AS {n[1:]}' for n, sql in columns.items())} FROM long WINDOW {_FRAMES}"
 
 
+_SUMS = {n: _whole(m, f"f{k}") for n, (m, k) in WINDOW_SUMS.items()}
+_MEANS = {n: f"avg({m}) OVER f{k}" for n, (m, k) in WINDOW_MEANS.items()} | {n: f"avg(CASE WHEN form_score = {s} THEN 1.0 WHEN form_score IS NOT NULL THEN 0.0 END) OVER f5" for n, s in RATES.items()} | {n: f"avg({m}) OVER f3 - avg({m}) OVER f10" for n, m in MOMENTA.items()}
+_VENUE = {f"venue_{n}": _whole(m, "v5") for n, m in VENUE_SUMS.items()} | {f"venue_{n}": f"avg(points) OVER v{k}" for n, k in VENUE_MEANS.items()}
+_EFFICIENCY = {"shot_accuracy_l5": _ratio(_whole("sot", "f5"), f"({_whole('shots', 'f5')})"), "sot_conversion_l5": _ratio(_whole("goals_for", "f5"), f"({_whole('sot', 'f5')})")}
+_CONTEXT = {
+    "=history_matches": "seq", "=history_matches_l10": "least(seq, 10)", "=shot_observations_l10": "count(shots) OVER f10",
+    "=rest_days": "day - max(CASE WHEN played = 1 THEN day END) OVER ever", "=matches_last_14_days": "count(played) OVER days14",
+    "shot_share_l10": _ratio("sum(CASE WHEN shots_against IS NOT NULL THEN shots END) OVER f10", "sum(shots + shots_against) OVER f10"),
+    "sot_share_l10": _ratio("sum(CASE WHEN sot_against IS NOT NULL THEN sot END) OVER f10", "sum(sot + sot_against) OVER f10"),
+    "sot_diff_per_match_l10": "avg(sot - sot_against) OVER f10", "goal_diff_std_l10": "stddev_samp(goal_diff) OVER f10",
+}
+_WEIGHT = "pow(CAST(2 AS DOUBLE), (day - 14610) / CAST(60 AS DOUBLE))"
+_DECAYED = {f"{n}_ewm": f"sum({m} * {_WEIGHT}) OVER years3 / sum(CASE WHEN {m} IS NOT NULL THEN {_WEIGHT} END) OVER years3" for n, m in EWM.items()}
+_SEASON = {"season_points": "coalesce(sum(points) OVER season, 0)", "points_per_game": "avg(points) OVER season"}
 _LEVELS = f"""{_LONG}, daily AS (
   SELECT League, Season, MatchDate, sum(FullTimeHomeGoals + FullTimeAwayGoals) AS goals, count(FullTimeResult) AS n FROM matches GROUP BY ALL),
 upto AS (
@@ -75,8 +89,13 @@ walk AS (
     FROM walk w JOIN steps s ON s.League = w.League AND s.n = w.n + 1)),
 rated AS (SELECT *, 1 / (1 + pow(CAST(10 AS DOUBLE), -(home_elo + 60 - away_elo) / 400)) AS expected FROM walk WHERE n > 0)"""
 
-_STANDINGS = f"""WITH {MATCHES_CTE}, {_LONG},
-members AS (
+_ELO_FORM = f"""scored AS (SELECT r.*, CASE m.FullTimeResult WHEN 'H' THEN 1.0 WHEN 'D' THEN 0.5 WHEN 'A' THEN 0.0 END AS score FROM rated r JOIN matches m USING (League, MatchDate, HomeTeam, AwayTeam)),
+both_ AS (
+  SELECT League, MatchDate, date_diff('day', DATE '1970-01-01', MatchDate) AS day, HomeTeam AS Team, CASE WHEN score IS NOT NULL THEN away_elo END AS other, score - expected AS over_ FROM scored
+  UNION ALL SELECT League, MatchDate, date_diff('day', DATE '1970-01-01', MatchDate), AwayTeam, CASE WHEN score IS NOT NULL THEN home_elo END, (1 - score) - (1 - expected) FROM scored),
+numbered AS (SELECT *, count(other) OVER (PARTITION BY League, Team {_BEFORE.format(days="UNBOUNDED")}) AS seq FROM both_)"""
+
+_PLACED = """members AS (
   SELECT League, Season, MatchDate, day, Team, Opponent, unnest([Team, Opponent]) AS Club FROM sides
   UNION SELECT s.League, s.Season, s.MatchDate, s.day, s.Team, s.Opponent, p.Team FROM sides s
   JOIN (SELECT League, Season, Team, min(day) AS first FROM sides WHERE played = 1 GROUP BY ALL) p ON s.League = p.League AND s.Season = p.Season AND p.first < s.day),
@@ -86,7 +105,8 @@ totals AS (
 placed AS (
   SELECT m.League, m.MatchDate, m.Team, m.Club,
     row_number() OVER (PARTITION BY m.League, m.Season, m.day, m.Team ORDER BY coalesce(p, 0) DESC, coalesce(d, 0) DESC, coalesce(g, 0) DESC, m.Club) AS position
-  FROM members m ASOF LEFT JOIN totals t ON m.League = t.League AND m.Season = t.Season AND m.Club = t.Team AND m.day > t.day)
+  FROM members m ASOF LEFT JOIN totals t ON m.League = t.League AND m.Season = t.Season AND m.Club = t.Team AND m.day > t.day)"""
+_STANDINGS = f"""WITH {MATCHES_CTE}, {_LONG}, {_PLACED}
 SELECT League, MatchDate, Team, CAST(position AS INT) AS position FROM placed WHERE Club = Team"""
 
 _ID = "League || '_' || strftime(MatchDate, '%Y%m%d') || '_' || HomeTeam || '_' || AwayTeam"
@@ -132,10 +152,60 @@ _EDGES = f"""WITH {MATCHES_CTE}, edges AS (
   SELECT MatchKey, 0.45::DOUBLE - {_IMPLIED[0]} AS h, 0.25::DOUBLE - {_IMPLIED[1]} AS d, 0.3::DOUBLE - {_IMPLIED[2]} AS a FROM matches),
 rounded AS (SELECT MatchKey, {_r("h", "edge_home")}, {_r("d", "edge_draw")}, {_r("a", "edge_away")}, {_r("greatest(h, d, a)", "best_edge")} FROM edges)
 SELECT * FROM rounded"""
-_WEIGHT = "pow(CAST(2 AS DOUBLE), (day - 14610) / CAST(60 AS DOUBLE))"
 _LABEL = "CASE FullTimeResult WHEN 'H' THEN 0 WHEN 'D' THEN 1 WHEN 'A' THEN 2 END"
 _PLAIN = ["MatchKey", "League", "MatchDate", "HomeTeam", "AwayTeam", "FullTimeResult", "Season"]
 
+
+def _named(columns: dict[str, str]) -> str:
+    return ", ".join(f"CAST({sql} AS DOUBLE) AS {n.removeprefix('=')}" for n, sql in columns.items())
+
+
+#: Features of one side, each with its place in ``own``, and the frame of a match, all without the count models' columns.
+_OWN = _SUMS | _MEANS | _VENUE | _EFFICIENCY | _CONTEXT | _DECAYED | _SEASON
+_ENGINEERED = f"""WITH RECURSIVE {_ELO_RATED}, {_LEVELS}, {_ELO_FORM}, {_PLACED},
+formed AS (
+  SELECT {_KEYS}, avg(other) OVER f AS opponent_elo_mean_l5, avg(over_) OVER f AS result_overperformance_l5 FROM numbered
+  WINDOW f AS (PARTITION BY League, Team ORDER BY seq RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+own AS (
+  SELECT League, Season, MatchDate, Team, {_named(_OWN)}, avg(goals_for) OVER f10 AS scored_l10, avg(goals_against) OVER f10 AS conceded_l10 FROM long WINDOW {_FRAMES}),
+side AS MATERIALIZED (
+  SELECT o.*, {_ratio("scored_l10", "league_level")} AS attack_strength_l10, {_ratio("conceded_l10", "league_level")} AS defensive_strength_l10,
+    CAST(p.position AS DOUBLE) AS position, f.opponent_elo_mean_l5, f.result_overperformance_l5
+  FROM own o JOIN levels USING (League, Season, MatchDate) JOIN formed f USING (League, MatchDate, Team)
+  JOIN (SELECT * FROM placed WHERE Club = Team) p USING (League, MatchDate, Team)),
+paired AS (
+  SELECT m.MatchKey, m.Season, m.MatchDate, m.HomeTeam, m.AwayTeam, {_ID.replace("League", "m.League").replace("MatchDate", "m.MatchDate").replace("HomeTeam", "m.HomeTeam").replace("AwayTeam", "m.AwayTeam")} AS MatchId, r.home_elo, r.away_elo, h AS home, a AS away
+  FROM matches m JOIN rated r USING (League, MatchDate, HomeTeam, AwayTeam)
+  JOIN side h ON m.League = h.League AND m.MatchDate = h.MatchDate AND m.HomeTeam = h.Team
+  JOIN side a ON m.League = a.League AND m.MatchDate = a.MatchDate AND m.AwayTeam = a.Team)"""
+
+
+def _feature(name: str) -> str:
+    name = ALIASES.get(name, name)
+    if name in DELTAS:
+        return f"home.{DELTAS[name]} - away.{DELTAS[name]}"
+    lead = "(home_elo + 60 - away_elo)"
+    chance = f"1 / (1 + pow(CAST(10 AS DOUBLE), -{lead} / 400))"
+    special = {"home_adjusted_elo_diff": lead, "home_elo_expected": chance, "away_elo_expected": f"1 - {chance}", "home_elo": "home_elo", "away_elo": "away_elo", "elo_diff": "home_elo - away_elo"}
+    if name in special:
+        return special[name]
+    side, _, rest = name.partition("_")
+    if side not in SIDES:
+        return f"home.{name.removesuffix('_diff')} - away.{name.removesuffix('_diff')}"
+    if rest.startswith(f"{side}_"):
+        return f"{side}.venue_{rest.removeprefix(f'{side}_')}"
+    return f"{side}.{'season_points' if rest == 'points' else rest}"
+
+
+_SEEN = {"position": "position", "season_points": "season_points", "season_ppg": "points_per_game"}
+
+
+def _perspective(own: str, other: str) -> str:
+    columns = {f"{who}_{n}": f"{s}.{c}" for who, s in (("team", own), ("opponent", other)) for n, c in _SEEN.items()}
+    columns |= {"team_elo": f"{own}_elo", "opponent_elo": f"{other}_elo", "team_elo_expected": _feature(f"{own}_elo_expected"), "position_advantage": f"{other}.position - {own}.position", "elo_difference": f"{own}_elo - {other}_elo"}
+    return f"SELECT MatchId, {own.capitalize()}Team AS Team, {', '.join(_r(sql, n) for n, sql in columns.items())} FROM paired"
+
+
 ORACLES: dict[str, str] = {
     "s8_matches": f"WITH {MATCHES_CTE} SELECT {', '.join([*_PLAIN, *[_r(c, c) for c in FORMULAS]])} FROM matches",
     "p1_prepared": f"WITH {MATCHES_CTE} SELECT MatchKey, League, Season, MatchDate, HomeTeam, AwayTeam, FullTimeResult AS target, {_LABEL} AS target_label FROM matches",
@@ -146,29 +216,20 @@ ORACLES: dict[str, str] = {
   lpad(CAST(year(MatchDate) % 100 AS VARCHAR), 2, '0') || lpad(CAST((year(MatchDate) + 1) % 100 AS VARCHAR), 2, '0') AS season_code FROM matches""",
     "u1_long_form": f"WITH {MATCHES_CTE}, {_sides()} SELECT League, Season, MatchDate, Team, Opponent, IsHome, played, {', '.join(_METRICS)} FROM sides",
     "u3_repeated_appearances": f"WITH {MATCHES_CTE} SELECT MatchDate, Team, count(*) AS n FROM (SELECT MatchDate, HomeTeam AS Team FROM matches UNION ALL SELECT MatchDate, AwayTeam FROM matches) GROUP BY ALL HAVING count(*) > 1",
-    "w1_window_sums": _windows({n: _whole(m, f"f{k}") for n, (m, k) in WINDOW_SUMS.items()}),
-    "w3_window_means": _windows({n: f"avg({m}) OVER f{k}" for n, (m, k) in WINDOW_MEANS.items()} | {n: f"avg(CASE WHEN form_score = {s} THEN 1.0 WHEN form_score IS NOT NULL THEN 0.0 END) OVER f5" for n, s in RATES.items()} | {n: f"avg({m}) OVER f3 - avg({m}) OVER f10" for n, m in MOMENTA.items()}),
-    "w6_venue_windows": _windows({f"venue_{n}": _whole(m, "v5") for n, m in VENUE_SUMS.items()} | {f"venue_{n}": f"avg(points) OVER v{k}" for n, k in VENUE_MEANS.items()}),
-    "w7_efficiency": _windows({"shot_accuracy_l5": _ratio(_whole("sot", "f5"), f"({_whole('shots', 'f5')})"), "sot_conversion_l5": _ratio(_whole("goals_for", "f5"), f"({_whole('sot', 'f5')})")}),
-    "w9_context": _windows({
-        "=history_matches": "seq", "=history_matches_l10": "least(seq, 10)", "=shot_observations_l10": "count(shots) OVER f10",
-        "=rest_days": "day - max(CASE WHEN played = 1 THEN day END) OVER ever", "=matches_last_14_days": "count(played) OVER days14",
-        "shot_share_l10": _ratio("sum(CASE WHEN shots_against IS NOT NULL THEN shots END) OVER f10", "sum(shots + shots_against) OVER f10"),
-        "sot_share_l10": _ratio("sum(CASE WHEN sot_against IS NOT NULL THEN sot END) OVER f10", "sum(sot + sot_against) OVER f10"),
-        "sot_diff_per_match_l10": "avg(sot - sot_against) OVER f10", "goal_diff_std_l10": "stddev_samp(goal_diff) OVER f10",
-    }),
-    "w15_decayed_means": _windows({f"{n}_ewm": f"sum({m} * {_WEIGHT}) OVER years3 / sum(CASE WHEN {m} IS NOT NULL THEN {_WEIGHT} END) OVER years3" for n, m in EWM.items()}),
-    "w16_season_points": _windows({"season_points": "coalesce(sum(points) OVER season, 0)", "points_per_game": "avg(points) OVER season"}),
+    "w1_window_sums": _windows(_SUMS),
+    "w3_window_means": _windows(_MEANS),
+    "w6_venue_windows": _windows(_VENUE),
+    "w7_efficiency": _windows(_EFFICIENCY),
+    "w9_context": _windows(_CONTEXT),
+    "w15_decayed_means": _windows(_DECAYED),
+    "w16_season_points": _windows(_SEASON),
+    "features_without_counts": f"{_ENGINEERED} SELECT MatchKey, {', '.join(_r(_feature(c), c) for c in FEATURES if c not in GOAL_FEATURES + SHOT_FEATURES)} FROM paired",
+    "t6_strengths": f"{_ENGINEERED} {_perspective('home', 'away')} UNION ALL {_perspective('away', 'home')}",
     "a12_league_level": f"WITH {MATCHES_CTE}, {_LEVELS} SELECT League, Season, MatchDate, {_r('league_level', 'league_level')} FROM levels",
     "w8_strengths": f"WITH {MATCHES_CTE}, {_LEVELS}, met AS (SELECT * FROM long JOIN levels USING (League, Season, MatchDate)) SELECT {_KEYS}, {_r(_ratio('avg(goals_for) OVER f10', 'league_level'), 'attack_strength_l10')}, {_r(_ratio('avg(goals_against) OVER f10', 'league_level'), 'defensive_strength_l10')} FROM met WINDOW {_FRAMES}",
     "w17_standings": _STANDINGS,
     "w18_elo": f"WITH RECURSIVE {_ELO_RATED} SELECT League, MatchDate, HomeTeam, AwayTeam, {_r('home_elo', 'home_elo')}, {_r('away_elo', 'away_elo')}, {_r('expected', 'home_elo_expected')} FROM rated",
-    "w13_opponent_elo": f"""WITH RECURSIVE {_ELO_RATED},
-scored AS (SELECT r.*, CASE m.FullTimeResult WHEN 'H' THEN 1.0 WHEN 'D' THEN 0.5 WHEN 'A' THEN 0.0 END AS score FROM rated r JOIN matches m USING (League, MatchDate, HomeTeam, AwayTeam)),
-both_ AS (
-  SELECT League, MatchDate, date_diff('day', DATE '1970-01-01', MatchDate) AS day, HomeTeam AS Team, CASE WHEN score IS NOT NULL THEN away_elo END AS other, score - expected AS over_ FROM scored
-  UNION ALL SELECT League, MatchDate, date_diff('day', DATE '1970-01-01', MatchDate), AwayTeam, CASE WHEN score IS NOT NULL THEN home_elo END, (1 - score) - (1 - expected) FROM scored),
-numbered AS (SELECT *, count(other) OVER (PARTITION BY League, Team {_BEFORE.format(days="UNBOUNDED")}) AS seq FROM both_)
+    "w13_opponent_elo": f"""WITH RECURSIVE {_ELO_RATED}, {_ELO_FORM}
 SELECT {_KEYS}, {_r("avg(other) OVER f", "opponent_elo_mean_l5")}, {_r("avg(over_) OVER f", "result_overperformance_l5")} FROM numbered
 WINDOW f AS (PARTITION BY League, Team ORDER BY seq RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING)""",
     "t1_team_history": f"{_team()} SELECT MatchId, Team, {', '.join([f'CAST(n_{s} AS BIGINT) AS history_matches_{s}' for s in SCOPES] + [f'CAST(least(n_{s}, {k}) AS BIGINT) AS matches_{s}_l{k}' for s, k in _SK])} FROM team",

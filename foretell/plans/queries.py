@@ -16,7 +16,7 @@ from foretell.operators.standings import positions
 from foretell.operators.team import team_frame, team_history
 from foretell.operators.windows import league_level, match_windows
 from foretell.plans.keep import kept
-from foretell.schema import CONTEXT, EWM, FEATURE_GROUPS, MOMENTA, RATES, RESULTS, SCOPES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
+from foretell.schema import CONTEXT, EWM, FEATURE_GROUPS, FEATURES, GOAL_FEATURES, MOMENTA, RATES, RESULTS, SCOPES, SHOT_FEATURES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
 from foretell.sources.derived import matches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,17 @@ def features(spark, sf):
     return engineer_features(_matches(spark, sf), check=False)
 
 
+def features_without_counts(spark, sf):
+    """The engineered frame's features but for those of the count models, whose fits SQL can't express."""
+    return rounded(_engineered(spark, sf).select("MatchKey", *[c for c in FEATURES if c not in GOAL_FEATURES + SHOT_FEATURES]))
+
+
+def t6_strengths(spark, sf):
+    """The team frame's standing and Elo columns."""
+    names = [f"{who}_{n}" for who in ("team", "opponent") for n in ("position", "season_points", "season_ppg", "elo")]
+    return rounded(_team_frame(spark, sf).select("MatchId", "Team", *[F.col(c).cast("double") for c in [*names, "team_elo_expected", "position_advantage", "elo_difference"]]))
+
+
 def j1_team_frame(spark, sf):
     return team_frame(_matches(spark, sf), _engineered(spark, sf))
 
@@ -279,7 +290,7 @@ _here = dict(globals())
 QUERIES: dict[str, Query] = {
     name: _here[name]
     for name in """s8_matches p1_prepared p5_modeling_rows p6_time_split p17_match_ids u1_long_form u3_repeated_appearances a12_league_level w8_strengths
-    w13_opponent_elo w17_standings w18_elo c1_count_ratings features j1_team_frame a1_pooled a2_by_season a3_weighted_summary a4_priors a5_calibration a6_metrics a7_gini
+    w13_opponent_elo w17_standings w18_elo c1_count_ratings features features_without_counts t6_strengths j1_team_frame a1_pooled a2_by_season a3_weighted_summary a4_priors a5_calibration a6_metrics a7_gini
     a7_binary_metrics a8_roc a9_outcomes a10_roi a10_roi_intervals a11_bootstrap a13_missing_rates p9_confidence e1_walk_forward e2_individual_features e3_screening e6_subset_search
     e7_report_metrics e8_season_walk_forward e9_market e10_bets e11_random_control e12_edges e13_catalog m3_logistic m4_forest m8_team_model m10_explanation
     o4_best_edges p12_catalog_search""".split()

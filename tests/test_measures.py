@@ -52,6 +52,25 @@ def test_logistic_is_stationary_and_univariate_fit_agrees(spark):
         models.fit_logistic(train.where("target_label = 1"), ["x"])
 
 
+@pytest.mark.parametrize("classes", [3, 2])
+def test_models_fitted_together_are_those_fitted_alone(spark, classes):
+    rng = np.random.default_rng(7)
+    rows = [(int(y) + 3 - classes, float(y + rng.normal(0, 1.5)) if i % 9 else None, float(rng.normal()), "L" if i % 2 else None if i % 5 else "M") for i, y in enumerate(rng.integers(0, classes, 240))]
+    train = spark.createDataFrame(rows, "target_label int, x double, z double, League string").persist()
+    unseen = train.union(spark.createDataFrame([(1, None, 50.0, "N")], train.schema)).withColumn("row", F.monotonically_increasing_id())
+    groups = {1: ["x"], 2: ["League", "z"], 3: ["z", "x", "League"]}
+    seen = []
+    together = models.fit_logistics(train, groups, progress=lambda done, all_: seen.append((done, all_)))
+    assert list(together) == [1, 2, 3] and seen == [(1, 3), (2, 3), (3, 3)]
+    many = models.predict_many(unseen, together, "simulation", ["row"])
+    assert many.count() == 3 * unseen.count()
+    for key, columns in groups.items():
+        alone = models.fit_logistic(train, columns).predict(unseen).orderBy("row").select(*models.PROBABILITIES).collect()
+        one = many.where(F.col("simulation") == key).orderBy("row").select(*models.PROBABILITIES).collect()
+        assert np.abs(np.array(alone) - np.array(one)).max() < 1e-6
+    assert models.predict_many(unseen.limit(0), together, "simulation", ["row"]).count() == 0
+
+
 def test_subsets_are_seeded():
     names = [f"x{i}" for i in range(8)]
     a = experiments.feature_subsets(names, 10, 2, 4, 3)
