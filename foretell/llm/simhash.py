@@ -283,18 +283,18 @@ def keep_representatives(docs: DataFrame, radius: int = RADIUS, similarity: floa
     key = [F.col("doc_id").isNull().cast("int").alias("named"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
     longs = "array<long>"
     prints = checkpointed(docs.select(*key, F.col("text").cast("string").alias("text")).mapInArrow(_near_copy_batches, f"named int, doc_id long, h long, fp long, bands {longs}, sketch {longs}"))
-    # One text's bands and sketch for each fingerprint; copies have the same.
+    # One text's bands and sketch for each fingerprint, the first row's; added up before they are shuffled, once.
     place = F.struct("named", "doc_id", "h")
-    firsts = checkpointed(prints.groupBy("fp").agg(F.min(place).alias("first")))
-    chosen = firsts.select("fp", F.col("first.named").alias("named"), F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
-    distinct = checkpointed(prints.join(chosen, ["named", "doc_id", "h", "fp"]).dropDuplicates(["fp"]).select("fp", "bands", "sketch"))
+    firsts = checkpointed(prints.groupBy("fp").agg(F.min(place).alias("first"), F.min_by(F.struct("bands", "sketch"), place).alias("of")))
+    distinct = firsts.select("fp", "of.bands", "of.sketch")
     links = near_links(distinct.select("fp"), radius).union(near_copy_links(distinct, similarity))
     roots = connected_components(links).withColumnRenamed("node", "fp")
-    groups = firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    groups = firsts.select("fp", "first").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     stay = groups.select(F.col("first.named").alias("__named"), F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
-    mine = [docs["doc_id"].isNull().cast("int"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), F.xxhash64(F.coalesce(docs["text"], F.lit("")))]
-    kept = docs.join(stay, (mine[0] == stay["__named"]) & (mine[1] == stay["__id"]) & (mine[2] == stay["__h"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    # Rows are dealt by the key once: what joins by it and what drops repeated rows within it share the shuffle.
+    keyed = docs.withColumns({f"__{name}": k for name, k in zip(("named", "id", "h"), (F.col("doc_id").isNull().cast("int"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64(F.coalesce("text", F.lit("")))))})
+    kept = keyed.join(stay, ["__named", "__id", "__h"], "left_semi").dropDuplicates(["__named", "__id", "__h", "doc_id", "text"])
+    return kept.select(docs.columns)
 
 
 def fingerprint_hex(fp: str) -> Column:
