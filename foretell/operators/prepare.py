@@ -14,7 +14,7 @@ def regular(matches: DataFrame, season_start_month: int = 7) -> DataFrame:
     if not 1 <= season_start_month <= 12:
         raise ValueError(f"a season can't start in month {season_start_month}")
     if missing := sorted(set(REQUIRED) - set(matches.columns)):
-        raise ValueError(f"the match table lacks {missing}")
+        raise ValueError(f"the match table lacks the columns {missing}")
     date = F.to_date(F.col("MatchDate").try_cast("timestamp"))
     own = {"MatchDate": date, "FullTimeResult": F.col("FullTimeResult").cast("string") if "FullTimeResult" in matches.columns else F.lit(None).cast("string")}
     own |= {c: clean_count(F.col(c)) if c in matches.columns else F.lit(None).cast("double") for c in COUNTS}
@@ -32,12 +32,12 @@ def validate(prepared: DataFrame) -> None:
         F.count_if(F.expr("Season IS NULL")).alias("unseasoned"),
         F.count_if(F.expr("target IS NOT NULL AND FullTimeResult IS NOT NULL AND FullTimeResult != target")).alias("disagreeing"),
     ).first()
-    for name, text in {"unnamed": "some rows lack a date, a league or a team", "alone": "some rows have one team on both sides", "unseasoned": "the Season column has gaps", "disagreeing": "some results contradict their goals"}.items():
+    for name, text in {"unnamed": "some rows lack a date, a league or a team", "alone": "in some rows a team meets itself", "unseasoned": "the Season column has gaps", "disagreeing": "some results contradict their goals"}.items():
         if found[name]:
             raise ValueError(text)
     twice = prepared.select("League", "MatchDate", F.explode(F.array("HomeTeam", "AwayTeam")).alias("Team")).groupBy("League", "MatchDate", "Team").count().where("count > 1")
     if not twice.isEmpty():
-        raise ValueError("a team appears more than once on a day")
+        raise ValueError("a team appears twice or more on a day")
 
 
 def prepare(matches: DataFrame, season_start_month: int = 7, check: bool = True) -> DataFrame:
