@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretell.llm import chat, decontaminate, line_crf, line_runs, mixing, robust_rules, secret_scan, simhash, token_counts, wrappers
+from foretell.llm import chat, collocations, decontaminate, line_crf, line_runs, mixing, robust_rules, secret_scan, simhash, token_counts, wrappers
 from foretell.llm.common import stored, table
 
 
@@ -81,6 +81,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_source_mixing": op2_source_mixing,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 _OP9 = f"""
@@ -178,8 +183,39 @@ FROM taken, unnest(range(0, CAST(epochs + 1 AS BIGINT))) AS t(epoch)
 WHERE epoch < epochs OR left_over > 0
 """
 
+_OP12 = f"""
+WITH pieces AS (
+  SELECT lang, piece, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, 0 AS piece FROM documents)),
+split AS (SELECT lang, regexp_extract_all(words, '[^\\x20\\x09]+') AS w FROM pieces),
+counts AS (
+  SELECT lang, phrase, count(*) AS n FROM (
+    SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4], lambda d: list_transform(range(1, len(w) - d + 2), lambda i: array_to_string(w[i:i + d - 1], ' '))))) AS phrase
+    FROM split WHERE len(w) > 0) GROUP BY lang, phrase),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+frequent AS (SELECT lang, string_split(phrase, ' ') AS path, phrase, n FROM counts WHERE n >= {collocations.MIN_COUNT}),
+cuts AS (
+  SELECT lang, phrase, path, n AS a, unnest(range(1, len(path))) AS k FROM frequent WHERE len(path) > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.path, c.a, c.k, l.n AS l, r.n AS r, CAST(2000000::HUGEINT * c.a // (l.n + r.n) AS BIGINT) AS score
+  FROM cuts c
+  JOIN frequent l ON l.lang = c.lang AND l.phrase = array_to_string(c.path[1:c.k], ' ')
+  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(c.path[c.k + 1:], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, part, max(n) AS longer FROM (
+    SELECT lang, n, unnest(flatten(list_transform(range(2, len(path)), lambda d: list_transform(range(1, len(path) - d + 2), lambda i: array_to_string(path[i:i + d - 1], ' '))))) AS part
+    FROM frequent WHERE len(path) > 2) GROUP BY lang, part),
+ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, encode(w.phrase)) AS rank
+  FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.part = w.phrase
+  WHERE longer IS NULL OR 100 * longer < {collocations.COVERED} * a)
+SELECT lang, rank, phrase, a, l, r, t.n AS n, score FROM ranked JOIN totals t USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
 ORACLES: dict[str, str] = {
     "op2_source_mixing": _OP2,
     "op5_chat_formatting": _OP5,
     "op9_line_dedup": _OP9,
+    "op12_phrase_collocations": _OP12,
 }
