@@ -1,13 +1,14 @@
 """Frequent phrases whose parts are rarer elsewhere, from count tries of limited depth.
 
 Every slice of texts becomes a trie of counts: a node is a phrase of up to four
-words that occurs in one piece of a text. Tries grow level by level. A phrase
-is no more frequent than the phrases inside it, so a level is grown only over
-phrases whose parts are frequent in the whole corpus; which those are is known
-from the levels before by a bitmap of fixed size, which may let rare ones
-through, never the reverse. The nodes of a slice leave it in sorted order. They
-are dealt out by prefix range, the sorted runs of all slices are merged, and
-equal nodes are summed.
+words that occurs in one piece of a text. A phrase is no more frequent than the
+phrases inside it, so tries are grown only over pairs of words that are
+frequent in the whole corpus. Which words are is known from their counts; pairs
+are counted by fingerprints of 40 bits, in blocks that are sorted one at a
+time. Both come back as bitmaps of fixed size, which may let rare ones through,
+never keep frequent ones out: what passes is counted exactly. The nodes of a
+slice leave it in sorted order. They are dealt out by prefix range, the sorted
+runs of all slices are merged, and equal nodes are summed.
 
 In the merged trie the parts of a phrase are other nodes. Walking it in order
 keeps the path from the root at hand, whose counts are those of the left parts.
@@ -38,8 +39,9 @@ MIN_COUNT = 30
 TOP = 2000
 #: A candidate goes where a longer one has this share of its count or more.
 COVERED = 80
-#: Bytes of text in one trie.
+#: Bytes of text in one trie, and in one block of fingerprints.
 SLICE = 8 << 20
+BLOCK = 64 << 20
 _PIECE_END = b".,;:!?\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _PIECE_END + b"\t", bytes(range(97, 123)) + b"\n" * len(_PIECE_END) + b" ")
 _NODES = "lang string, phrase binary, n long"
@@ -62,42 +64,41 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return at, words
 
 
-def _may_be(frequent: np.ndarray | None, lang: str, phrases: list[bytes]) -> np.ndarray:
-    if frequent is None:
-        return np.ones(len(phrases), bool)
-    return maybe_in(frequent, np.array([_hash(lang, p) for p in phrases], np.uint64))
+def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    return np.array([_hash(lang, w) for w in words], np.uint64)
 
 
-def _trie(lang: str, texts: list[bytes], levels: list[Broadcast], depths: tuple[int, ...]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(depth, phrases, counts) of the wanted levels of one slice's trie, grown over phrases that may be frequent.
+def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of words from those of the words."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) ^ (second << np.uint64(31) | second >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    ``levels[d - 1]`` says which phrases of d words may be.
-    """
-    at, words = _tokens(texts)
-    node, names, n = at, words, len(words)
-    grown = node >= 0
-    for depth in range(1, max(depths) + 1):
-        if depth > 1:
-            # A node's child is the next word's; the phrase from the next position on, one word shorter, must be frequent as well.
-            child = np.zeros(len(at), bool)
-            child[: 1 - depth] = grown[: 1 - depth]
-            ends = np.full(len(at), -1)
-            ends[: 1 - depth] = at[depth - 1 :]
-            child[:-1] &= grown[1:]
-            child &= ends >= 0
-            keys, node_of = np.unique(node[child] * len(words) + ends[child], return_inverse=True)
-            names = [names[k // len(words)] + b" " + words[k % len(words)] for k in keys.tolist()]
-            n = len(keys)
-            node = np.full(len(at), -1)
-            node[child] = node_of
-            grown = child
-        if not n:
+
+def _frequent_pairs(at: np.ndarray, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, pair hashes) of all pairs in pieces whose words may be frequent."""
+    good = np.append(maybe_in(words, hashes), False)[at]  # -1: a piece's end
+    begins = np.flatnonzero(good[:-1] & good[1:])
+    return begins, _pair_hashes(hashes[at[begins]], hashes[at[begins + 1]])
+
+
+def _trie(lang: str, texts: list[bytes], words: np.ndarray, pairs: np.ndarray, depth: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(phrases, counts) of the levels from pairs down to ``depth`` of one slice's trie, grown over frequent pairs only."""
+    at, names_of = _tokens(texts)
+    begins, hashes = _frequent_pairs(at, _word_hashes(lang, names_of), words)
+    begins = begins[maybe_in(pairs, hashes)]
+    node, names = at, names_of
+    for d in range(2, depth + 1):
+        if d > 2:
+            # A phrase grows by the next word where the phrase from its second word on, one word shorter, is a node too.
+            begins = begins[:-1][np.diff(begins) == 1]
+        if not len(begins):
             return
-        if depth in depths:
-            yield depth, names, np.bincount(node[grown], minlength=n)
-        if depth < max(depths):
-            frequent = _may_be(levels[depth - 1].value if depth <= len(levels) else None, lang, names)
-            grown = grown & frequent[node]
+        keys, node_of, counts = np.unique(node[begins] * len(names_of) + at[begins + d - 1], return_inverse=True, return_counts=True)
+        names = [names[k // len(names_of)] + b" " + names_of[k % len(names_of)] for k in keys.tolist()]
+        node = np.zeros(len(at), np.int64)
+        node[begins] = node_of
+        yield names, counts
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -118,14 +119,72 @@ def _batches(found: Iterator[tuple[str, list[bytes], np.ndarray]]) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([phrases[j] for j in part], pa.binary()), pa.array(counts[part], pa.int64())], ["lang", "phrase", "n"])
 
 
-def _level_rows(levels: list[Broadcast], depths: tuple[int, ...], totals: bool = False) -> Callable:
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first level: words, and all of them under the empty word."""
+    for batch in batches:
+        for lang, texts in _slices(batch):
+            at, words = _tokens(texts)
+            counts = np.bincount(at[at >= 0], minlength=len(words))
+            yield from _batches([(lang, [*words, b""], np.append(counts, counts.sum()))])
+
+
+def _pair_rows(words: Broadcast, blocks: int) -> Callable:
+    """The second level by fingerprints: 5 bytes and a count for each pair of a slice, dealt out in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, texts in _slices(batch):
+                at, names = _tokens(texts)
+                _, hashes = _frequent_pairs(at, _word_hashes(lang, names), words.value)
+                prints, counts = np.unique(hashes, return_counts=True)
+                block = ((prints >> np.uint64(40)) % np.uint64(blocks)).astype(np.int32)
+                order = np.argsort(block, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0])) if len(order) else []
+                packed = []
+                for part in np.split(order, starts[1:]) if len(order) else []:
+                    prefix = prints[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                    packed.append(np.ascontiguousarray(prefix).tobytes() + np.ascontiguousarray(counts[part].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(block[order][starts] if len(order) else [], pa.int32()), pa.array(packed, pa.binary())], ["block", "packed"])
+
+    return run
+
+
+def _pair_sums(min_count: int) -> Callable:
+    """Fingerprints of pairs of ``min_count`` or more, one block after another."""
+
+    def summed(parts: list[bytes]) -> pa.RecordBatch:
+        sizes = [len(p) // 9 for p in parts]
+        prints = np.zeros((sum(sizes), 8), np.uint8)
+        prints[:, :5] = np.concatenate([np.frombuffer(p, np.uint8, 5 * n).reshape(-1, 5) for p, n in zip(parts, sizes, strict=True)])
+        counts = np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8, 4 * n, 5 * n).reshape(4, -1).T).reshape(-1).view("<u4") for p, n in zip(parts, sizes, strict=True)])
+        prints = prints.reshape(-1).view("<u8")
+        order = np.argsort(prints)
+        prints = prints[order]
+        starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+        sums = np.add.reduceat(counts[order].astype(np.int64), starts)
+        return pa.RecordBatch.from_arrays([pa.array(prints[starts][sums >= min_count].astype(np.int64))], ["hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if parts and block != now:
+                    yield summed(parts)
+                    parts = []
+                now = block
+                parts.append(packed)
+        if parts:
+            yield summed(parts)
+
+    return run
+
+
+def _phrase_rows(words: Broadcast, pairs: Broadcast, depth: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, texts in _slices(batch):
-                for depth, phrases, counts in _trie(lang, texts, levels, depths):
+                for phrases, counts in _trie(lang, texts, words.value, pairs.value, depth):
                     yield from _batches([(lang, phrases, counts)])
-                    if totals and depth == 1:
-                        yield from _batches([(lang, [b""], np.array([counts.sum()]))])
 
     return run
 
@@ -202,25 +261,22 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPT
 
     Null texts are empty and a null language is ``und``; repeated rows count
     each time; other columns are not looked at. Only ``text`` and ``lang`` are
-    read, once for words, once for pairs and once for longer phrases.
+    read, once for words, once for pairs and once for phrases.
     """
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     enough = (F.col("n") >= min_count) | (F.length("phrase") == 0)
     # Words have no level before them to take bounds from; their sums are a plain aggregate.
-    words = checkpointed(texts.mapInArrow(_level_rows([], (1,), totals=True), _NODES).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(enough))
-    found, levels, bounds = [words], [], _bounds(words, ranges)
-    for depths in [(2,), tuple(range(3, depth + 1))]:
-        if max(depths, default=0) > depth or not depths:
-            break
-        levels = [*levels, _frequent(found[-1])]
-        nodes = checkpointed(_merged(texts.mapInArrow(_level_rows(levels, depths), _NODES), bounds).where(enough))
-        found.append(nodes)
-        bounds = _bounds(nodes, ranges) or bounds
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    words = checkpointed(texts.mapInArrow(_word_rows, _NODES).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(enough))
+    if depth < 2:
+        return words
+    good_words = _frequent(words.where(F.length("phrase") > 0))
+    size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    blocks = max(ranges, -(-size // BLOCK))
+    dealt = texts.mapInArrow(_pair_rows(good_words, blocks), "block int, packed binary").repartition("block").sortWithinPartitions("block")
+    good_pairs = bitmap(dealt.mapInArrow(_pair_sums(min_count), "hash long"))
+    phrases = _merged(texts.mapInArrow(_phrase_rows(good_words, good_pairs, depth), _NODES), _bounds(words, ranges)).where(enough)
+    return words.unionByName(phrases)
 
 
 def _walk(path: str, known: dict) -> Callable:
