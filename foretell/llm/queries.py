@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretell.llm import chat, collocations, decontaminate, line_crf, line_runs, mixing, robust_rules, secret_scan, simhash, suffix_blocks, token_counts, wrappers
+from foretell.llm import chat, collocations, decontaminate, divergence, line_crf, line_runs, mixing, robust_rules, secret_scan, simhash, suffix_blocks, token_counts, wrappers
 from foretell.llm.common import stored, table
 
 
@@ -81,6 +81,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_source_divergence": op11_source_divergence,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
@@ -189,6 +194,37 @@ FROM taken, unnest(range(0, CAST(epochs + 1 AS BIGINT))) AS t(epoch)
 WHERE epoch < epochs OR left_over > 0
 """
 
+_OP11 = f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+terms AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM rows),
+kept AS (SELECT lang, term, count(*) AS total FROM terms GROUP BY lang, term HAVING count(DISTINCT doc) >= {divergence.MIN_DOCS}),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS size FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM rows),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, source, sum(n) AS size FROM counts GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(s.size, 0) + 5 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.total + 5) // (l.size + 5 * l.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+found AS (
+  SELECT * FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
 _OP12 = f"""
 WITH pieces AS (
   SELECT lang, piece, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS words FROM (
@@ -223,5 +259,6 @@ ORACLES: dict[str, str] = {
     "op2_source_mixing": _OP2,
     "op5_chat_formatting": _OP5,
     "op9_line_dedup": _OP9,
+    "op11_source_divergence": _OP11,
     "op12_phrase_collocations": _OP12,
 }
