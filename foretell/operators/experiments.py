@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -11,11 +14,11 @@ from pyspark.sql import functions as F
 
 from foretell.operators.betting import pooled
 from foretell.operators.metrics import OUTCOMES, all_metrics, calibration, class_priors, confidence_coverage, outcome_summary, probability_metrics, roc_points
-from foretell.operators.models import PROBABILITIES, distinct_dates, fit_logistic, fit_logistics, fit_team_logistic, modeling_data, predict_many, time_split, with_team_label, with_team_predictions
+from foretell.operators.blocks import counts, extremes, make_blocks
+from foretell.operators.models import PROBABILITIES, Model, distinct_dates, fit_blocks, fit_logistic, fit_logistics, fit_models, fit_team_logistics, modeling_data, predict_many, time_split, with_team_label, with_team_predictions
 from foretell.schema import FEATURE_GROUPS, canonical
 
 PARTITIONS = ["train", "validation", "test"]
-NEWTON_STEPS = 25
 
 
 def _as_predictions(rows: DataFrame) -> DataFrame:
@@ -42,91 +45,64 @@ def walk_forward_blocks(dates: list, n_splits: int = 3) -> tuple[list[tuple], ob
 
 
 def walk_forward(engineered: DataFrame, groups: dict[str, list[str]] | None = None, n_splits: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Fold metrics by feature group, and the groups' calibration, on expanding date folds with equal rows."""
+    """Fold metrics by feature group, and the groups' calibration, on expanding date folds with equal rows.
+
+    All groups' models of all folds are fitted in the same passes.
+    """
     groups = FEATURE_GROUPS if groups is None else groups
+    groups = {group: canonical(columns) for group, columns in groups.items()}
     data, _ = modeling_data(engineered, [c for columns in groups.values() for c in columns])
-    data = data.persist()
-    blocks, _ = walk_forward_blocks(distinct_dates(data), n_splits)
-    evaluated = None
-    for number, (first, last) in enumerate(blocks, 1):
-        fitted = fit_logistics(data.where(F.col("MatchDate") < first), {group: canonical(columns) for group, columns in groups.items()})
-        block = _as_predictions(data.where(F.col("MatchDate").between(first, last))).withColumn("fold", F.lit(number))
-        part = predict_many(block, fitted, "feature_group", ["fold", "y"])
+    blocks, holdout = walk_forward_blocks(distinct_dates(data), n_splits)
+    day = F.unix_date("MatchDate")
+    limits = [float((first - dt.date(1970, 1, 1)).days) for first, _ in blocks]
+    models = fit_models(data, {(group, f): (f, columns) for f in range(len(blocks)) for group, columns in groups.items()}, limits, day)
+    counted = data.agg(*[F.struct(F.count_if(day < b).alias("n"), F.max(F.when(day < b, F.col("MatchDate"))).alias("last")) for b in limits]).first()
+    evaluated, folds = None, []
+    for f, (first, last) in enumerate(blocks):
+        block = _as_predictions(data.where(F.col("MatchDate").between(first, last))).withColumn("fold", F.lit(f + 1))
+        part = predict_many(block, {group: models[group, f] for group in groups}, "feature_group", ["fold", "y"])
         evaluated = part if evaluated is None else evaluated.union(part)
+        folds += [{"feature_group": group, "fold": f + 1, "features": len(columns), "train_rows": counted[f].n, "train_end": counted[f].last, "eval_start": first, "eval_end": last, "holdout_start": holdout, "converged": models[group, f].converged} for group, columns in groups.items()]
     evaluated = evaluated.select("feature_group", "fold", "y", *PROBABILITIES)
-    return probability_metrics(evaluated, ["feature_group", "fold"]), calibration(evaluated, ["feature_group"])
+    details = _rows(engineered.sparkSession, folds, "feature_group string, fold int, features int, train_rows long, train_end date, eval_start date, eval_end date, holdout_start date, converged boolean")
+    keys = ["feature_group", "fold"]
+    # A row for each group and fold.
+    return probability_metrics(evaluated, keys).join(F.broadcast(details), keys), calibration(evaluated, ["feature_group"])
 
 
-def univariate_fits(train: DataFrame, columns: list[str], c: float = 1.0) -> dict[str, dict]:
-    """For each numeric column the logistic model on that column alone: ``status``, median, mean, scale, weights, intercepts.
+def univariate_models(train: DataFrame, columns: list[str], c: float = 1.0) -> tuple[dict[str, str], dict[str, Model]]:
+    """(status, model) by column: for each column the logistic model on it alone, a text column by its indicators.
 
-    All columns' fits advance together: a Newton step is one grouped aggregate
-    over the rows, whose result, sums of gradients and curvatures, is a few
-    numbers for each column. Constant and missing columns aren't fitted.
+    All columns' models are fitted in the same passes. Constant and missing
+    columns get a status and no model.
     """
-    n = train.count()
-    medians = train.agg(*[F.median(c_) for c_ in columns]).first()
-    filled = {c_: F.coalesce(F.col(c_).cast("double"), F.lit(0.0 if m is None else m)) for c_, m in zip(columns, medians)}
-    stats = train.agg(*[F.struct(F.count_distinct(c_).alias("distinct"), F.count(c_).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("scale")) for c_, x in filled.items()]).first()
-    fits = {}
-    for c_, m, s in zip(columns, medians, stats):
-        status = "OK" if s.distinct > 1 else "missing in train" if s.n == 0 else "constant in train"
-        fits[c_] = {"status": status, "median": 0.0 if m is None else m, "mean": s.mean, "scale": s.scale or 1.0, "weights": np.zeros(3), "intercepts": np.zeros(3)}
-    live = [c_ for c_ in columns if fits[c_]["status"] == "OK"]
-    if not live:
-        return fits
-    long = train.select("target_label", F.inline(F.array(*[F.struct(F.lit(c_).alias("feature"), ((filled[c_] - fits[c_]["mean"]) / fits[c_]["scale"]).alias("x")) for c_ in live])))
-    # Columns take few distinct values: the steps run over counts of (column, value, label).
-    counts = long.groupBy("feature", "x").agg(*[F.count_if(F.col("target_label") == k).alias(f"n{k}") for k in range(3)]).persist()
-    spark = train.sparkSession
-    for _ in range(NEWTON_STEPS):
-        if not live:
-            break
-        now = spark.createDataFrame([(c_, fits[c_]["weights"].tolist(), fits[c_]["intercepts"].tolist()) for c_ in live], "feature string, w array<double>, b array<double>")
-        eta = counts.join(F.broadcast(now), "feature").select("feature", "x", "n0", "n1", "n2", *[(F.get("w", F.lit(k)) * F.col("x") + F.get("b", F.lit(k))).alias(f"e{k}") for k in range(3)])
-        top = F.greatest("e0", "e1", "e2")
-        grown = [F.exp(F.col(f"e{k}") - top) for k in range(3)]
-        total = grown[0] + grown[1] + grown[2]
-        p = eta.select("feature", "x", "n0", "n1", "n2", (F.col("n0") + F.col("n1") + F.col("n2")).alias("n"), *[(g / total).alias(f"p{k}") for k, g in enumerate(grown)])
-        sums = [F.sum(F.col("n") * F.col(f"p{k}") - F.col(f"n{k}")).alias(f"g{k}") for k in range(3)] + [F.sum((F.col("n") * F.col(f"p{k}") - F.col(f"n{k}")) * F.col("x")).alias(f"gx{k}") for k in range(3)]
-        for i in range(3):
-            for j in range(i + 1):
-                h = F.col("n") * F.col(f"p{i}") * ((1.0 if i == j else 0.0) - F.col(f"p{j}"))
-                sums += [F.sum(h).alias(f"h{i}{j}"), F.sum(h * F.col("x")).alias(f"hx{i}{j}"), F.sum(h * F.col("x") * F.col("x")).alias(f"hxx{i}{j}")]
-        done = set()
-        for r in p.groupBy("feature").agg(*sums).collect():  # a row for each column
-            f = fits[r.feature]
-            slope = np.array([r[f"g{k}"] * c for k in range(3)] + [r[f"gx{k}"] * c + f["weights"][k] for k in range(3)])
-            curve = np.zeros((6, 6))
-            for i in range(3):
-                for j in range(3):
-                    key = f"{max(i, j)}{min(i, j)}"
-                    curve[i, j], curve[i, 3 + j], curve[3 + i, j], curve[3 + i, 3 + j] = c * r[f"h{key}"], c * r[f"hx{key}"], c * r[f"hx{key}"], c * r[f"hxx{key}"]
-            curve[3:, 3:] += np.eye(3)
-            step = np.linalg.lstsq(curve, slope, rcond=1e-12)[0]  # intercepts are free up to a common shift
-            f["intercepts"], f["weights"] = f["intercepts"] - step[:3], f["weights"] - step[3:]
-            if np.abs(slope).max() < 1e-8 * n:
-                done.add(r.feature)
-        live = [c_ for c_ in live if c_ not in done]
-    counts.unpersist()
-    for c_ in live:
-        fits[c_]["status"] = "not converged"
-    return fits
-
-
-def univariate_predictions(rows: DataFrame, fits: dict[str, dict], priors: list[float]) -> DataFrame:
-    """``(feature, y, p0, p1, p2)``: a row for each row and column; unfitted columns predict the training priors."""
-    parts = []
-    for c, f in fits.items():
-        if f["status"] in ("OK", "not converged"):
-            x = (F.coalesce(F.col(c).cast("double"), F.lit(f["median"])) - f["mean"]) / f["scale"]
-            e = [F.exp(x * float(f["weights"][k]) + float(f["intercepts"][k])) for k in range(3)]
-            total = e[0] + e[1] + e[2]
-            p = [v / total for v in e]
-        else:
-            p = [F.lit(float(v)) for v in priors]
-        parts.append(F.struct(F.lit(c).alias("feature"), *[v.alias(f"p{k}") for k, v in enumerate(p)]))
-    return rows.select(F.col("target_label").alias("y"), F.inline(F.array(*parts)))
+    blocks = make_blocks(train, columns)
+    try:
+        n = counts(blocks, [math.inf])
+        least, most = extremes(blocks, [math.inf], n)
+        places = {name: i for i, name in enumerate(blocks.names)}
+        status = {}
+        for column in columns:
+            if column in blocks.categories:
+                values = len(blocks.categories[column])
+                status[column] = "OK" if values > 1 else "constant in train" if values else "missing in train"
+            else:
+                i = places[column, None]
+                status[column] = "missing in train" if not n[0, i] else "OK" if least[0, i] < most[0, i] else "constant in train"
+        models = fit_blocks(blocks, {x: (0, [x]) for x, s in status.items() if s == "OK"}, c=c)
+    finally:
+        blocks.release()
+    return {x: s if s != "OK" or models[x].converged else "not converged" for x, s in status.items()}, models
+
+
+def univariate_predictions(rows: DataFrame, models: dict[str, Model], columns: list[str], priors: list[float]) -> DataFrame:
+    """``(feature, y, p0, p1, p2)``: a row for each row and column; columns without a model predict the training priors."""
+    labelled = _as_predictions(rows)
+    flat = F.array(*[F.struct(F.lit(x).alias("feature"), *[F.lit(float(p)).alias(n) for n, p in zip(PROBABILITIES, priors)]) for x in columns if x not in models])
+    parts = [predict_many(labelled, models, "feature", ["y"]).select("feature", "y", *PROBABILITIES)] if models else []
+    if len(models) < len(columns):
+        parts.append(labelled.select("y", F.inline(flat)).select("feature", "y", *PROBABILITIES))
+    return reduce(DataFrame.union, parts)
 
 
 def _priors(train: DataFrame) -> list[float]:
@@ -136,31 +112,40 @@ def _priors(train: DataFrame) -> list[float]:
     return priors
 
 
-def _score_columns(train: DataFrame, scored: DataFrame, columns: list[str]) -> tuple[DataFrame, dict, list[float]]:
+def _score_columns(train: DataFrame, scored: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str], list[float]]:
     priors = _priors(train)
-    fits = univariate_fits(train, columns)
-    return all_metrics(univariate_predictions(scored, fits, priors), ["feature"]), fits, priors
+    status, models = univariate_models(train, columns)
+    return all_metrics(univariate_predictions(scored, models, columns, priors), ["feature"]), status, priors
 
 
 def _dummy(rows: DataFrame, priors: list[float]) -> DataFrame:
     return rows.select(F.col("target_label").alias("y"), *[F.lit(p).alias(f"p{k}") for k, p in enumerate(priors)])
 
 
-def individual_features(engineered: DataFrame, columns: list[str] | None = None, train_end_year: int = 2022, validation_end_year: int = 2024) -> DataFrame:
-    """One logistic model for each numeric feature on the same test rows, with its gains over the training priors, best first."""
+def individual_features(engineered: DataFrame, columns: list[str] | None = None, train_end_year: int = 2022, validation_end_year: int = 2024) -> dict[str, DataFrame]:
+    """One logistic model for each feature on the same test rows: ``scores`` with gains over the training priors, best first, ``outcomes``, ``dummy`` and ``split``."""
     data, columns = modeling_data(engineered, columns)
-    columns = [c for c in columns if dict(data.dtypes)[c] != "string"]
     if not columns:
         raise ValueError("at least one feature is needed")
-    train, _, test = time_split(data, train_end_year, validation_end_year)
-    scores, fits, priors = _score_columns(train, test, columns)
-    dummy = all_metrics(_dummy(test, priors)).first()
-    statuses = _rows(engineered.sparkSession, [{"feature": c, "status": f["status"] + ("; an outcome is missing in train" if min(priors) == 0 else "")} for c, f in fits.items()], "feature string, status string")
+    spark = engineered.sparkSession
+    parts = dict(zip(PARTITIONS, time_split(data, train_end_year, validation_end_year)))
+    train, test = parts["train"], parts["test"]
+    scores, status, priors = _score_columns(train, test, columns)
+    flat = all_metrics(_dummy(test, priors))
+    dummy = flat.first()
+    lacking = "; an outcome is missing in train" if min(priors) == 0 else ""
+    statuses = _rows(spark, [{"feature": c, "status": s + lacking} for c, s in status.items()], "feature string, status string")
+    span = lambda name, rows: rows.agg(F.lit(name).alias("partition"), F.min("MatchDate").alias("start"), F.max("MatchDate").alias("end"), F.count(F.lit(1)).alias("rows"))
+    split = reduce(DataFrame.union, [span(name, rows) for name, rows in parts.items()])
+    sizes = {r.partition: r.rows for r in split.collect()}
     missing = lambda rows, name: rows.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias(name)) for c in columns])))
     out = statuses.join(F.broadcast(scores), "feature").join(F.broadcast(missing(train, "train_missing")), "feature").join(F.broadcast(missing(test, "test_missing")), "feature")  # a row for each column
-    gains = {"log_loss_gain": dummy.log_loss - F.col("log_loss"), "brier_gain": dummy.brier_score - F.col("brier_score"), "accuracy_gain": F.col("accuracy") - dummy.accuracy}
+    gains = {"train_rows": F.lit(sizes["train"]), "test_rows": F.lit(sizes["test"]), "log_loss_gain": dummy.log_loss - F.col("log_loss"), "brier_gain": dummy.brier_score - F.col("brier_score"), "accuracy_gain": F.col("accuracy") - dummy.accuracy}
     gains |= {f"{m}_gain_{o}": dummy[f"{m}_{o}"] - F.col(f"{m}_{o}") for m in ("log_loss", "brier") for o in OUTCOMES}
-    return out.withColumns(gains).orderBy(F.desc("log_loss_gain"), "feature")
+    seen = lambda name, rows: rows.agg(*[F.count_if(F.col("target_label") == k).alias(o) for k, o in enumerate(OUTCOMES)]).select(F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias(name)) for o in OUTCOMES])))
+    priors_of = _rows(spark, [{"outcome": o, "dummy_probability": p, "dummy_gini": dummy[f"gini_{o}"], "dummy_log_loss": dummy[f"log_loss_{o}"], "dummy_brier": dummy[f"brier_{o}"]} for o, p in zip(OUTCOMES, priors)], "outcome string, dummy_probability double, dummy_gini double, dummy_log_loss double, dummy_brier double")
+    outcomes = seen("train_count", train).join(seen("test_count", test), "outcome").join(priors_of, "outcome").withColumn("test_frequency", F.col("test_count") / sizes["test"])
+    return {"scores": out.withColumns(gains).orderBy(F.desc("log_loss_gain"), "feature"), "outcomes": outcomes, "dummy": flat, "split": split}
 
 
 def screen(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -170,10 +155,10 @@ def screen(train: DataFrame, columns: list[str]) -> DataFrame:
         raise ValueError("screening needs at least five distinct training dates")
     cutoff = dates[min(len(dates) - 1, max(1, int(len(dates) * 0.8)))]
     early, late = train.where(F.col("MatchDate") < cutoff), train.where(F.col("MatchDate") >= cutoff)
-    columns = [c for c in canonical(columns) if dict(train.dtypes)[c] != "string"]
-    scores, fits, priors = _score_columns(early, late, columns)
+    columns = canonical(columns)
+    scores, status, priors = _score_columns(early, late, columns)
     dummy = all_metrics(_dummy(late, priors)).first()
-    statuses = _rows(train.sparkSession, [{"feature": c, "screen_status": f["status"]} for c, f in fits.items()], "feature string, screen_status string")
+    statuses = _rows(train.sparkSession, [{"feature": c, "screen_status": s} for c, s in status.items()], "feature string, screen_status string")
     return statuses.join(F.broadcast(scores), "feature").select("feature", F.col("gini_macro").alias("screen_gini"), (dummy.log_loss - F.col("log_loss")).alias("screen_log_loss_gain"), "screen_status")
 
 
@@ -204,7 +189,7 @@ def subset_search(engineered: DataFrame, features: list[str], n: int = 50, least
     """A row for each simulation and partition: the subset, its metrics and its gain over the training priors."""
     subsets = feature_subsets(features, n, least, most, seed)
     data, _ = modeling_data(engineered, features)
-    parts = dict(zip(PARTITIONS, (p.persist() for p in time_split(data))))
+    parts = dict(zip(PARTITIONS, time_split(data)))
     priors = _priors(parts["train"])
     dummies = {name: probability_metrics(_dummy(part, priors)).first().log_loss for name, part in parts.items()}
     fitted = fit_logistics(parts["train"], {number: list(subset) for number, subset in enumerate(subsets, 1)}, progress=progress)
@@ -242,21 +227,24 @@ def logistic_report(engineered: DataFrame, features: list[str], threshold: float
         rows = one if rows is None else rows.union(one)
     by = ["partition"]
     dummy = rows.withColumns({f"p{k}": F.lit(p) for k, p in enumerate(priors)})
-    metrics = all_metrics(rows, by).withColumn("model", F.lit("logistic")).unionByName(all_metrics(dummy, by).withColumn("model", F.lit("dummy")))
-    return {"predictions": rows, "metrics": metrics, "outcomes": outcome_summary(rows, by), "calibration": calibration(rows, by), "roc": roc_points(rows, by), "confidence": confidence_coverage(rows, by, threshold)}
+    metrics = all_metrics(rows, by).withColumn("model", F.lit("logistic")).unionByName(all_metrics(dummy, by).withColumn("model", F.lit("dummy"))).withColumn("converged", F.lit(model.converged))
+    splits = rows.groupBy("partition").agg(F.min("MatchDate").alias("start"), F.max("MatchDate").alias("end"), F.count(F.lit(1)).alias("rows"))
+    given = rows.withColumns({f"dummy_{k}": F.lit(p) for k, p in enumerate(priors)})
+    return {"predictions": given, "metrics": metrics, "outcomes": outcome_summary(rows, by), "calibration": calibration(rows, by), "roc": roc_points(rows, by), "confidence": confidence_coverage(rows, by, threshold), "splits": splits}
 
 
 def season_walk_forward(team: DataFrame, first_test_season: str) -> DataFrame:
-    """Each season predicted by a model of the seasons before it, one H/D/A distribution a match."""
-    rows = with_team_label(team).persist()
-    seasons = {r.Season: r.n for r in rows.groupBy("Season").agg(F.count("*").alias("n")).collect() if r.Season is not None}
-    out = None
-    for season in sorted(s for s in seasons if s >= first_test_season):
-        train = rows.where(F.col("Season") < season)
-        if train.select("target_label").distinct().limit(2).count() < 2:
-            continue
-        part = pooled(with_team_predictions(fit_team_logistic(train), rows.where(F.col("Season") == season)))
-        out = part if out is None else out.union(part)
-    if out is None:
+    """Each season predicted by a model of the seasons before it, one H/D/A distribution a match.
+
+    All seasons' models are fitted in the same passes; a season's place in order tells the folds apart.
+    """
+    rows = with_team_label(team)
+    found = rows.where("Season IS NOT NULL").groupBy("Season").agg(F.collect_set("target_label").alias("labels")).collect()  # a row a season
+    labels = {r.Season: set(r.labels) for r in found}
+    seasons = sorted(labels)
+    ready = [s for s in seasons if s >= first_test_season and len(set().union(*[labels[x] for x in seasons if x < s])) > 1]
+    if not ready:
         raise ValueError("no season has both earlier results and its own")
-    return out
+    place = F.array_position(F.array(*map(F.lit, seasons)), F.col("Season")).cast("double")  # null: in no fold
+    models = fit_team_logistics(rows, {s: seasons.index(s) + 1.0 for s in ready}, F.coalesce(place, F.lit(math.inf)))
+    return reduce(DataFrame.union, [pooled(with_team_predictions(models[s], rows.where(F.col("Season") == s))) for s in ready])

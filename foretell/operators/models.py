@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass, field
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretell.functions.scalars import first_largest
+from foretell.operators.blocks import Blocks, counts, gram, label_counts, make_blocks, medians, moments
+from foretell.operators.many_fits import MAX_PASSES, Fit, fit_many
 from foretell.schema import BEST_LOGISTIC, CLASS_ORDER, FEATURE_GROUPS, FEATURE_SETS, canonical
 
 PRUNE_AT = 0.90
@@ -91,37 +91,73 @@ class Encoder:
         return array_to_vector(F.array(*[F.coalesce(x, F.lit(0.0)) for x in self.values()]))
 
 
-def fit_encoder(train: DataFrame, columns: list[str], prune_at: float | None = None, drop_if_binary: bool = False) -> Encoder:
-    """Learned in two passes over ``train``: exact medians, then moments and correlations of the filled columns.
+def fit_encoders(blocks: Blocks, columns: list[str], limits: list[float], prune_at: float | None = None, drop_if_binary: bool = False) -> list[Encoder]:
+    """An encoder for each fold: exact medians, modes, then means and deviations of the filled columns, in passes over all columns and folds.
 
     With ``prune_at``, a numeric column goes if its absolute correlation with an
     earlier kept one reaches it; constant columns correlate with none.
     """
-    kinds = dict(train.dtypes)
-    numeric = [c for c in columns if kinds[c] != "string"]
-    text = [c for c in columns if kinds[c] == "string"]
-    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None))
-    first = train.agg(F.count("*"), *[F.median(value(c)) for c in numeric], *[F.mode(c, deterministic=True) for c in text], *[F.sort_array(F.collect_set(c)) for c in text]).first()
-    medians = [m if m is not None else 0.0 for m in first[1 : 1 + len(numeric)]]
-    modes = dict(zip(text, first[1 + len(numeric) :]))
-    categories = dict(zip(text, first[1 + len(numeric) + len(text) :]))
-    if drop_if_binary:
-        categories = {c: v[1:] if len(v) == 2 else v for c, v in categories.items()}
-    filled = [F.coalesce(value(c), F.lit(m)) for c, m in zip(numeric, medians)]
-    pairs = [(i, j) for j in range(len(numeric)) for i in range(j)] if prune_at is not None else []
-    moments = train.agg(F.count("*"), *[F.avg(x) for x in filled], *[F.stddev_pop(x) for x in filled], *[F.corr(filled[i], filled[j]) for i, j in pairs]).first()[1:] if numeric else ()
-    n = len(numeric)
-    kept = list(range(n))
+    names = blocks.names
+    n = counts(blocks, limits)
+    plain = np.array([v is None for _, v in names])
+    middle = medians(blocks, limits, np.where(plain, n, 0))
+    shown = blocks.sums(lambda x, y, place: np.array([np.nansum(x[place < b], axis=0) for b in limits]))
+    shown = np.zeros(n.shape) if shown is None else shown.reshape(n.shape)
+    modes, seen = [], []
+    for f in range(len(limits)):
+        by = {c: [v for v in values if shown[f, names.index((c, v))] > 0] for c, values in blocks.categories.items() if c in columns}
+        seen.append(by)
+        modes.append({c: max(values, key=lambda v, c=c, f=f: shown[f, names.index((c, v))]) for c, values in by.items() if values})  # of equals the first
+    fill = np.where(np.isnan(middle), 0.0, middle)
+    for f, mode in enumerate(modes):
+        for i, (c, v) in enumerate(names):
+            if v is not None:
+                fill[f, i] = float(mode.get(c) == v)
+    _, mean, scale = moments(blocks, limits, fill)
+    related = np.zeros((len(limits), len(names), len(names)))
     if prune_at is not None:
-        related = dict(zip(pairs, moments[2 * n :]))
-        kept = []
-        for j in range(n):
-            strength = [related[i, j] for i in kept]
-            if all(abs(0.0 if r is None or r != r else r) < prune_at for r in strength):
+        rows, _, products = gram(blocks, limits, fill, mean)
+        spread = scale[:, :, None] * scale[:, None, :] * np.maximum(rows, 1)[:, None, None]
+        related = np.where(spread > 0, np.abs(products) / np.where(spread > 0, spread, 1.0), 0.0)
+    out = []
+    for f in range(len(limits)):
+        kept: list[int] = []
+        for c in [c for c in columns if c in blocks.numeric]:
+            j = names.index((c, None))
+            if prune_at is None or all(related[f, i, j] < prune_at for i in kept):
                 kept.append(j)
-    scale = [s if s else 1.0 for s in moments[n : 2 * n]]
-    pick = lambda x: [x[j] for j in kept]
-    return Encoder(pick(numeric), pick(medians), pick(moments[:n]), pick(scale), categories, modes)
+        pick = lambda x, f=f, kept=kept: [float(x[f, j]) for j in kept]
+        categories = {c: v[1:] if drop_if_binary and len(v) == 2 else v for c, v in seen[f].items()}
+        scales = [s if s else 1.0 for s in pick(scale)]
+        out.append(Encoder([names[j][0] for j in kept], pick(fill), pick(mean), scales, categories, modes[f]))
+    return out
+
+
+def fit_encoder(train: DataFrame, columns: list[str], prune_at: float | None = None, drop_if_binary: bool = False, label: str = "target_label") -> Encoder:
+    """The encoder of one training table."""
+    blocks = make_blocks(train, columns, label)
+    try:
+        return fit_encoders(blocks, columns, [math.inf], prune_at, drop_if_binary)[0]
+    finally:
+        blocks.release()
+
+
+@dataclass
+class Linear:
+    """Weights and intercepts of each class, or of the second of two."""
+
+    weights: list[list[float]]
+    intercepts: list[float]
+    passes: int = 0
+
+
+def _chances(x: Column, given: Column) -> list[Column]:
+    """p0, p1, p2 of encoded values under weights ``w``, intercepts ``b`` and the ``known`` classes."""
+    logit = lambda k: given["b"][k] + F.aggregate(F.zip_with(x, given["w"][k], lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
+    scores = [F.when(given["known"][k], logit(k)) for k in range(3)]
+    top = F.greatest(*scores)
+    grown = [F.coalesce(F.exp(s - top), F.lit(0.0)) for s in scores]
+    return [g / (grown[0] + grown[1] + grown[2]) for g in grown]
 
 
 @dataclass
@@ -130,24 +166,36 @@ class Model:
 
     encoder: Encoder
     classes: list[int]
-    fitted: LogisticRegressionModel | RandomForestClassificationModel
+    fitted: Linear | RandomForestClassificationModel
     columns: list[str]
-    #: Whether the optimiser came to rest before its last iteration; forests always do.
+    #: Whether the gradient vanished before the last pass; forests always come to rest.
     converged: bool = True
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` and p0, p1, p2; 0 for classes that training lacked."""
+        if isinstance(self.fitted, Linear):
+            table = dict(zip(("w", "b", "known"), self.by_class(), strict=True))
+            given = F.from_json(F.lit(json.dumps(table)), "struct<w: array<array<double>>, b: array<double>, known: array<boolean>>")
+            x = F.array(*[F.coalesce(v, F.lit(0.0)) for v in self.encoder.values()]).cast("array<double>")
+            out = rows.withColumns({"__x": x, "__m": given})
+            return out.withColumns(dict(zip(PROBABILITIES, _chances(F.col("__x"), F.col("__m")), strict=True))).drop("__x", "__m")
         out = self.fitted.transform(rows.drop("probability", "rawPrediction", "prediction", "features").withColumn("features", self.encoder.vector()))
         chance = vector_to_array("probability")
         return out.withColumns({p: F.get(chance, self.classes.index(k)) if k in self.classes else F.lit(0.0) for k, p in enumerate(PROBABILITIES)}).drop("features", "rawPrediction", "probability", "prediction")
 
+    def by_class(self) -> tuple[list[list[float]], list[float], list[bool]]:
+        """(weights, intercepts, whether training had it) of the labels 0, 1 and 2; of two classes the first has zeros."""
+        none = [0.0] * len(self.encoder.names)
+        free = dict(zip(self.classes if len(self.classes) > 2 else self.classes[1:], zip(self.fitted.weights, self.fitted.intercepts, strict=True), strict=True))
+        return [list(free[k][0]) if k in free else none for k in range(3)], [float(free[k][1]) if k in free else 0.0 for k in range(3)], [k in self.classes for k in range(3)]
+
     def coefficients(self, label: int) -> tuple[np.ndarray, float]:
-        """Weights and intercept of a class's log odds; for two classes those of the second are the model's, the first has none."""
+        """Weights and intercept of a class's log odds; for two classes those of the second are the model's, the first has their negatives."""
         k = self.classes.index(label)
         if len(self.classes) > 2:
-            return self.fitted.coefficientMatrix.toArray()[k], float(self.fitted.interceptVector[k])
+            return np.array(self.fitted.weights[k]), float(self.fitted.intercepts[k])
         sign = 1.0 if k == 1 else -1.0
-        return sign * self.fitted.coefficients.toArray(), sign * float(self.fitted.intercept)
+        return sign * np.array(self.fitted.weights[0]), sign * float(self.fitted.intercepts[0])
 
 
 def _labelled(train: DataFrame, label: str) -> tuple[DataFrame, list[int], int, dict[int, int]]:
@@ -159,58 +207,62 @@ def _labelled(train: DataFrame, label: str) -> tuple[DataFrame, list[int], int,
     return train.withColumn("__label", place.cast("double")), classes, sum(counts.values()), counts
 
 
-def fit_logistic(train: DataFrame, columns: list[str], c: float = 1.0, label: str = "target_label", prune_at: float | None = None, drop_if_binary: bool = False, balanced: bool = False, max_iter: int = 500) -> Model:
-    """L2-penalised multinomial logistic regression that minimises C x the summed loss + half the squared weights (intercepts free)."""
-    rows, classes, n, counts = _labelled(train, label)
-    encoder = fit_encoder(train, columns, prune_at, drop_if_binary)
-    rows = rows.withColumn("features", encoder.vector())
-    weight = F.lit(1.0)
-    if balanced:
-        for k, x in enumerate(classes):
-            weight = F.when(F.col("__label") == k, n / (len(classes) * counts[x])).otherwise(weight)
-    rows = _sized(rows.select("__label", "features", weight.alias("__weight")), n).persist()
+def _fit(blocks: Blocks, encoder: Encoder, limit: float, found: np.ndarray, c: float, balanced: bool) -> Fit:
+    classes = [k for k in range(3) if found[k] > 0]
+    if len(classes) < 2:
+        raise ValueError("all training rows have one outcome")
+    places = {name: i for i, name in enumerate(blocks.names)}
+    text = [(x, v) for x, values in encoder.categories.items() for v in values]
+    at = np.array([places[x, None] for x in encoder.numeric] + [places[x] for x in text], int)
+    fill = np.array([*encoder.medians, *[float(encoder.modes.get(x) == v) for x, v in text]])
+    mean, scale = np.array([*encoder.means, *[0.0] * len(text)]), np.array([*encoder.scales, *[1.0] * len(text)])
+    own = found[classes]
+    return Fit(at, fill, mean, scale, limit, classes, own, c, own.sum() / (len(classes) * own) if balanced else None)
+
+
+def fit_models(data: DataFrame, wanted: dict, limits: list[float] | None = None, place: Column | None = None, c: float = 1.0, label: str = "target_label", prune_at: float | None = None, drop_if_binary: bool = False, balanced: bool = False, max_iter: int = MAX_PASSES, progress=None) -> dict:
+    """L2-penalised multinomial logistic regressions, all fitted in the same passes; each minimises C x the summed loss + half the squared weights (intercepts free).
+
+    ``wanted`` maps a key to (fold, columns); fold f trains on the rows whose
+    ``place`` is below ``limits[f]``, with an encoder of its own. Without
+    folds all rows train.
+    """
+    columns = list(dict.fromkeys(x for _, given in wanted.values() for x in given))
+    blocks = make_blocks(data, columns, label, place)
     try:
-        fitted = _optimiser(classes, c, n, max_iter).setWeightCol("__weight").fit(rows)
+        return fit_blocks(blocks, wanted, limits, c, prune_at, drop_if_binary, balanced, max_iter, progress)
     finally:
-        rows.unpersist()
-    return Model(encoder, classes, fitted, list(columns), fitted.summary.totalIterations < max_iter)
+        blocks.release()
 
 
-def _sized(rows: DataFrame, n: int) -> DataFrame:
-    """``rows``, which are ``n``, in no more tasks than their number asks for."""
-    return rows.coalesce(-(-n // ROWS_A_TASK))
+def fit_blocks(blocks: Blocks, wanted: dict, limits: list[float] | None = None, c: float = 1.0, prune_at: float | None = None, drop_if_binary: bool = False, balanced: bool = False, max_iter: int = MAX_PASSES, progress=None) -> dict:
+    """``fit_models`` over blocks that are there already."""
+    limits = [math.inf] if limits is None else limits
+    found = label_counts(blocks, limits)
+    if prune_at is None:  # what an encoder learned of a column doesn't depend on the others
+        whole = fit_encoders(blocks, list(dict.fromkeys(x for _, given in wanted.values() for x in given)), limits)
+        encoders = {key: whole[f].only(given) for key, (f, given) in wanted.items()}
+    else:
+        by = {given: fit_encoders(blocks, list(given), limits, prune_at, drop_if_binary) for given in {tuple(given) for _, given in wanted.values()}}
+        encoders = {key: by[tuple(given)][f] for key, (f, given) in wanted.items()}
+    fits = {key: _fit(blocks, encoders[key], limits[f], found[f], c, balanced) for key, (f, _) in wanted.items()}
+    fit_many(blocks, fits, max_iter, progress)
+    return {key: Model(encoders[key], fit.classes, Linear(fit.w[:, :-1].tolist(), fit.w[:, -1].tolist(), fit.passes), list(wanted[key][1]), fit.converged) for key, fit in fits.items()}
+
 
+def fit_logistic(train: DataFrame, columns: list[str], c: float = 1.0, label: str = "target_label", prune_at: float | None = None, drop_if_binary: bool = False, balanced: bool = False, max_iter: int = MAX_PASSES) -> Model:
+    """One model of ``fit_models`` on all rows of ``train``."""
+    return fit_models(train, {0: (0, columns)}, None, None, c, label, prune_at, drop_if_binary, balanced, max_iter)[0]
 
-def _optimiser(classes: list[int], c: float, n: int, max_iter: int) -> LogisticRegression:
-    return LogisticRegression(labelCol="__label", family="multinomial" if len(classes) > 2 else "binomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9)
 
+def _sized(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, which are ``n``, in no more tasks than their number asks for."""
+    return rows.coalesce(-(-n // ROWS_A_TASK))
 
-def fit_logistics(train: DataFrame, groups: dict, c: float = 1.0, label: str = "target_label", max_iter: int = 500, parallelism: int = 8, progress=None) -> dict:
-    """``fit_logistic`` for each of several lists of columns over the same rows, by the keys of ``groups``.
 
-    The rows are encoded and kept once for all lists, and ``parallelism`` fits run side by side.
-    """
-    rows, classes, n, _ = _labelled(train, label)
-    encoder = fit_encoder(train, list(dict.fromkeys(x for columns in groups.values() for x in columns)))
-    rows = _sized(rows.select("__label", encoder.vector().alias("__all")), n).persist()
-
-    def fit(item: tuple) -> tuple:
-        key, columns = item
-        picked = VectorSlicer(inputCol="__all", outputCol="features", indices=encoder.places(columns)).transform(rows)
-        fitted = _optimiser(classes, c, n, max_iter).fit(picked.select("__label", "features"))
-        return key, Model(encoder.only(columns), classes, fitted, list(columns), fitted.summary.totalIterations < max_iter)
-
-    found = {}
-    pool = ThreadPool(parallelism)
-    try:
-        for key, model in pool.imap_unordered(inheritable_thread_target(rows.sparkSession)(fit), groups.items()):
-            found[key] = model
-            if progress:
-                progress(len(found), len(groups))
-    finally:
-        pool.terminate()
-        rows.unpersist()
-    return {key: found[key] for key in groups}
+def fit_logistics(train: DataFrame, groups: dict, c: float = 1.0, label: str = "target_label", max_iter: int = MAX_PASSES, progress=None) -> dict:
+    """``fit_logistic`` for each of several lists of columns over the same rows, by the keys of ``groups``."""
+    return fit_models(train, {key: (0, columns) for key, columns in groups.items()}, c=c, label=label, max_iter=max_iter, progress=progress)
 
 
 def predict_many(rows: DataFrame, models: dict, name: str, carry: list[str]) -> DataFrame:
@@ -226,24 +278,19 @@ def predict_many(rows: DataFrame, models: dict, name: str, carry: list[str]) ->
         for value, column in zip(model.encoder.names, model.encoder.values()):
             whole.setdefault(value, F.coalesce(column, F.lit(0.0)))
         places = {value: i for i, value in enumerate(whole)}
-        weights, starts = zip(*[model.coefficients(k) if k in model.classes else (np.zeros(len(model.encoder.names)), 0.0) for k in range(3)])
-        if len(model.classes) == 2:  # one class's log odds against the other's
-            weights, starts = zip(*[(w, b) if k == model.classes[1] else (w * 0, 0.0) for k, (w, b) in enumerate(zip(weights, starts))])
-        table.append({name: key, "at": [places[v] for v in model.encoder.names], "w": [w.tolist() for w in weights], "b": list(map(float, starts)), "known": [k in model.classes for k in range(3)]})
+        weights, starts, known = model.by_class()
+        table.append({name: key, "at": [places[v] for v in model.encoder.names], "w": weights, "b": starts, "known": known})
     kind = "int" if all(isinstance(key, int) for key in models) else "string"
     given = F.from_json(F.lit(json.dumps(table)), f"array<struct<`{name}`: {kind}, at: array<int>, w: array<array<double>>, b: array<double>, known: array<boolean>>>")
     each = rows.select(*carry, F.array(*whole.values()).alias("__x")).select(*carry, "__x", F.inline(given))
-    logit = lambda k: F.get("b", F.lit(k)) + F.aggregate(F.zip_with("at", F.get("w", F.lit(k)), lambda i, w: F.get("__x", i) * w), F.lit(0.0), lambda a, x: a + x)
-    each = each.select(*carry, name, *[F.when(F.get("known", F.lit(k)), logit(k)).alias(f"__e{k}") for k in range(3)])
-    top = F.greatest("__e0", "__e1", "__e2")
-    each = each.select(*carry, name, *[F.coalesce(F.exp(F.col(f"__e{k}") - top), F.lit(0.0)).alias(f"__g{k}") for k in range(3)])
-    return each.select(*carry, name, *[(F.col(f"__g{k}") / (F.col("__g0") + F.col("__g1") + F.col("__g2"))).alias(p) for k, p in enumerate(PROBABILITIES)])
+    own = each.withColumn("__x", F.transform("at", lambda i: F.get("__x", i)))
+    return own.select(*carry, name, *[p.alias(n) for n, p in zip(PROBABILITIES, _chances(F.col("__x"), F.struct("w", "b", "known")), strict=True)])
 
 
 def fit_forest(train: DataFrame, columns: list[str], label: str = "target_label", trees: int = 300, depth: int = 8, leaf: int = 5, seed: int = 42) -> Model:
     """A forest over balanced classes."""
     rows, classes, n, counts = _labelled(train, label)
-    encoder = fit_encoder(train, columns)
+    encoder = fit_encoder(train, columns, label=label)
     weight = F.lit(1.0)
     for k, x in enumerate(classes):
         weight = F.when(F.col("__label") == k, n / (len(classes) * counts[x])).otherwise(weight)
@@ -283,6 +330,14 @@ def split_by_season(team: DataFrame, test_season: str) -> tuple[DataFrame, DataF
     return train, test
 
 
+def fit_team_logistics(rows: DataFrame, limits: dict, place: Column, feature_set: str | None = None, c: float | None = None) -> dict:
+    """Team models of several folds, by the keys of ``limits``, fitted in the same passes: each on the labelled rows whose ``place`` is below its limit."""
+    columns = team_columns(feature_set)
+    if missing := [x for x in columns if x not in rows.columns]:
+        raise ValueError(f"the team frame lacks {missing}")
+    return fit_models(rows, {key: (f, columns) for f, key in enumerate(limits)}, list(limits.values()), place, c or BEST_LOGISTIC["C"], prune_at=PRUNE_AT, drop_if_binary=True)
+
+
 def fit_team_logistic(train: DataFrame, feature_set: str | None = None, c: float | None = None, balanced: bool = False) -> Model:
     columns = team_columns(feature_set)
     if missing := [x for x in columns if x not in train.columns]:
@@ -321,8 +376,10 @@ def explain(model: Model, rows: DataFrame, label: int | None = None, keys: list[
 
 def save_model(model: Model, path: str, config: dict) -> None:
     """The fitted model, and what else it needs as one line of JSON, in a folder all executors can reach."""
-    model.fitted.write().overwrite().save(f"{path}/fitted")
-    line = json.dumps({"encoder": asdict(model.encoder), "classes": model.classes, "columns": model.columns, "config": config, "kind": type(model.fitted).__name__})
+    linear = isinstance(model.fitted, Linear)
+    if not linear:
+        model.fitted.write().overwrite().save(f"{path}/fitted")
+    line = json.dumps({"linear": asdict(model.fitted) if linear else None, "converged": model.converged, "encoder": asdict(model.encoder), "classes": model.classes, "columns": model.columns, "config": config, "kind": type(model.fitted).__name__})
     SparkSession.getActiveSession().createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -333,5 +390,5 @@ def load_model(spark: SparkSession, path: str, config: dict | None = None) -> Mo
         raise ValueError("the saved model lacks a part")
     if config is not None and meta["config"] != config:
         raise ValueError("the model was saved under another configuration")
-    kinds = {k.__name__: k for k in (LogisticRegressionModel, RandomForestClassificationModel)}
-    return Model(Encoder(**meta["encoder"]), meta["classes"], kinds[meta["kind"]].load(f"{path}/fitted"), meta["columns"])
+    fitted = Linear(**meta["linear"]) if meta["kind"] == Linear.__name__ else RandomForestClassificationModel.load(f"{path}/fitted")
+    return Model(Encoder(**meta["encoder"]), meta["classes"], fitted, meta["columns"], meta.get("converged", True))

@@ -160,14 +160,14 @@ def _named(columns: dict[str, str]) -> str:
     return ", ".join(f"CAST({sql} AS DOUBLE) AS {n.removeprefix('=')}" for n, sql in columns.items())
 
 
-#: Features of one side, each with its place in ``own``, and the frame of a match, all without the count models' columns.
-_OWN = _SUMS | _MEANS | _VENUE | _EFFICIENCY | _CONTEXT | _DECAYED | _SEASON
+#: Features of one side, each with its place in ``side``, and the frame of a match, all without the count models' columns.
+_SIDE = _SUMS | _MEANS | _VENUE | _EFFICIENCY | _CONTEXT | _DECAYED | _SEASON
 _ENGINEERED = f"""WITH RECURSIVE {_ELO_RATED}, {_LEVELS}, {_ELO_FORM}, {_PLACED},
 formed AS (
   SELECT {_KEYS}, avg(other) OVER f AS opponent_elo_mean_l5, avg(over_) OVER f AS result_overperformance_l5 FROM numbered
   WINDOW f AS (PARTITION BY League, Team ORDER BY seq RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING)),
 own AS (
-  SELECT League, Season, MatchDate, Team, {_named(_OWN)}, avg(goals_for) OVER f10 AS scored_l10, avg(goals_against) OVER f10 AS conceded_l10 FROM long WINDOW {_FRAMES}),
+  SELECT League, Season, MatchDate, Team, {_named(_SIDE)}, avg(goals_for) OVER f10 AS scored_l10, avg(goals_against) OVER f10 AS conceded_l10 FROM long WINDOW {_FRAMES}),
 side AS MATERIALIZED (
   SELECT o.*, {_ratio("scored_l10", "league_level")} AS attack_strength_l10, {_ratio("conceded_l10", "league_level")} AS defensive_strength_l10,
     CAST(p.position AS DOUBLE) AS position, f.opponent_elo_mean_l5, f.result_overperformance_l5

@@ -259,7 +259,7 @@ def a3_weighted_summary(spark, sf):
 
 
 def e2_individual_features(spark, sf):
-    return experiments.individual_features(_engineered(spark, sf), None, 1996, 1997)
+    return experiments.individual_features(_engineered(spark, sf), None, 1996, 1997)["scores"]
 
 
 def e3_screening(spark, sf):

@@ -4,12 +4,13 @@ import datetime as dt
 import http.server
 import os
 import threading
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foretell.operators import betting, catalog, experiments, metrics, models
+from foretell.operators import betting, blocks, catalog, experiments, metrics, models
 from foretell.schema import FEATURE_GROUPS, FEATURES
 from foretell.sources.season_files import ODDS_COLUMNS, UntrustedHost, cached_season, get_trusted, load_matches, parse_season_files, season_code, season_label
 
@@ -43,10 +44,15 @@ def test_logistic_is_stationary_and_univariate_fit_agrees(spark):
     rng = np.random.default_rng(5)
     rows = [(int(y), float(y + rng.normal(0, 1.5)) if i % 9 else None, "L" if i % 2 else "M") for i, y in enumerate(rng.integers(0, 3, 240))]
     train = spark.createDataFrame(rows, "target_label int, x double, League string").persist()
-    fit = experiments.univariate_fits(train, ["x"])["x"]
-    one = models.fit_logistic(train, ["x"]).predict(train).select("p0", "p1", "p2").collect()
-    two = experiments.univariate_predictions(train, {"x": fit}, [1 / 3] * 3).select("p0", "p1", "p2").collect()
-    assert np.abs(np.array(one) - np.array(two)).max() < 1e-4
+    status, alone = experiments.univariate_models(train.withColumns({"flat": F.lit(2.0), "none": F.lit(None).cast("double")}), ["x", "League", "flat", "none"])
+    assert status == {"x": "OK", "League": "OK", "flat": "constant in train", "none": "missing in train"}
+    two = experiments.univariate_predictions(train.withColumns({"flat": F.lit(2.0), "none": F.lit(None).cast("double")}), alone, list(status), [0.2, 0.3, 0.5])
+    assert two.count() == 4 * 240 and two.where("feature = 'flat'").select("p2").distinct().collect() == [(0.5,)]
+    for column in ("x", "League"):
+        one = models.fit_logistic(train, [column])
+        assert np.abs(np.array(one.fitted.weights) - np.array(alone[column].fitted.weights)).max() < 1e-9
+        wanted = {k: Counter(round(r[0], 9) for r in one.predict(train).select(k).collect()) for k in models.PROBABILITIES}
+        assert wanted == {k: Counter(round(r[0], 9) for r in two.where(F.col("feature") == column).select(k).collect()) for k in models.PROBABILITIES}
     assert models.fit_logistic(train, ["x"]).converged and not models.fit_logistic(train, ["x"], max_iter=1).converged
     with pytest.raises(ValueError):
         models.fit_logistic(train.where("target_label = 1"), ["x"])
@@ -71,6 +77,74 @@ def test_models_fitted_together_are_those_fitted_alone(spark, classes):
     assert models.predict_many(unseen.limit(0), together, "simulation", ["row"]).count() == 0
 
 
+def _objective_slope(x, y, w, b, c):
+    scores = x @ w.T + b
+    p = np.exp(scores - scores.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    off = p - np.eye(3)[y]
+    return np.abs(c * off.T @ x + w).max(), np.abs(c * off.sum(axis=0)).max()
+
+
+def test_folds_and_penalties_are_fitted_to_the_optimum(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(y), float(y + rng.normal(0, 2)) if i % 7 else None, float(rng.normal(3, 9)), i) for i, y in enumerate(rng.integers(0, 3, 400))]
+    data = spark.createDataFrame(rows, "target_label int, x double, z double, at int").repartition(5)
+    found = models.fit_models(data, {"early": (0, ["x", "z"]), "late": (1, ["z", "x"]), "one": (1, ["z"])}, [150, 400], F.col("at"), c=0.3)
+    for key, limit in (("early", 150), ("late", 400), ("one", 400)):
+        model, mine = found[key], rows[:limit]
+        assert model.converged and model.fitted.passes < 15
+        for i, name in enumerate(model.encoder.numeric):
+            values = np.array([r[1 if name == "x" else 2] for r in mine], float)
+            filled = np.where(np.isnan(values), np.nanmedian(values), values)
+            assert (model.encoder.medians[i], model.encoder.means[i], model.encoder.scales[i]) == pytest.approx((np.nanmedian(values), filled.mean(), filled.std()))
+        e = model.encoder
+        design = np.array([[((m if (v := r[1 if n == "x" else 2]) is None else v) - a) / s for n, m, a, s in zip(e.numeric, e.medians, e.means, e.scales)] for r in mine])
+        slopes = _objective_slope(design, np.array([r[0] for r in mine]), np.array(model.fitted.weights), np.array(model.fitted.intercepts), 0.3)
+        assert max(slopes) < 1e-5
+    with pytest.raises(ValueError):
+        models.fit_models(data, {0: (0, ["x"])}, [1], F.col("at"))
+
+
+def test_selection_is_exact(spark):
+    rng = np.random.default_rng(2)
+    table = np.stack([rng.normal(size=301), rng.integers(-3, 3, 301) * 1.0, np.exp(rng.normal(0, 40, 301)), np.full(301, np.nan), -np.abs(rng.normal(size=301)) * 1e-300], axis=1)
+    table[rng.random(table.shape) < 0.2] = np.nan
+    names = list("abcde")
+    data = spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], 0, i) for i, r in enumerate(table)], ", ".join(f"{n} double" for n in names) + ", target_label int, at int").repartition(4)
+    held = blocks.make_blocks(data, names, place=F.col("at"))
+    limits = [1.0, 40.0, 301.0, 0.0]
+    n = blocks.counts(held, limits)
+    least, most = blocks.extremes(held, limits, n)
+    middle = blocks.medians(held, limits)
+    for f, b in enumerate(limits):
+        for c in range(5):
+            mine = table[: int(b), c]
+            mine = mine[~np.isnan(mine)]
+            want = (np.median(mine), mine.min(), mine.max()) if len(mine) else (np.nan,) * 3
+            assert np.array_equal((middle[f, c], least[f, c], most[f, c]), want, equal_nan=True) and n[f, c] == len(mine)
+    held.release()
+
+
+def test_pruning_by_one_gram_matrix_agrees_with_pairwise_correlations(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    table = np.column_stack([x[:, 0], x[:, 0] * -2 + rng.normal(0, 0.3, 200), x[:, 1], np.full(200, 0.1), x[:, 1] + x[:, 2], x[:, 2]])
+    table[::9, 1] = np.nan
+    names = list("abcdef")
+    data = spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], int(i % 3)) for i, r in enumerate(table)], ", ".join(f"{n} double" for n in names) + ", target_label int")
+    filled = np.where(np.isnan(table), np.nanmedian(table, axis=0), table)
+    with np.errstate(invalid="ignore"):
+        related = np.nan_to_num(np.abs(np.corrcoef(filled.T)))
+    for threshold in (0.6, 0.9):
+        kept = []
+        for j in range(6):
+            if all(related[i, j] < threshold for i in kept):
+                kept.append(j)
+        encoder = models.fit_encoder(data, names, prune_at=threshold)
+        assert encoder.numeric == [names[j] for j in kept]
+        assert encoder.scales[encoder.numeric.index("d")] == 1.0
+
+
 def test_subsets_are_seeded():
     names = [f"x{i}" for i in range(8)]
     a = experiments.feature_subsets(names, 10, 2, 4, 3)
