@@ -2,11 +2,11 @@
 
 Every slice of texts becomes a trie of counts: a node is a phrase of up to four
 words that occurs in one piece of a text. A phrase is no more frequent than the
-phrases inside it, so tries are grown only over pairs of words that are
+phrases inside it, so tries are grown only over phrases whose parts are
 frequent in the whole corpus. Which words are is known from their counts; pairs
-are counted by fingerprints of 40 bits, in blocks that are sorted one at a
-time. Both come back as bitmaps of fixed size, which may let rare ones through,
-never keep frequent ones out: what passes is counted exactly. The nodes of a
+and then longer phrases are counted by fingerprints of 40 bits, in blocks that
+are sorted one at a time. All come back as bitmaps of fixed size, which may let
+rare ones through, never keep frequent ones out: what passes is counted exactly. The nodes of a
 slice leave it in sorted order. They are dealt out by prefix range, the sorted
 runs of all slices are merged, and equal nodes are summed.
 
@@ -40,7 +40,7 @@ TOP = 2000
 #: A candidate goes where a longer one has this share of its count or more.
 COVERED = 80
 #: Bytes of text in one trie, and in one block of fingerprints.
-SLICE = 8 << 20
+SLICE = 4 << 20
 BLOCK = 64 << 20
 _PIECE_END = b".,;:!?\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _PIECE_END + b"\t", bytes(range(97, 123)) + b"\n" * len(_PIECE_END) + b" ")
@@ -75,27 +75,37 @@ def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _frequent_pairs(at: np.ndarray, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, pair hashes) of all pairs in pieces whose words may be frequent."""
-    good = np.append(maybe_in(words, hashes), False)[at]  # -1: a piece's end
-    begins = np.flatnonzero(good[:-1] & good[1:])
-    return begins, _pair_hashes(hashes[at[begins]], hashes[at[begins + 1]])
-
+def _grown(at: np.ndarray, hashes: np.ndarray, frequent: list[np.ndarray], depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, positions, hashes) of the phrases in pieces, level by level from pairs on.
 
-def _trie(lang: str, texts: list[bytes], words: np.ndarray, pairs: np.ndarray, depth: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(phrases, counts) of the levels from pairs down to ``depth`` of one slice's trie, grown over frequent pairs only."""
-    at, names_of = _tokens(texts)
-    begins, hashes = _frequent_pairs(at, _word_hashes(lang, names_of), words)
-    begins = begins[maybe_in(pairs, hashes)]
-    node, names = at, names_of
+    ``frequent`` has bitmaps of words, pairs and longer phrases, as far as they
+    are known. A phrase grows by a word where the phrase from its second word
+    on, one word shorter, is there too.
+    """
+    good = np.append(maybe_in(frequent[0], hashes), False)[at]  # -1: a piece's end
+    begins = np.flatnonzero(good[:-1] & good[1:])
+    grown = _pair_hashes(hashes[at[begins]], hashes[at[begins + 1]])
     for d in range(2, depth + 1):
         if d > 2:
-            # A phrase grows by the next word where the phrase from its second word on, one word shorter, is a node too.
-            begins = begins[:-1][np.diff(begins) == 1]
+            next_to = np.flatnonzero(np.diff(begins) == 1)
+            begins, grown = begins[next_to], grown[next_to]
+            grown = _pair_hashes(grown, hashes[at[begins + d - 1]])
+        known = frequent[min(d - 1, 2)] if min(d - 1, 2) < len(frequent) else None
+        if known is not None:
+            kept = maybe_in(known, grown)
+            begins, grown = begins[kept], grown[kept]
+        yield d, begins, grown
+
+
+def _trie(lang: str, texts: list[bytes], frequent: list[np.ndarray], depth: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(phrases, counts) of the levels from pairs down to ``depth`` of one slice's trie."""
+    at, words = _tokens(texts)
+    node, names = at, words
+    for d, begins, _ in _grown(at, _word_hashes(lang, words), frequent, depth):
         if not len(begins):
             return
-        keys, node_of, counts = np.unique(node[begins] * len(names_of) + at[begins + d - 1], return_inverse=True, return_counts=True)
-        names = [names[k // len(names_of)] + b" " + names_of[k % len(names_of)] for k in keys.tolist()]
+        keys, node_of, counts = np.unique(node[begins] * len(words) + at[begins + d - 1], return_inverse=True, return_counts=True)
+        names = [names[k // len(words)] + b" " + words[k % len(words)] for k in keys.tolist()]
         node = np.zeros(len(at), np.int64)
         node[begins] = node_of
         yield names, counts
@@ -128,15 +138,16 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _batches([(lang, [*words, b""], np.append(counts, counts.sum()))])
 
 
-def _pair_rows(words: Broadcast, blocks: int) -> Callable:
-    """The second level by fingerprints: 5 bytes and a count for each pair of a slice, dealt out in blocks."""
+def _print_rows(frequent: list[Broadcast], depths: tuple[int, ...], blocks: int) -> Callable:
+    """Levels by fingerprints: 5 bytes and a count for each phrase of a slice, dealt out in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in frequent]
         for batch in batches:
             for lang, texts in _slices(batch):
-                at, names = _tokens(texts)
-                _, hashes = _frequent_pairs(at, _word_hashes(lang, names), words.value)
-                prints, counts = np.unique(hashes, return_counts=True)
+                at, words = _tokens(texts)
+                found = [grown for d, _, grown in _grown(at, _word_hashes(lang, words), known, max(depths)) if d in depths]
+                prints, counts = np.unique(np.concatenate(found), return_counts=True)
                 block = ((prints >> np.uint64(40)) % np.uint64(blocks)).astype(np.int32)
                 order = np.argsort(block, kind="stable")
                 starts = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0])) if len(order) else []
@@ -149,8 +160,8 @@ def _pair_rows(words: Broadcast, blocks: int) -> Callable:
     return run
 
 
-def _pair_sums(min_count: int) -> Callable:
-    """Fingerprints of pairs of ``min_count`` or more, one block after another."""
+def _print_sums(min_count: int) -> Callable:
+    """Fingerprints with a count of ``min_count`` or more, one block after another."""
 
     def summed(parts: list[bytes]) -> pa.RecordBatch:
         sizes = [len(p) // 9 for p in parts]
@@ -179,11 +190,12 @@ def _pair_sums(min_count: int) -> Callable:
     return run
 
 
-def _phrase_rows(words: Broadcast, pairs: Broadcast, depth: int) -> Callable:
+def _phrase_rows(frequent: list[Broadcast], depth: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in frequent]
         for batch in batches:
             for lang, texts in _slices(batch):
-                for phrases, counts in _trie(lang, texts, words.value, pairs.value, depth):
+                for phrases, counts in _trie(lang, texts, known, depth):
                     yield from _batches([(lang, phrases, counts)])
 
     return run
@@ -261,7 +273,7 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPT
 
     Null texts are empty and a null language is ``und``; repeated rows count
     each time; other columns are not looked at. Only ``text`` and ``lang`` are
-    read, once for words, once for pairs and once for phrases.
+    read, once for words, twice for fingerprints and once for phrases.
     """
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -270,12 +282,14 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPT
     words = checkpointed(texts.mapInArrow(_word_rows, _NODES).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(enough))
     if depth < 2:
         return words
-    good_words = _frequent(words.where(F.length("phrase") > 0))
+    frequent = [_frequent(words.where(F.length("phrase") > 0))]
     size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(ranges, -(-size // BLOCK))
-    dealt = texts.mapInArrow(_pair_rows(good_words, blocks), "block int, packed binary").repartition("block").sortWithinPartitions("block")
-    good_pairs = bitmap(dealt.mapInArrow(_pair_sums(min_count), "hash long"))
-    phrases = _merged(texts.mapInArrow(_phrase_rows(good_words, good_pairs, depth), _NODES), _bounds(words, ranges)).where(enough)
+    for depths in [(2,), tuple(range(3, depth + 1))]:
+        if depths:
+            dealt = texts.mapInArrow(_print_rows(frequent, depths, blocks), "block int, packed binary").repartition("block").sortWithinPartitions("block")
+            frequent.append(bitmap(dealt.mapInArrow(_print_sums(min_count), "hash long")))
+    phrases = _merged(texts.mapInArrow(_phrase_rows(frequent, depth), _NODES), _bounds(words, ranges)).where(enough)
     return words.unionByName(phrases)
 
 
