@@ -42,10 +42,10 @@ from foretell.llm.common import checkpointed, join_unique
 LENGTH = 400
 #: A prime power; the cover's period is q^2 + q + 1, of which q + 1 residues are in it.
 ORDER = 13
-#: Bytes of text in a block.
-BLOCK = 16 << 20
+#: Bytes of text in a block of sample suffixes and, where each byte may start one, in a block of suffixes.
+SAMPLE_BLOCK, BLOCK = 32 << 20, 8 << 20
 #: Suffixes that a task holds before it deals them out.
-HELD = 1 << 21
+HELD = 1 << 19
 _DEALT = "block int, packed binary, key binary, at binary"
 
 
@@ -97,8 +97,8 @@ def _positions(packed: bytes) -> np.ndarray:
 class _Held:
     """The suffixes a task has found and not yet dealt out."""
 
-    def __init__(self, blocks: int, width: int, shared: bool):
-        self.blocks, self.width, self.shared = blocks, width, shared
+    def __init__(self, blocks: int, width: int, key: int, shared: bool):
+        self.blocks, self.width, self.key, self.shared = blocks, width, key, shared
         self.clear()
 
     def clear(self) -> None:
@@ -136,7 +136,7 @@ class _Held:
             # What repeats among a task's own suffixes needs no answer.
             mine = np.flatnonzero(many)
             mine = mine[np.lexsort((at[mine], of[mine]))]
-            whose, packed = _lists(of[mine], at[mine], keys)
+            whose, packed = _lists(of[mine], at[mine], [k[: self.key] for k in keys])
             to = [xxhash.xxh3_64_intdigest(k) % self.blocks for k in whose.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.nulls(len(to), pa.binary()), whose, packed], ["block", "packed", "key", "at"])
         block, prints, of, at, many = block[first], prints[first], of[first], at[first], many[first]
@@ -147,7 +147,7 @@ class _Held:
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
             new = np.concatenate([[True], of[i + 1 : j] != of[i : j - 1]])
             each = np.diff(np.append(np.flatnonzero(new), j - i)).astype("<i4")
-            named = b"".join(keys[k] for k in of[i:j][new].tolist())
+            named = b"".join(keys[k][: self.key] for k in of[i:j][new].tolist())
             head = np.array([len(each), j - i], "<i8").tobytes()
             body = prints[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width].tobytes()
             rows.append((int(block[i]), b"".join([head, named, _planes(each), _planes(_steps(at[i:j], new)), body, np.packbits(many[i:j]).tobytes()])))
@@ -156,15 +156,16 @@ class _Held:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary())], ["block", "packed", "key", "at"])
 
 
-_KEY = 16
+#: Bytes of a text's hash that stand for it; fewer in the sample, where two texts that share them (2^-64 a pair) would also share their spans.
+_KEY, _SHORT = 16, 8
 
 
-def _opened(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _opened(packed: bytes, width: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, key number, position, fingerprint, repeated) of a dealt block's part."""
     texts, n = np.frombuffer(packed, "<i8", 2).tolist()
     x = 16
-    keys = np.frombuffer(packed, f"V{_KEY}", texts, x)
-    x += _KEY * texts
+    keys = np.frombuffer(packed, f"V{key}", texts, x)
+    x += key * texts
     each = _from_planes(packed[x : x + 4 * texts], "<i4", texts)
     x += 4 * texts
     steps = _from_planes(packed[x : x + 4 * n], "<i4", n)
@@ -180,9 +181,9 @@ def _opened(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return keys, of, at, wide.reshape(-1).view("<u8"), many
 
 
-def _sorted_block(parts: list[bytes], width: int, shared: bool) -> pa.RecordBatch:
+def _sorted_block(parts: list[bytes], width: int, key: int, shared: bool) -> pa.RecordBatch:
     """Sorts one block; the suffixes with an equal elsewhere if ``shared``, else those without."""
-    opened = [_opened(p, width) for p in parts]
+    opened = [_opened(p, width, key) for p in parts]
     sizes = [len(o[0]) for o in opened]
     keys, number = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
     of = np.concatenate([number[s + o[1]] for o, s in zip(opened, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True)])
@@ -200,7 +201,7 @@ def _sorted_block(parts: list[bytes], width: int, shared: bool) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([whose, packed], ["key", "at"])
 
 
-def _blocks(width: int, shared: bool) -> Callable:
+def _blocks(width: int, key: int, shared: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
@@ -211,26 +212,26 @@ def _blocks(width: int, shared: bool) -> Callable:
                 if packed is None:
                     continue
                 if parts and block != now:
-                    yield _sorted_block(parts, width, shared)
+                    yield _sorted_block(parts, width, key, shared)
                     parts = []
                 now = block
                 parts.append(packed)
         if parts:
-            yield _sorted_block(parts, width, shared)
+            yield _sorted_block(parts, width, key, shared)
 
     return run
 
 
 def _prints(text: bytes, at: np.ndarray, depth: int) -> bytes:
     digest = xxhash.xxh3_128_digest
-    return b"".join([digest(text[i : i + depth]) for i in at.tolist()])
+    return b"".join(b"".join([digest(text[i : i + depth]) for i in at[k : k + 65536].tolist()]) for k in range(0, len(at), 65536))
 
 
-def _answers(texts: DataFrame, wanted: Callable, columns: list[str], depth: int, width: int, blocks: int, shared: bool) -> DataFrame:
+def _answers(texts: DataFrame, wanted: Callable, columns: list[str], depth: int, width: int, key_bytes: int, blocks: int, shared: bool) -> DataFrame:
     """(key, at): of the suffixes ``wanted(text, row)`` those with an equal elsewhere to ``depth`` bytes, or those without; a key may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(blocks, width, shared)
+        held = _Held(blocks, width, key_bytes, shared)
         for batch in batches:
             more = [batch.column(c) for c in columns]
             for i, (key, text) in enumerate(zip(batch.column("key"), batch.column("text"), strict=True)):
@@ -244,7 +245,7 @@ def _answers(texts: DataFrame, wanted: Callable, columns: list[str], depth: int,
         yield from held.deal()
 
     dealt = texts.select("key", "text", *columns).mapInArrow(run, _DEALT)
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(width, shared), "key binary, at binary")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(width, key_bytes, shared), "key binary, at binary")
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -290,7 +291,7 @@ def _passing(texts: DataFrame, length: int, order: int, blocks: int) -> DataFram
         at = (np.arange(0, len(text), v)[:, None] + cover).reshape(-1)
         return at[at <= len(text) - depth]
 
-    return _gathered(_answers(texts, sample, [], depth, 5, blocks, True), v - 1)
+    return _gathered(_answers(texts, sample, [], depth, 5, _SHORT, blocks, True), v - 1)
 
 
 def _covered(size: int, spans: list[dict], alone: list[bytes], length: int) -> tuple[list[int], list[int]]:
@@ -301,7 +302,7 @@ def _covered(size: int, spans: list[dict], alone: list[bytes], length: int) -> t
     return _runs(at, at + length)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, block: int = BLOCK, sample_block: int = SAMPLE_BLOCK) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept (binary): the text without the bytes that a string of ``length`` bytes starting anywhere else covers.
 
     Strings never cross texts and are judged on the input; the same text or
@@ -319,28 +320,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, bl
     size = F.octet_length("text")
     texts = rows.where(size >= length).select("key", "text")
     counted = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()[0]
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(counted["bytes"] or 0) // block))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda each: max(tasks, -(-(counted["bytes"] or 0) // each))
 
-    ranked = checkpointed(_passing(texts, length, order, blocks))
-    hashed = F.xxhash64("key")
-    left = texts.where(maybe(bitmap(ranked.select(hashed.alias("hash"))), hashed))
-    passing = left.groupBy("key").agg(F.first("text").alias("text")).join(ranked, "key")
+    short = F.substring("key", 1, _SHORT)
+    ranked = checkpointed(_passing(texts, length, order, blocks(sample_block)).withColumnRenamed("key", "short"))
+    left = texts.where(maybe(bitmap(ranked.select(F.xxhash64("short").alias("hash"))), F.xxhash64(short)))
+    passing = left.groupBy("key").agg(F.first("text").alias("text")).withColumn("short", short).join(ranked, "short")
     inside = lambda text, spans: _starts(spans, len(text) - length)
-    alone = _answers(passing, inside, ["spans"], length, 8, blocks, False).groupBy("key").agg(F.collect_list("at").alias("alone"))
+    alone = _answers(passing, inside, ["spans"], length, 8, _KEY, blocks(block), False).groupBy("key").agg(F.collect_list("at").alias("alone"))
 
     copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    packed = bitmap(ranked.select("key").unionByName(copies.where("n > 1").select("key")).select(hashed.alias("hash")))
+    hashed = F.xxhash64(short)
+    packed = bitmap(ranked.select(F.xxhash64("short").alias("hash")).unionByName(copies.where("n > 1").select(hashed.alias("hash"))))
     # The bitmap may let a text through that nothing touches; it is let through on both sides.
-    found = copies.where(maybe(packed, hashed)).join(ranked.join(alone, "key", "left"), "key", "left").withColumn("copies", F.col("n"))
+    found = copies.where(maybe(packed, hashed)).withColumn("short", short).join(ranked, "short", "left").drop("short").join(alone, "key", "left").withColumn("copies", F.col("n"))
     marked = rows.withColumn("touched", maybe(packed, hashed) & (size >= length))
     whole = marked.where(~F.col("touched")).select("row", size.cast("long").alias("n_bytes"), *[F.lit(0).cast("long").alias(c) for c in ("n_removed", "n_spans")], F.encode("text", "UTF-8").alias("kept"))
-    joined = join_unique(marked.where("touched").select("row", "text", "key"), found, ["key"], counted["n"])
+    joined = join_unique(marked.where("touched").select("row", "key"), found, ["key"], counted["n"])
+
+    place = next(i for i, c in enumerate(given.columns) if c.lower() == "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, copies, spans, alone in zip(*[batch.column(c) for c in ("text", "copies", "spans", "alone")], strict=True):
-                whole = text.as_py().encode("utf-8", "surrogatepass")
+            texts = batch.column("row").field(place)
+            for text, copies, spans, alone in zip(texts, *[batch.column(c) for c in ("copies", "spans", "alone")], strict=True):
+                whole = str(text.as_py()).encode("utf-8", "surrogatepass")
                 if copies.as_py() > 1:
                     starts, ends = [0], [len(whole)]
                 else:
@@ -351,5 +357,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, bl
             yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", *results])
 
     fields = [T.StructField("row", rows.schema["row"].dataType), *[T.StructField(c, T.LongType()) for c in results[:3]], T.StructField("kept", T.BinaryType())]
-    shortened = joined.select("row", "text", "copies", "spans", "alone").mapInArrow(cut, T.StructType(fields))
+    shortened = joined.select("row", "copies", "spans", "alone").mapInArrow(cut, T.StructType(fields))
     return whole.unionByName(shortened).select("row.*", *results)

@@ -44,21 +44,21 @@ def test_like_brute_force(spark, length, q):
     parts = ["".join(rng.choice("ab é日") for _ in range(rng.randrange(1, 3 * length))) for _ in range(12)]
     texts = ["".join(rng.choice(parts) + rng.choice(["", "x", "--"]) for _ in range(rng.randrange(0, 5))) for _ in range(60)]
     texts += [None, "", texts[3], texts[3], "a" * (4 * length), "a" * length, "ab" * (2 * length), "z" * (length - 1), "z" * (length - 1), "q" * (length + 1)]
-    assert cut(spark, texts, length=length, order=q, block=300) == brute(texts, length)
+    assert cut(spark, texts, length=length, order=q, block=300, sample_block=500) == brute(texts, length)
 
 
-def test_blocks_and_held_suffixes_do_not_matter(spark, monkeypatch):
+def test_blocks_and_periods_do_not_matter(spark):
     rng = random.Random(1)
     core = "".join(rng.choice("abcdefgh ") for _ in range(2500))
     texts = [core, "x" + core[:700] + "y" + core[900:1301] + "z", core[100:499], core[100:500], core[2000:] + core[:450], "k" * 5000] + ["".join(rng.choice("abc") for _ in range(900)) for _ in range(5)]
     want = brute(texts, 400)
     assert cut(spark, texts) == want
-    assert cut(spark, texts, block=1000, order=7) == want
+    assert cut(spark, texts, block=1000, sample_block=900, order=7) == want
     assert sum(r[1] > 0 for r in want) == 5
 
 
 def test_held_is_dealt_in_parts():
-    held = suffix_blocks._Held(3, 8, True)
+    held = suffix_blocks._Held(3, 8, 16, True)
     text = b"abcabcabcabcabcabc" * 30
     held.add(b"k" * 16, np.arange(100), suffix_blocks._prints(text, np.arange(100), 9))
     held.add(b"k" * 16, np.arange(100), suffix_blocks._prints(text, np.arange(100), 9))
@@ -66,7 +66,7 @@ def test_held_is_dealt_in_parts():
     known = np.concatenate([suffix_blocks._positions(p) for b in dealt for p in b.column("at").drop_null().to_pylist()])
     assert sorted(known.tolist()) == list(range(100))
     parts = [p for b in dealt for p in b.column("packed").drop_null().to_pylist()]
-    opened = [suffix_blocks._opened(p, 8) for p in parts]
+    opened = [suffix_blocks._opened(p, 8, 16) for p in parts]
     assert sum(len(o[2]) for o in opened) == 3 and all(o[4].all() for o in opened)
 
 
