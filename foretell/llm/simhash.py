@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretell.llm.bitmaps import bitmap, maybe
 from foretell.llm.common import checkpointed, slices
 from foretell.llm.components import connected_components
 
@@ -35,8 +36,8 @@ _CHUNK = 1 << 16
 WIDE_WORDS, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
 #: Bands and least hashes in a band: at a similarity of 0.8 a pair meets in one with probability 0.997.
 BANDS, BAND_ROWS = 8, 3
-#: Shingle hashes that are kept of a text to verify a link.
-SKETCH = 256
+#: Of each near copy so many nearest ones are tried first, so many times more in each round after it.
+FIRST_TRIES, MORE_TRIES = 16, 16
 
 
 def _shingle_hashes(text: str | None) -> np.ndarray:
@@ -99,17 +100,10 @@ def _band_keys(shingles: np.ndarray) -> np.ndarray:
     return _mixed(key).view(np.int64)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The SKETCH least of the shingles' hashes: all of them for most texts, an even sample over the whole text for long ones."""
-    return np.sort(shingles)[:SKETCH]
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common shingles among all of two sketches; exact where both hold all shingles, else read from the least SKETCH of the union."""
-    union = np.union1d(a, b)
-    if max(len(a), len(b)) >= SKETCH:
-        union = union[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / max(len(union), 1)
+    """Share of common shingles among all of two texts, by their distinct shingles' hashes."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(len(a) + len(b) - common, 1)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,33 +137,66 @@ def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array(ends, np.int64).reshape(-1, 2).T)
 
 
+def _members(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+    """The members of each row's tile (or pair of tiles), by field, one for each fingerprint."""
+    column = batch.column("members")
+    offsets = column.offsets.to_numpy()
+    values = column.values  # not cut to the batch, as the offsets aren't
+    fields = {f.name: values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(values.type)}
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        _, first = np.unique(fields["fp"][a:b], return_index=True)
+        yield {name: x[a:b][first] for name, x in fields.items()}
+
+
+def _link_rows(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    joined = [np.concatenate(x) if x else np.array([], np.int64) for x in (u, v)]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(*joined), pa.int64()), pa.array(np.minimum(*joined), pa.int64())], ["u", "v"])
+
+
 def _link_batches(radius: int):
     """Links of each row's tile (or pair of tiles): the shortest that connect what is connected there."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
-            column = batch.column("fps")
-            values, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                group = np.unique(values[a:b])
-                if len(group) < 2:
-                    continue
-                bits = group.view(np.uint64)
-                if len(group) == 2:
-                    if int(bits[0] ^ bits[1]).bit_count() <= radius:
-                        u.append(group[1:])
-                        v.append(group[:1])
-                    continue
-                one, other = _forest(bits, radius)
-                u.append(group[np.maximum(one, other)])
-                v.append(group[np.minimum(one, other)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u) if u else np.array([], np.int64), pa.int64()), pa.array(np.concatenate(v) if v else np.array([], np.int64), pa.int64())], ["u", "v"])
+            for members in _members(batch):
+                group = members["fp"]
+                if len(group) > 1:
+                    one, other = _forest(group.view(np.uint64), radius)
+                    u.append(group[one])
+                    v.append(group[other])
+            yield _link_rows(u, v)
 
     return links
 
 
+def _try_batches(radius: int, similarity: float, start: int, end: int):
+    """Pairs of each tile whose ends are not connected yet: of each member the ``start``-th to ``end``-th nearest of all that may be near enough; (null, null) where there are more."""
+
+    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, more = [], [], False
+            for members in _members(batch):
+                prints, roots, sizes = members["fp"].view(np.uint64), members["root"], members["size"].astype(np.float64)
+                if (roots == roots[0]).all():
+                    continue
+                for i in range(len(prints) - 1):
+                    bits = np.bitwise_count(prints[i + 1 :] ^ prints[i])
+                    fit = np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])
+                    # The order of all candidates, connected or not, is the same in every round, so no pair is tried twice.
+                    near = i + 1 + np.flatnonzero(fit & (bits <= radius))
+                    more |= len(near) > end
+                    near = near[np.argsort(bits[near - i - 1], kind="stable")][start:end]
+                    near = near[roots[near] != roots[i]]
+                    u.append(np.full(len(near), members["fp"][i]))
+                    v.append(members["fp"][near])
+            yield _link_rows(u, v)
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, ["u", "v"])
+
+    return tries
+
+
 def _block_keys(radius: int) -> list[int]:
     """Masks of two of radius + 2 blocks of bits, as signed longs."""
     edges = np.linspace(0, BITS, radius + 3).astype(int)
@@ -187,14 +214,24 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
 def tiled_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Links ``(u, v)`` that connect every two fingerprints within ``radius`` bits that share a ``(band, key)``.
 
-    ``keyed`` has a row for each ``(fp, band, key)``. A group's population
-    counts, 65 at most, are laid out in order; tiles take ``tile`` members or
-    more in that order, and a count with more members than that is dealt into
-    tiles by hash. Pairs of tiles are joined by the population counts that one
-    reaches and the other has. Each pair returns a minimum spanning forest,
-    fewer rows than it has members, never all pairs; it holds the shortest link
-    of every member, so near copies come up with their nearest ones.
+    ``keyed`` has a row for each ``(fp, band, key)``. Each pair of tiles returns
+    a minimum spanning forest, fewer rows than it has members, never all pairs;
+    it holds the shortest link of every member, so near copies come up with
+    their nearest ones.
+    """
+    return tiles(keyed, radius, tile).mapInArrow(_link_batches(radius), "u long, v long").distinct()
+
+
+def tiles(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """``members``: tiles, or pairs of tiles, that hold every two fingerprints within ``radius`` bits that share a ``(band, key)``.
+
+    ``keyed`` has a row for each ``(fp, band, key)``; its other columns go
+    along. A group's population counts, 65 at most, are laid out in order; tiles
+    take ``tile`` members or more in that order, and a count with more members
+    than that is dealt into tiles by hash. Pairs of tiles are joined by the
+    population counts that one reaches and the other has.
     """
+    carried = [c for c in keyed.columns if c not in ("band", "key")]
     group, size = ["band", "key"], F.lit(tile)
     keyed = keyed.withColumn("pop", F.bit_count("fp").cast("int"))
     counts = keyed.groupBy(*group, "pop").agg(F.count("*").alias("n"))
@@ -203,31 +240,36 @@ def tiled_links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     number = F.floor(F.col("p.before") / size) * 128 + F.when(F.col("p.n") > size, F.col("p.pop") + 1).otherwise(0)
     placed = groups.select(*group, F.explode(before).alias("p")).select(*group, F.col("p.pop").alias("pop"), number.alias("tile"), F.ceil(F.col("p.n") / size).alias("parts"))
     placed = checkpointed(placed)
-    tiles = placed.groupBy(*group, "tile").agg(F.min("pop").alias("low"), F.max("pop").alias("high"), F.max("parts").alias("parts"))
-    tiles = tiles.select(*group, "low", "high", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    tiles = tiles.select(*group, "low", "high", F.struct("tile", "part").alias("t"))
-    one = tiles.select(*group, F.col("t").alias("a"), F.explode(F.sequence("low", F.col("high") + radius)).alias("pop"))
-    two = tiles.select(*group, F.col("t").alias("b"), F.explode(F.sequence("low", "high")).alias("pop"))
+    ranges = placed.groupBy(*group, "tile").agg(F.min("pop").alias("low"), F.max("pop").alias("high"), F.max("parts").alias("parts"))
+    ranges = ranges.select(*group, "low", "high", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    ranges = ranges.select(*group, "low", "high", F.struct("tile", "part").alias("t"))
+    one = ranges.select(*group, F.col("t").alias("a"), F.explode(F.sequence("low", F.col("high") + radius)).alias("pop"))
+    two = ranges.select(*group, F.col("t").alias("b"), F.explode(F.sequence("low", "high")).alias("pop"))
     pairs = one.join(two, [*group, "pop"]).where("a <= b").select(*group, "a", "b").distinct()
     sides = pairs.select(*group, "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("t")).select(*group, "a", "b", "t.tile", "t.part")
-    members = keyed.join(placed, [*group, "pop"]).select(*group, "tile", F.pmod(F.xxhash64("fp"), "parts").alias("part"), "fp")
-    dense = sides.join(members, [*group, "tile", "part"]).groupBy(*group, "a", "b").agg(F.collect_list("fp").alias("fps"))
-    return dense.select("fps").mapInArrow(_link_batches(radius), "u long, v long").distinct()
+    members = keyed.join(placed, [*group, "pop"]).select(*group, "tile", F.pmod(F.xxhash64("fp"), "parts").alias("part"), F.struct(*carried).alias("member"))
+    return sides.join(members, [*group, "tile", "part"]).groupBy(*group, "a", "b").agg(F.collect_list("member").alias("members")).select("members")
 
 
 def _near_copy_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            prints, bands, sketches = [], [], []
+            prints, bands, sizes = [], [], []
             for text in part.column("text").to_pylist():
                 hashes = _shingle_hashes(text)
                 wide = wide_shingles(hashes)
                 prints.append(_fingerprint(hashes))
                 bands.append(_band_keys(wide))
-                sketches.append(sketch(wide).view(np.int64))
-            longs = pa.list_(pa.int64())
-            columns = [part.column("named"), part.column("doc_id"), part.column("h"), pa.array(prints, pa.int64()), pa.array(bands, longs), pa.array(sketches, longs)]
-            yield pa.RecordBatch.from_arrays(columns, ["named", "doc_id", "h", "fp", "bands", "sketch"])
+                sizes.append(len(wide))
+            columns = [part.column("named"), part.column("doc_id"), part.column("h"), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["named", "doc_id", "h", "fp", "bands", "size"])
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = [wide_shingles(_shingle_hashes(t)).view(np.int64) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("named"), part.column("doc_id"), part.column("h"), pa.array(sets, pa.list_(pa.int64()))], ["named", "doc_id", "h", "shingles"])
 
 
 def _verified_batches(similarity: float):
@@ -240,13 +282,42 @@ def _verified_batches(similarity: float):
     return verify
 
 
-def near_copy_links(prints: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
-    """Links ``(u, v)`` of fingerprints at most ``radius`` bits apart whose texts share ``similarity`` of their shingles; ``prints (fp, bands, sketch)`` has one row for each fp."""
-    keyed = prints.select("fp", F.posexplode("bands").alias("band", "key"))
-    found = checkpointed(tiled_links(keyed, radius, tile))
-    ends = [prints.select(F.col("fp").alias(end), F.col("sketch").alias(name)) for end, name in (("u", "a"), ("v", "b"))]
-    both = found.join(ends[0], "u").join(ends[1], "v").select("u", "v", "a", "b")
-    return both.mapInArrow(_verified_batches(similarity), "u long, v long")
+def near_copy_links(firsts: DataFrame, rows: DataFrame, close: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """Links ``(u, v)``, ``close`` ones included, that connect fingerprints at most ``radius`` bits apart whose texts share ``similarity`` of their shingles.
+
+    ``firsts (fp, first, bands, size)`` has one row for each fp, whose text is
+    the one of ``rows (named, doc_id, h, text)`` at ``first``. Candidates meet
+    in a band. The shortest links that would connect them come first, and are
+    held against the whole sets of shingles; then, among what those that hold
+    leave apart, every pair that may be similar, nearest first, in rounds that
+    grow, until none is left. So a group of copies costs its links, not its
+    pairs, and a link that fails takes no other with it.
+    """
+    keyed = firsts.select("fp", "size", F.posexplode("bands").alias("band", "key"))
+    keyed = checkpointed(keyed.join(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"]).drop("n"))
+    met = keyed.select("fp").distinct().join(firsts.select("fp", "first.*"), "fp")
+    place = F.xxhash64("named", "doc_id", "h")
+    read = rows.where(maybe(bitmap(met.select(place.alias("hash"))), place)).mapInArrow(_shingle_batches, "named int, doc_id long, h long, shingles array<long>")
+    sets = checkpointed(read.join(met, ["named", "doc_id", "h"]).groupBy("fp").agg(F.first("shingles").alias("shingles")))
+
+    def verified(found: DataFrame) -> DataFrame:
+        ends = [sets.select(F.col("fp").alias(end), F.col("shingles").alias(name)) for end, name in (("u", "a"), ("v", "b"))]
+        both = found.join(ends[0], "u").join(ends[1], "v").select("u", "v", "a", "b")
+        return checkpointed(both.mapInArrow(_verified_batches(similarity), "u long, v long"))
+
+    links = close.unionByName(verified(tiled_links(keyed.drop("size"), radius, tile)))
+    start, end = 0, FIRST_TRIES
+    while True:
+        roots = connected_components(links).withColumnRenamed("node", "fp")
+        marked = keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        apart = marked.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("band", "key")
+        tried = checkpointed(tiles(marked.join(apart, ["band", "key"]), radius, tile).mapInArrow(_try_batches(radius, similarity, start, end), "u long, v long").distinct())
+        counted = tried.agg(F.count("u"), F.count(F.lit(1))).first()
+        if counted[0]:
+            links = links.unionByName(verified(tried.where("u IS NOT NULL")))
+        if counted[0] == counted[1]:
+            return links
+        start, end = end, end * MORE_TRIES
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -281,13 +352,13 @@ def keep_representatives(docs: DataFrame, radius: int = RADIUS, similarity: floa
     texts are one group.
     """
     key = [F.col("doc_id").isNull().cast("int").alias("named"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")]
-    longs = "array<long>"
-    prints = checkpointed(docs.select(*key, F.col("text").cast("string").alias("text")).mapInArrow(_near_copy_batches, f"named int, doc_id long, h long, fp long, bands {longs}, sketch {longs}"))
-    # One text's bands and sketch for each fingerprint, the first row's; added up before they are shuffled, once.
+    rows = docs.select(*key, F.col("text").cast("string").alias("text"))
+    prints = rows.mapInArrow(_near_copy_batches, "named int, doc_id long, h long, fp long, bands array<long>, size long")
+    # One text's bands for each fingerprint, the first row's; added up before they are shuffled.
     place = F.struct("named", "doc_id", "h")
-    firsts = checkpointed(prints.groupBy("fp").agg(F.min(place).alias("first"), F.min_by(F.struct("bands", "sketch"), place).alias("of")))
-    distinct = firsts.select("fp", "of.bands", "of.sketch")
-    links = near_links(distinct.select("fp"), radius).union(near_copy_links(distinct, similarity))
+    firsts = prints.groupBy("fp").agg(F.min(place).alias("first"), F.min_by(F.struct("bands", "size"), place).alias("of"))
+    firsts = checkpointed(firsts.select("fp", "first", "of.bands", "of.size"))
+    links = near_copy_links(firsts, rows, near_links(firsts.select("fp"), radius), similarity)
     roots = connected_components(links).withColumnRenamed("node", "fp")
     groups = firsts.select("fp", "first").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     stay = groups.select(F.col("first.named").alias("__named"), F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
