@@ -50,10 +50,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
     own = [c for c in docs.columns if c not in names]
     # One projection for each array that lambdas look into: as a column it is made once a row, not once an element.
-    words = docs.select(*own, word_array(F.col("text")).alias("__w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("__l"))
+    # The caller's columns travel in a struct, so no name of theirs meets a working one.
+    packed = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in own]).alias("own")
+    words = docs.select(packed, text.alias("text"), word_array(F.col("text")).alias("__w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("__l"))
+    text = F.col("text")
     window = lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
     counted = words.select(
-        *own,
+        "own",
         F.size("__w").cast("long").alias("n_words"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -71,7 +74,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     # Always true, but never the same expression twice: a filter on these columns is then not pushed below the
     # projections above, where each array would be made anew for every element that a lambda looks at.
     here = F.monotonically_increasing_id() >= 0
-    return found.select(*own, *names[:4], F.when(here, F.coalesce(covers, F.lit(0)).cast("long")).alias("n_repeat_words"), "n_lines")
+    return found.select("own.*", *names[:4], F.when(here, F.coalesce(covers, F.lit(0)).cast("long")).alias("n_repeat_words"), "n_lines")
 
 
 def _vector() -> list[Column]:

@@ -86,7 +86,7 @@ def test_whole_table_against_brute_force(spark, sf):
 def test_odd_rows(spark):
     good = [(i, " ".join(f"word{(i * 7 + k * k) % 5000}" for k in range(60 + i)), None if i % 9 == 0 else "en", "s") for i in range(120)]
     odd = [(900, None, "en", "s"), (901, "", None, None), (902, " \n\t ", "en", "s"), (903, "a b c " * 60, "en", "s"), (904, "a\nb\na\n \n \na b", "en", "s"), (905, " ".join(f"{k}####$$$$" for k in range(90)), "en", "s"), (None, good[5][1], "en", "s"), (5, good[5][1], "en", "s"), (906, "x" * 300000 + " y" * 49, "xx", "y")]
-    docs = spark.createDataFrame([(*x, 1, True, "m", 2) for x in good + odd], "doc_id long, text string, lang string, source string, n_words int, kept boolean, m0 string, l00 int")
+    docs = spark.createDataFrame([(*x, 1, True, "m", 2, 3, 4, 5) for x in good + odd], "doc_id long, text string, lang string, source string, n_words int, kept boolean, m0 string, l00 int, __w int, own int, `__h.x` int")
     rows = r.judge(docs).collect()
     assert len(rows) == len(good) + len(odd)
     texts = {x[0]: x[1] for x in good + odd}
@@ -95,7 +95,7 @@ def test_odd_rows(spark):
     kept = {x.doc_id: x.kept for x in rows}
     assert all(kept[i] for i in range(120)) and kept[None]
     assert [kept[i] for i in (900, 901, 902, 903, 904, 905)] == [False] * 6
-    assert {(x.m0, x.l00) for x in rows} == {("m", 2)}
+    assert {(x.m0, x.l00, x["__w"], x.own, x["__h.x"]) for x in rows} == {("m", 2, 3, 4, 5)}
     assert r.judge(docs.limit(0)).collect() == []
     assert docs.columns[:4] == r.judge(docs).columns[:4]
 
