@@ -43,7 +43,7 @@ LENGTH = 400
 #: A prime power; the cover's period is q^2 + q + 1, of which q + 1 residues are in it.
 ORDER = 13
 #: Bytes of text in a block of sample suffixes and, where each byte may start one, in a block of suffixes.
-SAMPLE_BLOCK, BLOCK = 32 << 20, 8 << 20
+SAMPLE_BLOCK, BLOCK = 32 << 20, 16 << 20
 #: Suffixes that a task holds before it deals them out.
 HELD = 1 << 19
 _DEALT = "block int, packed binary, key binary, at binary"
@@ -127,21 +127,20 @@ class _Held:
         block = (halves[:, 1] % np.uint64(self.blocks)).astype(np.int32)
         prints = halves[:, 0] & np.uint64((1 << 8 * self.width) - 1)
         self.clear()
-        order = np.lexsort((at, of, prints, block))
-        block, prints, of, at = block[order], prints[order], of[order], at[order]
-        first = np.concatenate([[True], (prints[1:] != prints[:-1]) | (block[1:] != block[:-1])])
+        # Suffixes are held in the order of texts and positions, so an ascending choice of them is in that order too.
+        order = np.argsort(prints)
+        first = np.concatenate([[True], (prints[order[1:]] != prints[order[:-1]]) | (block[order[1:]] != block[order[:-1]])])
         runs = np.diff(np.append(np.flatnonzero(first), len(first)))
-        many = np.repeat(runs > 1, runs)
+        many = np.zeros(len(order), bool)
+        many[order] = np.repeat(runs > 1, runs)
         if self.shared and many.any():
             # What repeats among a task's own suffixes needs no answer.
-            mine = np.flatnonzero(many)
-            mine = mine[np.lexsort((at[mine], of[mine]))]
-            whose, packed = _lists(of[mine], at[mine], [k[: self.key] for k in keys])
+            whose, packed = _lists(of[many], at[many], [k[: self.key] for k in keys])
             to = [xxhash.xxh3_64_intdigest(k) % self.blocks for k in whose.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.nulls(len(to), pa.binary()), whose, packed], ["block", "packed", "key", "at"])
-        block, prints, of, at, many = block[first], prints[first], of[first], at[first], many[first]
-        order = np.lexsort((at, of, block))
-        block, prints, of, at, many = block[order], prints[order], of[order], at[order], many[order]
+        sent = np.sort(order[first])
+        sent = sent[np.argsort(block[sent].astype(np.int16) if self.blocks < 1 << 15 else block[sent], kind="stable")]
+        block, prints, of, at, many = block[sent], prints[sent], of[sent], at[sent], many[sent]
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         rows = []
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
@@ -188,12 +187,14 @@ def _sorted_block(parts: list[bytes], width: int, key: int, shared: bool) -> pa.
     keys, number = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
     of = np.concatenate([number[s + o[1]] for o, s in zip(opened, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True)])
     at, prints, many = (np.concatenate([o[k] for o in opened]) for k in (2, 3, 4))
-    order = np.lexsort((at, of, prints))
+    # Equal texts in several tasks send their sample twice; the suffixes come from distinct texts.
+    order = np.lexsort((at, of, prints)) if shared else np.argsort(prints)
     of, at, prints, many = of[order], at[order], prints[order], many[order]
     new_print = np.concatenate([[True], prints[1:] != prints[:-1]])
     new = new_print | np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1])])
-    run = np.cumsum(new_print) - 1
-    equal = (np.bincount(run[new], minlength=run[-1] + 1) > 1)[run] | (np.bincount(run[many], minlength=run[-1] + 1) > 0)[run]
+    starts = np.flatnonzero(new_print)
+    runs = np.diff(np.append(starts, len(prints)))
+    equal = np.repeat((np.add.reduceat(new.astype(np.int64), starts) > 1) | (np.add.reduceat(many.astype(np.int64), starts) > 0), runs)
     told = new & ~many & (equal if shared else ~equal)
     of, at = of[told], at[told]
     order = np.lexsort((at, of))
@@ -330,11 +331,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, bl
     inside = lambda text, spans: _starts(spans, len(text) - length)
     alone = _answers(passing, inside, ["spans"], length, 8, _KEY, blocks(block), False).groupBy("key").agg(F.collect_list("at").alias("alone"))
 
-    copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    copies = checkpointed(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     hashed = F.xxhash64(short)
     packed = bitmap(ranked.select(F.xxhash64("short").alias("hash")).unionByName(copies.where("n > 1").select(hashed.alias("hash"))))
-    # The bitmap may let a text through that nothing touches; it is let through on both sides.
-    found = copies.where(maybe(packed, hashed)).withColumn("short", short).join(ranked, "short", "left").drop("short").join(alone, "key", "left").withColumn("copies", F.col("n"))
+    # The bitmap may let a text through that nothing touches; it has its row here as well.
+    found = copies.withColumn("short", short).join(ranked, "short", "left").drop("short").join(alone, "key", "left").withColumn("copies", F.col("n"))
     marked = rows.withColumn("touched", maybe(packed, hashed) & (size >= length))
     whole = marked.where(~F.col("touched")).select("row", size.cast("long").alias("n_bytes"), *[F.lit(0).cast("long").alias(c) for c in ("n_removed", "n_spans")], F.encode("text", "UTF-8").alias("kept"))
     joined = join_unique(marked.where("touched").select("row", "key"), found, ["key"], counted["n"])
