@@ -1,22 +1,25 @@
-"""Ratings that are sequential state: Elo and regularised Poisson attack and defence.
+"""Ratings of teams: Elo and regularised Poisson attack and defence. Everything on a date is predicted before any of its results.
 
-Both read a league's matches in date order as a sorted stream, one league at a
-time, and hold only the state (ratings; three years of results), never the
-league's rows. Everything on a date is predicted before any of its results.
+Elo is sequential: a league's matches are read in date order as a sorted
+stream that holds the ratings only, never the league's rows. The Poisson
+models are refitted on days that are known beforehand, each from a window of
+results of its own, so all refits of all leagues run side by side.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretell.functions.scalars import elo_expectation
+from foretell.operators.asof import asof_join
 
 START_ELO, ELO_STEP, HOME_ADVANTAGE = 1500.0, 32.0, 60.0
 #: Statistic -> its columns and the prior mean of an away side.
@@ -90,38 +93,47 @@ def elo(prepared: DataFrame, home_advantage: float = HOME_ADVANTAGE) -> DataFram
     return rated.withColumn("home_elo_expected", elo_expectation(F.col("home_elo") + home_advantage - F.col("away_elo")))
 
 
-def fit_counts(attack: np.ndarray, defence: np.ndarray, venue: np.ndarray, y: np.ndarray, w: np.ndarray, teams: int, prior: np.ndarray, start: np.ndarray) -> np.ndarray | None:
+def fit_counts(attack: np.ndarray, defence: np.ndarray, venue: np.ndarray, y: np.ndarray, w: np.ndarray, teams: int, prior: np.ndarray, start: np.ndarray | None = None) -> np.ndarray | None:
     """Parameters (base, home advantage, attacks, defences) that minimise the weighted, penalised Poisson loss in the box.
 
     The objective is strictly convex, so projected Newton steps find its only
-    optimum. None if it isn't found.
+    optimum from any start. A row touches four parameters, so gradients and
+    curvatures are sums by index; no design matrix is made. None if the
+    optimum isn't found.
     """
     size = 2 + 2 * teams
-    design = np.zeros((len(y), size))
-    at = np.arange(len(y))
-    design[:, 0], design[:, 1] = 1.0, venue
-    design[at, 2 + attack] = 1.0
-    design[at, 2 + teams + defence] = 1.0
+    base, home = np.zeros(len(y), np.int64), np.ones(len(y), np.int64)
+    touched = [(base, np.ones(len(y))), (home, venue.astype(float)), (2 + attack, np.ones(len(y))), (2 + teams + defence, np.ones(len(y)))]
     precision = np.full(size, TEAM_PRECISION)
     precision[:2] = GLOBAL_PRECISION
     centre = np.zeros(size)
     centre[:2] = prior
     high = np.concatenate(([BOUNDS[0], BOUNDS[1]], np.full(2 * teams, BOUNDS[2])))
 
+    def means(x: np.ndarray) -> np.ndarray:
+        return sum(x[at] * share for at, share in touched)
+
     def loss(x: np.ndarray) -> float:
-        eta = design @ x
+        eta = means(x)
         return float(w @ (np.exp(eta) - y * eta) + 0.5 * precision @ (x - centre) ** 2)
 
-    x, now = start.copy(), loss(start)
+    x = centre.copy() if start is None else start.copy()
+    now = loss(x)
     for _ in range(100):
-        mean = w * np.exp(design @ x)
-        slope = design.T @ (mean - w * y) + precision * (x - centre)
+        mean = w * np.exp(means(x))
+        slope = precision * (x - centre)
+        curve = np.diag(precision).reshape(-1)
+        for at, share in touched:
+            slope += np.bincount(at, (mean - w * y) * share, size)
+            for other, part in touched:
+                curve = curve + np.bincount(at * size + other, mean * share * part, size * size)
         held = ((x >= high) & (slope < 0)) | ((x <= -high) & (slope > 0))
         free = ~held
-        if not np.isfinite(now) or np.abs(slope[free]).max(initial=0) < 1e-9 * max(1.0, len(y)):
-            break
-        part = design[:, free]
-        step = np.linalg.solve((part * mean[:, None]).T @ part + np.diag(precision[free]), slope[free])
+        if not np.isfinite(now):
+            return None
+        if np.abs(slope[free]).max(initial=0) < 1e-12 * max(1.0, len(y)):
+            return x
+        step = np.linalg.solve(curve.reshape(size, size)[np.ix_(free, free)], slope[free])
         share = 1.0
         while share > 1e-10:
             new = x.copy()
@@ -130,10 +142,10 @@ def fit_counts(attack: np.ndarray, defence: np.ndarray, venue: np.ndarray, y: np
             if value < now:
                 break
             share /= 2
-        else:
-            break
+        else:  # no lower point but for rounding
+            return x if np.abs(slope[free]).max() < 1e-6 * max(1.0, len(y)) else None
         x, now = new, value
-    return x if np.isfinite(now) else None
+    return None
 
 
 def skellam(home: float, away: float) -> tuple[float, float, float]:
@@ -146,65 +158,97 @@ def skellam(home: float, away: float) -> tuple[float, float, float]:
     return float(x @ below(y)), float(x @ y), float(y @ below(x))
 
 
-class CountModel:
-    """log E[count] = base + home advantage + attack + defence, refitted from the last three years at most every 28 days."""
-
-    def __init__(self, away_prior: float):
-        self.prior = np.log([away_prior, HOME_RATIO])
-        self.globals, self.ratings, self.history, self.last_fit = self.prior.copy(), {}, deque(), None
-
-    def fit_before(self, day: int) -> None:
-        if self.last_fit is not None and day - self.last_fit < REFIT_DAYS:
-            return
-        while self.history and self.history[0][0] < day - MEMORY_DAYS:
-            self.history.popleft()
-        if len(self.history) < LEAST_MATCHES:
-            return
-        names = sorted({t for row in self.history for t in row[1:3]})
-        number = {t: i for i, t in enumerate(names)}
-        rows = [(number[a], number[d], venue, y, 2 ** (-(day - at) / HALF_LIFE)) for at, home, away, hc, ac in self.history for a, d, venue, y in ((home, away, 1, hc), (away, home, 0, ac)) if y is not None]
-        attack, defence, venue, y, w = (np.array(c) for c in zip(*rows))
-        start = np.concatenate((self.globals, *zip(*(self.ratings.get(t, (0.0, 0.0)) for t in names))))
-        self.last_fit = day
-        found = fit_counts(attack, defence, venue, y, w, len(names), self.prior, start)
-        if found is None:
-            return
-        n = len(names)
-        self.globals = found[:2]
-        self.ratings = {t: (found[2 + i], found[2 + n + i]) for t, i in number.items()}
-
-    def predict(self, home: str, away: str) -> tuple[float, ...]:
-        (ha, hd), (aa, ad) = (self.ratings.get(t, (0.0, 0.0)) for t in (home, away))
-        base, edge = self.globals
-        return tuple(float(np.exp(x)) for x in (base + edge + ha + ad, base + aa + hd, ha, hd, aa, ad))
+_VALUES = ["expected_home", "expected_away", "home_attack", "home_defence", "away_attack", "away_defence"]
+_CHANCES = ["p_home", "p_draw", "p_away"]
 
 
-def count_ratings(prepared: DataFrame) -> DataFrame:
-    """``(League, MatchDate, HomeTeam, AwayTeam, stat, expected_home, expected_away, home_attack, home_defence, away_attack, away_defence, p_home, p_draw, p_away)``.
+def count_rows(prepared: DataFrame) -> DataFrame:
+    """``(League, MatchDate, HomeTeam, AwayTeam, day, played, stat, home, away)``: a row for each match and statistic."""
+    stats = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(h).alias("home"), F.col(a).alias("away")) for s, (h, a, _) in COUNT_MODELS.items()])
+    return prepared.select(*_KEYS, F.unix_date("MatchDate").alias("day"), F.col("target").isNotNull().alias("played"), F.inline(stats))
+
 
-    One stream for each league and statistic. The match probabilities are those
-    of independent Poisson counts, for goals only.
+def refit_days(rows: DataFrame) -> DataFrame:
+    """``(League, stat, fit_day)``: the days on which a model is fitted anew, from ``count_rows``.
+
+    Every fixture's day is an occasion, played or not; it is taken if the last
+    taken one lies REFIT_DAYS back and MEMORY_DAYS hold LEAST_MATCHES results.
+    Results don't enter into it, so the days are settled before any fit. Days
+    are folded, not matches: as many as a league has match days.
+    """
+    counted = F.col("played") & (F.col("home").isNotNull() | F.col("away").isNotNull())
+    days = rows.groupBy("League", "stat", "day").agg(F.count_if(counted).alias("n"))
+    memory = Window.partitionBy("League", "stat").orderBy("day").rangeBetween(-MEMORY_DAYS, -1)
+    ready = days.withColumn("held", F.coalesce(F.sum("n").over(memory), F.lit(0))).where(F.col("held") >= LEAST_MATCHES)
+    listed = ready.groupBy("League", "stat").agg(F.sort_array(F.collect_list("day")).alias("days"))
+    none = F.array().cast("array<int>")
+    taken = F.aggregate("days", none, lambda fits, day: F.when((F.size(fits) == 0) | (day - F.element_at(fits, -1) >= REFIT_DAYS), F.concat(fits, F.array(day))).otherwise(fits))
+    return listed.select("League", "stat", F.explode(F.when(F.size("days") > 0, taken)).alias("fit_day"))
+
+
+def _fit_window(rows: pd.DataFrame) -> pd.DataFrame:
+    """One refit: the parameters of all teams in its window, or a row without them and a warning."""
+    league, stat, day = rows["League"].iloc[0], rows["stat"].iloc[0], int(rows["fit_day"].iloc[0])
+    names, places = np.unique(np.concatenate([rows["HomeTeam"], rows["AwayTeam"]]).astype(object), return_inverse=True)
+    home, away = places[: len(rows)], places[len(rows) :]
+    y = np.concatenate([rows["home"], rows["away"]]).astype(float)
+    there = ~np.isnan(y)
+    attack, defence = np.concatenate([home, away]), np.concatenate([away, home])
+    venue = np.repeat([1.0, 0.0], len(rows))
+    w = np.tile(2.0 ** (-(day - rows["day"].to_numpy()) / HALF_LIFE), 2)
+    found = fit_counts(attack[there], defence[there], venue[there], y[there], w[there], len(names), np.log([COUNT_MODELS[stat][2], HOME_RATIO]))
+    if found is None:
+        warnings.warn(f"{league}, {stat}: the ratings of day {day} were not found; those before stay in use", RuntimeWarning, stacklevel=2)
+        return pd.DataFrame({"League": [league], "stat": [stat], "fit_day": [day], "base": [None], "edge": [None], "ratings": [None]})
+    n = len(names)
+    ratings = [{"Team": t, "attack": float(found[2 + i]), "defence": float(found[2 + n + i])} for i, t in enumerate(names)]
+    return pd.DataFrame({"League": [league], "stat": [stat], "fit_day": [day], "base": [found[0]], "edge": [found[1]], "ratings": [ratings]})
+
+
+def fit_refits(rows: DataFrame, refits: DataFrame) -> DataFrame:
+    """``(League, stat, fit_day, base, edge, ratings)``: one row a refit, nulls where it failed.
+
+    A result goes to the refits whose memory holds it: both are dealt into
+    spans of REFIT_DAYS, so the interval join is an equality with a check. A
+    refit is one task's work, three years of one league; refits don't wait for
+    each other, as the optimum is the same from any start.
     """
-    values = ["expected_home", "expected_away", "home_attack", "home_defence", "away_attack", "away_defence"]
-    chances = ["p_home", "p_draw", "p_away"]
+    span = F.floor(F.col("day") / REFIT_DAYS)
+    results = rows.where(F.col("played") & (F.col("home").isNotNull() | F.col("away").isNotNull())).select("League", "stat", "day", "HomeTeam", "AwayTeam", "home", "away", span.alias("span"))
+    reach = F.sequence(F.floor((F.col("fit_day") - MEMORY_DAYS) / REFIT_DAYS), F.floor((F.col("fit_day") - 1) / REFIT_DAYS))
+    spans = refits.select("League", "stat", "fit_day", F.explode(reach).alias("span"))
+    held = results.join(spans, ["League", "stat", "span"]).where((F.col("day") >= F.col("fit_day") - MEMORY_DAYS) & (F.col("day") < F.col("fit_day")))
+    out = "League string, stat string, fit_day int, base double, edge double, ratings array<struct<Team: string, attack: double, defence: double>>"
+    return held.drop("span").groupBy("League", "stat", "fit_day").applyInPandas(_fit_window, out)
 
-    def start(_league, stat):
-        model = CountModel(COUNT_MODELS[stat][2])
 
-        def day(rows: list[dict]) -> list[dict]:
-            model.fit_before(rows[0]["day"])
-            out = []
-            for r in rows:
-                found = dict(zip(values, model.predict(r["HomeTeam"], r["AwayTeam"])))
-                if stat == "goals":
-                    found |= zip(chances, skellam(found["expected_home"], found["expected_away"]))
-                out.append({k: r[k] for k in [*_KEYS, "stat"]} | found)
-            model.history.extend((r["day"], r["HomeTeam"], r["AwayTeam"], r["home"], r["away"]) for r in rows if r["played"] and (r["home"] is not None or r["away"] is not None))
-            return out
+def _match_chances(home: Column, away: Column) -> Column:
+    def chances(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([skellam(x, y) if x == x and y == y else (None, None, None) for x, y in zip(a, b, strict=True)], columns=_CHANCES)
 
-        return day
+    return F.pandas_udf(chances, ", ".join(f"{c} double" for c in _CHANCES))(home, away)
 
-    stats = F.array(*[F.struct(F.lit(s).alias("stat"), F.col(h).alias("home"), F.col(a).alias("away")) for s, (h, a, _) in COUNT_MODELS.items()])
-    rows = prepared.select(*_KEYS, F.unix_date("MatchDate").alias("day"), F.col("target").isNotNull().alias("played"), F.inline(stats))
-    out = ", ".join(["League string, MatchDate date, HomeTeam string, AwayTeam string, stat string", *[f"{v} double" for v in values + chances]])
-    return _stream(rows, ["League", "stat"], start, ["played", "home", "away"], out)
+
+def count_ratings(prepared: DataFrame) -> DataFrame:
+    """``(League, MatchDate, HomeTeam, AwayTeam, stat, expected_home, expected_away, home_attack, home_defence, away_attack, away_defence, p_home, p_draw, p_away)``.
+
+    log E[count] = base + home advantage + attack + defence, refitted from the
+    last three years at most every 28 days; a match takes the last good fit of
+    its day or before, the priors if there is none, and neutral ratings for
+    teams that the fit's window lacks. The match probabilities are those of
+    independent Poisson counts, for goals only.
+    """
+    rows = count_rows(prepared)
+    fits = fit_refits(rows, refit_days(rows)).where("base IS NOT NULL")
+    met = asof_join(rows.select(*_KEYS, "day", "stat"), fits, ["League", "stat"], "day", "fit_day", ["fit_day", "base", "edge"], strict=False)
+    strengths = fits.select("League", "stat", "fit_day", F.inline("ratings"))
+    for side in ("home", "away"):
+        own = strengths.select("League", "stat", "fit_day", F.col("Team").alias(f"{side.capitalize()}Team"), F.col("attack").alias(f"{side}_attack"), F.col("defence").alias(f"{side}_defence"))
+        met = met.join(own, ["League", "stat", "fit_day", f"{side.capitalize()}Team"], "left")
+    prior = F.create_map(*[F.lit(x) for s, (_, _, p) in COUNT_MODELS.items() for x in (s, math.log(p))])[F.col("stat")]
+    rated = met.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in _VALUES[2:]} | {"base": F.coalesce("base", prior), "edge": F.coalesce("edge", F.lit(math.log(HOME_RATIO)))})
+    expected = {"expected_home": F.exp(F.col("base") + F.col("edge") + F.col("home_attack") + F.col("away_defence")), "expected_away": F.exp(F.col("base") + F.col("away_attack") + F.col("home_defence"))}
+    rated = rated.withColumns(expected)
+    goals = F.col("stat") == "goals"
+    rated = rated.withColumn("p", _match_chances(F.when(goals, F.col("expected_home")), F.when(goals, F.col("expected_away"))))
+    return rated.select(*_KEYS, "stat", *_VALUES, *[F.col("p")[c].alias(c) for c in _CHANCES])
