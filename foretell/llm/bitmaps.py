@@ -57,4 +57,5 @@ def maybe(found: Broadcast, hashes: Column) -> Column:
 
         return pd.Series(maybe_in(found.value, values.to_numpy(np.int64)))
 
-    return test(hashes)
+    # Else the optimiser copies the test to the other side of a join by the same key, where it runs over all rows.
+    return test.asNondeterministic()(hashes)
