@@ -118,7 +118,7 @@ def fit_counts(attack: np.ndarray, defence: np.ndarray, venue: np.ndarray, y: np
         return float(w @ (np.exp(eta) - y * eta) + 0.5 * precision @ (x - centre) ** 2)
 
     x = centre.copy() if start is None else start.copy()
-    now = loss(x)
+    now, close = loss(x), 0
     for _ in range(100):
         mean = w * np.exp(means(x))
         slope = precision * (x - centre)
@@ -131,19 +131,23 @@ def fit_counts(attack: np.ndarray, defence: np.ndarray, venue: np.ndarray, y: np
         free = ~held
         if not np.isfinite(now):
             return None
-        if np.abs(slope[free]).max(initial=0) < 1e-12 * max(1.0, len(y)):
+        steep = np.abs(slope[free]).max(initial=0) / max(1.0, len(y))
+        if steep < 1e-13 or close == 3:
             return x
         step = np.linalg.solve(curve.reshape(size, size)[np.ix_(free, free)], slope[free])
-        share = 1.0
-        while share > 1e-10:
-            new = x.copy()
-            new[free] = np.clip(x[free] - share * step, -high[free], high[free])
-            value = loss(new)
-            if value < now:
-                break
-            share /= 2
-        else:  # no lower point but for rounding
-            return x if np.abs(slope[free]).max() < 1e-6 * max(1.0, len(y)) else None
+        new, share = x.copy(), 1.0
+        if steep < 1e-6:  # so near, the loss says nothing more: full steps
+            new[free] = np.clip(x[free] - step, -high[free], high[free])
+            value, close = loss(new), close + 1
+        else:
+            while share > 1e-10:
+                new[free] = np.clip(x[free] - share * step, -high[free], high[free])
+                value = loss(new)
+                if value < now:
+                    break
+                share /= 2
+            else:
+                return None
         x, now = new, value
     return None
 
