@@ -80,14 +80,14 @@ def _steps(at: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(first, at, np.diff(at, prepend=0)).astype("<i4")
 
 
-def _lists(of: np.ndarray, at: np.ndarray, keys: list[bytes]) -> tuple[pa.Array, pa.Array]:
+def _lists(of: np.ndarray, at: np.ndarray, keys: list[bytes] | np.ndarray) -> tuple[pa.Array, pa.Array]:
     """(keys, packed positions), one row for each key number in ``of``; sorted by key number and position."""
     if not len(of):
         return pa.array([], pa.binary()), pa.array([], pa.binary())
     starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     ends = [*starts[1:].tolist(), len(of)]
     packed = [_planes(np.diff(at[i:j], prepend=0).astype("<i4")) for i, j in zip(starts.tolist(), ends, strict=True)]
-    return pa.array([keys[k] for k in of[starts].tolist()], pa.binary()), pa.array(packed, pa.binary())
+    return pa.array([bytes(keys[k]) for k in of[starts].tolist()], pa.binary()), pa.array(packed, pa.binary())
 
 
 def _positions(packed: bytes) -> np.ndarray:
@@ -156,11 +156,12 @@ class _Held:
 
 
 #: Bytes of a text's hash that stand for it; fewer in the sample, where two texts that share them (2^-64 a pair) would also share their spans.
-_KEY, _SHORT = 16, 8
+_KEY, _SHORT = 12, 8
 
 
 def _opened(packed: bytes, width: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, key number, position, fingerprint, repeated) of a dealt block's part."""
+    packed = memoryview(packed)
     texts, n = np.frombuffer(packed, "<i8", 2).tolist()
     x = 16
     keys = np.frombuffer(packed, f"V{key}", texts, x)
@@ -169,10 +170,10 @@ def _opened(packed: bytes, width: int, key: int) -> tuple[np.ndarray, np.ndarray
     x += 4 * texts
     steps = _from_planes(packed[x : x + 4 * n], "<i4", n)
     x += 4 * n
-    of = np.repeat(np.arange(texts), each)
+    of = np.repeat(np.arange(texts, dtype=np.int32), each)
     sums = np.cumsum(steps, dtype=np.int64)
     start = np.cumsum(each) - each
-    at = sums - np.repeat(sums[start] - steps[start], each)
+    at = (sums - np.repeat(sums[start] - steps[start], each)).astype(np.int32)
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :width] = np.frombuffer(packed, np.uint8, n * width, x).reshape(n, width)
     x += n * width
@@ -180,13 +181,30 @@ def _opened(packed: bytes, width: int, key: int) -> tuple[np.ndarray, np.ndarray
     return keys, of, at, wide.reshape(-1).view("<u8"), many
 
 
-def _sorted_block(parts: list[bytes], width: int, key: int, shared: bool) -> pa.RecordBatch:
-    """Sorts one block; the suffixes with an equal elsewhere if ``shared``, else those without."""
+#: Parts of a block that are sorted one at a time, a power of two.
+BUCKETS = 4
+
+
+def _sorted_block(parts: list, width: int, key: int, shared: bool) -> Iterator[pa.RecordBatch]:
+    """Sorts one block bucket by bucket; the suffixes with an equal elsewhere if ``shared``, else those without."""
+    keys, of, at, prints, many = _joined_parts(parts, width, key)
+    for bucket in range(BUCKETS):
+        # Sorting one bucket at a time bounds what a block takes on top of its suffixes.
+        mine = np.flatnonzero((prints >> np.uint64(8 * width - BUCKETS.bit_length() + 1)) == bucket)
+        if len(mine):
+            yield _sorted_bucket(keys, of[mine], at[mine], prints[mine], many[mine], shared)
+
+
+def _joined_parts(parts: list, width: int, key: int) -> tuple[np.ndarray, ...]:
     opened = [_opened(p, width, key) for p in parts]
-    sizes = [len(o[0]) for o in opened]
     keys, number = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
-    of = np.concatenate([number[s + o[1]] for o, s in zip(opened, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True)])
-    at, prints, many = (np.concatenate([o[k] for o in opened]) for k in (2, 3, 4))
+    number = number.astype(np.int32)
+    starts = np.cumsum([0, *[len(o[0]) for o in opened[:-1]]]).tolist()
+    of = np.concatenate([number[s : s + len(o[0])][o[1]] for o, s in zip(opened, starts, strict=True)])
+    return keys, of, *[np.concatenate([o[k] for o in opened]) for k in (2, 3, 4)]
+
+
+def _sorted_bucket(keys: np.ndarray, of: np.ndarray, at: np.ndarray, prints: np.ndarray, many: np.ndarray, shared: bool) -> pa.RecordBatch:
     # Equal texts in several tasks send their sample twice; the suffixes come from distinct texts.
     order = np.lexsort((at, of, prints)) if shared else np.argsort(prints)
     of, at, prints, many = of[order], at[order], prints[order], many[order]
@@ -198,7 +216,7 @@ def _sorted_block(parts: list[bytes], width: int, key: int, shared: bool) -> pa.
     told = new & ~many & (equal if shared else ~equal)
     of, at = of[told], at[told]
     order = np.lexsort((at, of))
-    whose, packed = _lists(of[order], at[order], [k.tobytes() for k in keys])
+    whose, packed = _lists(of[order], at[order], keys)
     return pa.RecordBatch.from_arrays([whose, packed], ["key", "at"])
 
 
@@ -209,16 +227,16 @@ def _blocks(width: int, key: int, shared: bool) -> Callable:
             known = batch.filter(batch.column("key").is_valid())
             if known.num_rows:
                 yield known.select(["key", "at"])
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                if packed is None:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
+                if not packed.is_valid:
                     continue
                 if parts and block != now:
-                    yield _sorted_block(parts, width, key, shared)
+                    yield from _sorted_block(parts, width, key, shared)
                     parts = []
                 now = block
-                parts.append(packed)
+                parts.append(packed.as_buffer())
         if parts:
-            yield _sorted_block(parts, width, key, shared)
+            yield from _sorted_block(parts, width, key, shared)
 
     return run
 
