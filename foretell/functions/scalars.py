@@ -77,7 +77,25 @@ def first_largest(values: list[Column]) -> Column:
     return (F.array_position(held, F.array_max(held)) - 1).cast("int")
 
 
+#: Day-first forms of a date, each with the shape of texts that have it.
+DATE_FORMS = {
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
+    "d MMM yy": r"^\d{1,2} [A-Za-z]{3} \d{2}$",
+    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{4,} \d{4}$",
+    "MMM d yyyy": r"^[A-Za-z]{3} \d{1,2} \d{4}$",
+    "MMMM d yyyy": r"^[A-Za-z]{4,} \d{1,2} \d{4}$",
+}
+
+
 def mixed_date(text: Column) -> Column:
-    """Day-first dates with years of four or two digits."""
-    t = F.trim(text)
-    return F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(t, "d/M/yyyy")).when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(t, "d/M/yy")).otherwise(F.try_to_date(t))
+    """Dates of mixed forms, day first: numbers set apart by ``/``, ``-``, ``.`` or blanks, names of months, years of four or two digits, ISO dates; a time behind the date is left out."""
+    day = F.regexp_replace(F.trim(text), r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?Z?$", "")
+    worded = F.initcap(F.regexp_replace(day, r"[\s,./-]+", " "))
+    t = F.when(day.rlike("[A-Za-z]"), worded).otherwise(F.regexp_replace(day, r"[\s./-]+", "/"))
+    found = F.when(day.rlike(r"^\d{8}$"), F.try_to_date(day, "yyyyMMdd"))
+    for form, shape in DATE_FORMS.items():
+        found = found.when(t.rlike(shape), F.try_to_date(t, form))
+    return found

@@ -5,6 +5,7 @@ import http.server
 import os
 import threading
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from foretell.operators import betting, blocks, catalog, experiments, metrics, models
 from foretell.schema import FEATURE_GROUPS, FEATURES
-from foretell.sources.season_files import ODDS_COLUMNS, UntrustedHost, cached_season, get_trusted, load_matches, parse_season_files, season_code, season_label
+from foretell.functions.scalars import mixed_date
+from foretell.sources.ragged import ragged_headers, read_ragged
+from foretell.sources.season_files import ODDS_COLUMNS, UntrustedHost, cache_root, cached_season, get_trusted, http_fetch, load_matches, parse_season_files, season_code, season_label, season_url
 
 
 def test_registries():
@@ -163,6 +166,43 @@ def test_season_file(spark, tmp_path):
     assert cached_season(2002, "E0", tmp_path, None) == path
 
 
+def test_dates_of_many_forms(spark):
+    same = ["3/11/02", "03/11/2002", "03-11-2002", "3.11.02", "2002-11-03", "2002-11-03T15:30", "03/11/2002 15:30", "3 Nov 2002", "3-Nov-02", "03 November 2002", "Nov 3, 2002", "20021103", " 2002/11/3 "]
+    bad = ["", "soon", "32/01/2002", "11/2002", "2002-13-01"]
+    rows = spark.createDataFrame([(x,) for x in same + bad], "x string").select("x", mixed_date(F.col("x")).alias("d")).collect()
+    assert {r.x: r.d for r in rows} == {x: dt.date(2002, 11, 3) for x in same} | dict.fromkeys(bad)
+
+
+def test_ragged_files_in_one_scan(spark, tmp_path):
+    files = {
+        "a.csv": b"\xef\xbb\xbfDiv,Date,FTHG\nE0,1/8/02,2,x,y\n , ,\n\nE0,2/8/02\n",
+        "b.csv": 'Date,"A ""b""",A,A\r\n3/8/02,"two\nlines, one field",p,q\r\n4/8/02,M\xfcnchen,,\r\n'.encode("latin-1"),
+        "c.csv": b"",
+        "d.csv": b"Date,FTHG\n",
+    }
+    for name, payload in files.items():
+        (tmp_path / name).write_bytes(payload)
+    paths = [str(tmp_path / n) for n in files]
+    heads = {r.path[-5:]: (r.header, r.rows) for r in ragged_headers(spark, paths).collect()}
+    assert heads == {"a.csv": (["Div", "Date", "FTHG", "_unnamed_3", "_unnamed_4"], 2), "b.csv": (["Date", 'A "b"', "A", "A"], 2), "d.csv": (["Date", "FTHG"], 0)}
+    rows = read_ragged(spark, paths, ["Date", "FTHG", "_unnamed_4", "Second", "A"], renamed={'A "b"': "Second"})
+    assert sorted((r.path[-5:], *r[1:]) for r in rows.collect()) == [("a.csv", 1, "1/8/02", "2", "y", None, None), ("a.csv", 2, "2/8/02", "", "", None, None), ("b.csv", 1, "3/8/02", None, None, "two\nlines, one field", "p"), ("b.csv", 2, "4/8/02", None, None, "München", "")]
+    with pytest.raises(ValueError, match="empty"):
+        parse_season_files(spark, [paths[2]], 2002, "E0")
+    with pytest.raises(ValueError, match="no column named Date"):
+        (tmp_path / "e.csv").write_bytes(b"Day\n1\n")
+        parse_season_files(spark, [str(tmp_path / "e.csv")], 2002, "E0")
+    both = parse_season_files(spark, paths[:2], 2002, "E0").orderBy("MatchDate").collect()
+    assert [(r.MatchDate.day, r.FullTimeHomeGoals) for r in both] == [(1, 2.0), (2, None), (3, None), (4, None)]
+
+
+def test_urls_and_fetchers():
+    assert season_url(2025, "E0", "http://host/data/") == "http://host/data/2526/E0.csv"
+    assert cache_root("x") == Path("x/data/seasons")
+    with pytest.raises(OSError):
+        http_fetch("http://127.0.0.1:9/none")(2025, "E0")
+
+
 def test_redirects_are_followed_to_known_hosts_only():
     class Answers(http.server.BaseHTTPRequestHandler):
         def do_GET(self):
