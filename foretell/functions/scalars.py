@@ -94,8 +94,17 @@ def mixed_date(text: Column) -> Column:
     """Dates of mixed forms, day first: numbers set apart by ``/``, ``-``, ``.`` or blanks, names of months, years of four or two digits, ISO dates; a time behind the date is left out."""
     day = F.regexp_replace(F.trim(text), r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?Z?$", "")
     worded = F.initcap(F.regexp_replace(day, r"[\s,./-]+", " "))
-    t = F.when(day.rlike("[A-Za-z]"), worded).otherwise(F.regexp_replace(day, r"[\s./-]+", "/"))
-    found = F.when(day.rlike(r"^\d{8}$"), F.try_to_date(day, "yyyyMMdd"))
-    for form, shape in DATE_FORMS.items():
-        found = found.when(t.rlike(shape), F.try_to_date(t, form))
-    return found
+    plain = F.regexp_replace(F.regexp_replace(day, r"^(\d{4})(\d{2})(\d{2})$", "$1/$2/$3"), r"[\s./-]+", "/")
+
+    def read(t: Column) -> Column:
+        found = None
+        for form, shape in DATE_FORMS.items():
+            date = F.try_to_date(t, form)
+            if form.endswith(" yy") or form.endswith("/yy"):
+                # Two digits mean the year within fifty years of today's.
+                date = F.when(F.year(date) >= F.year(F.current_date()) + 50, F.add_months(date, -1200)).otherwise(date)
+            found = F.when(t.rlike(shape), date) if found is None else found.when(t.rlike(shape), date)
+        return found
+
+    # The text is brought into shape once: a lambda's argument isn't copied into each case.
+    return F.get(F.transform(F.array(F.when(day.rlike("[A-Za-z]"), worded).otherwise(plain)), read), 0)

@@ -10,6 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    return folder
+
+
 def kept(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """``make()`` as a checkpoint in the folder that ``spark.checkpoint.dir`` names, one for each application, input and name.
 
@@ -19,10 +29,7 @@ def kept(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame])
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(spark))
     for key in [k for k in _kept if k[0] != context.applicationId]:
         del _kept[key]
     key = (context.applicationId, sf, name)

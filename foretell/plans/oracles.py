@@ -208,6 +208,9 @@ def _perspective(own: str, other: str) -> str:
 
 ORACLES: dict[str, str] = {
     "s8_matches": f"WITH {MATCHES_CTE} SELECT {', '.join([*_PLAIN, *[_r(c, c) for c in FORMULAS]])} FROM matches",
+    "s6_ragged_files": f"""WITH {MATCHES_CTE}, told AS (SELECT *, year(MatchDate) % 2 = 0 AS even FROM matches)
+SELECT League AS Div, MatchDate, HomeTeam, AwayTeam, FullTimeHomeGoals, FullTimeAwayGoals, CASE WHEN NOT even THEN HomeShots END AS HomeShots, CASE WHEN NOT even THEN AwayShots END AS AwayShots,
+  {_r("CASE WHEN NOT even THEN B365H END", "B365H")}, {_r("B365H", "AvgH")} FROM told""",
     "p1_prepared": f"WITH {MATCHES_CTE} SELECT MatchKey, League, Season, MatchDate, HomeTeam, AwayTeam, FullTimeResult AS target, {_LABEL} AS target_label FROM matches",
     "p5_modeling_rows": f"WITH {MATCHES_CTE} SELECT MatchKey, {_LABEL} AS target_label FROM matches WHERE FullTimeResult IS NOT NULL",
     "p6_time_split": f"""WITH {MATCHES_CTE} SELECT CASE WHEN year(MatchDate) <= 1996 THEN 'train' WHEN year(MatchDate) <= 1998 THEN 'validation' ELSE 'test' END AS part,

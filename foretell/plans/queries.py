@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,11 @@ from foretell.operators.ratings import count_ratings, elo
 from foretell.operators.standings import positions
 from foretell.operators.team import team_frame, team_history
 from foretell.operators.windows import league_level, match_windows
-from foretell.plans.keep import kept
+from foretell.plans.keep import kept, shared_folder
 from foretell.schema import CONTEXT, EWM, FEATURE_GROUPS, FEATURES, GOAL_FEATURES, MOMENTA, RATES, RESULTS, SCOPES, SHOT_FEATURES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
 from foretell.sources.derived import matches
+from foretell.sources.ragged import read_ragged
+from foretell.sources.season_files import ODDS_COLUMNS, RENAMED, RESULT_COLUMNS, typed_matches
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Features of the model queries.
@@ -69,6 +72,31 @@ def s8_matches(spark, sf):
     return rounded(matches(spark, sf))
 
 
+def s6_ragged_files(spark, sf):
+    """The match table written as season files, one a league and season, and read back.
+
+    Files of different seasons have other columns, date forms and surplus
+    fields, as files of different years do.
+    """
+    folder = f"{shared_folder(spark)}/season-files-{uuid.uuid4().hex}"
+    rows = matches(spark, sf).withColumn("even", F.year("MatchDate") % 2 == 0).withColumn("file", F.concat_ws("_", F.translate("League", " ", "-"), F.year("MatchDate")))
+    day = F.when(F.col("even"), F.date_format("MatchDate", "dd/MM/yy")).otherwise(F.date_format("MatchDate", "dd/MM/yyyy"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # Even years: an old name, no shots, and surplus fields in some rows.
+    narrow = ["Div", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "BbAvH"]
+    wide = [*narrow[:6], "HS", "AS", "B365H", "AvgH"]
+    price = text("B365H")
+    fields = [F.concat(F.lit('"'), F.col("League"), F.lit('"')), day, text("HomeTeam"), text("AwayTeam"), text("FullTimeHomeGoals"), text("FullTimeAwayGoals")]
+    line = F.when(F.col("even"), F.concat_ws(",", *fields, price, F.when(F.col("MatchKey") % 3 == 0, F.lit("surplus,,more")))).otherwise(F.concat_ws(",", *fields, text("HomeShots"), text("AwayShots"), price, price))
+    lines = rows.select("file", F.lit(1).alias("at"), line.alias("value"))
+    heads = rows.select("file", "even").distinct().select("file", F.lit(0).alias("at"), F.when(F.col("even"), ",".join(narrow)).otherwise(",".join(wide)).alias("value"))
+    ordered = lines.union(heads).repartition("file").sortWithinPartitions("file", "at")
+    ordered.select("file", "value").write.partitionBy("file").text(folder)
+    read = read_ragged(spark, [f"{folder}/file=*/*.txt"], [*RESULT_COLUMNS, *ODDS_COLUMNS, "Div"], renamed=RENAMED)
+    found = typed_matches(read, ["Div"])
+    return found.select("Div", "MatchDate", "HomeTeam", "AwayTeam", "FullTimeHomeGoals", "FullTimeAwayGoals", "HomeShots", "AwayShots", F.round("B365H", 6).alias("B365H"), F.round("AvgH", 6).alias("AvgH"))
+
+
 def p1_prepared(spark, sf):
     return prepare(matches(spark, sf).drop("Season")).select("MatchKey", "League", "Season", "MatchDate", "HomeTeam", "AwayTeam", "target", "target_label")
 
@@ -289,7 +317,7 @@ def p12_catalog_search(spark, sf):
 _here = dict(globals())
 QUERIES: dict[str, Query] = {
     name: _here[name]
-    for name in """s8_matches p1_prepared p5_modeling_rows p6_time_split p17_match_ids u1_long_form u3_repeated_appearances a12_league_level w8_strengths
+    for name in """s8_matches s6_ragged_files p1_prepared p5_modeling_rows p6_time_split p17_match_ids u1_long_form u3_repeated_appearances a12_league_level w8_strengths
     w13_opponent_elo w17_standings w18_elo c1_count_ratings features features_without_counts t6_strengths j1_team_frame a1_pooled a2_by_season a3_weighted_summary a4_priors a5_calibration a6_metrics a7_gini
     a7_binary_metrics a8_roc a9_outcomes a10_roi a10_roi_intervals a11_bootstrap a13_missing_rates p9_confidence e1_walk_forward e2_individual_features e3_screening e6_subset_search
     e7_report_metrics e8_season_walk_forward e9_market e10_bets e11_random_control e12_edges e13_catalog m3_logistic m4_forest m8_team_model m10_explanation

@@ -171,6 +171,8 @@ def test_dates_of_many_forms(spark):
     bad = ["", "soon", "32/01/2002", "11/2002", "2002-13-01"]
     rows = spark.createDataFrame([(x,) for x in same + bad], "x string").select("x", mixed_date(F.col("x")).alias("d")).collect()
     assert {r.x: r.d for r in rows} == {x: dt.date(2002, 11, 3) for x in same} | dict.fromkeys(bad)
+    old = spark.createDataFrame([("1/2/98",), ("1 Feb 99",), ("1/2/25",)], "x string").select(mixed_date(F.col("x")).alias("d")).collect()
+    assert [r.d.year for r in old] == [1998, 1999, 2025]
 
 
 def test_ragged_files_in_one_scan(spark, tmp_path):
