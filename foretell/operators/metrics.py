@@ -6,10 +6,11 @@ names the columns that separate several sets of predictions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretell.functions.scalars import first_largest, probability_bin
+from foretell.operators.running import followers, ranged, running_sums
 
 #: Log losses clip probabilities here: the spacing of doubles at 1.
 EPSILON = 2.220446049250313e-16
@@ -35,16 +36,21 @@ def one_against_rest(predictions: DataFrame, by: list[str] | None = None) -> Dat
     return predictions.select(*(by or []), F.inline(parts))
 
 
+def _score_counts(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, k, p, hits, misses)``: a row for each distinct score."""
+    return one_against_rest(predictions, by).groupBy(*by, "k", "p").agg(F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
+
+
 def gini(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """gini_home, gini_draw, gini_away and gini_macro; null where an outcome is never or always there.
 
     2 AUC - 1 from counts by distinct score: ties count half. The running count
-    goes over distinct scores, not rows, after a map-side aggregate.
+    goes over distinct scores, after a map-side aggregate, by ranges of scores.
     """
     by = by or []
-    scores = one_against_rest(predictions, by).groupBy(*by, "k", "p").agg(F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
-    below = Window.partitionBy(*by, "k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = scores.withColumn("won", F.col("hits") * (F.coalesce(F.sum("misses").over(below), F.lit(0)) + F.col("misses") / 2))
+    scores = ranged(_score_counts(predictions, by), "p")
+    below = running_sums(scores, [*by, "k"], "p", ["misses"])
+    pairs = below.withColumn("won", F.col("hits") * (F.col("misses_before") + F.col("misses") / 2))
     areas = pairs.groupBy(*by, "k").agg(F.sum("won").alias("won"), F.sum("hits").alias("h"), F.sum("misses").alias("m"))
     value = F.when((F.col("h") > 0) & (F.col("m") > 0), 2 * F.col("won") / (F.col("h") * F.col("m")) - 1)
     wide = areas.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, value)).alias(f"gini_{o}") for k, o in enumerate(OUTCOMES)])
@@ -82,27 +88,30 @@ def calibration(predictions: DataFrame, by: list[str] | None = None, bins: int =
 
 
 def roc_points(predictions: DataFrame, by: list[str] | None = None, points: int = 300) -> DataFrame:
-    """``(by, outcome, fpr, tpr)``: the curve's corners, thinned evenly to ``points``; the starting point (0, 0) included."""
+    """``(by, outcome, fpr, tpr)``: the curve's corners, thinned evenly to ``points``; the starting point (0, 0) included.
+
+    Scores are cut into ranges, so no task holds a curve.
+    """
     by = by or []
     keys = [*by, "k"]
-    scores = one_against_rest(predictions, by).groupBy(*keys, "p").agg(F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("p"))
-    total = Window.partitionBy(*keys)
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    curve = scores.select(*keys, "p", "hits", "misses", F.sum("hits").over(upto).alias("tp"), F.sum("misses").over(upto).alias("fp"), F.sum("hits").over(total).alias("h"), F.sum("misses").over(total).alias("m")).where("h > 0 AND m > 0")
+    scores = _score_counts(predictions, by)
+    both = scores.groupBy(*keys).agg(F.sum("hits").alias("h"), F.sum("misses").alias("m")).where("h > 0 AND m > 0")
+    curve = running_sums(ranged(scores, "p", descending=True), keys, "p", ["hits", "misses"], descending=True)
+    bend = followers(curve, keys, "p", F.struct("hits", "misses"), "more", descending=True)
     # A point in the middle of a straight piece says nothing and goes, as ties and runs of one kind make them.
-    nxt = Window.partitionBy(*keys).orderBy(F.desc("p"))
-    bend = curve.withColumn("more_h", F.lead("hits").over(nxt)).withColumn("more_m", F.lead("misses").over(nxt))
-    corners = bend.where(F.col("more_h").isNull() | (F.col("more_h") * F.col("misses") != F.col("more_m") * F.col("hits")))
-    ends = corners.select(*keys, (F.col("fp") / F.col("m")).alias("fpr"), (F.col("tp") / F.col("h")).alias("tpr"))
-    ends = ends.unionByName(curve.select(*keys, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).distinct())
-    order = Window.partitionBy(*keys).orderBy("fpr", "tpr")
-    numbered = ends.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(total)})
+    corner = F.col("more").isNull() | (F.col("more.hits") * F.col("misses") != F.col("more.misses") * F.col("hits"))
+    corners = bend.where(corner).withColumn("one", F.lit(1).cast("long"))
+    numbered = running_sums(corners, keys, "p", ["one"], descending=True)
+    sizes = numbered.groupBy(*keys).agg((F.count(F.lit(1)) + 1).alias("n"))
+    totals = both.join(sizes, keys) if not by else both.alias("b").join(sizes.alias("s"), [F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]).select("b.*", "s.n")
+    places = numbered.select(*keys, (F.col("one_before") + 1).alias("i"), (F.col("hits") + F.col("hits_before")).alias("tp"), (F.col("misses") + F.col("misses_before")).alias("fp"))
+    places = places.unionByName(totals.select(*keys, *[F.lit(0).cast("long").alias(c) for c in ("i", "tp", "fp")]))
+    met = places.alias("p").join(totals.alias("t"), [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]).select("p.*", "t.h", "t.m", "t.n")
     keep = F.least(F.col("n"), F.lit(points))
     # Point i stays if it is the whole part of j (n - 1) / (keep - 1) for some j.
     j = F.ceil(F.col("i") * (keep - 1) / (F.col("n") - 1))
-    kept = numbered.where((F.col("n") <= points) | (F.floor(j * (F.col("n") - 1) / (keep - 1)) == F.col("i")))
-    return kept.select(*by, F.get(F.array(*map(F.lit, OUTCOMES)), F.col("k")).alias("outcome"), "fpr", "tpr")
+    kept = met.where((F.col("n") <= points) | (F.floor(j * (F.col("n") - 1) / (keep - 1)) == F.col("i")))
+    return kept.select(*by, F.get(F.array(*map(F.lit, OUTCOMES)), F.col("k")).alias("outcome"), (F.col("fp") / F.col("m")).alias("fpr"), (F.col("tp") / F.col("h")).alias("tpr"))
 
 
 def outcome_summary(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from foretell.schema import ALIASES, DELTAS, EWM, FEATURES, GOAL_FEATURES, MOMENTA, RATES, SCOPES, SHOT_FEATURES, SIDES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
 from foretell.sources.derived import FORMULAS, MATCHES_CTE
 
@@ -161,7 +163,7 @@ def _named(columns: dict[str, str]) -> str:
 
 
 #: Features of one side, each with its place in ``side``, and the frame of a match, all without the count models' columns.
-_SIDE = _SUMS | _MEANS | _VENUE | _EFFICIENCY | _CONTEXT | _DECAYED | _SEASON
+_SIDE = _SEASON
 _ENGINEERED = f"""WITH RECURSIVE {_ELO_RATED}, {_LEVELS}, {_ELO_FORM}, {_PLACED},
 formed AS (
   SELECT {_KEYS}, avg(other) OVER f AS opponent_elo_mean_l5, avg(over_) OVER f AS result_overperformance_l5 FROM numbered
@@ -180,6 +182,16 @@ paired AS (
   JOIN side a ON m.League = a.League AND m.MatchDate = a.MatchDate AND m.AwayTeam = a.Team)"""
 
 
+def _paired(columns: dict[str, str]) -> str:
+    """Matches with both sides' plain window columns."""
+    return f"""WITH {MATCHES_CTE}, {_LONG},
+own AS MATERIALIZED (SELECT League, MatchDate, Team, {_named(columns)} FROM long WINDOW {_FRAMES}),
+paired AS (
+  SELECT m.MatchKey, h AS home, a AS away FROM matches m
+  JOIN own h ON m.League = h.League AND m.MatchDate = h.MatchDate AND m.HomeTeam = h.Team
+  JOIN own a ON m.League = a.League AND m.MatchDate = a.MatchDate AND m.AwayTeam = a.Team)"""
+
+
 def _feature(name: str) -> str:
     name = ALIASES.get(name, name)
     if name in DELTAS:
@@ -197,6 +209,28 @@ def _feature(name: str) -> str:
     return f"{side}.{'season_points' if rest == 'points' else rest}"
 
 
+_FORMED, _SEASONED = _SUMS | _MEANS | _VENUE | _EFFICIENCY, _CONTEXT | _DECAYED | _SEASON
+#: The features that rest on windows of results, on the calendar, decay and season, and on ratings and standings.
+FORM_FEATURES, CALENDAR_FEATURES, STRENGTH_FEATURES = [], [], []
+
+
+def _deal_features() -> None:
+    windowed, calendar = ({n.removeprefix("=") for n in x} for x in (_FORMED, _SEASONED))
+    for name in FEATURES:
+        if name in GOAL_FEATURES + SHOT_FEATURES:
+            continue
+        sql = _feature(name)
+        used = set(re.findall(r"(?:home|away)\.(\w+)", sql))
+        (FORM_FEATURES if used and used <= windowed else CALENDAR_FEATURES if used and used <= calendar else STRENGTH_FEATURES).append(name)
+
+
+_deal_features()
+
+
+def _selected(names: list[str]) -> str:
+    return f"SELECT MatchKey, {', '.join(_r(_feature(c), c) for c in names)} FROM paired"
+
+
 _SEEN = {"position": "position", "season_points": "season_points", "season_ppg": "points_per_game"}
 
 
@@ -226,7 +260,9 @@ SELECT League AS Div, MatchDate, HomeTeam, AwayTeam, FullTimeHomeGoals, FullTime
     "w9_context": _windows(_CONTEXT),
     "w15_decayed_means": _windows(_DECAYED),
     "w16_season_points": _windows(_SEASON),
-    "features_without_counts": f"{_ENGINEERED} SELECT MatchKey, {', '.join(_r(_feature(c), c) for c in FEATURES if c not in GOAL_FEATURES + SHOT_FEATURES)} FROM paired",
+    "features_form": f"{_paired(_FORMED)} {_selected(FORM_FEATURES)}",
+    "features_calendar": f"{_paired(_SEASONED)} {_selected(CALENDAR_FEATURES)}",
+    "features_strength": f"{_ENGINEERED} {_selected(STRENGTH_FEATURES)}",
     "t6_strengths": f"{_ENGINEERED} {_perspective('home', 'away')} UNION ALL {_perspective('away', 'home')}",
     "a12_league_level": f"WITH {MATCHES_CTE}, {_LEVELS} SELECT League, Season, MatchDate, {_r('league_level', 'league_level')} FROM levels",
     "w8_strengths": f"WITH {MATCHES_CTE}, {_LEVELS}, met AS (SELECT * FROM long JOIN levels USING (League, Season, MatchDate)) SELECT {_KEYS}, {_r(_ratio('avg(goals_for) OVER f10', 'league_level'), 'attack_strength_l10')}, {_r(_ratio('avg(goals_against) OVER f10', 'league_level'), 'defensive_strength_l10')} FROM met WINDOW {_FRAMES}",
@@ -248,6 +284,15 @@ areas AS (SELECT League, k, sum(hit)::DOUBLE AS h, count(*)::DOUBLE - sum(hit) A
 ginis AS (SELECT League, {", ".join(f"max(CASE WHEN k = {k} AND h > 0 AND m > 0 THEN 2 * (s - h * (h + 1) / 2) / (h * m) - 1 END) AS g{k}" for k in range(3))} FROM areas GROUP BY League)
 SELECT League, {_r("g0", "gini_home")}, {_r("g1", "gini_draw")}, {_r("g2", "gini_away")}, {_r("(g0 + g1 + g2) / 3", "gini_macro")} FROM ginis""",
     "a7_binary_metrics": f"{_PLAYED} SELECT League, {', '.join(_r(f'avg(-ln(CASE WHEN y = {k} THEN p{k} ELSE 1 - p{k} END))', f'log_loss_{o}') + ', ' + _r(f'avg(pow(p{k} - CASE WHEN y = {k} THEN 1 ELSE 0 END, 2))', f'brier_{o}') for k, o in enumerate(('home', 'draw', 'away')))} FROM played GROUP BY League",
+    "a8_roc": f"""{_PLAYED}, scores AS (SELECT League, k, p, sum(hit) AS hits, count(*) - sum(hit) AS misses FROM apart GROUP BY ALL),
+curve AS (
+  SELECT *, sum(hits) OVER d AS tp, sum(misses) OVER d AS fp, lead(hits) OVER o AS more_h, lead(misses) OVER o AS more_m, sum(hits) OVER t AS h, sum(misses) OVER t AS m
+  FROM scores WINDOW d AS (PARTITION BY League, k ORDER BY p DESC ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY League, k ORDER BY p DESC), t AS (PARTITION BY League, k)),
+corners AS (SELECT League, k, fp, tp, h, m FROM curve WHERE h > 0 AND m > 0 AND (more_h IS NULL OR more_h * misses <> more_m * hits)
+  UNION ALL SELECT DISTINCT League, k, 0, 0, h, m FROM curve WHERE h > 0 AND m > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY League, k ORDER BY fp, tp) - 1 AS i, count(*) OVER (PARTITION BY League, k) AS n FROM corners)
+SELECT League, CASE k WHEN 0 THEN 'home' WHEN 1 THEN 'draw' ELSE 'away' END AS outcome, {_r("fp / m", "fpr")}, {_r("tp / h", "tpr")} FROM placed
+WHERE n <= 300 OR floor(ceil(i * 299 / (n - 1)) * (n - 1) / 299) = i""",
     "a9_outcomes": f"{_PLAYED} SELECT League, CASE k WHEN 0 THEN 'home' WHEN 1 THEN 'draw' ELSE 'away' END AS outcome, {_r('avg(p)', 'model_probability')}, {_r('avg(hit)', 'observed_frequency')}, {_r('avg(chosen)', 'predicted_share')} FROM apart GROUP BY ALL",
     "a13_missing_rates": f"WITH {MATCHES_CTE} SELECT League, {', '.join(_r(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)', f'missing_{c}') for c in ('FullTimeHomeGoals', 'HomeShots', 'HomeShotsOnTarget', 'PSCH'))} FROM matches GROUP BY League",
     "p9_confidence": f"""{_PLAYED}, marked AS (SELECT *, greatest(p0, p1, p2) >= 0.5 AS sure, {_RIGHT} AS correct FROM played)

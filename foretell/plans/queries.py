@@ -16,6 +16,7 @@ from foretell.operators.ratings import count_ratings, elo
 from foretell.operators.standings import positions
 from foretell.operators.team import team_frame, team_history
 from foretell.operators.windows import league_level, match_windows
+from foretell.plans import oracles
 from foretell.plans.keep import kept, shared_folder
 from foretell.schema import CONTEXT, EWM, FEATURE_GROUPS, FEATURES, GOAL_FEATURES, MOMENTA, RATES, RESULTS, SCOPES, SHOT_FEATURES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
 from foretell.sources.derived import matches
@@ -161,6 +162,10 @@ def features_without_counts(spark, sf):
     return rounded(_engineered(spark, sf).select("MatchKey", *[c for c in FEATURES if c not in GOAL_FEATURES + SHOT_FEATURES]))
 
 
+def _some_features(names: list[str]) -> Query:
+    return lambda spark, sf: rounded(_engineered(spark, sf).select("MatchKey", *names))
+
+
 def t6_strengths(spark, sf):
     """The team frame's standing and Elo columns."""
     names = [f"{who}_{n}" for who in ("team", "opponent") for n in ("position", "season_points", "season_ppg", "elo")]
@@ -323,7 +328,11 @@ QUERIES: dict[str, Query] = {
     e7_report_metrics e8_season_walk_forward e9_market e10_bets e11_random_control e12_edges e13_catalog m3_logistic m4_forest m8_team_model m10_explanation
     o4_best_edges p12_catalog_search""".split()
 }
+# The engineered frame in three parts, each with a twin: together they are all features but those of the count models.
 QUERIES |= {
+    "features_form": _some_features(oracles.FORM_FEATURES),
+    "features_calendar": _some_features(oracles.CALENDAR_FEATURES),
+    "features_strength": _some_features(oracles.STRENGTH_FEATURES),
     "w1_window_sums": _windows(list(WINDOW_SUMS)),
     "w3_window_means": _windows([*WINDOW_MEANS, *RATES, *MOMENTA]),
     "w6_venue_windows": _windows([f"venue_{n}" for n in [*VENUE_SUMS, *VENUE_MEANS]]),
