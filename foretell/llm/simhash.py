@@ -36,8 +36,8 @@ _CHUNK = 1 << 16
 WIDE_WORDS, SIMILARITY, WIDE_RADIUS = 5, 0.8, 14
 #: Bands and least hashes in a band: at a similarity of 0.8 a pair meets in one with probability 0.997.
 BANDS, BAND_ROWS = 8, 3
-#: Of each near copy so many nearest ones are tried first, so many times more in each round after it.
-FIRST_TRIES, MORE_TRIES = 16, 16
+#: Texts in a tile that holds their shingles.
+VERIFY_TILE = 1024
 
 
 def _shingle_hashes(text: str | None) -> np.ndarray:
@@ -170,31 +170,33 @@ def _link_batches(radius: int):
     return links
 
 
-def _try_batches(radius: int, similarity: float, start: int, end: int):
-    """Pairs of each tile whose ends are not connected yet: of each member the ``start``-th to ``end``-th nearest of all that may be near enough; (null, null) where there are more."""
+def _connect_batches(radius: int, similarity: float):
+    """Links of each tile that connect what is similar there and not connected yet, nearest first; fewer than it has members."""
 
-    def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, more = [], [], False
-            for members in _members(batch):
-                prints, roots, sizes = members["fp"].view(np.uint64), members["root"], members["size"].astype(np.float64)
-                if (roots == roots[0]).all():
-                    continue
+            for tile in batch.column("members"):
+                members = tile.values
+                prints, first = np.unique(members.field("fp").to_numpy(zero_copy_only=False), return_index=True)
+                roots = members.field("root").to_numpy(zero_copy_only=False)[first]
+                sizes = members.field("size").to_numpy(zero_copy_only=False)[first].astype(np.float64)
+                column = members.field("shingles")
+                flat, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+                shingles = [flat[ends[i] : ends[i + 1]] for i in first.tolist()]
+                u, v = [], []
                 for i in range(len(prints) - 1):
-                    bits = np.bitwise_count(prints[i + 1 :] ^ prints[i])
+                    bits = np.bitwise_count((prints[i + 1 :] ^ prints[i]).view(np.uint64))
                     fit = np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i])
-                    # The order of all candidates, connected or not, is the same in every round, so no pair is tried twice.
-                    near = i + 1 + np.flatnonzero(fit & (bits <= radius))
-                    more |= len(near) > end
-                    near = near[np.argsort(bits[near - i - 1], kind="stable")][start:end]
-                    near = near[roots[near] != roots[i]]
-                    u.append(np.full(len(near), members["fp"][i]))
-                    v.append(members["fp"][near])
-            yield _link_rows(u, v)
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, ["u", "v"])
+                    near = i + 1 + np.flatnonzero(fit & (bits <= radius) & (roots[i + 1 :] != roots[i]))
+                    for j in near[np.argsort(bits[near - i - 1], kind="stable")].tolist():
+                        if roots[i] != roots[j] and overlap(shingles[i], shingles[j]) >= similarity:
+                            u.append(prints[i])
+                            v.append(prints[j])
+                            roots[roots == roots[j]] = roots[i]
+                if u:
+                    yield _link_rows([np.array(u)], [np.array(v)])
 
-    return tries
+    return connect
 
 
 def _block_keys(radius: int) -> list[int]:
@@ -288,10 +290,10 @@ def near_copy_links(firsts: DataFrame, rows: DataFrame, close: DataFrame, simila
     ``firsts (fp, first, bands, size)`` has one row for each fp, whose text is
     the one of ``rows (named, doc_id, h, text)`` at ``first``. Candidates meet
     in a band. The shortest links that would connect them come first, and are
-    held against the whole sets of shingles; then, among what those that hold
-    leave apart, every pair that may be similar, nearest first, in rounds that
-    grow, until none is left. So a group of copies costs its links, not its
-    pairs, and a link that fails takes no other with it.
+    held against the whole sets of shingles. Groups that those that hold leave
+    apart are dealt into tiles again, with the sets: there every pair that may
+    be similar and isn't connected yet is compared, nearest first. So a group
+    of copies costs its links, and a link that fails takes no other with it.
     """
     keyed = firsts.select("fp", "size", F.posexplode("bands").alias("band", "key"))
     keyed = checkpointed(keyed.join(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"]).drop("n"))
@@ -306,18 +308,11 @@ def near_copy_links(firsts: DataFrame, rows: DataFrame, close: DataFrame, simila
         return checkpointed(both.mapInArrow(_verified_batches(similarity), "u long, v long"))
 
     links = close.unionByName(verified(tiled_links(keyed.drop("size"), radius, tile)))
-    start, end = 0, FIRST_TRIES
-    while True:
-        roots = connected_components(links).withColumnRenamed("node", "fp")
-        marked = keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        apart = marked.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("band", "key")
-        tried = checkpointed(tiles(marked.join(apart, ["band", "key"]), radius, tile).mapInArrow(_try_batches(radius, similarity, start, end), "u long, v long").distinct())
-        counted = tried.agg(F.count("u"), F.count(F.lit(1))).first()
-        if counted[0]:
-            links = links.unionByName(verified(tried.where("u IS NOT NULL")))
-        if counted[0] == counted[1]:
-            return links
-        start, end = end, end * MORE_TRIES
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    marked = keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    apart = marked.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("band", "key")
+    held = marked.join(apart, ["band", "key"]).join(sets, "fp")
+    return links.unionByName(tiles(held, radius, min(tile, VERIFY_TILE)).mapInArrow(_connect_batches(radius, similarity), "u long, v long").distinct())
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

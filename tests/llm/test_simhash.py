@@ -137,8 +137,7 @@ def test_overlap_is_exact():
 
 def test_a_link_that_fails_takes_no_other_with_it(spark, monkeypatch):
     """Chains of copies of copies near the limit: every pair above it that meets in a band is connected."""
-    monkeypatch.setattr(simhash, "FIRST_TRIES", 1)
-    monkeypatch.setattr(simhash, "MORE_TRIES", 2)
+    monkeypatch.setattr(simhash, "VERIFY_TILE", 5)
     rng = random.Random(23)
     words = [f"w{i}" for i in range(4000)]
     docs = []
