@@ -50,31 +50,34 @@ def statistics(docs: DataFrame) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
     own = [c for c in docs.columns if c not in names]
     # One projection for each array that lambdas look into: as a column it is made once a row, not once an element.
-    # The caller's columns travel in a struct, so no name of theirs meets a working one.
-    packed = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in own]).alias("own")
-    words = docs.select(packed, text.alias("text"), word_array(F.col("text")).alias("__w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("__l"))
-    text = F.col("text")
-    window = lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
+    # Working names begin with a mark that no column of the caller has.
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    w, lines, h, places_of, t = (mark + x for x in "wlhpt")
+    own = [F.col(f"`{c.replace('`', '``')}`") for c in own]
+    words = docs.select(*own, word_array(F.col("text")).alias(w), F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias(lines))
+    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     counted = words.select(
-        "own",
-        F.size("__w").cast("long").alias("n_words"),
+        *own,
+        F.size(w).cast("long").alias("n_words"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.size("__l").cast("long").alias("n_lines"),
-        F.when(F.size("__w") >= 3, F.transform(F.sequence(F.lit(0), F.size("__w") - 3), window)).alias("__h"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)).alias(h),
     )
     # Most texts repeat no window; only those that do are sorted, to find equal windows side by side.
-    places = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rest = [c for c in counted.columns if c != "__h"]
-    placed = counted.select(*rest, F.when(F.size(F.array_distinct("__h")) < F.size("__h"), places).alias("__p"))
-    twice = F.filter("__p", lambda p, k: (p["h"] == F.get("__p", k - 1)["h"]) | (p["h"] == F.get("__p", k + 1)["h"]))
-    found = placed.select(*rest, F.sort_array(F.transform(twice, lambda p: p["i"])).alias("__t"))
-    covers = F.aggregate(F.transform("__t", lambda t, k: F.least(F.lit(3), t - F.coalesce(F.get("__t", k - 1), F.lit(-3)))), F.lit(0), lambda n, c: n + c)
+    places = F.sort_array(F.transform(h, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rest = [F.col(f"`{c.replace('`', '``')}`") for c in counted.columns if c != h]
+    placed = counted.select(*rest, F.when(F.size(F.array_distinct(h)) < F.size(h), places).alias(places_of))
+    twice = F.filter(places_of, lambda p, k: (p["h"] == F.get(places_of, k - 1)["h"]) | (p["h"] == F.get(places_of, k + 1)["h"]))
+    found = placed.select(*rest, F.sort_array(F.transform(twice, lambda p: p["i"])).alias(t))
+    covers = F.aggregate(F.transform(t, lambda x, k: F.least(F.lit(3), x - F.coalesce(F.get(t, k - 1), F.lit(-3)))), F.lit(0), lambda n, c: n + c)
     # Always true, but never the same expression twice: a filter on these columns is then not pushed below the
     # projections above, where each array would be made anew for every element that a lambda looks at.
     here = F.monotonically_increasing_id() >= 0
-    return found.select("own.*", *names[:4], F.when(here, F.coalesce(covers, F.lit(0)).cast("long")).alias("n_repeat_words"), "n_lines")
+    return found.select(*own, *names[:4], F.when(here, F.coalesce(covers, F.lit(0)).cast("long")).alias("n_repeat_words"), "n_lines")
 
 
 def _vector() -> list[Column]:
