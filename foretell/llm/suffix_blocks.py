@@ -46,7 +46,8 @@ ORDER = 13
 SAMPLE_BLOCK, BLOCK = 32 << 20, 16 << 20
 #: Suffixes that a task holds before it deals them out.
 HELD = 1 << 19
-_DEALT = "block int, packed binary, key binary, at binary"
+#: Blocks below zero hold answers already: block -1 - s those of slot s.
+_DEALT = "block int, packed binary"
 
 
 def difference_cover(q: int = ORDER) -> tuple[int, np.ndarray]:
@@ -80,14 +81,40 @@ def _steps(at: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(first, at, np.diff(at, prepend=0)).astype("<i4")
 
 
-def _lists(of: np.ndarray, at: np.ndarray, keys: list[bytes] | np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """(keys, packed positions), one row for each key number in ``of``; sorted by key number and position."""
+def _places(keys: np.ndarray, of: np.ndarray, at: np.ndarray) -> bytes:
+    """Texts (their keys, and which one each place is in) and places as bytes; sorted by text and place."""
+    new = np.concatenate([[True], of[1:] != of[:-1]])
+    each = np.diff(np.append(np.flatnonzero(new), len(of))).astype("<i4")
+    head = np.array([len(each), len(of)], "<i8").tobytes()
+    return b"".join([head, keys[of[new]].tobytes(), _planes(each), _planes(_steps(at, new))])
+
+
+def _opened_places(packed: memoryview, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(keys, key number, place) and how many bytes they take."""
+    texts, n = np.frombuffer(packed, "<i8", 2).tolist()
+    x = 16
+    keys = np.frombuffer(packed, f"V{key}", texts, x)
+    x += key * texts
+    each = _from_planes(packed[x : x + 4 * texts], "<i4", texts)
+    x += 4 * texts
+    steps = _from_planes(packed[x : x + 4 * n], "<i4", n)
+    sums = np.cumsum(steps, dtype=np.int64)
+    start = np.cumsum(each) - each
+    at = (sums - np.repeat(sums[start] - steps[start], each)).astype(np.int32)
+    return keys, np.repeat(np.arange(texts, dtype=np.int32), each), at, x + 4 * n
+
+
+def _slotted(keys: np.ndarray, of: np.ndarray, at: np.ndarray, slots: int) -> tuple[list[int], list[bytes]]:
+    """Answers dealt out by text: (slot, packed) for each slot that has any."""
     if not len(of):
-        return pa.array([], pa.binary()), pa.array([], pa.binary())
-    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        return [], []
+    width = keys.dtype.itemsize
+    slot = (np.frombuffer(keys.tobytes(), np.uint8).reshape(-1, width)[:, :4].copy().view("<u4").reshape(-1) % slots).astype(np.int32)[of]
+    order = np.lexsort((at, of, slot))
+    slot, of, at = slot[order], of[order], at[order]
+    starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
     ends = [*starts[1:].tolist(), len(of)]
-    packed = [_planes(np.diff(at[i:j], prepend=0).astype("<i4")) for i, j in zip(starts.tolist(), ends, strict=True)]
-    return pa.array([bytes(keys[k]) for k in of[starts].tolist()], pa.binary()), pa.array(packed, pa.binary())
+    return slot[starts].tolist(), [_places(keys, of[i:j], at[i:j]) for i, j in zip(starts.tolist(), ends, strict=True)]
 
 
 def _positions(packed: bytes) -> np.ndarray:
@@ -133,26 +160,24 @@ class _Held:
         runs = np.diff(np.append(np.flatnonzero(first), len(first)))
         many = np.zeros(len(order), bool)
         many[order] = np.repeat(runs > 1, runs)
+        names = np.frombuffer(b"".join(k[: self.key] for k in keys), f"V{self.key}")
         if self.shared and many.any():
             # What repeats among a task's own suffixes needs no answer.
-            whose, packed = _lists(of[many], at[many], [k[: self.key] for k in keys])
-            to = [xxhash.xxh3_64_intdigest(k) % self.blocks for k in whose.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.nulls(len(to), pa.binary()), whose, packed], ["block", "packed", "key", "at"])
+            slots, packed = _slotted(names, of[many], at[many], self.blocks)
+            yield _dealt([-1 - x for x in slots], packed)
         sent = np.sort(order[first])
         sent = sent[np.argsort(block[sent].astype(np.int16) if self.blocks < 1 << 15 else block[sent], kind="stable")]
         block, prints, of, at, many = block[sent], prints[sent], of[sent], at[sent], many[sent]
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         rows = []
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
-            new = np.concatenate([[True], of[i + 1 : j] != of[i : j - 1]])
-            each = np.diff(np.append(np.flatnonzero(new), j - i)).astype("<i4")
-            named = b"".join(keys[k][: self.key] for k in of[i:j][new].tolist())
-            head = np.array([len(each), j - i], "<i8").tobytes()
             body = prints[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width].tobytes()
-            rows.append((int(block[i]), b"".join([head, named, _planes(each), _planes(_steps(at[i:j], new)), body, np.packbits(many[i:j]).tobytes()])))
-        for i in range(0, len(rows), 1024):
-            part = rows[i : i + 1024]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary())], ["block", "packed", "key", "at"])
+            rows.append(b"".join([_places(names, of[i:j], at[i:j]), body, np.packbits(many[i:j]).tobytes()]))
+        yield _dealt(block[starts].tolist(), rows)
+
+
+def _dealt(blocks: list[int], packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], ["block", "packed"])
 
 
 #: Bytes of a text's hash that stand for it; fewer in the sample, where two texts that share them (2^-64 a pair) would also share their spans.
@@ -162,18 +187,8 @@ _KEY, _SHORT = 12, 8
 def _opened(packed: bytes, width: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, key number, position, fingerprint, repeated) of a dealt block's part."""
     packed = memoryview(packed)
-    texts, n = np.frombuffer(packed, "<i8", 2).tolist()
-    x = 16
-    keys = np.frombuffer(packed, f"V{key}", texts, x)
-    x += key * texts
-    each = _from_planes(packed[x : x + 4 * texts], "<i4", texts)
-    x += 4 * texts
-    steps = _from_planes(packed[x : x + 4 * n], "<i4", n)
-    x += 4 * n
-    of = np.repeat(np.arange(texts, dtype=np.int32), each)
-    sums = np.cumsum(steps, dtype=np.int64)
-    start = np.cumsum(each) - each
-    at = (sums - np.repeat(sums[start] - steps[start], each)).astype(np.int32)
+    keys, of, at, x = _opened_places(packed, key)
+    n = len(at)
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :width] = np.frombuffer(packed, np.uint8, n * width, x).reshape(n, width)
     x += n * width
@@ -185,14 +200,17 @@ def _opened(packed: bytes, width: int, key: int) -> tuple[np.ndarray, np.ndarray
 BUCKETS = 4
 
 
-def _sorted_block(parts: list, width: int, key: int, shared: bool) -> Iterator[pa.RecordBatch]:
-    """Sorts one block bucket by bucket; the suffixes with an equal elsewhere if ``shared``, else those without."""
+def _sorted_block(parts: list, width: int, key: int, shared: bool, slots: int) -> pa.RecordBatch:
+    """Sorts one block bucket by bucket; the suffixes with an equal elsewhere if ``shared``, else those without, by slots of texts."""
     keys, of, at, prints, many = _joined_parts(parts, width, key)
+    told = []
     for bucket in range(BUCKETS):
         # Sorting one bucket at a time bounds what a block takes on top of its suffixes.
         mine = np.flatnonzero((prints >> np.uint64(8 * width - BUCKETS.bit_length() + 1)) == bucket)
         if len(mine):
-            yield _sorted_bucket(keys, of[mine], at[mine], prints[mine], many[mine], shared)
+            told.append(mine[_told(of[mine], at[mine], prints[mine], many[mine], shared)])
+    told = np.concatenate(told)
+    return _dealt(*_slotted(keys, of[told], at[told], slots))
 
 
 def _joined_parts(parts: list, width: int, key: int) -> tuple[np.ndarray, ...]:
@@ -204,7 +222,7 @@ def _joined_parts(parts: list, width: int, key: int) -> tuple[np.ndarray, ...]:
     return keys, of, *[np.concatenate([o[k] for o in opened]) for k in (2, 3, 4)]
 
 
-def _sorted_bucket(keys: np.ndarray, of: np.ndarray, at: np.ndarray, prints: np.ndarray, many: np.ndarray, shared: bool) -> pa.RecordBatch:
+def _told(of: np.ndarray, at: np.ndarray, prints: np.ndarray, many: np.ndarray, shared: bool) -> np.ndarray:
     # Equal texts in several tasks send their sample twice; the suffixes come from distinct texts.
     order = np.lexsort((at, of, prints)) if shared else np.argsort(prints)
     of, at, prints, many = of[order], at[order], prints[order], many[order]
@@ -213,30 +231,49 @@ def _sorted_bucket(keys: np.ndarray, of: np.ndarray, at: np.ndarray, prints: np.
     starts = np.flatnonzero(new_print)
     runs = np.diff(np.append(starts, len(prints)))
     equal = np.repeat((np.add.reduceat(new.astype(np.int64), starts) > 1) | (np.add.reduceat(many.astype(np.int64), starts) > 0), runs)
-    told = new & ~many & (equal if shared else ~equal)
-    of, at = of[told], at[told]
-    order = np.lexsort((at, of))
-    whose, packed = _lists(of[order], at[order], keys)
-    return pa.RecordBatch.from_arrays([whose, packed], ["key", "at"])
+    return order[new & ~many & (equal if shared else ~equal)]
+
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """(number, parts) of rows that come sorted by their first column."""
+    now, parts = None, []
+    for batch in batches:
+        for number, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if parts and number != now:
+                yield now, parts
+                parts = []
+            now = number
+            parts.append(packed.as_buffer())
+    if parts:
+        yield now, parts
 
-def _blocks(width: int, key: int, shared: bool) -> Callable:
+
+def _blocks(width: int, key: int, shared: bool, slots: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for batch in batches:
-            known = batch.filter(batch.column("key").is_valid())
-            if known.num_rows:
-                yield known.select(["key", "at"])
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed"), strict=True):
-                if not packed.is_valid:
-                    continue
-                if parts and block != now:
-                    yield from _sorted_block(parts, width, key, shared)
-                    parts = []
-                now = block
-                parts.append(packed.as_buffer())
-        if parts:
-            yield from _sorted_block(parts, width, key, shared)
+        for block, parts in _grouped(batches):
+            found = _dealt([-1 - block] * len(parts), [p.to_pybytes() for p in parts]) if block < 0 else _sorted_block(parts, width, key, shared, slots)
+            yield found.rename_columns(["slot", "packed"])
+
+    return run
+
+
+def _gathered(key: int, finish: Callable, kind: pa.DataType) -> Callable:
+    """(key, value): a row a text with ``finish`` of its places; a slot of texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _grouped(batches):
+            opened = [_opened_places(memoryview(p), key) for p in parts]
+            keys, number = np.unique(np.concatenate([o[0] for o in opened]), return_inverse=True)
+            starts = np.cumsum([0, *[len(o[0]) for o in opened[:-1]]]).tolist()
+            of = np.concatenate([number[s : s + len(o[0])][o[1]] for o, s in zip(opened, starts, strict=True)])
+            at = np.concatenate([o[2] for o in opened])
+            order = np.lexsort((at, of))
+            of, at = of[order], at[order]
+            new = np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1])])
+            of, at = of[new], at[new]
+            cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
+            values = [finish(at[i:j].astype(np.int64)) for i, j in zip(cuts, [*cuts[1:], len(of)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(keys[k]) for k in of[cuts].tolist()], pa.binary()), pa.array(values, kind)], ["key", "value"])
 
     return run
 
@@ -246,8 +283,8 @@ def _prints(text: bytes, at: np.ndarray, depth: int) -> bytes:
     return b"".join(b"".join([digest(text[i : i + depth]) for i in at[k : k + 65536].tolist()]) for k in range(0, len(at), 65536))
 
 
-def _answers(texts: DataFrame, wanted: Callable, columns: list[str], depth: int, width: int, key_bytes: int, blocks: int, shared: bool) -> DataFrame:
-    """(key, at): of the suffixes ``wanted(text, row)`` those with an equal elsewhere to ``depth`` bytes, or those without; a key may have several rows."""
+def _answers(texts: DataFrame, wanted: Callable, columns: list[str], depth: int, width: int, key_bytes: int, blocks: int, shared: bool, finish: Callable, kind: pa.DataType, schema: str) -> DataFrame:
+    """(key, value): a row a text with ``finish`` of its suffixes ``wanted(text, row)`` that have an equal elsewhere to ``depth`` bytes, or of those that have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(blocks, width, key_bytes, shared)
@@ -264,7 +301,8 @@ def _answers(texts: DataFrame, wanted: Callable, columns: list[str], depth: int,
         yield from held.deal()
 
     dealt = texts.select("key", "text", *columns).mapInArrow(run, _DEALT)
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(width, key_bytes, shared), "key binary, at binary")
+    slotted = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(width, key_bytes, shared, blocks), "slot int, packed binary")
+    return slotted.repartition("slot").sortWithinPartitions("slot").mapInArrow(_gathered(key_bytes, finish, kind), f"key binary, value {schema}")
 
 
 def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
@@ -279,21 +317,6 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _gathered(answers: DataFrame, before: int) -> DataFrame:
-    """(key, spans): the starts from ``before`` bytes before each position up to it, merged; a text's own positions come together in one row."""
-    per = answers.groupBy("key").agg(F.collect_list("at").alias("at"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lists in batch.column("at").to_pylist():
-                at = np.unique(np.concatenate([_positions(p) for p in lists]))
-                out.append([{"start": s, "end": e} for s, e in zip(*_runs(np.maximum(at - before, 0), at + 1), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, _SPANS)], ["key", "spans"])
-
-    return per.mapInArrow(run, "key binary, spans array<struct<start: long, end: long>>")
-
-
 def _starts(spans: list[dict], last: int) -> np.ndarray:
     """The starts of ``spans`` up to ``last``."""
     return np.concatenate([np.zeros(0, np.int64), *[np.arange(s["start"], min(s["end"], last + 1)) for s in spans]])
@@ -310,14 +333,18 @@ def _passing(texts: DataFrame, length: int, order: int, blocks: int) -> DataFram
         at = (np.arange(0, len(text), v)[:, None] + cover).reshape(-1)
         return at[at <= len(text) - depth]
 
-    return _gathered(_answers(texts, sample, [], depth, 5, _SHORT, blocks, True), v - 1)
+    def spans(at: np.ndarray) -> list[dict]:
+        return [{"start": s, "end": e} for s, e in zip(*_runs(np.maximum(at - v + 1, 0), at + 1), strict=True)]
+
+    found = _answers(texts, sample, [], depth, 5, _SHORT, blocks, True, spans, _SPANS, "array<struct<start: long, end: long>>")
+    return found.select("key", F.col("value").alias("spans"))
 
 
-def _covered(size: int, spans: list[dict], alone: list[bytes], length: int) -> tuple[list[int], list[int]]:
+def _covered(size: int, spans: list[dict], alone: bytes | None, length: int) -> tuple[list[int], list[int]]:
     """The byte ranges that strings of ``length`` bytes cover whose starts lie in ``spans`` and are not ``alone``."""
     at = _starts(spans, size - length)
     if alone:
-        at = at[~np.isin(at, np.concatenate([_positions(p) for p in alone]))]
+        at = at[~np.isin(at, _positions(alone))]
     return _runs(at, at + length)
 
 
@@ -347,7 +374,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, bl
     left = texts.where(maybe(bitmap(ranked.select(F.xxhash64("short").alias("hash"))), F.xxhash64(short)))
     passing = left.groupBy("key").agg(F.first("text").alias("text")).withColumn("short", short).join(ranked, "short")
     inside = lambda text, spans: _starts(spans, len(text) - length)
-    alone = _answers(passing, inside, ["spans"], length, 8, _KEY, blocks(block), False).groupBy("key").agg(F.collect_list("at").alias("alone"))
+    packed_steps = lambda at: _planes(np.diff(at, prepend=0).astype("<i4"))
+    alone = _answers(passing, inside, ["spans"], length, 8, _KEY, blocks(block), False, packed_steps, pa.binary(), "binary").withColumnRenamed("value", "alone")
 
     copies = checkpointed(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     hashed = F.xxhash64(short)
@@ -369,7 +397,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, order: int = ORDER, bl
                 if copies.as_py() > 1:
                     starts, ends = [0], [len(whole)]
                 else:
-                    starts, ends = _covered(len(whole), spans.as_py() or [], alone.as_py() or [], length)
+                    starts, ends = _covered(len(whole), spans.as_py() or [], alone.as_py(), length)
                 kept = b"".join(whole[i:j] for i, j in zip([0, *ends], [*starts, len(whole)], strict=True))
                 out.append((len(whole), len(whole) - len(kept), len(starts), kept))
             columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]

@@ -62,11 +62,10 @@ def test_held_is_dealt_in_parts():
     text = b"abcabcabcabcabcabc" * 30
     held.add(b"k" * 16, np.arange(100), suffix_blocks._prints(text, np.arange(100), 9))
     held.add(b"k" * 16, np.arange(100), suffix_blocks._prints(text, np.arange(100), 9))
-    dealt = list(held.deal())
-    known = np.concatenate([suffix_blocks._positions(p) for b in dealt for p in b.column("at").drop_null().to_pylist()])
+    rows = [(n, p) for b in held.deal() for n, p in zip(b.column("block").to_pylist(), b.column("packed").to_pylist(), strict=True)]
+    known = np.concatenate([suffix_blocks._opened_places(memoryview(p), 16)[2] for n, p in rows if n < 0])
     assert sorted(known.tolist()) == list(range(100))
-    parts = [p for b in dealt for p in b.column("packed").drop_null().to_pylist()]
-    opened = [suffix_blocks._opened(p, 8, 16) for p in parts]
+    opened = [suffix_blocks._opened(p, 8, 16) for n, p in rows if n >= 0]
     assert sum(len(o[2]) for o in opened) == 3 and all(o[4].all() for o in opened)
 
 
