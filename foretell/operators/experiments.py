@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretell.operators.betting import pooled
-from foretell.operators.metrics import OUTCOMES, all_metrics, calibration, class_priors, confidence_coverage, outcome_summary, probability_metrics, roc_points
+from foretell.operators.metrics import OUTCOMES, all_metrics, calibration, class_priors, confidence_coverage, confidence_outcomes, confident, outcome_summary, probability_metrics, roc_points
 from foretell.operators.blocks import counts, extremes, make_blocks
 from foretell.operators.models import PROBABILITIES, Model, distinct_dates, fit_blocks, fit_logistic, fit_logistics, fit_models, fit_team_logistics, modeling_data, predict_many, time_split, with_team_label, with_team_predictions
 from foretell.schema import FEATURE_GROUPS, canonical
@@ -44,6 +44,15 @@ def walk_forward_blocks(dates: list, n_splits: int = 3) -> tuple[list[tuple], ob
     return [(rest[a], rest[z - 1]) for a, z in zip(cuts, cuts[1:])], dates[holdout]
 
 
+def fold_table(data: DataFrame, n_splits: int = 3) -> DataFrame:
+    """The folds of ``walk_forward`` over ``modeling_data``: training and evaluation rows and days, and the first day held out."""
+    blocks, holdout = walk_forward_blocks(distinct_dates(data), n_splits)
+    day = F.col("MatchDate")
+    counted = data.agg(*[F.struct(F.count_if(day < first).alias("train"), F.max(F.when(day < first, day)).alias("until"), F.count_if(day.between(first, last)).alias("eval")) for first, last in blocks]).first()
+    folds = [{"fold": f + 1, "train_rows": counted[f].train, "train_end": counted[f].until, "eval_start": first, "eval_end": last, "eval_rows": counted[f].eval, "holdout_start": holdout} for f, (first, last) in enumerate(blocks)]
+    return _rows(data.sparkSession, folds, "fold int, train_rows long, train_end date, eval_start date, eval_end date, eval_rows long, holdout_start date")
+
+
 def walk_forward(engineered: DataFrame, groups: dict[str, list[str]] | None = None, n_splits: int = 3) -> tuple[DataFrame, DataFrame]:
     """Fold metrics by feature group, and the groups' calibration, on expanding date folds with equal rows.
 
@@ -233,6 +242,18 @@ def logistic_report(engineered: DataFrame, features: list[str], threshold: float
     return {"predictions": given, "metrics": metrics, "outcomes": outcome_summary(rows, by), "calibration": calibration(rows, by), "roc": roc_points(rows, by), "confidence": confidence_coverage(rows, by, threshold), "splits": splits}
 
 
+def confidence_report(report: dict[str, DataFrame], threshold: float = 0.6, enabled: bool = True) -> dict[str, DataFrame]:
+    """``logistic_report`` over its confident predictions: ``outcomes``, ``coverage`` and the rows ``selected``, by partition.
+
+    The priors beside each outcome's means stay those of all training rows,
+    whatever the filter leaves.
+    """
+    rows, by = report["predictions"], ["partition"]
+    priors = rows.agg(*[F.max(f"dummy_{k}").alias(o) for k, o in enumerate(OUTCOMES)]).select(F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("prior")) for o in OUTCOMES])))
+    means = confidence_outcomes(rows, by, threshold, enabled)
+    return {"outcomes": means.join(F.broadcast(priors), "outcome"), "coverage": confidence_coverage(rows, by, threshold, enabled), "selected": confident(rows, threshold, enabled)}  # priors: a row for each outcome
+
+
 def season_walk_forward(team: DataFrame, first_test_season: str) -> DataFrame:
     """Each season predicted by a model of the seasons before it, one H/D/A distribution a match.
 

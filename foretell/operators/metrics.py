@@ -122,18 +122,27 @@ def outcome_summary(predictions: DataFrame, by: list[str] | None = None) -> Data
     return named.select(*by, F.inline(parts)).groupBy(*by, "outcome").agg(F.avg("p").alias("model_probability"), F.avg("hit").alias("observed_frequency"), F.avg("chosen").alias("predicted_share"))
 
 
-def confident(predictions: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Predictions whose largest probability reaches ``threshold``."""
+def _sure(threshold: float, enabled: bool) -> Column:
     if not 0 <= threshold <= 1:
         raise ValueError("the threshold must lie between 0 and 1")
-    return predictions.where(F.greatest(*_P) >= threshold)
+    return F.greatest(*_P) >= threshold if enabled else F.lit(True)
 
 
-def confidence_coverage(predictions: DataFrame, by: list[str], threshold: float = 0.6) -> DataFrame:
+def confident(predictions: DataFrame, threshold: float = 0.6, enabled: bool = True) -> DataFrame:
+    """Predictions whose largest probability reaches ``threshold``; all of them unless ``enabled``."""
+    return predictions.where(_sure(threshold, enabled))
+
+
+def confidence_outcomes(predictions: DataFrame, by: list[str], threshold: float = 0.6, enabled: bool = True) -> DataFrame:
+    """Mean probability and observed frequency of each outcome over the confident predictions; null where none is."""
+    kept = _sure(threshold, enabled)
+    parts = F.array(*[F.struct(F.lit(o).alias("outcome"), F.when(kept, F.col(p)).alias("p"), F.when(kept, (F.col("y") == k).cast("double")).alias("hit")) for k, (p, o) in enumerate(zip(_P, OUTCOMES))])
+    return predictions.select(*by, F.inline(parts)).groupBy(*by, "outcome").agg(F.avg("p").alias("model_probability"), F.avg("hit").alias("observed_frequency"))
+
+
+def confidence_coverage(predictions: DataFrame, by: list[str], threshold: float = 0.6, enabled: bool = True) -> DataFrame:
     """How many predictions are confident enough, and how often they are right; null where none is."""
-    if not 0 <= threshold <= 1:
-        raise ValueError("the threshold must lie between 0 and 1")
-    kept = F.greatest(*_P) >= threshold
+    kept = _sure(threshold, enabled)
     right = (first_largest([F.col(p) for p in _P]) == F.col("y")).cast("double")
     counted = predictions.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(kept).alias("kept"), F.avg(F.when(kept, right)).alias("accuracy_kept"))
     return counted.withColumns({"filtered_out": F.col("total") - F.col("kept"), "share_kept": F.col("kept") / F.col("total")})

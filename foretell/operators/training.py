@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretell.operators.catalog import search
 from foretell.operators.metrics import gini, probability_metrics
 from foretell.operators.models import PROBABILITIES, Model, fit_forest, fit_logistic, fit_team_logistic, importances, load_model, save_model, split_by_season, time_split, with_team_predictions
 from foretell.schema import BEST_LOGISTIC, CLASS_ORDER
@@ -101,9 +102,13 @@ def train_ml_model(data: DataFrame, columns: list[str], train_end_year: int = 20
     return _scored(fit_forest(parts["train"], columns, **forest), parts)
 
 
-def feature_view(scores: DataFrame, screening: DataFrame, catalog: DataFrame, threshold: float = 0.02) -> DataFrame:
-    """Univariate scores with each feature's group and whether its Gini in the screening is too small: a row a feature."""
-    named = scores.join(F.broadcast(catalog.select("feature", "group")), "feature", "left")
+def feature_view(scores: DataFrame, screening: DataFrame, catalog: DataFrame, threshold: float = 0.02, chosen: list[str] | None = None, text: str = "") -> DataFrame:
+    """Univariate scores with each feature's group, whether its Gini in the screening is too small, and whether a model has ``chosen`` it: a row a feature.
+
+    With ``text`` only features that hold it in name, group or description.
+    """
+    found = scores if not text else scores.join(F.broadcast(search(catalog, text).select("feature")), "feature", "left_semi")
+    named = found.withColumn("in_model", F.col("feature").isin(list(chosen or []))).join(F.broadcast(catalog.select("feature", "group")), "feature", "left")
     seen = named.join(F.broadcast(screening.select("feature", "screen_gini", "screen_status")), "feature", "left")
     return seen.withColumn("weak", ~F.coalesce((F.col("screen_gini") > threshold) & (F.col("screen_status") == "OK"), F.lit(False))).drop("screen_status")
 
@@ -112,7 +117,7 @@ def test_preview(engineered: DataFrame, start, end, feature: str, n: int = 100)
     """The last ``n`` labelled matches between two days with one feature, latest first."""
     columns = list(dict.fromkeys(["MatchDate", "League", "HomeTeam", "AwayTeam", feature, "target"]))
     rows = engineered.where(F.col("MatchDate").between(start, end) & F.col("target_label").isNotNull())
-    return rows.select(columns).orderBy(F.desc("MatchDate"), "League", "HomeTeam").limit(n)
+    return rows.select(columns).orderBy(F.desc("MatchDate"), "League", "HomeTeam", "AwayTeam").limit(n)
 
 
 test_preview.__test__ = False

@@ -240,7 +240,40 @@ def _perspective(own: str, other: str) -> str:
     return f"SELECT MatchId, {own.capitalize()}Team AS Team, {', '.join(_r(sql, n) for n, sql in columns.items())} FROM paired"
 
 
+_BRIER = " + ".join(f"pow(p{k} - CASE WHEN y = {k} THEN 1 ELSE 0 END, 2)" for k in range(3))
+_DAYS = f"""WITH {MATCHES_CTE}, rows_ AS (SELECT MatchDate FROM matches WHERE FullTimeResult IS NOT NULL),
+days AS (SELECT MatchDate, row_number() OVER (ORDER BY MatchDate) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT MatchDate FROM rows_))"""
+_SIDED = f"""{_PLAYED}, told AS (
+  SELECT 2 - y AS y, p2 AS p0, p1, p0 AS p2 FROM played UNION ALL SELECT y, p0, p1, p2 FROM played),
+split AS ({" UNION ALL ".join(f"SELECT {k} AS k, p{k} AS p, CASE WHEN y = {k} THEN 1 ELSE 0 END AS hit FROM told" for k in range(3))}),
+ranked AS (SELECT k, hit, rank() OVER (PARTITION BY k ORDER BY p) + (count(*) OVER (PARTITION BY k, p) - 1) / 2.0 AS r FROM split),
+areas AS (SELECT k, sum(hit)::DOUBLE AS h, count(*)::DOUBLE - sum(hit) AS m, sum(CASE WHEN hit = 1 THEN r END)::DOUBLE AS s FROM ranked GROUP BY k),
+ginis AS (SELECT {", ".join(f"max(CASE WHEN k = {k} AND h > 0 AND m > 0 THEN 2 * (s - h * (h + 1) / 2) / (h * m) - 1 END) AS g{k}" for k in range(3))} FROM areas),
+shares AS (SELECT {", ".join(f"avg(CASE WHEN y = {k} THEN 1.0::DOUBLE ELSE 0.0 END) AS s{k}" for k in range(3))} FROM told)"""
+
 ORACLES: dict[str, str] = {
+    "p6_date_split": f"""{_DAYS}, cut AS (SELECT *, least(greatest(1, CAST(floor(n * 0.65::DOUBLE) AS BIGINT)), n - 2) AS a FROM days),
+cuts AS (SELECT MatchDate, CASE WHEN i < a THEN 'train' WHEN i < least(greatest(a + 1, CAST(floor(n * 0.85::DOUBLE) AS BIGINT)), n - 1) THEN 'validation' ELSE 'test' END AS part FROM cut)
+SELECT part, count(*) AS rows, min(MatchDate) AS first, max(MatchDate) AS last FROM rows_ JOIN cuts USING (MatchDate) GROUP BY part""",
+    "p13_preview": f"""WITH {MATCHES_CTE} SELECT MatchDate, League, HomeTeam, AwayTeam, HomeShots, FullTimeResult AS target FROM matches
+WHERE FullTimeResult IS NOT NULL AND MatchDate BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' ORDER BY MatchDate DESC, League, HomeTeam, AwayTeam LIMIT 100""",
+    "e1_folds": f"""{_DAYS}, kept AS (SELECT *, least(CAST(floor(n * 0.85::DOUBLE) AS BIGINT), n - 1) AS h FROM days),
+placed AS (SELECT *, i - h // 2 AS j, h - h // 2 AS rest FROM kept),
+folds AS (SELECT *, CASE WHEN j < rest % 3 * (rest // 3 + 1) THEN j // (rest // 3 + 1) ELSE rest % 3 + (j - rest % 3 * (rest // 3 + 1)) // (rest // 3) END + 1 AS fold FROM placed WHERE i < h AND j >= 0),
+spans AS (SELECT fold, min(MatchDate) AS eval_start, max(MatchDate) AS eval_end FROM folds GROUP BY fold)
+SELECT CAST(fold AS INT) AS fold, count(*) FILTER (WHERE MatchDate < eval_start) AS train_rows, max(MatchDate) FILTER (WHERE MatchDate < eval_start) AS train_end, eval_start, eval_end,
+  count(*) FILTER (WHERE MatchDate BETWEEN eval_start AND eval_end) AS eval_rows, (SELECT min(MatchDate) FROM kept WHERE i = h) AS holdout_start
+FROM rows_ CROSS JOIN spans GROUP BY fold, eval_start, eval_end""",
+    "p9_outcomes": f"""{_PLAYED}, sure AS (SELECT *, greatest(p0, p1, p2) >= 0.5 AS kept FROM played)
+{" UNION ALL ".join(f"SELECT League, '{o}' AS outcome, {_r(f'avg(p{k}) FILTER (WHERE kept)', 'model_probability')}, {_r(f'avg(CASE WHEN y = {k} THEN 1.0 ELSE 0.0 END) FILTER (WHERE kept)', 'observed_frequency')} FROM sure GROUP BY League" for k, o in enumerate(("home", "draw", "away")))}""",
+    "p9_unfiltered": f"""{_PLAYED} SELECT League, count(*) AS total, count(*) AS kept, {_r(f"avg({_RIGHT})", "accuracy_kept")}, CAST(0 AS BIGINT) AS filtered_out, 1.0::DOUBLE AS share_kept FROM played GROUP BY League""",
+    "a3_market_summary": f"""{_PLAYED}, seasons AS (SELECT League, Season, count(*) AS n, avg(-ln({_OWN})) AS l, avg({_BRIER}) AS b, avg({_RIGHT}) AS a FROM played GROUP BY League, Season)
+SELECT League, CAST(sum(n) AS BIGINT) AS rows, {_r("sum(l * n) / sum(n)", "log_loss")}, {_r("sum(b * n) / sum(n)", "brier_score")}, {_r("sum(a * n) / sum(n)", "accuracy")} FROM seasons GROUP BY League""",
+    "m9_evaluation": f"""{_SIDED} SELECT count(*) AS rows, {_r(f"avg({_RIGHT})", "accuracy")}, {_r(f"avg(-ln({_OWN}))", "log_loss")},
+  {", ".join(_r(f"any_value(g{k})", f"gini_{o}") for k, o in enumerate(("loss", "draw", "win")))}, {_r("any_value((g0 + g1 + g2) / 3)", "gini_macro")},
+  {_r("avg(CASE WHEN y = CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END THEN 1.0 ELSE 0.0 END)", "dummy_accuracy")},
+  {_r("avg(-ln(CASE y WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END))", "dummy_log_loss")}, {", ".join(_r(f"any_value(s{k})", f"dummy_prior_{o}") for k, o in enumerate(("loss", "draw", "win")))}
+FROM told CROSS JOIN ginis CROSS JOIN shares""",
     "s8_matches": f"WITH {MATCHES_CTE} SELECT {', '.join([*_PLAIN, *[_r(c, c) for c in FORMULAS]])} FROM matches",
     "s6_ragged_files": f"""WITH {MATCHES_CTE}, told AS (SELECT *, year(MatchDate) % 2 = 0 AS even FROM matches)
 SELECT League AS Div, MatchDate, HomeTeam, AwayTeam, FullTimeHomeGoals, FullTimeAwayGoals, CASE WHEN NOT even THEN HomeShots END AS HomeShots, CASE WHEN NOT even THEN AwayShots END AS AwayShots,

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretell.functions.scalars import match_id, season_code, season_label
-from foretell.operators import betting, catalog, experiments, metrics, models
+from foretell.functions.scalars import first_largest, match_id, season_code, season_label
+from foretell.operators import betting, catalog, experiments, metrics, models, training
 from foretell.operators.features import elo_form, engineer_features
 from foretell.operators.prepare import long_form, prepare
 from foretell.operators.ratings import count_ratings, elo
@@ -18,7 +18,7 @@ from foretell.operators.team import team_frame, team_history
 from foretell.operators.windows import league_level, match_windows
 from foretell.plans import oracles
 from foretell.plans.keep import kept, shared_folder
-from foretell.schema import CONTEXT, EWM, FEATURE_GROUPS, FEATURES, GOAL_FEATURES, MOMENTA, RATES, RESULTS, SCOPES, SHOT_FEATURES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
+from foretell.schema import CLASS_ORDER, CONTEXT, EWM, FEATURE_GROUPS, FEATURES, GOAL_FEATURES, MOMENTA, RATES, RESULTS, SCOPES, SHOT_FEATURES, TEAM_METRICS, VENUE_MEANS, VENUE_SUMS, WINDOW_MEANS, WINDOW_SUMS
 from foretell.sources.derived import matches
 from foretell.sources.ragged import read_ragged
 from foretell.sources.season_files import ODDS_COLUMNS, RENAMED, RESULT_COLUMNS, typed_matches
@@ -112,6 +112,24 @@ def p6_time_split(spark, sf):
     return rows[0].union(rows[1]).union(rows[2])
 
 
+def p6_date_split(spark, sf):
+    """Years that leave no training row, so that 65 % and 85 % of the days cut the parts."""
+    data = models.modeling_data(prepare(matches(spark, sf), check=False), ["League"])[0]
+    parts = zip(experiments.PARTITIONS, models.time_split(data, 1900, 1901))
+    rows = [part.agg(F.lit(name).alias("part"), F.count("*").alias("rows"), F.min("MatchDate").alias("first"), F.max("MatchDate").alias("last")) for name, part in parts]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def p13_preview(spark, sf):
+    """The last hundred labelled matches of 1997 with their home shots."""
+    rows = prepare(matches(spark, sf), check=False)
+    return training.test_preview(rows, "1997-01-01", "1997-12-31", "HomeShots")
+
+
+def e1_folds(spark, sf):
+    return experiments.fold_table(models.modeling_data(prepare(matches(spark, sf), check=False), ["League"])[0])
+
+
 def p17_match_ids(spark, sf):
     return matches(spark, sf).select("MatchKey", match_id().alias("MatchId"), season_label(F.year("MatchDate")).alias("season_label"), season_code(F.year("MatchDate")).alias("season_code"))
 
@@ -213,6 +231,28 @@ def p9_confidence(spark, sf):
     return rounded(metrics.confidence_coverage(_played(spark, sf), ["League"], 0.5))
 
 
+def p9_outcomes(spark, sf):
+    return rounded(metrics.confidence_outcomes(_played(spark, sf), ["League"], 0.5))
+
+
+def p9_unfiltered(spark, sf):
+    return rounded(metrics.confidence_coverage(_played(spark, sf), ["League"], 0.5, enabled=False))
+
+
+def a3_market_summary(spark, sf):
+    """The bookmaker's quality by league, from its seasons weighted by their matches."""
+    return rounded(metrics.weighted_summary(metrics.probability_metrics(_played(spark, sf), ["League", "Season"]), "League", ["log_loss", "brier_score", "accuracy"]))
+
+
+def m9_evaluation(spark, sf):
+    """The bookmaker's probabilities as a team model's predictions, both sides of each match."""
+    rows = _played(spark, sf)
+    side = lambda loss, win, flip: rows.select(F.get(F.array(*map(F.lit, CLASS_ORDER)), (F.col("y") if flip else 2 - F.col("y"))).alias("Target"), F.col(loss).alias("ProbabilityLoss"), F.col("p1").alias("ProbabilityDraw"), F.col(win).alias("ProbabilityWin"))
+    both = side("p2", "p0", False).union(side("p0", "p2", True))
+    best = first_largest([F.col(c) for c in training.TEAM_PROBABILITIES])
+    return rounded(training.evaluate_predictions(both.withColumn("Predicted", F.get(F.array(*map(F.lit, CLASS_ORDER)), best))))
+
+
 def e9_market(spark, sf):
     return rounded(betting.build_market(matches(spark, sf)))
 
@@ -273,6 +313,14 @@ def m4_forest(spark, sf):
     return models.fit_forest(train, MODEL_FEATURES).predict(test).select("MatchKey", "p0", "p1", "p2")
 
 
+def m11_baseline(spark, sf):
+    return training.train_baseline(_model_frame(spark, sf), MODEL_FEATURES, 1996, 1997)[1]
+
+
+def m12_all_history(spark, sf):
+    return training.train_all_history(_team_frame(spark, sf), FIRST_SEASON).metrics
+
+
 def m8_team_model(spark, sf):
     train, test = models.split_by_season(_team_frame(spark, sf), FIRST_SEASON)
     return models.with_team_predictions(models.fit_team_logistic(train), test).select("MatchId", "Team", "Target", "Predicted", "ProbabilityLoss", "ProbabilityDraw", "ProbabilityWin", "Correct")
@@ -299,6 +347,12 @@ def e3_screening(spark, sf):
     return experiments.screen(_model_frame(spark, sf), MODEL_FEATURES)
 
 
+def j3_feature_view(spark, sf):
+    """Each feature's own scores beside its screening and its group."""
+    scores, screening = e2_individual_features(spark, sf), e3_screening(spark, sf)
+    return training.feature_view(scores, screening, catalog.feature_catalog(spark), chosen=FEATURE_GROUPS["baseline_form"])
+
+
 def e6_subset_search(spark, sf):
     return experiments.rank_subsets(experiments.subset_search(_engineered(spark, sf), MODEL_FEATURES))
 
@@ -322,10 +376,10 @@ def p12_catalog_search(spark, sf):
 _here = dict(globals())
 QUERIES: dict[str, Query] = {
     name: _here[name]
-    for name in """s8_matches s6_ragged_files p1_prepared p5_modeling_rows p6_time_split p17_match_ids u1_long_form u3_repeated_appearances a12_league_level w8_strengths
+    for name in """s8_matches s6_ragged_files p1_prepared p5_modeling_rows p6_time_split p6_date_split p13_preview p17_match_ids u1_long_form u3_repeated_appearances a12_league_level w8_strengths
     w13_opponent_elo w17_standings w18_elo c1_count_ratings features features_without_counts t6_strengths j1_team_frame a1_pooled a2_by_season a3_weighted_summary a4_priors a5_calibration a6_metrics a7_gini
-    a7_binary_metrics a8_roc a9_outcomes a10_roi a10_roi_intervals a11_bootstrap a13_missing_rates p9_confidence e1_walk_forward e2_individual_features e3_screening e6_subset_search
-    e7_report_metrics e8_season_walk_forward e9_market e10_bets e11_random_control e12_edges e13_catalog m3_logistic m4_forest m8_team_model m10_explanation
+    a7_binary_metrics a8_roc a9_outcomes a10_roi a10_roi_intervals a11_bootstrap a13_missing_rates a3_market_summary p9_confidence p9_outcomes p9_unfiltered e1_folds e1_walk_forward e2_individual_features e3_screening j3_feature_view e6_subset_search
+    e7_report_metrics e8_season_walk_forward e9_market e10_bets e11_random_control e12_edges e13_catalog m3_logistic m4_forest m9_evaluation m11_baseline m12_all_history m8_team_model m10_explanation
     o4_best_edges p12_catalog_search""".split()
 }
 # The engineered frame in three parts, each with a twin: together they are all features but those of the count models.
