@@ -155,6 +155,11 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return found.join(linked, "row", "left").select("doc_id", "base", F.coalesce("linked", F.array().cast(kind)).alias("linked"))
 
 
+def count_kind(spans, kind: int):
+    """How many of the spans are of ``kind``; a second parameter of the lambda would be given the span's place."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind))
+
+
 def span_list(spans):
     """``kind:start:end`` joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
