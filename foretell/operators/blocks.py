@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows in a block, and rows a task gets: a pass is a job, and small tables shouldn't pay for many tasks in each.
-BLOCK_ROWS, TASK_ROWS = 4096, 20_000
+BLOCK_ROWS, TASK_ROWS = 4096, 8192
 #: Task sums that are added up by one task before the driver sees them.
 GROUP = 32
 #: Bits of a value that one pass of a selection settles.

@@ -74,12 +74,13 @@ def _sums(fit: Fit, w: np.ndarray, x: np.ndarray, y: np.ndarray, place: np.ndarr
     p = (grown / total)[:, -k:]
     hit = label[:, None] == np.arange(max(k, 2))[None, -k:]
     slope = ((p - hit) * weight[:, None]).T @ design
-    curve = []
-    for i in range(k):
-        for j in range(i, k):
-            share = weight * p[:, i] * ((i == j) - p[:, j])
-            curve.append(((design * share[:, None]).T @ design).reshape(-1))
-    return np.concatenate([[loss], slope.reshape(-1), *curve])
+    product = lambda share: ((design * share[:, None]).T @ design).reshape(-1)
+    if k == 1:
+        return np.concatenate([[loss], slope.reshape(-1), product(weight * p[:, 0] * (1 - p[:, 0]))])
+    # Chances add up to one, so a class's own curvature is what the pairs it is in take away: only pairs are multiplied out.
+    curve = {(i, j): product(-weight * p[:, i] * p[:, j]) for i in range(k) for j in range(i + 1, k)}
+    curve |= {(i, i): -sum(c for pair, c in curve.items() if i in pair) for i in range(k)}
+    return np.concatenate([[loss], slope.reshape(-1), *[curve[i, j] for i in range(k) for j in range(i, k)]])
 
 
 def _opened(fit: Fit, sums: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

@@ -19,8 +19,8 @@ from foretell.schema import BEST_LOGISTIC, CLASS_ORDER, FEATURE_GROUPS, FEATURE_
 
 PRUNE_AT = 0.90
 PROBABILITIES = ["p0", "p1", "p2"]
-#: Training rows a task gets; an optimiser's step is a job, so that small tables shouldn't pay for many tasks in each.
-ROWS_A_TASK = 20_000
+#: Training rows a task of a forest gets at least; a level of its trees is a job, so that small tables shouldn't pay for many tasks in each.
+ROWS_A_TASK = 5_000
 
 
 def modeling_data(engineered: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:

@@ -93,15 +93,16 @@ def elo(prepared: DataFrame, home_advantage: float = HOME_ADVANTAGE) -> DataFram
     return rated.withColumn("home_elo_expected", elo_expectation(F.col("home_elo") + home_advantage - F.col("away_elo")))
 
 
-def fit_counts(attack: np.ndarray, defence: np.ndarray, venue: np.ndarray, y: np.ndarray, w: np.ndarray, teams: int, prior: np.ndarray, start: np.ndarray | None = None) -> np.ndarray | None:
+def fit_counts(attack: np.ndarray, defence: np.ndarray, venue: np.ndarray, y: np.ndarray, w: np.ndarray, teams: int, prior: np.ndarray, start: np.ndarray | None = None, results: int | None = None) -> np.ndarray | None:
     """Parameters (base, home advantage, attacks, defences) that minimise the weighted, penalised Poisson loss in the box.
 
     The objective is strictly convex, so projected Newton steps find its only
     optimum from any start. A row touches four parameters, so gradients and
-    curvatures are sums by index; no design matrix is made. None if the
-    optimum isn't found.
+    curvatures are sums by index; no design matrix is made. A row may stand
+    for several results of the same teams and venue, ``results`` in all, by
+    their summed weight and mean. None if the optimum isn't found.
     """
-    size = 2 + 2 * teams
+    size, results = 2 + 2 * teams, len(y) if results is None else results
     base, home = np.zeros(len(y), np.int64), np.ones(len(y), np.int64)
     touched = [(base, np.ones(len(y))), (home, venue.astype(float)), (2 + attack, np.ones(len(y))), (2 + teams + defence, np.ones(len(y)))]
     precision = np.full(size, TEAM_PRECISION)
@@ -131,7 +132,7 @@ def fit_counts(attack: np.ndarray, defence: np.ndarray, venue: np.ndarray, y: np
         free = ~held
         if not np.isfinite(now):
             return None
-        steep = np.abs(slope[free]).max(initial=0) / max(1.0, len(y))
+        steep = np.abs(slope[free]).max(initial=0) / max(1.0, results)
         if steep < 1e-13 or close == 3:
             return x
         step = np.linalg.solve(curve.reshape(size, size)[np.ix_(free, free)], slope[free])
@@ -191,7 +192,11 @@ def refit_days(rows: DataFrame) -> DataFrame:
 
 
 def _fit_window(rows: pd.DataFrame) -> pd.DataFrame:
-    """One refit: the parameters of all teams in its window, or a row without them and a warning."""
+    """One refit: the parameters of all teams in its window, or a row without them and a warning.
+
+    A row is a result of ``day``, or all results of two teams as mean counts
+    with their summed ``home_weight`` and ``away_weight`` and their number ``n``.
+    """
     league, stat, day = rows["League"].iloc[0], rows["stat"].iloc[0], int(rows["fit_day"].iloc[0])
     names, places = np.unique(np.concatenate([rows["HomeTeam"], rows["AwayTeam"]]).astype(object), return_inverse=True)
     home, away = places[: len(rows)], places[len(rows) :]
@@ -199,8 +204,11 @@ def _fit_window(rows: pd.DataFrame) -> pd.DataFrame:
     there = ~np.isnan(y)
     attack, defence = np.concatenate([home, away]), np.concatenate([away, home])
     venue = np.repeat([1.0, 0.0], len(rows))
-    w = np.tile(2.0 ** (-(day - rows["day"].to_numpy()) / HALF_LIFE), 2)
-    found = fit_counts(attack[there], defence[there], venue[there], y[there], w[there], len(names), np.log([COUNT_MODELS[stat][2], HOME_RATIO]))
+    if "n" in rows:
+        w, results = np.concatenate([rows["home_weight"], rows["away_weight"]]).astype(float), int(rows["n"].sum())
+    else:
+        w, results = np.tile(2.0 ** (-(day - rows["day"].to_numpy()) / HALF_LIFE), 2), int(there.sum())
+    found = fit_counts(attack[there], defence[there], venue[there], y[there], w[there], len(names), np.log([COUNT_MODELS[stat][2], HOME_RATIO]), None, results)
     if found is None:
         warnings.warn(f"{league}, {stat}: the ratings of day {day} were not found; those before stay in use", RuntimeWarning, stacklevel=2)
         return pd.DataFrame({"League": [league], "stat": [stat], "fit_day": [day], "base": [None], "edge": [None], "ratings": [None]})
@@ -214,16 +222,24 @@ def fit_refits(rows: DataFrame, refits: DataFrame) -> DataFrame:
 
     A result goes to the refits whose memory holds it: both are dealt into
     spans of REFIT_DAYS, so the interval join is an equality with a check. A
-    refit is one task's work, three years of one league; refits don't wait for
-    each other, as the optimum is the same from any start.
+    refit's loss depends on the results of two teams by their summed weights
+    and counts only, which are added up before the shuffle, so that its task
+    gets a row for each pair of teams, however many matches they played.
+    Refits don't wait for each other, as the optimum is the same from any
+    start.
     """
     span = F.floor(F.col("day") / REFIT_DAYS)
     results = rows.where(F.col("played") & (F.col("home").isNotNull() | F.col("away").isNotNull())).select("League", "stat", "day", "HomeTeam", "AwayTeam", "home", "away", span.alias("span"))
     reach = F.sequence(F.floor((F.col("fit_day") - MEMORY_DAYS) / REFIT_DAYS), F.floor((F.col("fit_day") - 1) / REFIT_DAYS))
     spans = refits.select("League", "stat", "fit_day", F.explode(reach).alias("span"))
     held = results.join(spans, ["League", "stat", "span"]).where((F.col("day") >= F.col("fit_day") - MEMORY_DAYS) & (F.col("day") < F.col("fit_day")))
+    weight = F.pow(F.lit(2.0), (F.col("day") - F.col("fit_day")) / HALF_LIFE)
+    held = held.withColumns({f"{c}_weight": F.when(F.col(c).isNotNull(), weight) for c in ("home", "away")})
+    means = [(F.sum(F.col(f"{c}_weight") * F.col(c)) / F.sum(f"{c}_weight")).alias(c) for c in ("home", "away")]
+    sums = [F.sum(f"{c}_weight").alias(f"{c}_weight") for c in ("home", "away")]
+    pairs = held.groupBy("League", "stat", "fit_day", "HomeTeam", "AwayTeam").agg(*means, *sums, (F.count("home") + F.count("away")).alias("n"))
     out = "League string, stat string, fit_day int, base double, edge double, ratings array<struct<Team: string, attack: double, defence: double>>"
-    return held.drop("span").groupBy("League", "stat", "fit_day").applyInPandas(_fit_window, out)
+    return pairs.groupBy("League", "stat", "fit_day").applyInPandas(_fit_window, out)
 
 
 def _match_chances(home: Column, away: Column) -> Column:

@@ -98,3 +98,21 @@ def test_a_failed_refit_leaves_the_last_good_one_in_use(spark, monkeypatch):
         found = ratings.count_ratings(rows).where(f"stat = 'goals' AND unix_date(MatchDate) BETWEEN {lost} AND {lost + 27}").collect()
     known = {r["Team"]: r["attack"] for r in before["ratings"]}
     assert found and all(r.home_attack == pytest.approx(known.get(r.HomeTeam, 0.0)) for r in found)
+
+
+def test_a_refits_task_gets_a_row_for_each_pair_of_teams(spark, monkeypatch):
+    import pyspark.sql.group as group
+
+    given = []
+    whole = group.GroupedData.applyInPandas
+    monkeypatch.setattr(group.GroupedData, "applyInPandas", lambda self, *a: given.append(self._df) or whole(self, *a))
+    counted = ratings.count_rows(prepare(spark.createDataFrame(matches(6, "L", 600, 2, "ABCD"), SCHEMA)))
+    found = ratings.fit_refits(counted, ratings.refit_days(counted)).where("stat = 'sot'").orderBy("fit_day").collect()
+    sizes = [r["count"] for r in given[0].groupBy("League", "stat", "fit_day").count().collect()]
+    assert len(sizes) == 3 * len(found) and max(sizes) == 4 * 3
+    # The same optimum as from the single results.
+    last = found[-1]
+    window = counted.where(f"stat = 'sot' AND played AND day < {last.fit_day} AND (home IS NOT NULL OR away IS NOT NULL)").toPandas()
+    alone = ratings._fit_window(window.assign(fit_day=last.fit_day)).iloc[0]
+    assert len(window) > 300 and (last.base, last.edge) == pytest.approx((alone["base"], alone["edge"]), abs=1e-9)
+    assert [tuple(r) for r in last.ratings] == [(t["Team"], pytest.approx(t["attack"], abs=1e-9), pytest.approx(t["defence"], abs=1e-9)) for t in alone["ratings"]]
