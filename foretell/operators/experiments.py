@@ -72,7 +72,7 @@ def walk_forward(engineered: DataFrame, groups: dict[str, list[str]] | None = No
         part = predict_many(block, {group: models[group, f] for group in groups}, "feature_group", ["fold", "y"])
         evaluated = part if evaluated is None else evaluated.union(part)
         folds += [{"feature_group": group, "fold": f + 1, "features": len(columns), "train_rows": counted[f].n, "train_end": counted[f].last, "eval_start": first, "eval_end": last, "holdout_start": holdout, "converged": models[group, f].converged} for group, columns in groups.items()]
-    evaluated = evaluated.select("feature_group", "fold", "y", *PROBABILITIES)
+    evaluated = evaluated.select("feature_group", "fold", "y", *PROBABILITIES).persist()  # each metric reads them
     details = _rows(engineered.sparkSession, folds, "feature_group string, fold int, features int, train_rows long, train_end date, eval_start date, eval_end date, holdout_start date, converged boolean")
     keys = ["feature_group", "fold"]
     # A row for each group and fold.
@@ -124,7 +124,7 @@ def _priors(train: DataFrame) -> list[float]:
 def _score_columns(train: DataFrame, scored: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str], list[float]]:
     priors = _priors(train)
     status, models = univariate_models(train, columns)
-    return all_metrics(univariate_predictions(scored, models, columns, priors), ["feature"]), status, priors
+    return all_metrics(univariate_predictions(scored, models, columns, priors).persist(), ["feature"]), status, priors  # each metric reads them
 
 
 def _dummy(rows: DataFrame, priors: list[float]) -> DataFrame:
@@ -234,7 +234,7 @@ def logistic_report(engineered: DataFrame, features: list[str], threshold: float
     for name, part in parts.items():
         one = _as_predictions(model.predict(part)).select(F.lit(name).alias("partition"), "MatchDate", "League", "HomeTeam", "AwayTeam", "y", *PROBABILITIES)
         rows = one if rows is None else rows.union(one)
-    by = ["partition"]
+    rows, by = rows.persist(), ["partition"]  # each metric reads them
     dummy = rows.withColumns({f"p{k}": F.lit(p) for k, p in enumerate(priors)})
     metrics = all_metrics(rows, by).withColumn("model", F.lit("logistic")).unionByName(all_metrics(dummy, by).withColumn("model", F.lit("dummy"))).withColumn("converged", F.lit(model.converged))
     splits = rows.groupBy("partition").agg(F.min("MatchDate").alias("start"), F.max("MatchDate").alias("end"), F.count(F.lit(1)).alias("rows"))

@@ -297,3 +297,13 @@ def test_queries_do_the_operators_whole_job(monkeypatch):
     assert seen.pop("walk_forward") == ((), {})
     assert set(seen) == {"subset_search", "logistic_report", "screen", "fit_forest", "fit_logistic"}
     assert all(call == ((FEATURE_GROUPS["all_features"],), {}) for call in seen.values())
+
+
+def test_a_reports_metrics_read_predictions_that_are_kept(spark, monkeypatch):
+    rows = [(dt.date(y, 1 + i % 12, 1 + i % 28), "L", "A", "B", i % 3, float(i % 7)) for y in (2020, 2023, 2025) for i in range(60)]
+    data = spark.createDataFrame(rows, "MatchDate date, League string, HomeTeam string, AwayTeam string, target_label int, HomeShots double")
+    monkeypatch.setattr(experiments, "canonical", list)
+    monkeypatch.setattr(experiments, "modeling_data", lambda frame, columns: (frame, columns))
+    report = experiments.logistic_report(data, ["HomeShots"])
+    plan = report["metrics"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan and len(report["metrics"].collect()) == 6
