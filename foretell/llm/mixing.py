@@ -7,8 +7,8 @@ siblings; only what a whole subtree can't use reaches the subtree's siblings.
 Each source then gives the token prefix that its budget covers of a stream of
 epochs, each a differently seeded order of its documents. DataFrame functions
 only; no source's documents are ever sorted as a whole: digests deal them into
-ordered buckets, the bucket in which the prefix ends is dealt again, and only
-what is left after some rounds of this is sorted.
+ordered buckets, the bucket in which the prefix ends is dealt again until it
+holds few rows, and only those are sorted.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SEED = 7
 #: Parts (first character, characters) of a document's place in an epoch by which its source is dealt, round by round: the
 #: digest of its id, then, for ids that repeat, the hash of its text. A source has 4,096 buckets in a round, whatever its size.
 ROUNDS = [(1, 3), (4, 3), (33, 3), (36, 3)]
+#: Rounds end when no source has more rows in the bucket in which its budget ends: so many are sorted as they are.
+SORTED_ROWS = 1_000
 _LEVELS = ["domain", "lang", "source"]
 
 
@@ -115,16 +117,21 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, budge
         return join_unique(rows, ends, leaf, total).withColumn("key", F.concat(digest, text))
 
     # Round by round: the bucket of the cut epoch in which the budget ends, and the tokens before it.
-    ends = plan.select("*", F.lit("").alias("upto"), F.lit(0).cast("long").alias("before"))
-    path = F.lit("")
+    ends = plan.select("*", F.col("n").alias("size"), F.lit("").alias("upto"), F.lit(0).cast("long").alias("before"))
+    path, known = F.lit(""), ["size", "epochs", "rest", "upto", "before"]
     for start, size in ROUNDS:
-        inside = keyed(counted, ends).where(path == F.col("upto")).select(*leaf, F.substring("key", start, size).alias("bucket"), "n_tokens")
+        inside = keyed(counted, ends).where(path == F.col("upto")).select(*leaf, *known, F.substring("key", start, size).alias("bucket"), "n_tokens")
         # Written before the window, so that rows are summed by bucket before those of one leaf meet.
-        buckets = checkpointed(inside.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("tokens")))
-        running = buckets.withColumn("to", F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("bucket")))
-        cut = running.join(ends, leaf).where("before + to > rest").groupBy(*leaf).agg(F.min(F.struct("bucket", (F.col("to") - F.col("tokens")).alias("earlier"))).alias("c"))
-        ends = checkpointed(ends.join(cut, leaf).select(*leaf, "n", "epochs", "rest", F.concat("upto", "c.bucket").alias("upto"), (F.col("before") + F.col("c.earlier")).alias("before")))
+        buckets = checkpointed(inside.groupBy(*leaf, *known, "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
+        running = buckets.withColumn("to", F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("bucket"))).where("before + to > rest")
+        cut = running.groupBy(*leaf).agg(F.min(F.struct("bucket", (F.col("before") + F.col("to") - F.col("tokens")).alias("earlier"), "rows", *known)).alias("c"))
+        upto, before = F.concat("c.upto", "c.bucket").alias("upto"), F.col("c.earlier").alias("before")
+        ends = checkpointed(cut.select(*leaf, F.col("c.size").alias("n"), "c.size", "c.epochs", "c.rest", upto, before, "c.rows"))
         path = F.concat(path, F.substring("key", start, size))
+        most = ends.agg(F.max("rows")).first()[0] or 0
+        ends = ends.drop("rows")
+        if most <= SORTED_ROWS:
+            break
 
     rows = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *place).where("n_tokens > 0"), ends).withColumn("path", path)
     taken = F.when(F.col("path") < F.col("upto"), F.col("n_tokens")).otherwise(0)

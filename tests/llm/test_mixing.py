@@ -97,3 +97,15 @@ def test_repeated_ids_are_ordered_by_text(spark):
     docs = spark.createDataFrame([(None if i % 2 else 1, " ".join(["w"] * (1 + i)), "en", "s1") for i in range(40)], "doc_id long, text string, lang string, source string")
     rows = m.mix(docs, budget=300).collect()
     assert sum(r.taken_tokens for r in rows) == 300 and sum(r.taken_tokens < r.n_tokens for r in rows) <= 1
+
+
+def test_rounds_end_when_few_rows_are_left(spark, sf_dir, monkeypatch):
+    """Every round costs the driver two plans; the copies are the same with one round as with all."""
+    docs, made, whole = spark.read.parquet(f"{sf_dir}/documents.parquet"), [], m.checkpointed
+    monkeypatch.setattr(m, "checkpointed", lambda df: made.append(df) or whole(df))
+    columns = ["doc_id", "epoch", "n_tokens", "taken_tokens"]
+    few = sorted(map(tuple, m.mix(docs).select(columns).collect()))
+    assert few and len(made) == 5
+    monkeypatch.setattr(m, "SORTED_ROWS", 0)
+    assert sorted(map(tuple, m.mix(docs).select(columns).collect())) == few
+    assert len(made) == 5 + 3 + 2 * len(m.ROUNDS)
