@@ -40,14 +40,18 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     nation = read("nation").select("n_nationkey", "n_name")
     # The first line by a total order: a grouped minimum, added up before the shuffle.
-    first = read("lineitem").groupBy("l_orderkey").agg(F.min(F.struct(*_FIRST)).alias("line")).select("l_orderkey", "line.*")
+    first = lambda lines, columns: lines.groupBy("l_orderkey").agg(F.min(F.struct(*columns)).alias("line")).select("l_orderkey", "line.*")
     home = read("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("HomeTeam"))
     away = read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("AwayTeam"))
     orders = read("orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderpriority").alias("League"), F.to_date("o_orderdate").alias("MatchDate"))
-    rows = orders.join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(home, F.col("o_custkey") == F.col("c_custkey")).join(away, F.col("l_suppkey") == F.col("s_suppkey")).where("HomeTeam != AwayTeam")
-    fixtures = rows.select("League", "MatchDate", F.explode(F.array("HomeTeam", "AwayTeam")).alias("Team"), "o_orderkey")
-    firsts = fixtures.groupBy("League", "MatchDate", "Team").agg(F.min("o_orderkey").alias("o_orderkey")).groupBy("o_orderkey").count().where("count = 2").select("o_orderkey")
-    made = rows.join(firsts, "o_orderkey", "left_semi").select(F.col("o_orderkey").alias("MatchKey"), "League", "MatchDate", "HomeTeam", "AwayTeam", *[F.expr(sql).alias(c) for c, sql in FORMULAS.items()])
+    teams = lambda orders, lines: orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(home, F.col("o_custkey") == F.col("c_custkey")).join(away, F.col("l_suppkey") == F.col("s_suppkey")).where("HomeTeam != AwayTeam")
+    # All orders carry their teams only. Those that become matches are few, as a team plays once a day and league: they are
+    # sent to all tasks, and the other columns are read of them alone.
+    fixtures = teams(orders.drop("o_orderstatus"), first(read("lineitem"), _FIRST[:3])).select("League", "MatchDate", F.explode(F.array("HomeTeam", "AwayTeam")).alias("Team"), "o_orderkey")
+    firsts = F.broadcast(fixtures.groupBy("League", "MatchDate", "Team").agg(F.min("o_orderkey").alias("o_orderkey")).groupBy("o_orderkey").count().where("count = 2").select("o_orderkey"))
+    lines = read("lineitem").join(firsts, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    rows = teams(orders.join(firsts, "o_orderkey", "left_semi"), first(lines, _FIRST))
+    made = rows.select(F.col("o_orderkey").alias("MatchKey"), "League", "MatchDate", "HomeTeam", "AwayTeam", *[F.expr(sql).alias(c) for c, sql in FORMULAS.items()])
     result = F.when(F.col("FullTimeHomeGoals") > F.col("FullTimeAwayGoals"), "H").when(F.col("FullTimeHomeGoals") == F.col("FullTimeAwayGoals"), "D").when(F.col("FullTimeHomeGoals") < F.col("FullTimeAwayGoals"), "A")
     return made.withColumns({"FullTimeResult": result, "Season": F.expr(_SEASON.format(text="STRING"))})
 

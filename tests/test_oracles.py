@@ -28,3 +28,12 @@ def test_parts_of_the_engineered_frame():
     parts = [oracles.FORM_FEATURES, oracles.CALENDAR_FEATURES, oracles.STRENGTH_FEATURES]
     assert sorted(sum(parts, [])) == sorted(set(FEATURES) - {*GOAL_FEATURES, *SHOT_FEATURES})
     assert all(len(p) > 15 for p in parts)
+
+
+def test_only_matches_read_all_columns(spark, sf_dir):
+    """All orders are joined by their teams; the lines' other columns are grouped for those that become matches only."""
+    from foretell.sources.derived import matches
+
+    plan = matches(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    wide = [i for i, line in enumerate(plan) if "Aggregate [l_orderkey" in line and "l_extendedprice" in line]
+    assert wide and all("Join LeftSemi" in "".join(plan[i + 1 : i + 4]) for i in wide)
