@@ -72,3 +72,18 @@ def test_held_is_dealt_in_parts():
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_blocks.remove_repeats(docs).collect() == []
+
+
+def test_planted_passages_of_over_fifty_words(spark, tmp_path):
+    """The query finds each passage of 400 bytes or more that two documents share, and nothing else; n_bytes tells nothing of it."""
+    from foretell.llm.queries import op13_suffix_dedup
+
+    rng = random.Random(4)
+    words = lambda n, size: " ".join("".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    long, short = [words(rng.randrange(51, 80), 7) for _ in range(8)], [words(rng.randrange(51, 60), 4) for _ in range(4)]
+    texts = [f"{words(40, 6)} {p} {words(40, 6)}" for p in [*long, *short] for _ in range(2)] + [words(140, 6) for _ in range(12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op13_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].n_removed > 0 for i in range(len(texts))] == [True] * 16 + [False] * 20
+    assert all(0 <= got[i].n_removed - len(long[i // 2]) - 2 < 12 for i in range(16))  # the blanks around it too, and a letter or two by chance
+    assert [got[i].n_bytes for i in range(len(texts))] == [len(t) for t in texts]
