@@ -65,26 +65,37 @@ def numbered(rows: DataFrame, keys: list[str], tie: str) -> tuple[DataFrame, boo
     longs = ", ".join(f"{c} long" for c in [*columns, *[f"before_{c}" for c in columns], "part", "at", "outer", "inner", "alone"])
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     local = checkpointed(dealt.mapInArrow(number, longs))
-    ends = local.groupBy("part").agg(F.count("*").alias("n"), F.sum("alone").alias("alone"), F.min(F.struct("at", *columns)).alias("first"), F.max(F.struct("at", *columns, "outer", "inner")).alias("last")).orderBy("part").collect()
-    known, offset, last, heads = [], 0, None, (0, 0)
+    ends = local.groupBy("part").agg(F.count("*").alias("n"), F.sum("alone").alias("alone"), F.min(F.struct("at", *columns)).alias("first"), F.max(F.struct("at", *columns, "outer", "inner")).alias("last")).collect()
+    ends.sort(key=lambda row: row.part)
+    known, offset, last, heads = {}, 0, None, (0, 0)
     for k, row in enumerate(ends):
         held = 0 if last is None else next((d for d, c in enumerate(keys) if row.first[c] != last[c]), len(keys))
         incoming = [heads[0] if held >= len(keys) - 1 and last is not None else offset, heads[1] if held == len(keys) else offset]
         goes_on = k + 1 < len(ends) and all(ends[k + 1].first[c] == row.last[c] for c in keys)
-        known.append((row.part, offset, *incoming, row.n - 1, held == len(keys), goes_on, *[-1 if last is None else last[c] for c in columns]))
+        known[row.part] = (offset, *incoming, row.n - 1, held == len(keys), goes_on, [-1 if last is None else last[c] for c in columns])
         heads = tuple(offset + row.last[h] if row.last[h] >= 0 else incoming[d] for d, h in enumerate(("outer", "inner")))
         offset, last = offset + row.n, row.last
-    names = ["part", "offset", "from_outer", "from_inner", "final", "continues", "goes_on", *[f"last_{c}" for c in columns]]
-    kinds = [pa.bool_() if n in ("continues", "goes_on") else pa.int64() for n in names]
-    sides = rows.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*known) if known else [()] * len(names), kinds)], names))
-    equal = any(row.alone < row.n for row in ends) or any(row[5] for row in known)
-    joined = local.join(F.broadcast(sides), "part")  # a row for each partition
-    first, end = F.col("at") == 0, F.col("at") == F.col("final")
-    placed = joined.select(
-        *columns,
-        *[F.when(first, F.col(f"last_{c}")).otherwise(F.col(f"before_{c}")).alias(f"before_{c}") for c in columns],
-        (F.col("at") + F.col("offset")).alias("at"),
-        *[F.when(F.col(h) >= 0, F.col(h) + F.col("offset")).otherwise(F.col(f"from_{h}")).alias(h) for h in ("outer", "inner")],
-        ((F.col("alone") == 1) & ~(first & F.col("continues")) & ~(end & F.col("goes_on"))).alias("alone"),
-    )
-    return placed, equal
+    equal = any(row.alone < row.n for row in ends) or any(continues for *_, continues, _, _ in known.values())
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = {c: batch.column(c).to_numpy(zero_copy_only=False).copy() for c in batch.schema.names}
+            part = made.pop("part")
+            # A task may read several parts: each is a stretch of rows.
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]) if len(part) else []:
+                offset, from_outer, from_inner, final, continues, goes_on, ahead = known[int(part[i])]
+                at, alone = made["at"][i:j], made["alone"][i:j]
+                first, end = at == 0, at == final
+                alone[(first & continues) | (end & goes_on)] = 0
+                for c, x in zip(columns, ahead):
+                    made[f"before_{c}"][i:j][first] = x
+                for head, incoming in (("outer", from_outer), ("inner", from_inner)):
+                    values = made[head][i:j]
+                    values[:] = np.where(values >= 0, values + offset, incoming)
+                at += offset
+            yield pa.RecordBatch.from_arrays([pa.array(x == 1 if c == "alone" else x) for c, x in made.items()], list(made))
+
+    # Placed in Python, where a join would broadcast a row for each part in every plan that reads the result.
+    kinds = ", ".join(f"{c} {'boolean' if c == 'alone' else 'long'}" for c in [*columns, *[f"before_{c}" for c in columns], "at", "outer", "inner", "alone"])
+    return local.mapInArrow(place, kinds), equal

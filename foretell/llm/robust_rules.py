@@ -13,6 +13,8 @@ pre-aggregated like any other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +94,12 @@ def _vector() -> list[Column]:
     return [values[c].alias(c) for c in _D]
 
 
-def _quantile_bins(histogram: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """The first bin up to which a key's histogram ``(keys, bin, n)`` holds ``share`` of its rows."""
+def _quantile_bins(histogram: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """For each of ``shares`` the first bin up to which a key's histogram ``(keys, bin, n)`` holds that share of its rows, all in one pass."""
     order = Window.partitionBy(*keys).orderBy("bin")
     total = F.sum("n").over(Window.partitionBy(*keys))
     upto = histogram.select(*keys, "bin", F.sum("n").over(order).alias("upto"), total.alias("total"))
-    return upto.where(F.col("upto") >= share * F.col("total")).groupBy(*keys).agg(F.min("bin").alias("bin"))
+    return upto.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("bin"))).alias(name) for name, share in shares.items()])
 
 
 _PAIRS = [(i, j) for i in range(len(_D)) for j in range(i + 1)]
@@ -121,17 +123,21 @@ def _starts(vectors: DataFrame) -> DataFrame:
     bins = F.array(*[F.floor(F.least(F.col(c), F.lit(64.0)) * _BINS_PER_UNIT) for c in _D])
     # Written before the windows, so that rows are summed by cell and bin before those of one cell meet.
     histogram = checkpointed(vectors.select("cell", F.posexplode(bins).alias("j", "bin")).groupBy("cell", "j", "bin").agg(F.count("*").alias("n")))
-    low, mid, high = (_quantile_bins(histogram, ["cell", "j"], q).withColumnRenamed("bin", name) for q, name in ((0.25, "low"), (0.5, "mid"), (0.75, "high")))
-    spread = low.join(mid, ["cell", "j"]).join(high, ["cell", "j"])
+    spread = _quantile_bins(histogram, ["cell", "j"], {"low": 0.25, "mid": 0.5, "high": 0.75})
     pick = lambda j, x: F.max(F.when(F.col("j") == j, x))
-    centre = [pick(j, (F.col("mid") + 0.5) / _BINS_PER_UNIT).alias(f"m{j}") for j in range(len(_D))]
-    scale = [pick(j, F.pow((F.col("high") - F.col("low")) / _BINS_PER_UNIT / 1.349, 2) + COORDINATES[c] ** 2).alias(f"v{j}{j}") for j, c in enumerate(_D)]
-    flat = {f"v{i}{j}": F.lit(0.0) for i, j in _PAIRS if i != j}
+    centre = [pick(j, (F.col("mid") + 0.5) / _BINS_PER_UNIT).alias(f"c{j}") for j in range(len(_D))]
+    scale = [pick(j, F.pow((F.col("high") - F.col("low")) / _BINS_PER_UNIT / 1.349, 2) + COORDINATES[c] ** 2).alias(f"q{j}") for j, c in enumerate(_D)]
     sums = vectors.groupBy("cell").agg(*_sums())
-    quartiles = spread.groupBy("cell").agg(*centre, *scale).withColumns(flat).join(sums.select("cell", "n"), "cell").select("cell", F.lit(0).alias("start"), "n", *_MOMENTS)
-    floors = quartiles.withColumns({f"v{j}{j}": F.lit(COORDINATES[c] ** 2) for j, c in enumerate(_D)}).withColumn("start", F.lit(1))
-    whole = sums.select("cell", F.lit(2).alias("start"), "n", *_moments(1.0))
-    return quartiles.unionByName(floors).unionByName(whole)
+    known = spread.groupBy("cell").agg(*centre, *scale).join(sums.select("cell", "n", *_moments(1.0)), "cell")
+
+    def start(number: int, scatter: Callable[[int], Column]) -> Column:
+        flat = [(scatter(i) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in _PAIRS]
+        return F.struct(F.lit(number).alias("start"), *[F.col(f"c{j}").alias(f"m{j}") for j in range(len(_D))], *flat)
+
+    quartiles = start(0, lambda j: F.col(f"q{j}"))
+    floors = start(1, lambda j: F.lit(COORDINATES[_D[j]] ** 2))
+    whole = F.struct(F.lit(2).alias("start"), *_MOMENTS)
+    return known.select("cell", "n", F.explode(F.array(quartiles, floors, whole)).alias("s")).select("cell", "s.start", "n", *[f"s.{c}" for c in _MOMENTS])
 
 
 def _factored(cells: DataFrame) -> DataFrame:
@@ -160,19 +166,19 @@ def _concentrate(vectors: DataFrame, cells: DataFrame, total: int, few: bool) ->
     Sums by cell and bin of distance are written out first, so that only bins
     meet in a cell's task, never its rows, however many tasks there are.
     """
-    estimates = cells.select("cell", "start", "n", *[c for c in cells.columns if c[0] in "ml" and c[1:].isdigit()])
+    own = [c for c in cells.columns if c[0] in "ml" and c[1:].isdigit()]
+    estimates = cells.select("cell", "start", "n", F.col("logdet").alias("was"), *own)
     joined = _joined(vectors, estimates, ["cell", "start"], total, few)
     near = F.floor(F.log2(F.col("d2") + 1e-9) * _BINS_PER_UNIT).alias("bin")
-    placed = _with_distance(joined, _D).select("cell", "start", *_D, near)
-    binned = checkpointed(placed.groupBy("cell", "start", "bin").agg(*_sums()))
+    placed = _with_distance(joined, _D).select("cell", "start", "was", *_D, near)
+    binned = checkpointed(placed.groupBy("cell", "start", "bin").agg(F.max("was").alias("was"), *_sums()))
     key = ["cell", "start"]
     before = F.sum("n").over(Window.partitionBy(*key).orderBy("bin")) - F.col("n")
     whole = F.sum("n").over(Window.partitionBy(*key))
     closest = binned.select("*", before.alias("before"), whole.alias("whole")).where(F.col("before") < SHARE * F.col("whole"))
     names = ["n", *[f"s{i}" for i in range(len(_D))], *[f"s{i}{j}" for i, j in _PAIRS]]
-    sums = closest.groupBy(*key).agg(F.max("whole").alias("all"), *[F.sum(c).alias(c) for c in names])
-    made = _factored(sums.select(*key, F.col("all").alias("n"), *_moments(CONSISTENCY)))
-    return checkpointed(made.join(cells.select(*key, F.col("logdet").alias("was")), key))
+    sums = closest.groupBy(*key).agg(F.max("whole").alias("all"), F.max("was").alias("was"), *[F.sum(c).alias(c) for c in names])
+    return checkpointed(_factored(sums.select(*key, "was", F.col("all").alias("n"), *_moments(CONSISTENCY))))
 
 
 def judge(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -240,7 +246,7 @@ def _estimates(passing: DataFrame) -> DataFrame:
         both = own.join(wide, keys) if keys else own.crossJoin(F.broadcast(wide))  # without keys: one row
         return both.select("lang", "source", "n", *[(weight * F.col(c) + (1 - weight) * F.col(f"above_{c}")).alias(c) for c in _MOMENTS])
 
-    flat = cells.join(names, "cell").select("lang", "source", "n", *_MOMENTS)
+    flat = checkpointed(cells.join(names, "cell").select("lang", "source", "n", *_MOMENTS))  # read three times
     by_lang = leaning(flat.where("lang != '*' AND source = '*'"), flat.where("lang = '*'"), [])
     by_cell = leaning(flat.where("source != '*'"), by_lang, ["lang"])
     return checkpointed(_factored(by_cell).drop("logdet", *_MOMENTS[len(_D) :]))

@@ -307,11 +307,11 @@ def near_copy_links(firsts: DataFrame, rows: DataFrame, close: DataFrame, simila
         both = found.join(ends[0], "u").join(ends[1], "v").select("u", "v", "a", "b")
         return checkpointed(both.mapInArrow(_verified_batches(similarity), "u long, v long"))
 
-    links = close.unionByName(verified(tiled_links(keyed.drop("size"), radius, tile)))
+    links = checkpointed(close.unionByName(verified(tiled_links(keyed.drop("size"), radius, tile))))  # read here and by the caller
     roots = connected_components(links).withColumnRenamed("node", "fp")
     marked = keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     apart = marked.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("band", "key")
-    held = marked.join(apart, ["band", "key"]).join(sets, "fp")
+    held = checkpointed(marked.join(apart, ["band", "key"])).join(sets, "fp")  # tiles read it twice
     return links.unionByName(tiles(held, radius, min(tile, VERIFY_TILE)).mapInArrow(_connect_batches(radius, similarity), "u long, v long").distinct())
 
 
