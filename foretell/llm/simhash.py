@@ -285,7 +285,7 @@ def _verified_batches(similarity: float):
 
 
 def near_copy_links(firsts: DataFrame, rows: DataFrame, close: DataFrame, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
-    """Links ``(u, v)``, ``close`` ones included, that connect fingerprints at most ``radius`` bits apart whose texts share ``similarity`` of their shingles.
+    """Links ``(u, v)`` that connect what ``close`` ones connect, and fingerprints at most ``radius`` bits apart whose texts share ``similarity`` of their shingles.
 
     ``firsts (fp, first, bands, size)`` has one row for each fp, whose text is
     the one of ``rows (named, doc_id, h, text)`` at ``first``. Candidates meet
@@ -307,12 +307,14 @@ def near_copy_links(firsts: DataFrame, rows: DataFrame, close: DataFrame, simila
         both = found.join(ends[0], "u").join(ends[1], "v").select("u", "v", "a", "b")
         return checkpointed(both.mapInArrow(_verified_batches(similarity), "u long, v long"))
 
-    links = checkpointed(close.unionByName(verified(tiled_links(keyed.drop("size"), radius, tile))))  # read here and by the caller
+    links = close.unionByName(verified(tiled_links(keyed.drop("size"), radius, tile)))
     roots = connected_components(links).withColumnRenamed("node", "fp")
     marked = keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     apart = marked.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("band", "key")
     held = checkpointed(marked.join(apart, ["band", "key"])).join(sets, "fp")  # tiles read it twice
-    return links.unionByName(tiles(held, radius, min(tile, VERIFY_TILE)).mapInArrow(_connect_batches(radius, similarity), "u long, v long").distinct())
+    # What is connected so far goes on as stars, so that the caller's rounds begin where these ended.
+    stars = roots.where("fp != root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+    return stars.unionByName(tiles(held, radius, min(tile, VERIFY_TILE)).mapInArrow(_connect_batches(radius, similarity), "u long, v long").distinct())
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
